@@ -8,20 +8,10 @@ from tideline.functions import timeparts
 from tideline.operators import rollups
 from tideline.plans import shared, standins
 from tideline.plans.catalog import check, rounded
-from tideline.plans.standins import ORDER_CALENDAR, VIEW_SQL, with_views
+from tideline.plans.standins import ORDER_CALENDAR, with_views
 
 PLATFORMS = ["focal", "reference"]
 
-VIEW_SQL["community_month"] = (("user_month",), """
-    SELECT platform, community, month, count(DISTINCT user_id) AS active_users,
-      CAST(sum(activity_count) AS BIGINT) AS total_activity,
-      avg(mean_toxicity) AS toxicity_mean, stddev_samp(mean_toxicity) AS toxicity_std,
-      avg(mean_vader) AS vader_mean, stddev_samp(mean_vader) AS vader_std,
-      avg(mean_textblob) AS textblob_mean, stddev_samp(mean_textblob) AS textblob_std,
-      avg(mean_subjectivity) AS subjectivity_mean, stddev_samp(mean_subjectivity) AS subjectivity_std
-    FROM user_month GROUP BY ALL""")
-
-
 @check("user_month_metrics", with_views("user_month", body="""
     SELECT platform, community, user_id, month, round(mean_toxicity,6) AS mean_toxicity,
       round(mean_vader,6) AS mean_vader, round(mean_textblob,6) AS mean_textblob,

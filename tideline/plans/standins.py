@@ -126,6 +126,14 @@ VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
           avg(sentiment_vader) AS mean_vader, avg(sentiment_textblob) AS mean_textblob,
           avg(subjectivity_textblob) AS mean_subjectivity, count(*) AS activity_count
         FROM activity GROUP BY ALL"""),
+    "community_month": (("user_month",), """
+    SELECT platform, community, month, count(DISTINCT user_id) AS active_users,
+      CAST(sum(activity_count) AS BIGINT) AS total_activity,
+      avg(mean_toxicity) AS toxicity_mean, stddev_samp(mean_toxicity) AS toxicity_std,
+      avg(mean_vader) AS vader_mean, stddev_samp(mean_vader) AS vader_std,
+      avg(mean_textblob) AS textblob_mean, stddev_samp(mean_textblob) AS textblob_std,
+      avg(mean_subjectivity) AS subjectivity_mean, stddev_samp(mean_subjectivity) AS subjectivity_std
+    FROM user_month GROUP BY ALL"""),
     "event_activity": ((), """
         SELECT CAST(event_id AS VARCHAR) AS post_id, CAST(user_id AS VARCHAR) AS user_id,
           CAST(ts AS TIMESTAMP) AS ts, event_type AS community,
