@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app_name: str = "tideline", master: str | None = None, **settings: str) -> SparkSession:
@@ -55,3 +56,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def sized_side(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
+    """A join side that is broadcast only once its size is known to be small.
+
+    The side is written down and counted; above ``most_rows`` it joins by shuffle instead.
+    """
+    held = cut_lineage(df)
+    return F.broadcast(held) if held.count() <= most_rows else held
