@@ -174,8 +174,9 @@ def top_fraction_hubs(nodes: DataFrame, keys: Sequence[str], fractions: Sequence
         "n",
         F.coalesce(F.sum("n").over(higher), F.lit(0)).alias("_above"),
         F.sum("n").over(Window.partitionBy(*keys)).alias("_size"),
-        F.explode(F.array(*[F.lit(float(f)) for f in fractions])).alias("hub_fraction"),
     )
+    # A step of its own: windows beside an explode would count the exploded rows.
+    placed = placed.withColumn("hub_fraction", F.explode(F.array(*[F.lit(float(f)) for f in fractions])))
     # The product is rounded first so that 10 * 0.1 does not exceed 1.
     quota = F.greatest(F.lit(1), F.ceil(F.round(F.col("_size") * F.col("hub_fraction"), 9))).cast("bigint")
     placed = placed.withColumn("_left", quota - F.col("_above")).where(F.col("_left") > 0)
