@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.stats import ratio
-from tideline.session import cut_lineage, sized_side
+from tideline.session import cut_lineage
 
 
 def _both_ways(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -29,14 +29,15 @@ def connected_components(pairs: DataFrame, nodes: DataFrame, keys: Sequence[str]
     the node it points to itself, and shortens its own pointer. Trees of pointers at least halve in
     height, so rounds grow with the logarithm of a component's diameter (Shiloach and Vishkin's
     scheme in the form of Zhang, Azad and Hu, 2020). Pointers gather on few nodes as the rounds go
-    on; the table of pointed-to nodes shrinks with that, and is broadcast once it is small.
+    on; the table of pointed-to nodes shrinks with that, so by the time many rows share a target the
+    adaptive planner sees a table small enough to broadcast.
     """
     keys = list(keys)
     arcs = cut_lineage(_both_ways(pairs, keys))
     state = cut_lineage(nodes.select(*keys, "node", F.col("node").alias("f")))
     for _ in range(most_rounds):
         targets = state.select(*keys, F.col("f").alias("node")).distinct().join(state, [*keys, "node"])
-        grand = sized_side(targets.select(*keys, F.col("node").alias("f"), F.col("f").alias("gf")))
+        grand = targets.select(*keys, F.col("node").alias("f"), F.col("f").alias("gf"))
         jumped = state.join(grand, [*keys, "f"])
         smallest = (
             arcs.join(jumped.select(*keys, F.col("node").alias("v"), "gf"), [*keys, "v"])
@@ -101,34 +102,34 @@ def path_metrics(
     arcs = cut_lineage(
         _both_ways(pairs, keys).join(members.withColumnRenamed("node", "u"), [*keys, "u"])
     )
-    fresh = cut_lineage(
-        numbered.select(
-            *keys,
-            "node",
-            F.floor(F.col("_i") / 64).cast("int").alias("word"),
-            F.expr("shiftleft(1L, _i % 64)").alias("bits"),
-        )
-    )
-    reached, distance, found = fresh, 0, []
+    own = F.expr("shiftleft(1L, _i % 64)")
+    word = F.floor(F.col("_i") / 64).cast("int").alias("word")
+    state = cut_lineage(numbered.select(*keys, "node", word, own.alias("bits"), own.alias("fresh")))
+    distance, found = 0, []
     while True:
         distance += 1
         step = (
-            arcs.join(fresh.withColumnRenamed("node", "u"), [*keys, "u"])
-            .groupBy(*keys, F.col("v").alias("node"), "word")
-            .agg(F.bit_or("bits").alias("_near"))
+            arcs.join(state.where(F.col("fresh") != 0).select(*keys, F.col("node").alias("u"), "word", "fresh"), [*keys, "u"])
+            .select(*keys, F.col("v").alias("node"), "word", F.lit(0).cast("bigint").alias("bits"), F.col("fresh").alias("near"))
         )
-        known = step.join(reached, [*keys, "node", "word"], "left")
-        new_bits = F.col("_near").bitwiseAND(F.bitwise_not(F.coalesce("bits", F.lit(0).cast("bigint"))))
-        fresh = cut_lineage(
-            known.select(*keys, "node", "word", new_bits.alias("bits")).where(F.col("bits") != 0)
+        held = state.select(*keys, "node", "word", "bits", F.lit(0).cast("bigint").alias("near"))
+        merged = held.unionByName(step).groupBy(*keys, "node", "word").agg(
+            F.bit_or("bits").alias("bits"), F.bit_or("near").alias("near")
         )
-        if fresh.isEmpty():
+        state = cut_lineage(
+            merged.select(
+                *keys,
+                "node",
+                "word",
+                F.col("bits").bitwiseOR(F.col("near")).alias("bits"),
+                F.col("near").bitwiseAND(F.bitwise_not("bits")).alias("fresh"),
+            )
+        )
+        newest = state.where(F.col("fresh") != 0)
+        if newest.isEmpty():
             break
         found.append(
-            fresh.groupBy(*keys).agg(F.sum(F.bit_count("bits")).alias("_pairs")).withColumn("_d", F.lit(distance))
-        )
-        reached = cut_lineage(
-            reached.unionByName(fresh).groupBy(*keys, "node", "word").agg(F.bit_or("bits").alias("bits"))
+            newest.groupBy(*keys).agg(F.sum(F.bit_count("fresh")).alias("_pairs")).withColumn("_d", F.lit(distance))
         )
     base = giant.select(*keys, "giant_component_size", "giant_component_fraction")
     if not found:

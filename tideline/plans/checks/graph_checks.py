@@ -165,8 +165,9 @@ def giant_component(spark, folder):
 
 PATHS_SQL = """
     , arcs AS (SELECT community, week, a AS u, b AS v FROM pairs_week WHERE a<>b UNION SELECT community, week, b, a FROM pairs_week WHERE a<>b),
-    walk AS (SELECT community, week, node AS src, node, 0 AS d FROM deg_week
-      UNION SELECT w.community, w.week, w.src, x.v, w.d+1 FROM walk w JOIN arcs x ON x.community=w.community AND x.week=w.week AND x.u=w.node WHERE w.d < 40),
+    walk(community, week, src, node, d) USING KEY (community, week, src, node) AS (SELECT community, week, node, node, 0 FROM deg_week
+      UNION SELECT w.community, w.week, w.src, x.v, w.d+1 FROM walk w JOIN arcs x ON x.community=w.community AND x.week=w.week AND x.u=w.node
+        LEFT JOIN recurring.walk r ON r.community=w.community AND r.week=w.week AND r.src=w.src AND r.node=x.v WHERE r.d IS NULL),
     dist AS (SELECT community, week, src, node, min(d) AS d FROM walk GROUP BY ALL),
     comp AS (SELECT community, week, node, min(src) AS component FROM dist GROUP BY ALL),
     s AS (SELECT community, week, component, count(*) AS size FROM comp GROUP BY ALL),
