@@ -181,3 +181,75 @@ def with_views(*names: str, body: str) -> str:
         place(name)
     head = ",\n".join(f"{name} AS ({sql})" for name, sql in placed.items())
     return f"WITH {head}{',' if body.lstrip().startswith('+') else ''}\n{body.lstrip().lstrip('+')}"
+
+
+LABELS = {
+    "toxigen_toxicity": "toxicity_toxigen",
+    "detoxify_toxicity": "detoxify_toxicity",
+    "detoxify_severe": "detoxify_severe_toxicity",
+    "detoxify_identity": "detoxify_identity_attack",
+    "detoxify_insult": "detoxify_insult",
+    "detoxify_threat": "detoxify_threat",
+}
+
+
+def scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The activity log with six scores and a community type."""
+    key = F.col("post_id").cast("bigint")
+    kind = (
+        F.when(F.col("community").isin("1-URGENT", "2-HIGH"), "controversial")
+        .when(F.col("community").isin("3-MEDIUM", "5-LOW"), "normal")
+        .otherwise("unknown")
+    )
+    return activity(spark, folder).select(
+        "post_id",
+        "publish_date",
+        "ts",
+        "month",
+        "user_id",
+        "interaction_type",
+        "community",
+        kind.alias("community_type"),
+        "toxicity_toxigen",
+        F.col("sentiment_vader").alias("detoxify_toxicity"),
+        F.col("sentiment_textblob").alias("detoxify_severe_toxicity"),
+        F.col("subjectivity_textblob").alias("detoxify_identity_attack"),
+        (((key * 53) % 997).cast("double") / 997).alias("detoxify_insult"),
+        (((key * 101) % 991).cast("double") / 991).alias("detoxify_threat"),
+    )
+
+
+VIEW_SQL["scores"] = (("activity",), """
+    SELECT post_id, publish_date, ts, month, user_id, interaction_type, community,
+      CASE WHEN community IN ('1-URGENT','2-HIGH') THEN 'controversial' WHEN community IN ('3-MEDIUM','5-LOW') THEN 'normal' ELSE 'unknown' END AS community_type,
+      toxicity_toxigen, sentiment_vader AS detoxify_toxicity, sentiment_textblob AS detoxify_severe_toxicity, subjectivity_textblob AS detoxify_identity_attack,
+      CAST((CAST(post_id AS BIGINT)*53) % 997 AS DOUBLE)/997 AS detoxify_insult, CAST((CAST(post_id AS BIGINT)*101) % 991 AS DOUBLE)/991 AS detoxify_threat
+    FROM activity""")
+VIEW_SQL["scores_long"] = (("scores",), """
+    UNPIVOT (SELECT post_id, ts, month, user_id, interaction_type, community, community_type, toxicity_toxigen AS toxigen_toxicity, detoxify_toxicity,
+      detoxify_severe_toxicity AS detoxify_severe, detoxify_identity_attack AS detoxify_identity, detoxify_insult, detoxify_threat FROM scores)
+    ON toxigen_toxicity, detoxify_toxicity, detoxify_severe, detoxify_identity, detoxify_insult, detoxify_threat INTO NAME label VALUE v""")
+VIEW_SQL["scores_scoped"] = (("scores_long",), """
+    SELECT * REPLACE ('global' AS community_type, 'global' AS community) FROM scores_long UNION ALL
+    SELECT * REPLACE ('global' AS community) FROM scores_long UNION ALL SELECT * FROM scores_long""")
+
+
+def texts(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents as posts and comments with text; some have no score."""
+    documents = table(spark, folder, "documents")
+    key = F.col("doc_id")
+    return documents.select(
+        key.cast("string").alias("post_id"),
+        F.when(key % 3 == 0, "POST").otherwise("COMMENT").alias("interaction_type"),
+        F.when(key % 29 != 0, F.col("text")).alias("content"),
+        F.col("source").alias("community"),
+        F.when(key % 11 != 0, ((key * 7919) % 997).cast("double") / 997).alias("toxicity_toxigen"),
+    )
+
+
+VIEW_SQL["texts"] = ((), """
+    SELECT CAST(doc_id AS VARCHAR) AS post_id, CASE WHEN doc_id % 3 = 0 THEN 'POST' ELSE 'COMMENT' END AS interaction_type,
+      CASE WHEN doc_id % 29 <> 0 THEN text END AS content, source AS community,
+      CASE WHEN doc_id % 11 <> 0 THEN CAST((doc_id*7919) % 997 AS DOUBLE)/997 END AS toxicity_toxigen FROM documents""")
+VIEW_SQL["eligible"] = (("texts",), r"""
+    SELECT * FROM texts WHERE interaction_type='POST' AND trim(regexp_replace(coalesce(content,''), '\s', ' ', 'g')) <> '' AND toxicity_toxigen IS NOT NULL""")
