@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.calendar import Event, EventCalendar
 from tideline.functions.timeparts import epoch_to_ts, month_key
+from tideline.sources.score_files import LABELS  # noqa: F401  (the labels of ``scores``)
 
 # Mid-month dates within the span of the order dates.
 ORDER_CALENDAR = EventCalendar(
@@ -183,16 +184,6 @@ def with_views(*names: str, body: str) -> str:
     return f"WITH {head}{',' if body.lstrip().startswith('+') else ''}\n{body.lstrip().lstrip('+')}"
 
 
-LABELS = {
-    "toxigen_toxicity": "toxicity_toxigen",
-    "detoxify_toxicity": "detoxify_toxicity",
-    "detoxify_severe": "detoxify_severe_toxicity",
-    "detoxify_identity": "detoxify_identity_attack",
-    "detoxify_insult": "detoxify_insult",
-    "detoxify_threat": "detoxify_threat",
-}
-
-
 def scores(spark: SparkSession, folder: str) -> DataFrame:
     """The activity log with six scores and a community type."""
     key = F.col("post_id").cast("bigint")
