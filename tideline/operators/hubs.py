@@ -11,6 +11,7 @@ from tideline.functions.stats import ratio
 from tideline.operators import graph
 from tideline.operators.ranking import numbered_rows
 from tideline.operators.rollups import weighted_mean
+from tideline.session import cut_lineage
 
 # Metrics of a month that are averaged with the number of nodes as weight.
 WEIGHTED_DYNAMICS = (
@@ -166,6 +167,7 @@ def top_fraction_hubs(nodes: DataFrame, keys: Sequence[str], fractions: Sequence
     degree compete by name, and only they are numbered.
     """
     keys = list(keys)
+    nodes = cut_lineage(nodes.select(*keys, "node", "degree"))
     histogram = graph.degree_histogram(nodes, keys)
     higher = Window.partitionBy(*keys).orderBy(F.desc("degree")).rowsBetween(Window.unboundedPreceding, -1)
     placed = histogram.select(

@@ -22,12 +22,15 @@ from tideline.functions.stats import (
 )
 from tideline.operators.ranking import numbered_rows, running_weights
 from tideline.operators.rollups import unpivoted
+from tideline.session import cut_lineage
 
 
 # Two samples ---------------------------------------------------------------------------------
 
 
-def cliffs_delta(df: DataFrame, keys: Sequence[str], value: str, is_first: Column) -> DataFrame:
+def cliffs_delta(
+    df: DataFrame, keys: Sequence[str], value: str, is_first: Column, small_groups: bool = False
+) -> DataFrame:
     """Chance that a value of the first sample exceeds one of the second, minus the reverse.
 
     Each distinct value knows how many values of the second sample lie below it and at it, which
@@ -36,7 +39,7 @@ def cliffs_delta(df: DataFrame, keys: Sequence[str], value: str, is_first: Colum
     keys = list(keys)
     marked = df.select(*keys, value, is_first.alias("_first"))
     weights = {"x": F.when(F.col("_first"), 1).otherwise(0), "y": F.when(F.col("_first"), 0).otherwise(1)}
-    table = running_weights(marked, keys, value, weights)
+    table = running_weights(marked, keys, value, weights, small_groups)
     x, y, below = F.col("x").cast("double"), F.col("y").cast("double"), F.col("y_below").cast("double")
     n_y = F.sum(y)
     # greater minus less = below - (n_y - below - at), summed over the first sample
@@ -50,12 +53,14 @@ def glass_delta(first: Column, second: Column) -> Column:
     return F.when(spread > 0, F.try_divide(F.avg(first) - F.avg(second), spread))
 
 
-def mann_whitney(df: DataFrame, keys: Sequence[str], value: str, is_first: Column) -> DataFrame:
+def mann_whitney(
+    df: DataFrame, keys: Sequence[str], value: str, is_first: Column, small_groups: bool = False
+) -> DataFrame:
     """U statistic of the first sample and its p-value, corrected for ties and continuity."""
     keys = list(keys)
     marked = df.select(*keys, value, is_first.alias("_first"))
     weights = {"x": F.when(F.col("_first"), 1).otherwise(0), "y": F.when(F.col("_first"), 0).otherwise(1)}
-    table = running_weights(marked, keys, value, weights)
+    table = running_weights(marked, keys, value, weights, small_groups)
     x, y, below = F.col("x").cast("double"), F.col("y").cast("double"), F.col("y_below").cast("double")
     ties = x + y
     grouped = table.groupBy(*keys).agg(
@@ -103,11 +108,11 @@ def welch_t(df: DataFrame, keys: Sequence[str], value: str, is_first: Column) ->
 def platform_significance(
     community_month: DataFrame, metrics: Sequence[str], focal: str, keys: Sequence[str] = ("community",)
 ) -> DataFrame:
-    """Rank and mean tests of monthly values between the platforms, per metric."""
+    """Rank and mean tests of monthly values between the platforms, per metric (groups are months)."""
     group = [*keys, "metric"]
     long = unpivoted(community_month, [*keys, "platform"], metrics).where(F.col("value").isNotNull())
     is_first = F.col("platform") == focal
-    tests = welch_t(long, group, "value", is_first).join(mann_whitney(long, group, "value", is_first), group)
+    tests = welch_t(long, group, "value", is_first).join(mann_whitney(long, group, "value", is_first, True), group)
     return tests.withColumn("significant", F.col("t_p_value") < 0.05)
 
 
@@ -147,12 +152,12 @@ def effect_sizes(
 ) -> DataFrame:
     """Means and effect sizes of two platforms with resampled intervals, one row per group.
 
-    Both effect sizes of all repetitions come from one resampled table.
+    ``series`` holds months. Both effect sizes of all repetitions come from one resampled table.
     """
     keys = list(keys)
     both = [*keys, "platform"]
     is_first = F.col("platform") == focal
-    known = series.where(F.col(value).isNotNull())
+    known = cut_lineage(series.where(F.col(value).isNotNull()).select(*both, *order, value))
     first, second = F.when(is_first, F.col(value)), F.when(~is_first, F.col(value))
     base = known.groupBy(*keys).agg(
         F.avg(first).alias("focal_mean"),
@@ -163,13 +168,13 @@ def effect_sizes(
         F.count(first).alias("n_focal"),
         F.count(second).alias("n_reference"),
     )
-    observed = base.join(cliffs_delta(known, keys, value, is_first), keys)
+    observed = base.join(cliffs_delta(known, keys, value, is_first, small_groups=True), keys)
 
     sample = resampled(numbered_values(known, both, value, order), both, repetitions, seed)
     run = [*keys, "repetition"]
     first, second = F.when(is_first, F.col("_value")), F.when(~is_first, F.col("_value"))
     glass = sample.groupBy(*run).agg(glass_delta(first, second).alias("glass"))
-    cliff = cliffs_delta(sample, run, "_value", is_first)
+    cliff = cliffs_delta(sample, run, "_value", is_first, small_groups=True)
     tail = (1 - coverage) / 2
     # One value per repetition, a fixed number of them.
     intervals = glass.join(cliff, run).groupBy(*keys).agg(

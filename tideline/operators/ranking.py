@@ -55,9 +55,24 @@ def _bin_offsets(counted: DataFrame, keys: Sequence[str], names: Sequence[str])
     )
 
 
-def running_weights(df: DataFrame, keys: Sequence[str], value: str, weights: Mapping[str, Column]) -> DataFrame:
-    """Per distinct value ``value``: the weight at it (``name``) and below it (``name_below``)."""
+def running_weights(
+    df: DataFrame, keys: Sequence[str], value: str, weights: Mapping[str, Column], small_groups: bool = False
+) -> DataFrame:
+    """Per distinct value ``value``: the weight at it (``name``) and below it (``name_below``).
+
+    ``small_groups`` is for groups bounded by the months of a series: one window sorts each.
+    """
     names = list(weights)
+    if small_groups:
+        counted = (
+            df.where(F.col(value).isNotNull())
+            .groupBy(*keys, F.col(value).cast("double").alias(value))
+            .agg(*[F.sum(weight).alias(name) for name, weight in weights.items()])
+        )
+        below = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
+        return counted.select(
+            "*", *[F.coalesce(F.sum(n).over(below), F.lit(0)).alias(f"{n}_below") for n in names]
+        )
     counted = _counted(df, keys, value, weights)
     offsets = _bin_offsets(counted, keys, names)
     inside = Window.partitionBy(*keys, "_bin").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.stats import ratio
 from tideline.operators.ranking import exact_quantiles
+from tideline.session import cut_lineage
 
 SCOPE = ("platform", "community")
 
@@ -80,23 +81,26 @@ def community_month_basic(user_month: DataFrame, scope: Sequence[str] = SCOPE) -
     A user-month table holds a user once per month, so counting its rows counts users.
     """
     user_month = with_missing(user_month, ["mean_reputation"])
+    return user_month.groupBy(*scope, "month").agg(*_basic_aggregates())
+
+
+def _basic_aggregates() -> list[Column]:
     aggs = [F.count("user_id").alias("active_users"), F.sum("activity_count").alias("total_activity")]
     for column, stem in METRIC_STEMS.items():
         aggs += [F.avg(column).alias(f"{stem}_mean"), F.stddev_samp(column).alias(f"{stem}_std")]
-    return user_month.groupBy(*scope, "month").agg(*aggs)
+    return aggs
 
 
 def community_month_aggregates(user_month: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame:
     """:func:`community_month_basic` with reputable users and exact medians.
 
     Medians of all metrics come from one pass over bins, since a community-month may hold far more
-    users than one task can sort.
+    users than one task can sort. The user-months are read three times, so they are written down.
     """
-    user_month = with_missing(user_month, ["mean_reputation"])
+    user_month = cut_lineage(with_missing(user_month, ["mean_reputation"]))
     keys = [*scope, "month"]
-    basic = community_month_basic(user_month, scope)
-    reputable = user_month.groupBy(*keys).agg(
-        F.count_if(F.col("mean_reputation") > 1).alias("rep_active_users")
+    basic = user_month.groupBy(*keys).agg(
+        *_basic_aggregates(), F.count_if(F.col("mean_reputation") > 1).alias("rep_active_users")
     )
     medians = exact_quantiles(
         unpivoted(user_month, keys, list(METRIC_STEMS)), [*keys, "metric"], "value", {"median": 0.5}
@@ -109,7 +113,7 @@ def community_month_aggregates(user_month: DataFrame, scope: Sequence[str] = SCO
     )
     order = [*keys, "active_users", "total_activity", "rep_active_users"]
     order += [f"{stem}_{part}" for stem in METRIC_STEMS.values() for part in ("mean", "median", "std")]
-    return basic.join(reputable, keys).join(wide, keys, "left").select(*order)
+    return basic.join(wide, keys, "left").select(*order)
 
 
 def join_network_metrics(

@@ -11,6 +11,7 @@ from tideline.functions import timeparts
 from tideline.functions.calendar import EventCalendar
 from tideline.functions.stats import ratio
 from tideline.operators.ranking import exact_quantiles
+from tideline.session import cut_lineage
 
 # Months of early behaviour, quantiles that split it, and horizons in months.
 EARLY_MONTHS = (1, 3, 6)
@@ -114,6 +115,8 @@ def with_toxicity_groups(
             ])
         ).alias("_e"),
     ).select(*kept, F.col("_e.early_months").alias("early_months"), F.col("_e.early_value").alias("early_value"))
+    # Read for the cuts and again for the groups.
+    tall = cut_lineage(tall)
     names = {f"_q{i}": q for i, q in enumerate(quantiles)}
     cuts = group_threshold(tall, "early_value", names, ["community", "fixed_cohort", "early_months"])
     choices = F.array(*[
@@ -128,16 +131,30 @@ def with_toxicity_groups(
     )
 
 
-def kaplan_meier(spells: DataFrame, keys: Sequence[str], time: str = "survival_months", event: str = "event_observed") -> DataFrame:
+def _spell_counts(grouped: DataFrame) -> DataFrame:
+    scope = ["community", "fixed_cohort", "early_months", "high_toxicity_quantile", "toxicity_group"]
+    counted = grouped.groupBy(*scope, "survival_months", "event_observed").agg(F.count("*").alias("spells"))
+    return cut_lineage(counted)
+
+
+def kaplan_meier(
+    spells: DataFrame,
+    keys: Sequence[str],
+    time: str = "survival_months",
+    event: str = "event_observed",
+    weight: str | None = None,
+) -> DataFrame:
     """Product-limit curve per group: one row at 0 and one per time with an event.
 
-    Spells are counted per time first; the windows see times, which are at most the months of the
-    study.
+    Spells are counted per time first (``weight`` says how many a row stands for); the windows see
+    times, which are at most the months of the study.
     """
     keys = list(keys)
     t = F.col(time)
+    many = F.lit(1) if weight is None else F.col(weight)
     counts = spells.where(t > 0).groupBy(*keys, t.cast("double").alias("time_months")).agg(
-        F.count_if(F.col(event)).alias("n_events"), F.count_if(~F.col(event)).alias("n_censored")
+        F.sum(F.when(F.col(event), many).otherwise(0)).alias("n_events"),
+        F.sum(F.when(F.col(event), 0).otherwise(many)).alias("n_censored"),
     )
     from_here = Window.partitionBy(*keys).orderBy(F.desc("time_months")).rowsBetween(Window.unboundedPreceding, 0)
     up_to_here = Window.partitionBy(*keys).orderBy("time_months").rowsBetween(Window.unboundedPreceding, 0)
@@ -176,19 +193,24 @@ def post_event_scopes(grouped: DataFrame, calendar: EventCalendar) -> DataFrame:
 def survival_by_toxicity(grouped: DataFrame, calendar: EventCalendar) -> DataFrame:
     """High against lower early toxicity per scope, cohort and definition, in one job.
 
-    Scopes in which only one of the groups occurs are left out.
+    Scopes in which only one of the groups occurs are left out. Curves and counts read the spells
+    apart, so these are first counted per length: a scope has as many rows as months.
     """
-    scoped = post_event_scopes(grouped, calendar)
+    scoped = _spell_counts(post_event_scopes(grouped, calendar))
     scope = ["community", "fixed_cohort", "early_months", "high_toxicity_quantile"]
-    curves = kaplan_meier(scoped, [*scope, "toxicity_group"]).groupBy(*scope, "toxicity_group").agg(
+    curves = kaplan_meier(scoped, [*scope, "toxicity_group"], weight="spells").groupBy(*scope, "toxicity_group").agg(
         *[survival_at(h).alias(f"km_survival_{h}m") for h in HORIZONS]
     )
-    # Survival in months has few distinct values, so the exact median's buffer is small.
     sides = scoped.groupBy(*scope, "toxicity_group").agg(
-        F.count("*").alias("_n"),
-        F.count_if(~F.col("event_observed")).alias("_censored"),
-        F.percentile("survival_months", F.lit(0.5)).alias("median_survival_months"),
-        *[F.avg(F.col(f"retained_{h}m").cast("double")).alias(f"retention_{h}m") for h in HORIZONS],
+        F.sum("spells").alias("_n"),
+        F.sum(F.when(F.col("event_observed"), 0).otherwise(F.col("spells"))).alias("_censored"),
+        F.percentile("survival_months", F.lit(0.5), F.col("spells")).alias("median_survival_months"),
+        *[
+            ratio(F.sum(F.when(F.col("survival_months") >= h + 1, F.col("spells")).otherwise(0)), F.sum("spells")).alias(
+                f"retention_{h}m"
+            )
+            for h in HORIZONS
+        ],
     )
     both = sides.join(curves, [*scope, "toxicity_group"], "left")
 

@@ -11,6 +11,7 @@ from tideline.plans.checks import graph_checks
 from tideline.plans.checks.label_checks import BIN_SQL
 from tideline.plans.oracle_math import draw_sql, normal_p_sql, student_p_sql
 from tideline.plans.standins import ORDER_CALENDAR, VIEW_SQL, with_views
+from tideline.session import cut_lineage
 
 SPLIT = ORDER_CALENDAR.days[2]
 IS_FOCAL_SQL = "platform='focal'"
@@ -38,7 +39,7 @@ VIEW_SQL["cliff"] = (("toxicity_series",), """
 
 @check("cliffs_delta", with_views("cliff", body="SELECT community, round(d,6) AS cliffs_delta FROM cliff"))
 def cliffs_delta(spark, folder):
-    return rounded(inference.cliffs_delta(toxicity_series(spark, folder), ["community"], "toxicity_mean", is_focal()))
+    return rounded(inference.cliffs_delta(toxicity_series(spark, folder), ["community"], "toxicity_mean", is_focal(), True))
 
 
 @check("cliffs_delta_users", with_views("user_month", body="""
@@ -213,7 +214,7 @@ METRICS = {
 
 
 def matched(spark, folder):
-    users = shared.user_month(spark, folder)
+    users = cut_lineage(shared.user_month(spark, folder))
     return inference.activity_matched_bootstrap(users.where(is_focal()), users.where(~is_focal()), METRICS, ITERATIONS)
 
 
