@@ -8,7 +8,7 @@ from tideline.operators import breakpoints, hubs, panel, rollups
 from tideline.plans import shared
 from tideline.plans.catalog import check, rounded
 from tideline.plans.checks import graph_checks
-from tideline.plans.oracle_math import draw_sql
+from tideline.plans.oracle_math import draw_sql, normal_p_sql
 from tideline.plans.standins import ORDER_CALENDAR, VIEW_SQL, with_views
 
 EVENT_MONTH = ORDER_CALENDAR.days[2][:7]
@@ -156,12 +156,70 @@ VIEW_SQL["panel_raw"] = (("community_month", "dynamics", "ei_both"), """
     FROM (SELECT * FROM community_month WHERE platform='focal') LEFT JOIN dynamics USING (community, month) LEFT JOIN ei_both USING (community, month)""")
 
 
-@check("panel_fe_cluster_ols")
+TERMS = panel.TERMS
+
+
+def panel_views(rows: str) -> str:
+    """The model solved by taking the other columns out of each in turn, without matrices.
+
+    ``rows`` gives outcome, g (community), y, s (share), post and t (month number).
+    """
+    parts = [
+        f"pr AS ({rows})",
+        "pc AS (SELECT outcome, g, y AS y0, s AS m0, CAST(post AS DOUBLE) AS m1, s*post AS m2, CAST(t AS DOUBLE) AS m3 FROM pr WHERE y IS NOT NULL AND s IS NOT NULL)",
+        "dm AS (SELECT outcome, g, y0 - avg(y0) OVER w AS y, " + ", ".join(f"m{i} - avg(m{i}) OVER w AS x{i}" for i in range(4))
+        + " FROM pc WINDOW w AS (PARTITION BY outcome, g))",
+    ]
+    for k in range(4):
+        order = [i for i in range(4) if i != k] + [k]
+        source = "dm"
+        for j, column in enumerate(order):
+            taken = "".join(f" - q{i}*sum(x{column}*q{i}) OVER o/nullif(sum(q{i}*q{i}) OVER o,0)" for i in range(j))
+            parts.append(f"c{k}{j} AS (SELECT *, x{column}{taken} AS q{j} FROM {source} WINDOW o AS (PARTITION BY outcome))")
+            source = f"c{k}{j}"
+        rest = "".join(f" - q{i}*sum(y*q{i}) OVER o/nullif(sum(q{i}*q{i}) OVER o,0)" for i in range(4))
+        parts.append(f"u{k} AS (SELECT *, y{rest} AS u FROM {source} WINDOW o AS (PARTITION BY outcome))")
+    parts.append("pg AS (" + " UNION ALL ".join(
+        f"SELECT outcome, g, {k} AS k, sum(y*q3) AS yq, sum(q3*q3) AS qq, sum(q3*u) AS sc, sum(u*u) AS uu, count(*) AS n FROM u{k} GROUP BY outcome, g"
+        for k in range(4)) + ")")
+    parts += [
+        "fx AS (SELECT outcome, k, sum(yq)/sum(qq) AS coef, sum(qq) AS qq, sum(uu) AS ssr, CAST(sum(n) AS BIGINT) AS n, count(*) AS gs, "
+        "CASE WHEN count(*) > 1 AND sum(n) > count(*) + 5 THEN count(*)/(count(*)-1)*((sum(n)-1)/(sum(n)-count(*)-4)) ELSE 1 END AS adj, sqrt(sum(sc*sc))/sum(qq) AS raw FROM pg GROUP BY outcome, k)",
+        "tot AS (SELECT outcome, var_pop(y0)*count(*) AS sst FROM pc GROUP BY outcome)",
+        "slopes AS (SELECT outcome, CASE k " + " ".join(f"WHEN {k} THEN '{t}'" for k, t in enumerate(TERMS))
+        + " END AS term, coef, raw*sqrt(adj) AS se, 1 - ssr/sst AS r2, n, gs FROM fx JOIN tot USING (outcome))",
+    ]
+    return ", ".join(parts)
+
+
+SLOPES_SQL = f"""outcome, term, round(coef,6) AS coef, round(se,6) AS se_cluster, round(r2,6) AS r2, n AS n_obs, gs AS n_clusters,
+      round(coef/nullif(se,0),6) AS t_stat, round({normal_p_sql('(coef/nullif(se,0))')},6) AS p_value_norm"""
+_ROWS_SQL = """SELECT outcome, community AS g, y, s, post, CAST(month[1:4] AS INTEGER)*12 + CAST(month[6:7] AS INTEGER) AS t FROM (
+      SELECT 'toxicity_mean' AS outcome, community, month, toxicity_mean AS y, s, post FROM panel_raw{more})"""
+_EI_SQL = " UNION ALL SELECT 'ei_index', community, month, ei_index, s, post FROM panel_raw"
+EFFECTS_SQL = """
+    fd AS (SELECT outcome, g, avg(y0) AS y, avg(m0) AS m0, avg(m1) AS m1, avg(m2) AS m2, avg(m3) - min(min(m3)) OVER (PARTITION BY outcome) AS m3 FROM pc GROUP BY outcome, g),
+    fb AS (SELECT * FROM fd QUALIFY row_number() OVER (PARTITION BY outcome ORDER BY g) = 1),
+    fr AS (SELECT d.outcome, d.g, d.g = b.g AS base, d.y - CASE WHEN d.g = b.g THEN 0 ELSE b.y END AS y, unnest([0,1,2,3]) AS k,
+      unnest([d.m0 - CASE WHEN d.g=b.g THEN 0 ELSE b.m0 END, d.m1 - CASE WHEN d.g=b.g THEN 0 ELSE b.m1 END, d.m2 - CASE WHEN d.g=b.g THEN 0 ELSE b.m2 END,
+        d.m3 - CASE WHEN d.g=b.g THEN 0 ELSE b.m3 END]) AS d FROM fd d JOIN fb b USING (outcome)),
+    fv AS (SELECT outcome, g, sum(v*v) AS v FROM (SELECT fr.outcome, fr.g, pg.g AS h, sum(fr.d*pg.sc/fx.qq) AS v FROM fr JOIN pg ON pg.outcome=fr.outcome AND pg.k=fr.k
+      JOIN fx ON fx.outcome=fr.outcome AND fx.k=fr.k GROUP BY ALL) GROUP BY ALL),
+    fe AS (SELECT fr.outcome, CASE WHEN any_value(base) THEN 'intercept' ELSE 'fe_' || fr.g END AS term, any_value(y) - sum(d*coef) AS coef, sqrt(any_value(v)*any_value(adj)) AS se
+      FROM fr JOIN fx USING (outcome, k) JOIN fv ON fv.outcome=fr.outcome AND fv.g=fr.g GROUP BY fr.outcome, fr.g)"""
+
+
+@check("panel_fe_cluster_ols", with_views("panel_raw", body=f", {panel_views(_ROWS_SQL.format(more=''))} SELECT {SLOPES_SQL} FROM slopes"))
 def panel_fe_cluster_ols(spark, folder):
     return rounded(panel.panel_fe_cluster_ols(community_panel(spark, folder), "toxicity_mean", CUTOFF))
 
 
-@check("panel_models")
+@check("panel_models", with_views("panel_raw", body=f""", {panel_views(_ROWS_SQL.format(more=_EI_SQL))},
+    ds AS (SELECT outcome, avg(y) FILTER (post=0) AS a, avg(y) FILTER (post=1) AS b, avg(s) FILTER (post=0) AS c, avg(s) FILTER (post=1) AS d FROM pr WHERE y IS NOT NULL AND s IS NOT NULL GROUP BY outcome)
+    SELECT {SLOPES_SQL}, round(a,6) AS pre_outcome_mean, round(b,6) AS post_outcome_mean, round(c,6) AS pre_share_mean, round(d,6) AS post_share_mean,
+      round(max(coef) FILTER (term='newcomer_pop_share') OVER (PARTITION BY outcome),6) AS implied_effect_pre,
+      round(max(coef) FILTER (term='newcomer_pop_share') OVER (PARTITION BY outcome) + max(coef) FILTER (term='newcomer_x_post') OVER (PARTITION BY outcome),6) AS implied_effect_post
+    FROM slopes JOIN ds USING (outcome)"""))
 def panel_models(spark, folder):
     return rounded(panel.panel_models(community_panel(spark, folder), ["toxicity_mean", "ei_index"], CUTOFF))
 

@@ -173,7 +173,16 @@ def group_month_validity(spark, folder):
     )
 
 
-@check("multi_label_panel")
+_LABEL_ROWS = " UNION ALL ".join(
+    f"SELECT '{n}_mean' AS outcome, s.community AS g, avg(s.{c}) AS y, any_value(d.s) AS s, CAST(s.month >= '1999-03' AS INTEGER) AS post, "
+    "CAST(s.month[1:4] AS INTEGER)*12 + CAST(s.month[6:7] AS INTEGER) AS t FROM scores s LEFT JOIN panel_raw d ON d.community=s.community AND d.month=s.month GROUP BY s.community, s.month"
+    for n, c in LABELS.items()
+)
+
+
+@check("multi_label_panel", with_views("scores", "panel_raw", body=f""", {regression_checks.panel_views(_LABEL_ROWS)}, {regression_checks.EFFECTS_SQL},
+    al AS (SELECT outcome, term, coef, se, r2, n, gs FROM slopes UNION ALL SELECT outcome, term, coef, se, NULL, NULL, NULL FROM fe)
+    SELECT {regression_checks.SLOPES_SQL} FROM al"""))
 def multi_label_panel(spark, folder):
     keys = ["community", "month"]
     monthly = scores.score_monthly(standins.scores(spark, folder), LABELS)
