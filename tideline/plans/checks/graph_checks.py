@@ -220,11 +220,12 @@ PARTITION_SQL = """
 
 @check("partition_metrics", with_views("pairs_week", "deg_week", "lab_week", body=PARTITION_SQL + """
     SELECT community, week, nn AS n_newcomers, no AS n_existing,
-      round((enn+eoo)/m - pow((2*enn+eno)/(2.0*m),2) - pow((2*eoo+eno)/(2.0*m),2),6) AS modularity,
-      round((tr - an*an - (1-an)*(1-an))/(1 - an*an - (1-an)*(1-an)),6) AS assortativity,
-      round((eno-enn-eoo)/m,6) AS ei_index, round(CASE WHEN nn<=1 THEN 0 ELSE 2.0*enn/(nn*(nn-1)) END,6) AS density_newcomer,
-      round(CASE WHEN no<=1 THEN 0 ELSE 2.0*eoo/(no*(no-1)) END,6) AS density_existing
-    FROM s JOIN k USING (community, week) JOIN mx USING (community, week)"""))
+      CASE WHEN full_ THEN round((enn+eoo)/m - pow((2*enn+eno)/(2.0*m),2) - pow((2*eoo+eno)/(2.0*m),2),6) END AS modularity,
+      CASE WHEN full_ THEN round((tr - an*an - (1-an)*(1-an))/nullif(1 - an*an - (1-an)*(1-an),0),6) END AS assortativity,
+      CASE WHEN full_ THEN round((eno-enn-eoo)/m,6) END AS ei_index,
+      CASE WHEN full_ THEN round(CASE WHEN nn<=1 THEN 0 ELSE 2.0*coalesce(enn,0)/(nn*(nn-1)) END,6) END AS density_newcomer,
+      CASE WHEN full_ THEN round(CASE WHEN no<=1 THEN 0 ELSE 2.0*coalesce(eoo,0)/(no*(no-1)) END,6) END AS density_existing
+    FROM (SELECT *, nn > 0 AND no > 0 AS full_ FROM s) LEFT JOIN k USING (community, week) LEFT JOIN mx USING (community, week)"""))
 def partition_metrics(spark, folder):
     pairs, nodes = week_graph(spark, folder)
     return rounded(graph.partition_metrics(pairs, nodes, week_labels(spark, folder), WEEK, ["community", "node"]))
@@ -232,8 +233,9 @@ def partition_metrics(spark, folder):
 
 @check("partition_projection", with_views("pairs_week", "deg_week", "lab_week", body=PARTITION_SQL + """
     SELECT community, week, nn AS n_newcomers, no AS n_existing,
-      round((tr - an*an - (1-an)*(1-an))/(1 - an*an - (1-an)*(1-an)),6) AS partition_assortativity, round((eno-enn-eoo)/m,6) AS ei_index
-    FROM s JOIN k USING (community, week) JOIN mx USING (community, week)"""))
+      CASE WHEN full_ THEN round((tr - an*an - (1-an)*(1-an))/nullif(1 - an*an - (1-an)*(1-an),0),6) END AS partition_assortativity,
+      CASE WHEN full_ THEN round((eno-enn-eoo)/m,6) END AS ei_index
+    FROM (SELECT *, nn > 0 AND no > 0 AS full_ FROM s) LEFT JOIN k USING (community, week) LEFT JOIN mx USING (community, week)"""))
 def partition_projection(spark, folder):
     pairs, nodes = week_graph(spark, folder)
     metrics = graph.partition_metrics(pairs, nodes, week_labels(spark, folder), WEEK, ["community", "node"])

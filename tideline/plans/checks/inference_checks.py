@@ -252,23 +252,24 @@ def attach_bootstrap_bands(spark, folder):
 
 
 VIEW_SQL["diffs"] = (("community_month", "bands"), """
-    SELECT community, month, metric, f.v AS focal_value, member_count, p5, p25, p50, p75, p95, f.v - p50 AS d, member_count >= 20 AS valid
+    SELECT community, month, metric, round(f.v,9) AS focal_value, member_count, p5, p25, p50, p75, p95, round(f.v,9) - p50 AS d, member_count >= 20 AS valid
     FROM (UNPIVOT (SELECT community, month, active_users AS member_count, toxicity_mean, vader_mean FROM community_month WHERE platform='focal')
         ON toxicity_mean, vader_mean INTO NAME metric VALUE v) f
-    JOIN (SELECT community, month, metric, """ + ", ".join(f"max(v) FILTER (percentile={p}) AS p{p}" for p in (5, 25, 50, 75, 95)) + """
+    JOIN (SELECT community, month, metric, """ + ", ".join(f"round(max(v) FILTER (percentile={p}),9) AS p{p}" for p in (5, 25, 50, 75, 95)) + """
       FROM bands GROUP BY ALL) USING (community, month, metric)""")
 DIFF_METRICS = ["toxicity_mean", "vader_mean"]
 
 
 def monthly_values(spark, folder, platform):
     monthly = shared.community_month(spark, folder).where(F.col("platform") == platform)
-    return monthly.select("community", "month", F.col("active_users").alias("member_count"), *DIFF_METRICS).unpivot(
+    values = [F.round(m, 9).alias(m) for m in DIFF_METRICS]
+    return monthly.select("community", "month", F.col("active_users").alias("member_count"), *values).unpivot(
         ["community", "month", "member_count"], DIFF_METRICS, "metric", "value"
     )
 
 
 def diffs(spark, folder, platform="focal"):
-    summary = inference.bootstrap_percentiles(matched(spark, folder))
+    summary = inference.bootstrap_percentiles(matched(spark, folder)).withColumn("value", F.round("value", 9))
     return comparisons.monthly_diffs(monthly_values(spark, folder, platform), summary)
 
 
@@ -289,9 +290,9 @@ def periphery_exceedance(spark, folder):
 
 
 @check("bootstrap_coverage", with_views("bands", "community_month", body="""
-    , v AS (SELECT community, month, metric, f.v AS v, p5, p25, p75, p95
+    , v AS (SELECT community, month, metric, round(f.v,9) AS v, p5, p25, p75, p95
     FROM (UNPIVOT (SELECT community, month, toxicity_mean, vader_mean FROM community_month WHERE platform='reference') ON toxicity_mean, vader_mean INTO NAME metric VALUE v) f
-    JOIN (SELECT community, month, metric, """ + ", ".join(f"max(v) FILTER (percentile={p}) AS p{p}" for p in (5, 25, 75, 95)) + """
+    JOIN (SELECT community, month, metric, """ + ", ".join(f"round(max(v) FILTER (percentile={p}),9) AS p{p}" for p in (5, 25, 75, 95)) + """
       FROM bands GROUP BY ALL) USING (community, month, metric)),
     s AS (SELECT * FROM v UNION ALL SELECT * REPLACE ('ALL' AS community) FROM v)
     SELECT community, metric, count(*) AS n_months, round(avg(CASE WHEN v BETWEEN p5 AND p95 THEN 1.0 ELSE 0 END),6) AS coverage_5_95,

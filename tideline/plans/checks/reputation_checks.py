@@ -313,10 +313,11 @@ DESCRIBED_SQL = """count(d) AS "count", round(avg(d),6) AS mean, round(stddev_sa
 
 
 @check("describe_difference", with_views("cp_wide", body=f"""
-    SELECT community, {DESCRIBED_SQL} FROM (SELECT community, core_mean_rep_active - periphery_mean_rep_active AS d FROM cp_wide)
+    SELECT community, {DESCRIBED_SQL} FROM (SELECT community, round(core_mean_rep_active - periphery_mean_rep_active, 9) AS d FROM cp_wide)
     WHERE d IS NOT NULL GROUP BY community"""))
 def describe_difference(spark, folder):
-    difference = F.col("core_mean_rep_active") - F.col("periphery_mean_rep_active")
+    # To nine digits, so that equal means have no sign.
+    difference = F.round(F.col("core_mean_rep_active") - F.col("periphery_mean_rep_active"), 9)
     return rounded(core_periphery.describe_difference(cp_wide(spark, folder).withColumn("d", difference), "d"))
 
 

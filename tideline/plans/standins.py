@@ -44,6 +44,8 @@ SCORES = {
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """A given table. Its dates are UTC, whatever the session was set to."""
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 

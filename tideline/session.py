@@ -17,6 +17,7 @@ def build_session(app_name: str = "tideline", master: str | None = None, **setti
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
     )
     if master is not None:
         builder = builder.master(master).config("spark.ui.enabled", "false")
