@@ -86,26 +86,27 @@ VIEW_SQL["boot_ci"] = (("boot_glass", "boot_cliff"), """
     FROM boot_glass JOIN boot_cliff USING (community, r) GROUP BY community""")
 
 
+# Eight digits: shares of 80 times 80 pairs end on the seventh.
 @check("bootstrap_ci", with_views("boot_ci", body="""
-    SELECT community, round(glass_ci_lower,6) AS glass_ci_lower, round(glass_ci_upper,6) AS glass_ci_upper,
-      round(cliffs_ci_lower,6) AS cliffs_ci_lower, round(cliffs_ci_upper,6) AS cliffs_ci_upper FROM boot_ci"""))
+    SELECT community, round(glass_ci_lower,8) AS glass_ci_lower, round(glass_ci_upper,8) AS glass_ci_upper,
+      round(cliffs_ci_lower,8) AS cliffs_ci_lower, round(cliffs_ci_upper,8) AS cliffs_ci_upper FROM boot_ci"""))
 def bootstrap_ci(spark, folder):
     table = inference.effect_sizes(toxicity_series(spark, folder), ["community"], "toxicity_mean", "focal")
-    return rounded(table.select("community", "glass_ci_lower", "glass_ci_upper", "cliffs_ci_lower", "cliffs_ci_upper"))
+    return rounded(table.select("community", "glass_ci_lower", "glass_ci_upper", "cliffs_ci_lower", "cliffs_ci_upper"), 8)
 
 
 @check("effect_sizes", with_views("boot_ci", "cliff", body="""
     , m AS (SELECT community, avg(toxicity_mean) FILTER (platform='focal') AS a, avg(toxicity_mean) FILTER (platform='reference') AS b,
       stddev_samp(toxicity_mean) FILTER (platform='reference') AS s, count(*) FILTER (platform='focal') AS n1, count(*) FILTER (platform='reference') AS n2
       FROM toxicity_series GROUP BY community)
-    SELECT community, round(a,6) AS focal_mean, round(b,6) AS reference_mean, round(a-b,6) AS difference, round(a/b,6) AS ratio, round((a-b)/s,6) AS glass_delta,
-      n1 AS n_focal, n2 AS n_reference, round(d,6) AS cliffs_delta, round(glass_ci_lower,6) AS glass_ci_lower, round(glass_ci_upper,6) AS glass_ci_upper,
-      round(cliffs_ci_lower,6) AS cliffs_ci_lower, round(cliffs_ci_upper,6) AS cliffs_ci_upper,
+    SELECT community, round(a,8) AS focal_mean, round(b,8) AS reference_mean, round(a-b,8) AS difference, round(a/b,8) AS ratio, round((a-b)/s,8) AS glass_delta,
+      n1 AS n_focal, n2 AS n_reference, round(d,8) AS cliffs_delta, round(glass_ci_lower,8) AS glass_ci_lower, round(glass_ci_upper,8) AS glass_ci_upper,
+      round(cliffs_ci_lower,8) AS cliffs_ci_lower, round(cliffs_ci_upper,8) AS cliffs_ci_upper,
       CASE WHEN abs(d)<0.147 THEN 'negligible' WHEN abs(d)<0.33 THEN 'small' WHEN abs(d)<0.474 THEN 'medium' ELSE 'large' END AS interpretation
     FROM m JOIN cliff USING (community) JOIN boot_ci USING (community)"""))
 def effect_sizes(spark, folder):
     return rounded(
-        inference.effect_sizes(toxicity_series(spark, folder), ["community"], "toxicity_mean", "focal", repetitions=REPETITIONS)
+        inference.effect_sizes(toxicity_series(spark, folder), ["community"], "toxicity_mean", "focal", repetitions=REPETITIONS), 8
     )
 
 

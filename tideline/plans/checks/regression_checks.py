@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tideline.operators import breakpoints, hubs, panel, rollups
+from tideline.operators import breakpoints, graph, hubs, panel, rollups
 from tideline.plans import shared
 from tideline.plans.catalog import check, rounded
 from tideline.plans.checks import graph_checks
 from tideline.plans.oracle_math import draw_sql, normal_p_sql
 from tideline.plans.standins import ORDER_CALENDAR, VIEW_SQL, with_views
+from tideline.session import cut_lineage
 
 EVENT_MONTH = ORDER_CALENDAR.days[2][:7]
 CUTOFF = f"{EVENT_MONTH}-01"
@@ -132,12 +133,11 @@ def regime_model_comparison(spark, folder):
 
 def community_panel(spark, folder):
     """Focal toxicity with newcomer share and E-I of the same community and month."""
-    from tideline.operators import graph
-
     keys = ["community", "month"]
     focal = shared.community_month(spark, folder).where(F.col("platform") == "focal").drop("platform")
-    pairs, _ = graph_checks.month_graph(spark, folder)
-    labelled = graph_checks.labelled_months(spark, folder)
+    # Both metrics read the edges and the labelled nodes.
+    pairs = cut_lineage(graph_checks.month_graph(spark, folder)[0])
+    labelled = cut_lineage(graph_checks.labelled_months(spark, folder))
     share = hubs.degree_dynamics(pairs, labelled, keys).select(*keys, "newcomer_pop_share")
     mixing = graph.ei_index(pairs, labelled, keys).select(*keys, "ei_index")
     return rollups.left_join_all(focal, [share, mixing], keys)
@@ -165,7 +165,7 @@ def panel_views(rows: str) -> str:
     ``rows`` gives outcome, g (community), y, s (share), post and t (month number).
     """
     parts = [
-        f"pr AS ({rows})",
+        f"pr AS MATERIALIZED ({rows})",
         "pc AS (SELECT outcome, g, y AS y0, s AS m0, CAST(post AS DOUBLE) AS m1, s*post AS m2, CAST(t AS DOUBLE) AS m3 FROM pr WHERE y IS NOT NULL AND s IS NOT NULL)",
         "dm AS (SELECT outcome, g, y0 - avg(y0) OVER w AS y, " + ", ".join(f"m{i} - avg(m{i}) OVER w AS x{i}" for i in range(4))
         + " FROM pc WINDOW w AS (PARTITION BY outcome, g))",
@@ -179,7 +179,7 @@ def panel_views(rows: str) -> str:
             source = f"c{k}{j}"
         rest = "".join(f" - q{i}*sum(y*q{i}) OVER o/nullif(sum(q{i}*q{i}) OVER o,0)" for i in range(4))
         parts.append(f"u{k} AS (SELECT *, y{rest} AS u FROM {source} WINDOW o AS (PARTITION BY outcome))")
-    parts.append("pg AS (" + " UNION ALL ".join(
+    parts.append("pg AS MATERIALIZED (" + " UNION ALL ".join(
         f"SELECT outcome, g, {k} AS k, sum(y*q3) AS yq, sum(q3*q3) AS qq, sum(q3*u) AS sc, sum(u*u) AS uu, count(*) AS n FROM u{k} GROUP BY outcome, g"
         for k in range(4)) + ")")
     parts += [
