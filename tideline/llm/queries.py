@@ -40,6 +40,18 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_table(documents(spark, sf_dir)).drop("rejected_by")
 
 
+@query
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.substrings import substring_dedup
+
+    return substring_dedup(documents(spark, sf_dir)).select(
+        "doc_id",
+        F.col("n_units").alias("n_words"),
+        "n_removed",
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.llm.counts import token_counts
@@ -56,6 +68,19 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(docs.select("doc_id", F.size(words_of(F.col("text"))).alias("length")))
 
 
+@query
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.suffixes import suffix_dedup
+
+    return suffix_dedup(documents(spark, sf_dir)).select(
+        "doc_id",
+        F.col("n_units").alias("n_bytes"),
+        "n_removed",
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 @query
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.llm.pieces import digests, encoded
