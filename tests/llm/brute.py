@@ -34,3 +34,41 @@ def repeats(docs: list[tuple[int | None, str | None]], window: int, words: bool)
 
 def runs(flags: list[bool]) -> int:
     return sum(f and not p for p, f in zip([False, *flags], flags))
+
+
+def shingle_set(text: str | None, size: int) -> frozenset:
+    words = ascii_lower(text or "").encode().split()
+    if not words:
+        return frozenset()
+    size = min(size, len(words))
+    return frozenset(tuple(words[i : i + size]) for i in range(len(words) - size + 1))
+
+
+def near_components(docs: list[tuple[int, str | None]], size: int = 4, percent: int = 80):
+    """Set size and smallest linked document per document, from an inverted index over all pairs that share a shingle."""
+    sets = [shingle_set(t, size) for _, t in docs]
+    holders: dict = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            holders.setdefault(x, []).append(i)
+    parent = list(range(len(docs)))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for i, s in enumerate(sets):
+        shared: dict[int, int] = {}
+        for x in s:
+            for j in holders[x]:
+                if j > i:
+                    shared[j] = shared.get(j, 0) + 1
+        for j, n in shared.items():
+            if 100 * n >= percent * (len(s) + len(sets[j]) - n):
+                parent[find(j)] = find(i)
+    least: dict[int, int] = {}
+    for i, (d, _) in enumerate(docs):
+        least[find(i)] = min(least.get(find(i), d), d)
+    return [(len(s), least[find(i)]) for i, s in enumerate(sets)]

@@ -59,6 +59,13 @@ def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), tokenizer_path("piece_bpe_32k.model")).drop("score")
 
 
+@query
+def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.near import near_duplicates
+
+    return near_duplicates(documents(spark, sf_dir))
+
+
 @query
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.llm.packing import packed
