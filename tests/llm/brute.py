@@ -72,3 +72,20 @@ def near_components(docs: list[tuple[int, str | None]], size: int = 4, percent:
     for i, (d, _) in enumerate(docs):
         least[find(i)] = min(least.get(find(i), d), d)
     return [(len(s), least[find(i)]) for i, s in enumerate(sets)]
+
+
+def base_scores(docs: list[tuple[int, str | None]]):
+    """held_out, tokens, known tokens, training tokens and base score per document."""
+    import math
+    import zlib
+    from collections import Counter
+
+    split = [(d, ascii_lower(t or "").encode().split() + [None]) for d, t in docs]
+    out = [zlib.crc32(str(d).encode()) % 10 == 0 for d, _ in split]
+    counts = Counter(w for (_, u), o in zip(split, out) if not o for w in u)
+    total, distinct = sum(counts.values()), len(counts)
+    per = math.log10(total + 0.1 * (distinct + 1))
+    return [
+        (o, len(u), sum(counts[w] > 0 for w in u), total, sum(math.log10(counts[w] + 0.1) - per for w in u))
+        for (_, u), o in zip(split, out)
+    ]

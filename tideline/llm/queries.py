@@ -26,6 +26,13 @@ def query(function: Query) -> Query:
     return function
 
 
+@query
+def op1_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.pitman_yor import lm_scores
+
+    return lm_scores(documents(spark, sf_dir))
+
+
 @query
 def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.llm.licenses import license_scan
