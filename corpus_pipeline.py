@@ -23,6 +23,21 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return keep_clean(docs)
 
 
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates: five words a shingle, similarity 0.8 or more."""
+    from tideline.llm.near import keep_one_of_each
+
+    return keep_one_of_each(docs, size=5, percent=80)
+
+
+def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages of 50 bytes or more that an earlier one also holds."""
+    from tideline.llm.suffixes import cut_repeats
+
+    cut = cut_repeats(docs)
+    return cut.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
+
+
 def batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's bucket and batch, by its number of words."""
     from tideline.llm.packing import packed
@@ -31,7 +46,12 @@ def batches(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packed(id_and_text(docs).select("doc_id", F.size(words_of(F.col("text"))).alias("length")))
 
 
-STAGES = [("quality rules", quality), ("packing", batches)]
+STAGES = [
+    ("quality rules", quality),
+    ("near duplicates", near_duplicates),
+    ("repeated passages", repeated_passages),
+    ("packing", batches),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
