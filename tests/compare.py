@@ -13,9 +13,21 @@ sys.path.insert(0, ".")
 import __spark_entry__ as entry  # noqa: E402
 
 TABLES = (
-    "region nation customer supplier part orders lineitem events documents embeddings pages benchmark "
-    "labels conversations"
-).split()
+    "region",
+    "nation",
+    "customer",
+    "supplier",
+    "part",
+    "orders",
+    "lineitem",
+    "events",
+    "documents",
+    "embeddings",
+    "pages",
+    "benchmark",
+    "labels",
+    "conversations",
+)
 
 
 def cell(value):

@@ -6,12 +6,13 @@ from tideline.session import build_session
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "tests",
         master="local[8]",
         spark__sql__shuffle__partitions="4",
         spark__driver__memory="6g",
+        spark__checkpoint__dir=str(tmp_path_factory.mktemp("shared")),
         spark__sql__adaptive__coalescePartitions__parallelismFirst="false",
     )
     session.sparkContext.setLogLevel("ERROR")

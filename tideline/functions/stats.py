@@ -80,18 +80,24 @@ def student_t_tail(t: float, df: float) -> float:
     """Two-sided tail probability of Student's t."""
     if not (np.isfinite(t) and df > 0):
         return math.nan
-    x = df / (df + t * t)
+    # Both parts of the whole by themselves, as neither can be had from the other where it is small.
+    x, rest = df / (df + t * t), t * t / (df + t * t)
     a, b = df / 2.0, 0.5
-    if x >= 1.0:
+    if rest <= 0.0:
         return 1.0
     if x <= 0.0:
         return 0.0
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x)
-    )
+    front = math.exp(_log_gamma_step(a) - math.lgamma(b) - a * math.log1p(t * t / df) + b * math.log(rest))
     if x < (a + 1.0) / (a + b + 2.0):
         return front * _beta_fraction(a, b, x) / a
-    return 1.0 - front * _beta_fraction(b, a, 1.0 - x) / b
+    return 1.0 - front * _beta_fraction(b, a, rest) / b
+
+
+def _log_gamma_step(a: float) -> float:
+    """``lgamma(a + 1/2) - lgamma(a)``; for large ``a`` from the series, as the difference loses its digits."""
+    if a < 1e4:
+        return math.lgamma(a + 0.5) - math.lgamma(a)
+    return 0.5 * math.log(a) - 1.0 / (8.0 * a) + 1.0 / (192.0 * a**3)
 
 
 def student_t_two_sided_p(t: Column, df: Column) -> Column:

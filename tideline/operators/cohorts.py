@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tideline.functions import labels, timeparts
 from tideline.functions.calendar import EventCalendar
 from tideline.functions.stats import Z_95, ratio
+from tideline.session import cut_lineage, sized_side
 
 EVERYWHERE = "global"
 
@@ -216,7 +217,7 @@ def cohort_metrics(user_totals: DataFrame, keys: Sequence[str], total: str = "_s
     centre = user_totals.groupBy(*keys).agg((F.sum(total) / F.sum(count)).alias("_centre"))
     spread = F.col(count) * F.pow(user_mean - F.col("_centre"), 2)
     users = F.count("*")
-    grouped = user_totals.join(centre, list(keys)).groupBy(*keys).agg(
+    grouped = user_totals.join(sized_side(centre), list(keys)).groupBy(*keys).agg(
         users.alias("active_users"),
         F.sum(count).cast("bigint").alias("activity_count"),
         F.avg(user_mean).alias("user_mean"),
@@ -286,7 +287,8 @@ def sliding_window_timeseries(
     A user's day belongs to at most ``window_days / step_days`` windows, so days are spread over
     window starts after they have been summed, and each step after that is a partial aggregate.
     """
-    tagged = with_arrival_cohort(user_days(activity, score, keys), activity, calendar, keys)
+    # Read for the spans, the scopes and the windows.
+    tagged = cut_lineage(with_arrival_cohort(user_days(activity, score, keys), activity, calendar, keys))
     span = tagged.groupBy(*keys).agg(F.min("day").alias("_first"), F.max("day").alias("_last"))
     span = span.where(F.date_add("_first", window_days - 1) <= F.col("_last"))
     last_step = F.floor((F.datediff("_last", "_first") - (window_days - 1)) / step_days).cast("int")
@@ -300,8 +302,8 @@ def sliding_window_timeseries(
     place = F.datediff("day", "_first")
     first_k = F.greatest(F.lit(0), F.ceil((place - (window_days - 1)) / step_days)).cast("int")
     last_k = F.least(F.floor(place / step_days).cast("int"), last_step)
-    spread = (
-        tagged.join(span, list(keys))
+    spread = cut_lineage(
+        tagged.join(sized_side(span), list(keys))
         .where(first_k <= last_k)
         .withColumn("_k", F.explode(F.sequence(first_k, last_k)))
         .groupBy(*keys, "cohort", "user_id", (F.col("_k") * step_days).alias("step"))

@@ -9,11 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tideline.functions.stats import ratio
-from tideline.session import cut_lineage
+from tideline.operators.ranking import numbered_rows
+from tideline.session import Rounds, cut_lineage
 
 
 def _both_ways(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -22,7 +23,7 @@ def _both_ways(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return there.unionByName(there.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def connected_components(pairs: DataFrame, nodes: DataFrame, keys: Sequence[str], most_rounds: int = 64) -> DataFrame:
+def connected_components(pairs: DataFrame, nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Every node with ``component``, the smallest node name of its component.
 
     Each round every node looks at the labels its neighbours point to, passes the smallest one on to
@@ -30,12 +31,14 @@ def connected_components(pairs: DataFrame, nodes: DataFrame, keys: Sequence[str]
     height, so rounds grow with the logarithm of a component's diameter (Shiloach and Vishkin's
     scheme in the form of Zhang, Azad and Hu, 2020). Pointers gather on few nodes as the rounds go
     on; the table of pointed-to nodes shrinks with that, so by the time many rows share a target the
-    adaptive planner sees a table small enough to broadcast.
+    adaptive planner sees a table small enough to broadcast. Rounds go on until nothing moves; a
+    label only ever falls, so that happens.
     """
     keys = list(keys)
     arcs = cut_lineage(_both_ways(pairs, keys))
     state = cut_lineage(nodes.select(*keys, "node", F.col("node").alias("f")))
-    for _ in range(most_rounds):
+    rounds = Rounds(pairs.sparkSession)
+    while True:
         targets = state.select(*keys, F.col("f").alias("node")).distinct().join(state, [*keys, "node"])
         grand = targets.select(*keys, F.col("node").alias("f"), F.col("f").alias("gf"))
         jumped = state.join(grand, [*keys, "f"])
@@ -52,11 +55,10 @@ def connected_components(pairs: DataFrame, nodes: DataFrame, keys: Sequence[str]
             .withColumn("f", F.least("f", F.coalesce("_passed", "f")))
             .join(state.withColumnRenamed("f", "_old"), [*keys, "node"])
         )
-        moved = cut_lineage(moved.select(*keys, "node", "f", (F.col("f") != F.col("_old")).alias("_moved")))
+        moved = rounds.cut(moved.select(*keys, "node", "f", (F.col("f") != F.col("_old")).alias("_moved")))
         state = moved.drop("_moved")
         if moved.where("_moved").isEmpty():
             return state.withColumnRenamed("f", "component")
-    raise RuntimeError(f"components have not settled within {most_rounds} rounds")
 
 
 def component_sizes(components: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -82,61 +84,72 @@ def giant_component(components: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def path_metrics(
-    pairs: DataFrame, components: DataFrame, keys: Sequence[str], most_nodes: int = 5000
+    pairs: DataFrame, components: DataFrame, keys: Sequence[str], words_per_pass: int = 64
 ) -> DataFrame:
-    """Mean shortest path and diameter of the giant component.
-
-    Both are null for a single node and, by definition of the metric, above ``most_nodes`` nodes.
+    """Mean shortest path and diameter of the giant component; null for a single node.
 
-    All sources are searched together. What a node has been reached from is a set of numbered
-    sources, held as words of 64 bits; one step joins the newest words to the edges and ORs them.
-    The distances are then sums of bit counts: no pair of nodes becomes a row.
+    What a node has been reached from is a set of numbered sources, held as words of 64 bits; one
+    step joins the newest words to the edges and ORs them. The distances are then sums of bit
+    counts: no pair of nodes becomes a row. Sources are searched ``words_per_pass`` words at a time,
+    after which their counts are added up and the state is dropped, so the state never exceeds the
+    nodes times that number, however large a component is.
     """
     keys = list(keys)
+    spark = pairs.sparkSession
     giant = giant_component(components, keys)
-    wanted = giant.where((F.col("giant_component_size") > 1) & (F.col("giant_component_size") <= most_nodes))
+    wanted = giant.where(F.col("giant_component_size") > 1)
     members = components.join(wanted.select(*keys, "component"), [*keys, "component"]).select(*keys, "node")
-    # At most ``most_nodes`` rows per window.
-    number = F.row_number().over(Window.partitionBy(*keys).orderBy("node")) - 1
-    numbered = members.withColumn("_i", number)
+    numbered = cut_lineage(
+        numbered_rows(members, keys, [F.col("node")], "_i").withColumn("_i", F.col("_i") - 1)
+    )
     arcs = cut_lineage(
         _both_ways(pairs, keys).join(members.withColumnRenamed("node", "u"), [*keys, "u"])
     )
-    own = F.expr("shiftleft(1L, _i % 64)")
+    own = F.expr("shiftleft(1L, CAST(_i % 64 AS INT))")
     word = F.floor(F.col("_i") / 64).cast("int").alias("word")
-    state = cut_lineage(numbered.select(*keys, "node", word, own.alias("bits"), own.alias("fresh")))
-    distance, found = 0, []
-    while True:
-        distance += 1
-        step = (
-            arcs.join(state.where(F.col("fresh") != 0).select(*keys, F.col("node").alias("u"), "word", "fresh"), [*keys, "u"])
-            .select(*keys, F.col("v").alias("node"), "word", F.lit(0).cast("bigint").alias("bits"), F.col("fresh").alias("near"))
-        )
-        held = state.select(*keys, "node", "word", "bits", F.lit(0).cast("bigint").alias("near"))
-        merged = held.unionByName(step).groupBy(*keys, "node", "word").agg(
-            F.bit_or("bits").alias("bits"), F.bit_or("near").alias("near")
-        )
-        state = cut_lineage(
-            merged.select(
-                *keys,
-                "node",
-                "word",
-                F.col("bits").bitwiseOR(F.col("near")).alias("bits"),
-                F.col("near").bitwiseAND(F.bitwise_not("bits")).alias("fresh"),
+    sources = numbered.select(*keys, "node", word, own.alias("bits"), own.alias("fresh"))
+    last = sources.agg(F.max("word")).first()[0]
+    found = []
+    for first in range(0, (-1 if last is None else last) + 1, words_per_pass):
+        rounds = Rounds(spark)
+        state = rounds.cut(sources.where(F.col("word").between(first, first + words_per_pass - 1)))
+        distance = 0
+        while True:
+            distance += 1
+            newest = state.where(F.col("fresh") != 0)
+            step = arcs.join(
+                newest.select(*keys, F.col("node").alias("u"), "word", "fresh"), [*keys, "u"]
+            ).select(
+                *keys, F.col("v").alias("node"), "word", F.lit(0).cast("bigint").alias("bits"), F.col("fresh").alias("near")
             )
-        )
-        newest = state.where(F.col("fresh") != 0)
-        if newest.isEmpty():
-            break
-        found.append(
-            newest.groupBy(*keys).agg(F.sum(F.bit_count("fresh")).alias("_pairs")).withColumn("_d", F.lit(distance))
-        )
+            held = state.select(*keys, "node", "word", "bits", F.lit(0).cast("bigint").alias("near"))
+            merged = held.unionByName(step).groupBy(*keys, "node", "word").agg(
+                F.bit_or("bits").alias("bits"), F.bit_or("near").alias("near")
+            )
+            state = rounds.cut(
+                merged.select(
+                    *keys,
+                    "node",
+                    "word",
+                    F.col("bits").bitwiseOR(F.col("near")).alias("bits"),
+                    F.col("near").bitwiseAND(F.bitwise_not("bits")).alias("fresh"),
+                )
+            )
+            # One row per snapshot leaves the round, so the round's state may go.
+            pairs_found = F.sum(F.bit_count("fresh")).alias("_pairs")
+            reached = cut_lineage(
+                state.where(F.col("fresh") != 0).groupBy(*keys).agg(pairs_found).withColumn("_d", F.lit(distance))
+            )
+            if reached.isEmpty():
+                break
+            found.append(reached)
     base = giant.select(*keys, "giant_component_size", "giant_component_fraction")
     if not found:
         nothing = F.lit(None)
         return base.withColumns({"avg_shortest_path": nothing.cast("double"), "diameter": nothing.cast("int")})
     counts = reduce(DataFrame.unionByName, found)
     size = F.col("giant_component_size")
+    # A snapshot has a row per pass and distance.
     lengths = counts.groupBy(*keys).agg(F.sum(F.col("_pairs") * F.col("_d")).alias("_sum"), F.max("_d").alias("diameter"))
     return base.join(lengths, keys, "left").select(
         *keys,

@@ -15,9 +15,15 @@ from tideline.session import cut_lineage
 
 # Metrics of a month that are averaged with the number of nodes as weight.
 WEIGHTED_DYNAMICS = (
-    "newcomer_gini existing_gini newcomer_hub_rate newcomer_degree_share newcomer_pop_share "
-    "degree_share_ratio mean_newcomer_degree mean_existing_degree"
-).split()
+    "newcomer_gini",
+    "existing_gini",
+    "newcomer_hub_rate",
+    "newcomer_degree_share",
+    "newcomer_pop_share",
+    "degree_share_ratio",
+    "mean_newcomer_degree",
+    "mean_existing_degree",
+)
 
 
 def degree_dynamics(pairs: DataFrame, labelled_nodes: DataFrame, keys: Sequence[str]) -> DataFrame:

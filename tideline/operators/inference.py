@@ -332,9 +332,11 @@ def activity_matched_bootstrap(
 ) -> DataFrame:
     """Reference users drawn with replacement to the activity profile of the focal users.
 
-    Draws name a place within a bin. Places come from :func:`numbered_rows`, which numbers bins of
-    any size. Draws of one place in one iteration are counted before they meet the users, so a user
-    is read once per iteration at most.
+    Every focal user-month makes one draw per iteration, told apart by its place in its bin; the
+    draws are made where the focal rows are, in as many tasks. Draws name a place within a reference
+    bin. Places come from :func:`numbered_rows`, which numbers bins of any size. Draws of one place
+    in one iteration are counted before they meet the users, so a user is read once per iteration at
+    most.
     """
     keys = list(keys)
     choice = matched_bin_choice(focal, reference, keys)
@@ -347,8 +349,14 @@ def activity_matched_bootstrap(
     draw = draw_index(
         F.col("bin_size"), F.lit(seed), *[F.col(k) for k in keys], F.col("activity_bin"), F.col("iteration"), F.col("_draw")
     )
+    drawing = numbered_rows(
+        focal.select(*keys, "user_id", activity_bin(F.col("activity_count")).alias("activity_bin")),
+        [*keys, "activity_bin"],
+        [F.col("user_id")],
+        "_draw",
+    ).drop("user_id")
     draws = (
-        choice.withColumn("_draw", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("target_count"))))
+        drawing.join(choice, [*keys, "activity_bin"])
         .withColumn("iteration", F.explode(F.sequence(F.lit(0), F.lit(iterations - 1))))
         .withColumn("_place", draw + 1)
         .groupBy(*keys, "chosen_bin", "iteration", "_place")

@@ -24,10 +24,22 @@ METRIC_STEMS = {
 
 # The columns a network snapshot adds to a community-month.
 NETWORK_COLUMNS = (
-    "n_nodes n_edges mean_degree median_degree std_degree degree_heterogeneity mean_clustering "
-    "er_expected_clustering normalized_clustering avg_shortest_path diameter giant_component_size "
-    "giant_component_fraction density degree_assortativity"
-).split()
+    "n_nodes",
+    "n_edges",
+    "mean_degree",
+    "median_degree",
+    "std_degree",
+    "degree_heterogeneity",
+    "mean_clustering",
+    "er_expected_clustering",
+    "normalized_clustering",
+    "avg_shortest_path",
+    "diameter",
+    "giant_component_size",
+    "giant_component_fraction",
+    "density",
+    "degree_assortativity",
+)
 
 
 def unpivoted(df: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:
@@ -126,7 +138,7 @@ def join_network_metrics(
         network = network.withColumn(
             "normalized_clustering", ratio(F.col("mean_clustering"), F.col("er_expected_clustering"))
         )
-    return community_month.join(network, list(keys), "left")
+    return with_missing(community_month.join(network, list(keys), "left"), NETWORK_COLUMNS)
 
 
 def group_quantile_by_platform(

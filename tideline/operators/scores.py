@@ -113,13 +113,20 @@ def score_period_rollup(periods: DataFrame, labels: dict[str, str], kind: str =
 
 
 def score_density_grid(scores: DataFrame, x: str, y: str, cells: int = 55) -> DataFrame:
-    """Number of rows per cell of a square grid over two scores, and its logarithm."""
-
-    def cell(c: str) -> Column:
-        return F.least(F.floor(F.col(c) * cells), F.lit(cells - 1)).cast("int")
+    """Number of rows per cell of a square grid over two scores, and its logarithm.
 
+    The grid spans the scores' own extents; the largest value of a score lies in the last cell.
+    """
     known = scores.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    return known.groupBy(cell(x).alias("cell_x"), cell(y).alias("cell_y")).agg(F.count("*").alias("n")).withColumn(
+    low_x, high_x, low_y, high_y = known.agg(F.min(x), F.max(x), F.min(y), F.max(y)).first()
+
+    def cell(c: str, low: float | None, high: float | None) -> Column:
+        if low is None or high == low:
+            return F.lit(0)
+        place = (F.col(c) - F.lit(low)) / F.lit(high - low) * cells
+        return F.least(F.floor(place), F.lit(cells - 1)).cast("int")
+
+    return known.groupBy(cell(x, low_x, high_x).alias("cell_x"), cell(y, low_y, high_y).alias("cell_y")).agg(F.count("*").alias("n")).withColumn(
         "log10_n", F.log10("n")
     )
 
@@ -269,12 +276,11 @@ def batch_text_scoring(
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         scorer = make_scorer()
         for frame in frames:
-            for start in range(0, len(frame), batch):
-                part = frame.iloc[start : start + batch]
-                found = scorer(part[text])
-                out = part[kept].reset_index(drop=True)
-                for name in names:
-                    out[name] = found[name].to_numpy(dtype="float64")
-                yield out
+            parts = [scorer(frame[text].iloc[i : i + batch])[names] for i in range(0, len(frame), batch)]
+            found = pd.concat(parts) if parts else pd.DataFrame(columns=names)
+            out = frame[kept].reset_index(drop=True)
+            for name in names:
+                out[name] = found[name].to_numpy(dtype="float64")
+            yield out
 
     return todo.mapInPandas(score, schema)

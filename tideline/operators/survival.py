@@ -11,7 +11,7 @@ from tideline.functions import timeparts
 from tideline.functions.calendar import EventCalendar
 from tideline.functions.stats import ratio
 from tideline.operators.ranking import exact_quantiles
-from tideline.session import cut_lineage
+from tideline.session import cut_lineage, sized_side
 
 # Months of early behaviour, quantiles that split it, and horizons in months.
 EARLY_MONTHS = (1, 3, 6)
@@ -59,6 +59,7 @@ def user_summary(months: DataFrame, calendar: EventCalendar, metric: str = "mean
     A spell has ended when the last active month is before the month the period ends in.
     """
     users = ["community", "user_id"]
+    months = cut_lineage(months)
     shutdown = int(calendar.end[:4]) * 12 + int(calendar.end[5:7])
     summary = months.groupBy(*users).agg(
         F.first("fixed_cohort").alias("fixed_cohort"),
@@ -82,9 +83,11 @@ def user_summary(months: DataFrame, calendar: EventCalendar, metric: str = "mean
         })
         .drop("_first", "_last")
     )
+    # Read for the threshold and for the users.
+    summary = cut_lineage(summary)
     high = group_threshold(summary, "first_month_activity_count", {"activity_q90": 0.9})
     label = F.when(F.col("first_month_activity_count") >= F.col("activity_q90"), "high_activity")
-    return summary.join(high, ["community", "fixed_cohort"]).withColumn(
+    return summary.join(sized_side(high), ["community", "fixed_cohort"]).withColumn(
         "activity_group", label.otherwise("lower_activity")
     )
 
@@ -122,7 +125,7 @@ def with_toxicity_groups(
     choices = F.array(*[
         F.struct(F.lit(float(q)).alias("q"), F.col(name).alias("cut")) for name, q in names.items()
     ])
-    split = tall.join(cuts, ["community", "fixed_cohort", "early_months"], "left").withColumn("_c", F.explode(choices))
+    split = tall.join(sized_side(cuts), ["community", "fixed_cohort", "early_months"], "left").withColumn("_c", F.explode(choices))
     group = F.when(F.col("early_value") >= F.col("_c.cut"), "high_toxicity").when(
         F.col("early_value") < F.col("_c.cut"), "lower_toxicity"
     )

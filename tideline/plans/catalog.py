@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,11 +14,22 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
 
+def in_utc(query: Query) -> Query:
+    """The query in a session set to UTC, as its dates are, whatever the caller's session was built with."""
+
+    @wraps(query)
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+        return query(spark, folder)
+
+    return run
+
+
 def check(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     def register(query: Query) -> Query:
         if name in QUERIES:
             raise ValueError(f"query {name} is already registered")
-        QUERIES[name] = query
+        QUERIES[name] = in_utc(query)
         if sql is not None:
             ORACLES[name] = sql
         return query

@@ -9,7 +9,7 @@ from tideline.operators import cohorts
 from tideline.plans import shared, standins
 from tideline.plans.catalog import check, rounded
 from tideline.plans.checks.label_checks import ARRIVAL_SQL, GROUP_SQL, NEWCOMER_SQL, PERIOD_SQL
-from tideline.plans.standins import EVENT_CALENDAR, ORDER_CALENDAR, VIEW_SQL, with_views
+from tideline.plans.standins import ORDER_CALENDAR, VIEW_SQL, with_views
 
 DAYS = newcomer_days(ORDER_CALENDAR)
 SCORE = "toxicity_toxigen"
@@ -181,25 +181,20 @@ def cohort_period_summary_pooled(spark, folder):
     return rounded(cohorts.cohort_period_summary(standins.activity(spark, folder), ORDER_CALENDAR, SCORE, ["platform"]))
 
 
-EVENT_ARRIVAL_SQL = """CASE WHEN {ts} < TIMESTAMP '2024-01-08' THEN 'beforeA' WHEN {ts} < TIMESTAMP '2024-01-13' THEN 'betweenA-B'
-    WHEN {ts} < TIMESTAMP '2024-01-18' THEN 'betweenB-C' WHEN {ts} < TIMESTAMP '2024-01-23' THEN 'betweenC-D' ELSE 'afterD' END"""
-
-
-@check("sliding_window_timeseries", with_views("event_activity", body="""
-    , f AS (SELECT community, user_id, """ + EVENT_ARRIVAL_SQL.format(ts="date_trunc('day', min(ts))") + """ AS cohort FROM event_activity GROUP BY community, user_id),
-    d AS (SELECT community, cohort, user_id, CAST(ts AS DATE) AS day, toxicity_toxigen AS t FROM event_activity JOIN f USING (community, user_id)),
+@check("sliding_window_timeseries", with_views("activity", body="""
+    , f AS (SELECT community, user_id, """ + ARRIVAL_SQL.format(ts="date_trunc('day', min(ts))") + """ AS cohort FROM activity GROUP BY community, user_id),
+    d AS (SELECT community, cohort, user_id, CAST(ts AS DATE) AS day, toxicity_toxigen AS t FROM activity JOIN f USING (community, user_id)),
     span AS (SELECT community, min(day) AS lo, max(day) AS hi FROM d GROUP BY community),
-    starts AS (SELECT community, CAST(k AS INTEGER) AS step, lo + CAST(k AS INTEGER) AS w FROM span, range(0, 100) r(k) WHERE lo + CAST(k AS INTEGER) <= hi - 6),
+    starts AS (SELECT community, CAST(k AS INTEGER) AS step, lo + CAST(k AS INTEGER) AS w FROM span, range(0, 5000) r(k) WHERE lo + CAST(k AS INTEGER) <= hi - 29),
     u AS (SELECT community, step, cohort, user_id, avg(t) AS m, count(*) AS n FROM d JOIN starts USING (community)
-      WHERE day >= w AND day < w + 7 GROUP BY ALL),
+      WHERE day >= w AND day < w + 30 GROUP BY ALL),
     c AS (SELECT community, step, cohort, sum(m*n)/sum(n) AS c FROM u GROUP BY ALL),
     g AS (SELECT community, step, cohort, """ + METRICS_SQL + """ FROM u JOIN c USING (community, step, cohort) GROUP BY community, step, cohort, c),
     grid AS (SELECT * FROM starts, (VALUES ('beforeA'), ('betweenA-B'), ('betweenB-C'), ('betweenC-D'), ('afterD')) x(cohort))
-    SELECT community, step, cohort, CAST(w AS VARCHAR) AS window_tmin, CAST(w + 7 AS VARCHAR) AS window_tmax, """ + SHOWN_SQL + """
+    SELECT community, step, cohort, CAST(w AS VARCHAR) AS window_tmin, CAST(w + 30 AS VARCHAR) AS window_tmax, """ + SHOWN_SQL + """
     FROM grid LEFT JOIN g USING (community, step, cohort)"""))
 def sliding_window_timeseries(spark, folder):
-    activity = standins.event_activity(spark, folder)
-    return rounded(cohorts.sliding_window_timeseries(activity, EVENT_CALENDAR, SCORE, window_days=7))
+    return rounded(cohorts.sliding_window_timeseries(standins.activity(spark, folder), ORDER_CALENDAR, SCORE))
 
 
 @check("period_cohort_bars", with_views("activity", "first_seen_community", body="""

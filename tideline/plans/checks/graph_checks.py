@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from tideline.functions import labels, timeparts
@@ -469,21 +471,77 @@ def join_hub_flags(spark, folder):
     return hubs.join_hub_flags(node_cohorts(spark, folder), flags, ["community", "node"])
 
 
-@check("join_network_metrics", with_views("community_month", "deg_month", "pairs_month", body=f"""
-    , st AS (SELECT community, month, {STATS_SQL} FROM deg_month GROUP BY ALL),
-    m AS (SELECT community, month, count(*) AS n_edges FROM pairs_month GROUP BY ALL)
-    SELECT platform, community, month, active_users, round(toxicity_mean,6) AS toxicity_mean, n_nodes, n_edges, mean_degree, std_degree,
-      round(2.0*n_edges/(n_nodes*(n_nodes-1)),6) AS density
-    FROM community_month LEFT JOIN st USING (community, month) LEFT JOIN m USING (community, month)"""))
+def for_platform_months(sql: str) -> str:
+    """SQL over weekly snapshots as SQL over the monthly ones of both platforms."""
+    for stem in ("pairs", "deg", "clustering", "lab"):
+        sql = sql.replace(f"{stem}_week", f"{stem}_pm")
+    return re.sub(r"\bweek\b", "month", sql)
+
+
+VIEW_SQL["clustering_pm"] = (("pairs_pm", "deg_pm"), for_platform_months(VIEW_SQL["clustering_week"][1]))
+VIEW_SQL["snapshot_pm"] = (
+    ("pairs_pm", "deg_pm", "clustering_pm"),
+    # Small snapshots have correlations that end in a five at the seventh digit; both sides see nine digits first.
+    "WITH RECURSIVE "
+    + for_platform_months(SNAPSHOT_SQL).lstrip().removeprefix(",").replace(
+        "round(CASE WHEN stddev_pop(da)>0 THEN corr(da, db) END,6)",
+        "round(round(CASE WHEN stddev_pop(da)>0 THEN corr(da, db) END,9),6)",
+    ),
+)
+PLATFORM_MONTH = ["platform", "community", "month"]
+SNAPSHOT_SHOWN = ", ".join(rollups.NETWORK_COLUMNS)
+
+
+def platform_network(spark, folder):
+    return network.network_snapshot(standins.edges_platform_month(spark, folder), PLATFORM_MONTH)
+
+
+@check("join_network_metrics", with_views("community_month", "snapshot_pm", body=f"""
+    SELECT m.platform, m.community, m.month, active_users, round(toxicity_mean,6) AS toxicity_mean, {SNAPSHOT_SHOWN}
+    FROM community_month m LEFT JOIN snapshot_pm s ON s.community = m.platform||'|'||m.community AND s.month = m.month"""))
 def join_network_metrics(spark, folder):
+    """Every snapshot metric of either platform's network."""
     from tideline.plans import shared
 
-    pairs, nodes = month_graph(spark, folder)
-    stats = graph.degree_stats(nodes, MONTH).drop("n_nodes").join(graph.density(pairs, nodes, MONTH), MONTH)
-    joined = rollups.join_network_metrics(shared.community_month(spark, folder), stats)
-    return rounded(
-        joined.select(
-            "platform", "community", "month", "active_users", "toxicity_mean", "n_nodes", "n_edges", "mean_degree",
-            "std_degree", "density",
-        )
+    joined = rollups.join_network_metrics(
+        shared.community_month(spark, folder), platform_network(spark, folder), PLATFORM_MONTH
+    )
+    shown = joined.select(*PLATFORM_MONTH, "active_users", "toxicity_mean", *rollups.NETWORK_COLUMNS)
+    return rounded(shown.withColumn("degree_assortativity", F.round("degree_assortativity", 9)))
+
+
+@check("path_metrics_month", with_views("snapshot_pm", body="""
+    SELECT split_part(community, '|', 1) AS platform, split_part(community, '|', 2) AS community, month,
+      giant_component_size, giant_component_fraction, avg_shortest_path, diameter FROM snapshot_pm"""))
+def path_metrics_month(spark, folder):
+    """Paths of monthly snapshots, a word of sources at a time."""
+    edges = standins.edges_platform_month(spark, folder)
+    pairs, nodes = graph.dedup_edges(edges, PLATFORM_MONTH), graph.degrees(edges, PLATFORM_MONTH)
+    found = components.connected_components(pairs, nodes, PLATFORM_MONTH)
+    return rounded(components.path_metrics(pairs, found, PLATFORM_MONTH, words_per_pass=1))
+
+
+VIEW_SQL["lab_pm"] = (("edges_pm", "deg_pm"), f"""
+    SELECT d.community, d.month, d.node, {_CUSTOMER_LABEL} AS label
+    FROM deg_pm d JOIN (SELECT community, source AS node, min(month) AS first_month FROM edges_pm GROUP BY ALL) f
+      ON f.community=d.community AND f.node=d.node""")
+
+
+def platform_month_labels(spark, folder):
+    """Labels per month of the nodes that ever act; others have none."""
+    edges = standins.edges_platform_month(spark, folder)
+    keys = ["platform", "community"]
+    first = edges.groupBy(*keys, F.col("source").alias("node")).agg(F.min("month").alias("first_month"))
+    label = labels.newcomer_label(
+        timeparts.month_start(F.col("first_month")), timeparts.month_start(F.col("month")), DAYS
+    )
+    nodes = graph.degrees(edges, PLATFORM_MONTH)
+    return nodes.join(first, [*keys, "node"]).select(*PLATFORM_MONTH, "node", label.alias("label"))
+
+
+def platform_partition(spark, folder):
+    edges = standins.edges_platform_month(spark, folder)
+    pairs, nodes = graph.dedup_edges(edges, PLATFORM_MONTH), graph.degrees(edges, PLATFORM_MONTH)
+    return graph.partition_metrics(
+        pairs, nodes, platform_month_labels(spark, folder), PLATFORM_MONTH, [*PLATFORM_MONTH, "node"]
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tideline.operators import comparisons, graph, inference, rollups
 from tideline.plans import shared, standins
 from tideline.plans.catalog import check, rounded
-from tideline.plans.checks import graph_checks
+from tideline.plans.checks import graph_checks, reputation_checks
 from tideline.plans.checks.label_checks import BIN_SQL
 from tideline.plans.oracle_math import draw_sql, normal_p_sql, student_p_sql
 from tideline.plans.standins import ORDER_CALENDAR, VIEW_SQL, with_views
@@ -127,12 +127,12 @@ def _permutation_sql(source: str, keys: str, value: str, pre: str, repetitions:
 
 
 @check("block_permutation_test", with_views("community_month", body=_permutation_sql(
-    "community_month", "platform, community", "toxicity_mean", f"CAST(month||'-01' AS TIMESTAMP) < TIMESTAMP '{SPLIT}'", 2000)))
+    "community_month", "platform, community", "toxicity_mean", f"CAST(month||'-01' AS TIMESTAMP) < TIMESTAMP '{SPLIT}'", 10_000)))
 def block_permutation_test(spark, folder):
     pre = F.to_timestamp(F.concat("month", F.lit("-01"))) < F.lit(SPLIT).cast("timestamp")
     return rounded(
         inference.block_permutation_test(
-            shared.community_month(spark, folder), ["platform", "community"], "toxicity_mean", pre, repetitions=2000
+            shared.community_month(spark, folder), ["platform", "community"], "toxicity_mean", pre
         )
     )
 
@@ -162,13 +162,13 @@ def regime_series(spark, folder):
     return scores.unionByName(mixing)
 
 
-REGIME_SQL = _permutation_sql("regime_series", "community, metric", "v", f"CAST(month||'-01' AS TIMESTAMP) < TIMESTAMP '{SPLIT}'", 2000)
+REGIME_SQL = _permutation_sql("regime_series", "community, metric", "v", f"CAST(month||'-01' AS TIMESTAMP) < TIMESTAMP '{SPLIT}'", 10_000)
 
 
 def regime_tests(spark, folder):
     pre = F.to_timestamp(F.concat("month", F.lit("-01"))) < F.lit(SPLIT).cast("timestamp")
     return inference.block_permutation_test(
-        regime_series(spark, folder), ["community", "metric"], "v", pre, repetitions=2000
+        regime_series(spark, folder), ["community", "metric"], "v", pre
     )
 
 
@@ -190,8 +190,8 @@ ITERATIONS = 40
 FALLBACK_SQL = "CASE {b} " + " ".join(
     f"WHEN '{name}' THEN [{', '.join(repr(n) for n in near)}]" for name, near in inference.fallback_bins().items()
 ) + " END"
-VIEW_SQL["matched"] = (("user_month",), f"""
-    WITH u AS (SELECT *, {BIN_SQL.format(n='activity_count')} AS bin FROM user_month),
+VIEW_SQL["matched"] = (("user_month_rep",), f"""
+    WITH u AS (SELECT *, {BIN_SQL.format(n='activity_count')} AS bin FROM user_month_rep),
     tg AS (SELECT community, month, bin, count(*) AS tc FROM u WHERE platform='focal' GROUP BY ALL),
     sz AS (SELECT community, month, bin, count(*) AS n FROM u WHERE platform='reference' GROUP BY ALL),
     cand AS (SELECT community, month, bin, tc, unnest(l) AS cb, unnest(range(0, len(l))) AS pri FROM (SELECT *, {FALLBACK_SQL.format(b='bin')} AS l FROM tg)),
@@ -201,21 +201,22 @@ VIEW_SQL["matched"] = (("user_month",), f"""
       FROM (SELECT *, unnest(range(1, tc+1)) AS d FROM ch), range(0, {ITERATIONS}) q(it)),
     pl AS (SELECT *, row_number() OVER (PARTITION BY community, month, bin ORDER BY user_id) AS place FROM u WHERE platform='reference')
     SELECT dr.community, dr.month, dr.it AS iteration, count(*) AS sample_size, avg(mean_toxicity) AS toxicity_mean, avg(mean_vader) AS vader_mean,
-      avg(mean_textblob) AS textblob_mean, avg(mean_subjectivity) AS subjectivity_mean
+      avg(mean_textblob) AS textblob_mean, avg(mean_subjectivity) AS subjectivity_mean, avg(mean_reputation) AS reputation_mean
     FROM dr JOIN pl ON pl.community=dr.community AND pl.month=dr.month AND pl.bin=dr.cb AND pl.place=dr.place GROUP BY ALL""")
 VIEW_SQL["matched_long"] = (("matched",), """
-    UNPIVOT (SELECT community, month, iteration, sample_size, toxicity_mean, vader_mean, textblob_mean, subjectivity_mean FROM matched)
-      ON toxicity_mean, vader_mean, textblob_mean, subjectivity_mean INTO NAME metric VALUE v""")
+    SELECT * FROM (SELECT community, month, iteration, sample_size, toxicity_mean, vader_mean, textblob_mean, subjectivity_mean, reputation_mean FROM matched)
+      UNPIVOT INCLUDE NULLS (v FOR metric IN (toxicity_mean, vader_mean, textblob_mean, subjectivity_mean, reputation_mean))""")
 METRICS = {
     "toxicity_mean": "mean_toxicity",
     "vader_mean": "mean_vader",
     "textblob_mean": "mean_textblob",
     "subjectivity_mean": "mean_subjectivity",
+    "reputation_mean": "mean_reputation",
 }
 
 
 def matched(spark, folder):
-    users = cut_lineage(shared.user_month(spark, folder))
+    users = cut_lineage(reputation_checks.user_month_with_reputation(spark, folder))
     return inference.activity_matched_bootstrap(users.where(is_focal()), users.where(~is_focal()), METRICS, ITERATIONS)
 
 
@@ -227,7 +228,7 @@ def activity_matched_bootstrap(spark, folder):
 
 VIEW_SQL["bands"] = (("matched_long",), """
     SELECT community, month, metric, unnest([5,25,50,75,95]) AS percentile, unnest(quantile_cont(v, [0.05,0.25,0.5,0.75,0.95])) AS v
-    FROM matched_long GROUP BY community, month, metric""")
+    FROM matched_long WHERE v IS NOT NULL GROUP BY community, month, metric""")
 
 
 @check("bootstrap_percentiles", with_views("bands", body="SELECT community, month, metric, percentile, round(v,6) AS value FROM bands"))
@@ -252,17 +253,18 @@ def attach_bootstrap_bands(spark, folder):
     return rounded(rollups.attach_bootstrap_bands(monthly, summary, ["toxicity_mean", "vader_mean"]))
 
 
-VIEW_SQL["diffs"] = (("community_month", "bands"), """
+VIEW_SQL["diffs"] = (("community_month_full", "bands"), """
     SELECT community, month, metric, round(f.v,9) AS focal_value, member_count, p5, p25, p50, p75, p95, round(f.v,9) - p50 AS d, member_count >= 20 AS valid
-    FROM (UNPIVOT (SELECT community, month, active_users AS member_count, toxicity_mean, vader_mean FROM community_month WHERE platform='focal')
-        ON toxicity_mean, vader_mean INTO NAME metric VALUE v) f
+    FROM (SELECT * FROM (SELECT community, month, active_users AS member_count, toxicity_mean, vader_mean, textblob_mean, subjectivity_mean, reputation_mean FROM community_month_full WHERE platform='focal')
+        UNPIVOT INCLUDE NULLS (v FOR metric IN (toxicity_mean, vader_mean, textblob_mean, subjectivity_mean, reputation_mean))) f
     JOIN (SELECT community, month, metric, """ + ", ".join(f"round(max(v) FILTER (percentile={p}),9) AS p{p}" for p in (5, 25, 50, 75, 95)) + """
       FROM bands GROUP BY ALL) USING (community, month, metric)""")
-DIFF_METRICS = ["toxicity_mean", "vader_mean"]
+DIFF_METRICS = list(METRICS)
 
 
 def monthly_values(spark, folder, platform):
-    monthly = shared.community_month(spark, folder).where(F.col("platform") == platform)
+    users = reputation_checks.user_month_with_reputation(spark, folder)
+    monthly = rollups.community_month_basic(users).where(F.col("platform") == platform)
     values = [F.round(m, 9).alias(m) for m in DIFF_METRICS]
     return monthly.select("community", "month", F.col("active_users").alias("member_count"), *values).unpivot(
         ["community", "month", "member_count"], DIFF_METRICS, "metric", "value"
@@ -290,9 +292,9 @@ def periphery_exceedance(spark, folder):
     return rounded(comparisons.exceedance(diffs(spark, folder)))
 
 
-@check("bootstrap_coverage", with_views("bands", "community_month", body="""
+@check("bootstrap_coverage", with_views("bands", "community_month_full", body="""
     , v AS (SELECT community, month, metric, round(f.v,9) AS v, p5, p25, p75, p95
-    FROM (UNPIVOT (SELECT community, month, toxicity_mean, vader_mean FROM community_month WHERE platform='reference') ON toxicity_mean, vader_mean INTO NAME metric VALUE v) f
+    FROM (UNPIVOT (SELECT community, month, toxicity_mean, vader_mean, textblob_mean, subjectivity_mean, reputation_mean FROM community_month_full WHERE platform='reference') ON toxicity_mean, vader_mean, textblob_mean, subjectivity_mean, reputation_mean INTO NAME metric VALUE v) f
     JOIN (SELECT community, month, metric, """ + ", ".join(f"round(max(v) FILTER (percentile={p}),9) AS p{p}" for p in (5, 25, 75, 95)) + """
       FROM bands GROUP BY ALL) USING (community, month, metric)),
     s AS (SELECT * FROM v UNION ALL SELECT * REPLACE ('ALL' AS community) FROM v)

@@ -174,10 +174,16 @@ PROFILES_SQL = """profiles AS (SELECT CAST(c_custkey AS VARCHAR) AS user_id, 138
       WHEN registered < 1479840000 THEN 3 WHEN registered < 1521081600 THEN 4 ELSE 5 END AS INTEGER) AS registration_group FROM profiles)"""
 
 
-def profiles(spark, folder):
-    customers = standins.table(spark, folder, "customer").where(F.col("c_mktsegment") != "BUILDING")
+def all_profiles(spark, folder):
     registered = 1380000000 + (F.col("c_custkey") * 104729) % 180000000
-    return customers.select(F.col("c_custkey").cast("string").alias("user_id"), registered.alias("registered"))
+    return standins.table(spark, folder, "customer").select(
+        F.col("c_custkey").cast("string").alias("user_id"), registered.alias("registered"), "c_mktsegment"
+    )
+
+
+def profiles(spark, folder):
+    """Some users have no profile."""
+    return all_profiles(spark, folder).where(F.col("c_mktsegment") != "BUILDING").drop("c_mktsegment")
 
 
 @check("join_profiles", with_views("rep_events", body="," + PROFILES_SQL + """

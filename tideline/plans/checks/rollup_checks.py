@@ -82,13 +82,17 @@ def global_unweighted_mean(spark, folder):
     )
 
 
-@check("metric_summary", with_views("community_month", body="""
-    , long AS (UNPIVOT (SELECT toxicity_mean, vader_mean, subjectivity_std, CAST(active_users AS DOUBLE) AS active_users
-        FROM community_month) ON COLUMNS(*) INTO NAME metric VALUE v)
+@check("metric_summary", with_views("community_month_full", body="""
+    , long AS (UNPIVOT (SELECT CAST(COLUMNS(* EXCLUDE (platform, community, month)) AS DOUBLE)
+        FROM community_month_full) ON COLUMNS(*) INTO NAME metric VALUE v)
     SELECT metric, round(avg(v),6) AS mean, round(median(v),6) AS median FROM long GROUP BY metric"""))
 def metric_summary(spark, folder):
-    metrics = ["toxicity_mean", "vader_mean", "subjectivity_std", "active_users"]
-    return rounded(rollups.metric_summary(shared.community_month(spark, folder), metrics))
+    """Every numeric column of the monthly table."""
+    from tideline.plans.checks.reputation_checks import user_month_with_reputation
+
+    monthly = rollups.community_month_aggregates(user_month_with_reputation(spark, folder))
+    numeric = [name for name, kind in monthly.dtypes if kind != "string"]
+    return rounded(rollups.metric_summary(monthly, numeric))
 
 
 @check("pivot_platform", with_views("community_month", body="""

@@ -73,8 +73,9 @@ def score_by_interaction(spark, folder):
 
 
 @check("score_density_grid", with_views("scores", body="""
-    SELECT CAST(least(floor(toxicity_toxigen*55),54) AS INTEGER) AS cell_x, CAST(least(floor(detoxify_toxicity*55),54) AS INTEGER) AS cell_y, count(*) AS n,
-      round(log10(count(*)),6) AS log10_n FROM scores GROUP BY ALL"""))
+    , e AS (SELECT min(toxicity_toxigen) AS lx, max(toxicity_toxigen) AS hx, min(detoxify_toxicity) AS ly, max(detoxify_toxicity) AS hy FROM scores)
+    SELECT CAST(least(floor((toxicity_toxigen-lx)/(hx-lx)*55),54) AS INTEGER) AS cell_x, CAST(least(floor((detoxify_toxicity-ly)/(hy-ly)*55),54) AS INTEGER) AS cell_y, count(*) AS n,
+      round(log10(count(*)),6) AS log10_n FROM scores, e GROUP BY ALL"""))
 def score_density_grid(spark, folder):
     return rounded(scores.score_density_grid(standins.scores(spark, folder), "toxicity_toxigen", "detoxify_toxicity"))
 

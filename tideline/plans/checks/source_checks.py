@@ -31,8 +31,38 @@ def scan_activity(spark, folder):
     return rounded(found.select("post_id", "user_id", "platform", "community", "month", "toxicity_toxigen"))
 
 
-@check("scan_edges", with_views("edges_month", body="SELECT community, month, source, target, count(*) AS n FROM edges_month GROUP BY ALL"))
+EDGE_COUNTS_SQL = with_views("edges_month", body="SELECT community, month, source, target, count(*) AS n FROM edges_month GROUP BY ALL")
+
+
+@check("scan_edges", EDGE_COUNTS_SQL)
 def scan_edges(spark, folder):
+    """One file per community and month, named after both, with comments and lines without both ends; one is empty."""
+    path = fresh_folder(spark, "edges")
+    edges = standins.edges_month(spark, folder).select(
+        F.concat_ws("_", "community", "month").alias("name"), F.concat_ws("\t ", "source", "target").alias("value")
+    )
+    spoiled = edges.groupBy("name").agg(F.count("*").alias("n")).select(
+        "name", F.explode(F.array(F.lit("# source target"), F.lit("alone"), F.lit(""))).alias("value")
+    )
+    edges.union(spoiled).repartition("name").write.partitionBy("name").text(path)
+    system, place = _file_system(spark, path), spark._jvm.org.apache.hadoop.fs.Path
+    for found in system.listStatus(place(path)):
+        if found.isDirectory():
+            name = found.getPath().getName().removeprefix("name=")
+            part = next(f.getPath() for f in system.listStatus(found.getPath()) if f.getPath().getName().startswith("part-"))
+            system.rename(part, place(f"{path}/{name}.txt"))
+            system.delete(found.getPath(), True)
+    system.create(place(f"{path}/empty_2000-01.txt")).close()
+    read = edge_files.scan_edges(spark, path)
+    return read.groupBy("community", "month", "source", "target").agg(F.count("*").alias("n"))
+
+
+def _file_system(spark, path):
+    return spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+@check("scan_partitioned_edges", EDGE_COUNTS_SQL)
+def scan_partitioned_edges(spark, folder):
     path = fresh_folder(spark, "edges")
     sinks.write_edges(standins.edges_month(spark, folder), path)
     found = edge_files.scan_partitioned_edges(spark, path)
@@ -84,10 +114,10 @@ def scan_legacy_reputation(spark, folder):
 
 
 @check("scan_profiles", """
-    SELECT CAST(c_custkey AS VARCHAR) AS user_id, 1380000000 + (c_custkey*104729) % 180000000 AS registered FROM customer WHERE c_mktsegment <> 'BUILDING'""")
+    SELECT CAST(c_custkey AS VARCHAR) AS user_id, 1380000000 + (c_custkey*104729) % 180000000 AS registered FROM customer""")
 def scan_profiles(spark, folder):
     path = fresh_folder(spark, "profiles")
-    profiles = reputation_checks.profiles(spark, folder)
+    profiles = reputation_checks.all_profiles(spark, folder)
     profiles.select(F.col("user_id").alias("user"), F.col("registered").alias("reg_date")).write.json(path)
     return reputation_files.scan_profiles(spark, path)
 
@@ -129,28 +159,60 @@ def sink_csv_tables(spark, folder):
     return rounded(spark.read.schema(schema).option("header", "true").csv(path))
 
 
-OVERVIEW = ["active_users", "toxicity_mean", "vader_mean", "textblob_mean", "subjectivity_mean", "reputation_mean", "mean_degree"]
-
-
-@check("overview_monthly", with_views("community_month_full", "deg_month", "ei_both", "lab_month", "focal_wide", body="""
-    , j AS (SELECT m.*, d.mean_degree FROM community_month_full m LEFT JOIN (SELECT community, month, avg(degree) AS mean_degree FROM deg_month GROUP BY ALL) d
-        ON d.community=m.community AND d.month=m.month AND m.platform='focal'),
-    w AS (SELECT community, month, """ + ", ".join(f"max({c}) FILTER (platform='{p}') AS {c}_{p}" for c in OVERVIEW for p in ("focal", "reference")) + """ FROM j GROUP BY ALL),
-    n AS (SELECT community, month, count(*) FILTER (label='newcomer') AS n_newcomers, count(*) FILTER (label='existing') AS n_existing FROM lab_month GROUP BY ALL)
-    SELECT community, month, active_users_focal, active_users_reference, """ + ", ".join(
-        f"round({c}_{p},6) AS {c}_{p}" for c in OVERVIEW[1:] for p in ("focal", "reference")) + """,
-      CAST(NULL AS DOUBLE) AS partition_assortativity, round(ei_index_event,6) AS ei_index, n_newcomers, n_existing, """ + ", ".join(
+PAIRED = [f"{c}_{p}" for c in overview.OVERVIEW_METRICS for p in ("focal", "reference")]
+_PARTITION_PM = graph_checks.for_platform_months(graph_checks.PARTITION_SQL).replace(
+    "JOIN lab_pm l USING (community, node)", "JOIN lab_pm l USING (community, month, node)"
+)
+
+
+@check("overview_monthly", with_views("community_month_full", "cp_wide", "pairs_pm", "deg_pm", "clustering_pm", "lab_pm", "focal_wide", body=f"""
+    , net AS (WITH e AS (SELECT q.community, q.month, x.degree AS da, y.degree AS db, a=b AS loop FROM pairs_pm q
+        JOIN deg_pm x ON x.community=q.community AND x.month=q.month AND x.node=a JOIN deg_pm y ON y.community=q.community AND y.month=q.month AND y.node=b),
+      sy AS (SELECT community, month, da, db FROM e UNION ALL SELECT community, month, db, da FROM e WHERE NOT loop),
+      r AS (SELECT community, month, CASE WHEN stddev_pop(da)>0 THEN corr(da, db) END AS degree_assortativity FROM sy GROUP BY ALL),
+      d AS (SELECT community, month, avg(degree) AS mean_degree FROM deg_pm GROUP BY ALL),
+      c AS (SELECT community, month, avg(c) AS mean_clustering FROM clustering_pm GROUP BY ALL)
+      SELECT * FROM r JOIN d USING (community, month) JOIN c USING (community, month)),
+    part AS (WITH {_PARTITION_PM.lstrip().removeprefix(",")}
+      SELECT split_part(community, '|', 2) AS community, month, nn AS n_newcomers, no AS n_existing,
+        CASE WHEN nn > 0 AND no > 0 THEN (tr - an*an - (1-an)*(1-an))/nullif(1 - an*an - (1-an)*(1-an),0) END AS partition_assortativity,
+        CASE WHEN nn > 0 AND no > 0 THEN (eno-enn-eoo)/m END AS ei_index
+      FROM s LEFT JOIN k USING (community, month) LEFT JOIN mx USING (community, month) WHERE community LIKE 'focal|%'),
+    j AS (SELECT m.* REPLACE (coalesce({reputation_checks.WEIGHTED_SQL}, m.reputation_mean) AS reputation_mean), mean_degree, degree_assortativity, mean_clustering
+      FROM community_month_full m LEFT JOIN cp_wide w ON w.community=m.community AND w.month=m.month
+      LEFT JOIN net n ON n.community=m.platform||'|'||m.community AND n.month=m.month),
+    w AS (SELECT community, month, """ + ", ".join(
+        f"max({c}) FILTER (platform='{p}') AS {c}_{p}" for c in overview.OVERVIEW_METRICS for p in ("focal", "reference")) + """ FROM j GROUP BY ALL)
+    SELECT community, month, """ + ", ".join(c if c.startswith("active_users") else f"round({c},6) AS {c}" for c in PAIRED) + """,
+      round(partition_assortativity,6) AS partition_assortativity, round(ei_index,6) AS ei_index, n_newcomers, n_existing, """ + ", ".join(
         f"round({s}_p{p},6) AS {s}_p{p}" for s in ("toxicity_mean", "vader_mean") for p in (5, 50, 95)) + """
-    FROM w LEFT JOIN ei_both USING (community, month) LEFT JOIN n USING (community, month)
+    FROM w LEFT JOIN part USING (community, month)
     LEFT JOIN (SELECT community, month, toxicity_mean_p5, toxicity_mean_p50, toxicity_mean_p95, vader_mean_p5, vader_mean_p50, vader_mean_p95 FROM focal_wide) USING (community, month)"""))
 def overview_monthly(spark, folder):
-    """Reputation, degrees, mixing and matched bands joined to both platforms' months."""
+    """Overridden reputation, both platforms' networks, mixing and matched bands joined to the months."""
     keys = ["community", "month"]
     monthly = rollups.community_month_basic(reputation_checks.user_month_with_reputation(spark, folder))
-    pairs, nodes = graph_checks.month_graph(spark, folder)
-    network = graph.degree_stats(nodes, keys).select(F.lit("focal").alias("platform"), *keys, "mean_degree")
-    mixing = graph.ei_index(pairs, graph_checks.labelled_months(spark, folder), keys).withColumn(
-        "assortativity", F.lit(None).cast("double")
+    edges, by_platform = standins.edges_platform_month(spark, folder), graph_checks.PLATFORM_MONTH
+    pairs, nodes = graph.dedup_edges(edges, by_platform), graph.degrees(edges, by_platform)
+    network = rollups.left_join_all(
+        graph.degree_stats(nodes, by_platform).select(*by_platform, "mean_degree"),
+        [
+            graph.degree_assortativity(pairs, nodes, by_platform),
+            graph.clustering_stats(pairs, nodes, by_platform).select(*by_platform, "mean_clustering"),
+        ],
+        by_platform,
     )
+    mixing = graph_checks.platform_partition(spark, folder).where(F.col("platform") == "focal").drop("platform")
     bands = inference.bootstrap_percentiles(inference_checks.matched(spark, folder))
-    return rounded(overview.overview_monthly(monthly, network, mixing, bands, ["focal", "reference"]))
+    override = reputation_checks.cp_weighted(spark, folder)
+    return rounded(
+        overview.overview_monthly(monthly, network, mixing, bands, override, ["focal", "reference"]).select(
+            *keys,
+            *PAIRED,
+            "partition_assortativity",
+            "ei_index",
+            "n_newcomers",
+            "n_existing",
+            *[f"{m}_p{p}" for m in ("toxicity_mean", "vader_mean") for p in (5, 50, 95)],
+        )
+    )

@@ -12,7 +12,7 @@ from tideline.operators.rollups import NETWORK_COLUMNS, left_join_all
 from tideline.session import cut_lineage
 
 
-def network_snapshot(edges: DataFrame, keys: Sequence[str], most_nodes_for_paths: int = 5000) -> DataFrame:
+def network_snapshot(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """All metrics of every snapshot in one row.
 
     The deduplicated edges and the degrees feed every metric, so both are written down once.
@@ -24,7 +24,7 @@ def network_snapshot(edges: DataFrame, keys: Sequence[str], most_nodes_for_paths
     parts = [
         graph.degree_stats(nodes, keys).drop("n_nodes"),
         graph.clustering_stats(pairs, nodes, keys),
-        components.path_metrics(pairs, found, keys, most_nodes_for_paths),
+        components.path_metrics(pairs, found, keys),
         graph.degree_assortativity(pairs, nodes, keys),
     ]
     joined = left_join_all(graph.density(pairs, nodes, keys), parts, keys)

@@ -44,8 +44,7 @@ SCORES = {
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """A given table. Its dates are UTC, whatever the session was set to."""
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    """A given table."""
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
@@ -109,6 +108,19 @@ def edges_month(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def edges_platform_month(spark: SparkSession, folder: str) -> DataFrame:
+    """Monthly edge lists of either platform, small and dense enough for triangles."""
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
+    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.when(F.col("o_custkey") % 3 == 0, "focal").otherwise("reference").alias("platform"),
+        F.col("o_orderpriority").alias("community"),
+        F.date_format("o_orderdate", "yyyy-MM").alias("month"),
+        (F.col("o_custkey") % 61).cast("string").alias("source"),
+        ((F.col("l_suppkey") + F.col("l_linenumber") * 7) % 71).cast("string").alias("target"),
+    )
+
+
 # The same views as DuckDB common table expressions, each with those it builds on.
 VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "activity": ((), """
@@ -153,6 +165,18 @@ VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT o_orderpriority AS community, strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m') AS month,
           'c' || o_custkey AS source, 's' || l_suppkey AS target
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""),
+    # One name for platform and community, so that views of monthly snapshots read it like a community.
+    "edges_pm": ((), """
+        SELECT CASE WHEN o_custkey % 3 = 0 THEN 'focal' ELSE 'reference' END || '|' || o_orderpriority AS community,
+          strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m') AS month,
+          CAST(o_custkey % 61 AS VARCHAR) AS source, CAST((l_suppkey + l_linenumber * 7) % 71 AS VARCHAR) AS target
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""),
+    "pairs_pm": (("edges_pm",), """
+        SELECT DISTINCT community, month, least(source, target) AS a, greatest(source, target) AS b FROM edges_pm"""),
+    "deg_pm": (("pairs_pm",), """
+        SELECT community, month, node, count(*) AS degree
+        FROM (SELECT community, month, a AS node FROM pairs_pm UNION ALL SELECT community, month, b FROM pairs_pm)
+        GROUP BY ALL"""),
     "pairs_week": (("edges_week",), """
         SELECT DISTINCT community, week, least(source, target) AS a, greatest(source, target) AS b FROM edges_week"""),
     "pairs_month": (("edges_month",), """

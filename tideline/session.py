@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -29,8 +32,9 @@ def build_session(app_name: str = "tideline", master: str | None = None, **setti
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    A local session without the setting gets a folder of its own; on a cluster a machine-local
-    folder would be lost with its machine, so the setting is required there.
+    A session whose executors are threads of one process may go without the setting: it gets a
+    folder of its own, removed when the process ends. Elsewhere such a folder would be lost with its
+    machine, so the setting is required.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -38,9 +42,11 @@ def shared_folder(spark: SparkSession) -> str:
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current is None:
-        if not context.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="tideline-"))
+        own = tempfile.mkdtemp(prefix="tideline-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        context.setCheckpointDir(own)
         current = context.getCheckpointDir()
     return current
 
@@ -50,19 +56,47 @@ def fresh_folder(spark: SparkSession, stem: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{stem}-{uuid.uuid4().hex[:12]}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably, so that later steps neither recompute it nor see other rows."""
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder that was written below the shared one."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def cut_lineage(df: DataFrame, folder: str | None = None) -> DataFrame:
+    """Write ``df`` down as Parquet and read it back, so that later steps neither recompute it nor see other rows.
+
+    Readers take only the columns they need. ``folder`` is the place, by default a new one.
+    """
     spark = df.sparkSession
-    folder = shared_folder(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = folder or fresh_folder(spark, "cut")
+    df.write.parquet(folder)
+    return spark.read.schema(df.schema).parquet(folder)
+
+
+class Rounds:
+    """States of a loop, written down one after the other; only the last two are kept."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.folders: list[str] = []
+
+    def cut(self, state: DataFrame) -> DataFrame:
+        self.folders.append(fresh_folder(self.spark, "round"))
+        held = cut_lineage(state, self.folders[-1])
+        if len(self.folders) > 2:
+            drop_folder(self.spark, self.folders.pop(0))
+        return held
+
+
+def size_in_bytes(df: DataFrame) -> int:
+    """What the planner knows of a table's size; for one that ``cut_lineage`` wrote, its files' bytes."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
 
 
-def sized_side(df: DataFrame, most_rows: int = 500_000) -> DataFrame:
+def sized_side(df: DataFrame, most_bytes: int = 8 << 20) -> DataFrame:
     """A join side that is broadcast only once its size is known to be small.
 
-    The side is written down and counted; above ``most_rows`` it joins by shuffle instead.
+    The side is written down and measured; above ``most_bytes`` it joins by shuffle instead.
     """
     held = cut_lineage(df)
-    return F.broadcast(held) if held.count() <= most_rows else held
+    return F.broadcast(held) if size_in_bytes(held) <= most_bytes else held

@@ -22,7 +22,8 @@ def _split_pairs(lines: DataFrame, *keys: str) -> DataFrame:
 
 def scan_edges(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """Edge files named ``<community>_<yyyy-MM>.txt``; empty files give no rows."""
-    name = F.col("_metadata.file_name")
+    # The name comes as part of an address, with blanks and the like encoded; a plus sign is itself.
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
     lines = spark.read.text(path).select(
         "value",
         F.regexp_extract(name, r"^(.*?)_?" + MONTH_PATTERN, 1).alias("community"),
