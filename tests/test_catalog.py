@@ -8,18 +8,10 @@ import pytest
 
 import __spark_entry__ as entry
 from tests import compare
+from tideline.plans.catalog import ORACLES, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
 
-# Long chains of operators whose parts are checked one by one; run these with ``-m slow``.
-SLOW = set(
-    "connected_components_month network_snapshot overview_monthly survival_at survival_sensitivity "
-    "cohort_order_sort manuscript_table regime_permutation_tests bootstrap_ci bootstrap_percentiles "
-    "attach_bootstrap_bands monthly_diffs periphery_exceedance bootstrap_coverage event_windows_placebo "
-    "join_blocks_wide cp_reputation_weighted join_reputation_override panel_descriptives panel_models "
-    "multi_label_panel join_hub_flags hub_ascent_summary top_rank_summary community_label_pivot break_summary "
-    "break_event_distance reputation_events_compounding reputation_daily_compounding".split()
-)
 needs_tables = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the given tables are not here")
 
 
@@ -31,14 +23,12 @@ def tables():
 
 
 @needs_tables
-@pytest.mark.parametrize(
-    "name", [pytest.param(n, marks=pytest.mark.slow) if n in SLOW else n for n in sorted(entry.queries())]
-)
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_agrees_with_its_oracle(spark, tables, name):
-    df = entry.queries()[name](spark, FOLDER)
+    df = QUERIES[name](spark, FOLDER)
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
-    assert compare.difference(df, tables, entry.oracle_sql()[name]) is None
+    assert compare.difference(df, tables, ORACLES[name]) is None
 
 
 @needs_tables
@@ -47,4 +37,8 @@ def test_entry_has_rows(spark):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    assert set(QUERIES) == set(ORACLES)
+
+
+def test_the_entry_registers_the_catalog():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
