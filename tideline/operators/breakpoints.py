@@ -156,6 +156,16 @@ def break_bootstrap(
     return shown.join(interval, keys, "left")
 
 
+def metric_series(
+    monthly: DataFrame, metrics: Sequence[str], scope: str = "community", everywhere: str = "global"
+) -> DataFrame:
+    """``metric, <scope>, month, value`` of every metric and scope, and the plain mean of all scopes per month."""
+    doubles = monthly.select(scope, "month", *[F.col(m).cast("double").alias(m) for m in metrics])
+    long = doubles.unpivot([scope, "month"], list(metrics), "metric", "value").where(F.col("value").isNotNull())
+    overall = long.groupBy("metric", "month").agg(F.avg("value").alias("value")).withColumn(scope, F.lit(everywhere))
+    return long.unionByName(overall)
+
+
 def break_event_distance(breaks: DataFrame, event_month: str, near_months: int = 3) -> DataFrame:
     """Months between each break and an event."""
     distance = timeparts.absolute_month_distance(F.col("break_month"), F.lit(event_month))

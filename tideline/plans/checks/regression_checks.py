@@ -7,23 +7,55 @@ from pyspark.sql import functions as F
 from tideline.operators import breakpoints, graph, hubs, panel, rollups
 from tideline.plans import shared
 from tideline.plans.catalog import check, rounded
-from tideline.plans.checks import graph_checks
+from tideline.plans.checks import graph_checks, reputation_checks
 from tideline.plans.oracle_math import draw_sql, normal_p_sql
 from tideline.plans.standins import ORDER_CALENDAR, VIEW_SQL, with_views
 from tideline.session import cut_lineage
 
 EVENT_MONTH = ORDER_CALENDAR.days[2][:7]
 CUTOFF = f"{EVENT_MONTH}-01"
-SERIES = ["platform", "community"]
+SERIES = ["metric", "community"]
 
 
 def sse_sql(prefix: str = "") -> str:
     return f"regr_syy({prefix}y, {prefix}x) - coalesce(pow(regr_sxy({prefix}y, {prefix}x), 2)/nullif(regr_sxx({prefix}y, {prefix}x), 0), 0)"
 
 
-VIEW_SQL["points"] = (("community_month",), """
-    SELECT platform, community, month, toxicity_mean AS y, CAST(month[1:4] AS INTEGER)*12 + CAST(month[6:7] AS INTEGER) AS x,
-      row_number() OVER (PARTITION BY platform, community ORDER BY month) - 1 AS i, count(*) OVER (PARTITION BY platform, community) AS n FROM community_month""")
+# The metrics whose breaks are looked for.
+BREAK_METRICS = ("toxicity_mean", "ei_index", "existing_gini", "reputation_mean", "degree_assortativity")
+VIEW_SQL["assort_month"] = (("pairs_month", "deg_month"), """
+    WITH e AS (SELECT q.community, q.month, x.degree AS da, y.degree AS db, a=b AS loop FROM pairs_month q
+      JOIN deg_month x ON x.community=q.community AND x.month=q.month AND x.node=a JOIN deg_month y ON y.community=q.community AND y.month=q.month AND y.node=b)
+    SELECT community, month, CASE WHEN stddev_pop(da)>0 THEN corr(da, db) END AS degree_assortativity
+    FROM (SELECT community, month, da, db FROM e UNION ALL SELECT community, month, db, da FROM e WHERE NOT loop) GROUP BY ALL""")
+VIEW_SQL["metric_series"] = (("community_month_full", "ei_both", "dynamics", "assort_month"), f"""
+    WITH wide AS (SELECT community, month, toxicity_mean, ei_index_event AS ei_index, existing_gini, reputation_mean, degree_assortativity
+      FROM (SELECT * FROM community_month_full WHERE platform='focal') LEFT JOIN ei_both USING (community, month)
+      LEFT JOIN dynamics USING (community, month) LEFT JOIN assort_month USING (community, month)),
+    long AS (UNPIVOT wide ON {", ".join(BREAK_METRICS)} INTO NAME metric VALUE v)
+    SELECT metric, community, month, round(v, 9) AS y FROM long
+    UNION ALL SELECT metric, 'global', month, round(avg(v), 9) FROM long GROUP BY metric, month""")
+VIEW_SQL["points"] = (("metric_series",), """
+    SELECT metric, community, month, y, CAST(month[1:4] AS INTEGER)*12 + CAST(month[6:7] AS INTEGER) AS x,
+      row_number() OVER (PARTITION BY metric, community ORDER BY month) - 1 AS i, count(*) OVER (PARTITION BY metric, community) AS n FROM metric_series""")
+
+
+def metric_months(spark, folder):
+    """The five metrics of every focal community, and of all of them together."""
+    keys = ["community", "month"]
+    users = reputation_checks.user_month_with_reputation(spark, folder)
+    focal = rollups.community_month_basic(users).where(F.col("platform") == "focal").drop("platform")
+    # The network metrics read the edges and the labelled nodes.
+    pairs, nodes = (cut_lineage(df) for df in graph_checks.month_graph(spark, folder))
+    labelled = cut_lineage(graph_checks.labelled_months(spark, folder))
+    parts = [
+        hubs.degree_dynamics(pairs, labelled, keys).select(*keys, "existing_gini"),
+        graph.ei_index(pairs, labelled, keys).select(*keys, "ei_index"),
+        graph.degree_assortativity(pairs, nodes, keys),
+    ]
+    stacked = breakpoints.metric_series(rollups.left_join_all(focal, parts, keys), BREAK_METRICS)
+    # Breaks are chosen by comparing sums of squares, so both sides see the values to nine digits.
+    return cut_lineage(stacked.withColumn("value", F.round("value", 9)))
 
 
 def _break_view(points: str, keys: str) -> str:
@@ -40,95 +72,93 @@ def _break_view(points: str, keys: str) -> str:
       GROUP BY ALL) GROUP BY {keys}""".replace("{sse}", "total")
 
 
-VIEW_SQL["best"] = (("points",), _break_view("points", "platform, community"))
-VIEW_SQL["single"] = (("points",), f"SELECT platform, community, {sse_sql()} AS sse0, regr_slope(y, x) AS s0 FROM points WHERE n >= 14 GROUP BY ALL")
-VIEW_SQL["breaks"] = (("best", "single"), "SELECT *, sse/nullif(sse0,0) AS sse_ratio FROM best JOIN single USING (platform, community)")
+VIEW_SQL["best"] = (("points",), _break_view("points", "metric, community"))
+VIEW_SQL["single"] = (("points",), f"SELECT metric, community, {sse_sql()} AS sse0, regr_slope(y, x) AS s0 FROM points WHERE n >= 14 GROUP BY ALL")
+VIEW_SQL["breaks"] = (("best", "single"), "SELECT *, sse/nullif(sse0,0) AS sse_ratio FROM best JOIN single USING (metric, community)")
 BREAK_COLUMNS_SQL = """CAST(n AS INTEGER) AS n_obs, month AS break_month, round(s1,6) AS pre_slope, round(s2,6) AS post_slope, round(sse_ratio,6) AS sse_ratio"""
 
 
-@check("segmented_regression_1break", with_views("breaks", body=f"SELECT platform, community, {BREAK_COLUMNS_SQL} FROM breaks"))
+@check("segmented_regression_1break", with_views("breaks", body=f"SELECT metric, community, {BREAK_COLUMNS_SQL} FROM breaks"))
 def segmented_regression_1break(spark, folder):
-    monthly = shared.community_month(spark, folder)
-    return rounded(breakpoints.segmented_regression_1break(monthly, SERIES, "toxicity_mean"))
+    return rounded(breakpoints.segmented_regression_1break(metric_months(spark, folder), SERIES, "value"))
 
 
 VIEW_SQL["fitted"] = (("points", "best"), """
-    SELECT *, r0 - avg(r0) OVER (PARTITION BY platform, community) AS r FROM (
-      SELECT p.platform, p.community, p.month, p.x, p.i, p.n, CASE WHEN p.i < b.i THEN b.i1 + b.s1*p.x ELSE b.i2 + b.s2*p.x END AS f,
+    SELECT *, r0 - avg(r0) OVER (PARTITION BY metric, community) AS r FROM (
+      SELECT p.metric, p.community, p.month, p.x, p.i, p.n, CASE WHEN p.i < b.i THEN b.i1 + b.s1*p.x ELSE b.i2 + b.s2*p.x END AS f,
         p.y - CASE WHEN p.i < b.i THEN b.i1 + b.s1*p.x ELSE b.i2 + b.s2*p.x END AS r0
-      FROM points p JOIN best b USING (platform, community))""")
+      FROM points p JOIN best b USING (metric, community))""")
 VIEW_SQL["redrawn"] = (("fitted",), f"""
-    SELECT d.platform, d.community, d.rep, d.month, d.x, d.i, d.n, d.f + q.r AS y FROM (
-      SELECT *, {draw_sql('n', "'2025'", 'platform', 'community', 'rep', 'i')} AS j FROM fitted, range(0, 200) z(rep)) d
-    JOIN fitted q ON q.platform=d.platform AND q.community=d.community AND q.i=d.j""")
-VIEW_SQL["again"] = (("redrawn",), _break_view("redrawn", "platform, community, rep"))
+    SELECT d.metric, d.community, d.rep, d.month, d.x, d.i, d.n, d.f + q.r AS y FROM (
+      SELECT *, {draw_sql('n', "'2025'", 'metric', 'community', 'rep', 'i')} AS j FROM fitted, range(0, 200) z(rep)) d
+    JOIN fitted q ON q.metric=d.metric AND q.community=d.community AND q.i=d.j""")
+VIEW_SQL["again"] = (("redrawn",), _break_view("redrawn", "metric, community, rep"))
 VIEW_SQL["intervals"] = (("again", "best"), """
-    SELECT platform, community, list_sort(list(a.month)) AS l, avg(CASE WHEN abs(datediff('month', CAST(a.month||'-01' AS DATE), CAST(b.month||'-01' AS DATE))) <= 3 THEN 1.0 ELSE 0 END) AS st
-    FROM again a JOIN best b USING (platform, community) GROUP BY ALL""")
+    SELECT metric, community, list_sort(list(a.month)) AS l, avg(CASE WHEN abs(datediff('month', CAST(a.month||'-01' AS DATE), CAST(b.month||'-01' AS DATE))) <= 3 THEN 1.0 ELSE 0 END) AS st
+    FROM again a JOIN best b USING (metric, community) GROUP BY ALL""")
 
 
 @check("break_bootstrap", with_views("breaks", "intervals", body=f"""
-    SELECT platform, community, {BREAK_COLUMNS_SQL}, l[CAST(floor(0.05*(len(l)-1)) AS INTEGER)+1] AS ci_low_month,
-      l[CAST(floor(0.95*(len(l)-1)) AS INTEGER)+1] AS ci_high_month, round(st,6) AS bootstrap_stability FROM breaks JOIN intervals USING (platform, community)"""))
+    SELECT metric, community, {BREAK_COLUMNS_SQL}, l[CAST(floor(0.05*(len(l)-1)) AS INTEGER)+1] AS ci_low_month,
+      l[CAST(floor(0.95*(len(l)-1)) AS INTEGER)+1] AS ci_high_month, round(st,6) AS bootstrap_stability FROM breaks JOIN intervals USING (metric, community)"""))
 def break_bootstrap(spark, folder):
-    return rounded(breakpoints.break_bootstrap(shared.community_month(spark, folder), SERIES, "toxicity_mean"))
+    return rounded(breakpoints.break_bootstrap(metric_months(spark, folder), SERIES, "value"))
 
 
 DISTANCE_SQL = f"CAST(abs(datediff('month', CAST(month||'-01' AS DATE), DATE '{CUTOFF}')) AS INTEGER)"
 
 
 def distances(spark, folder):
-    found = breakpoints.segmented_regression_1break(shared.community_month(spark, folder), SERIES, "toxicity_mean")
+    found = breakpoints.segmented_regression_1break(metric_months(spark, folder), SERIES, "value")
     return breakpoints.break_event_distance(found, EVENT_MONTH)
 
 
 @check("break_event_distance", with_views("breaks", body=f"""
-    SELECT platform, community, {BREAK_COLUMNS_SQL}, {DISTANCE_SQL} AS dist_to_event_months, {DISTANCE_SQL} <= 3 AS near_event FROM breaks"""))
+    SELECT metric, community, {BREAK_COLUMNS_SQL}, {DISTANCE_SQL} AS dist_to_event_months, {DISTANCE_SQL} <= 3 AS near_event FROM breaks"""))
 def break_event_distance(spark, folder):
     return rounded(distances(spark, folder))
 
 
 @check("break_summary", with_views("breaks", body=f"""
-    SELECT platform, count(*) AS n_series, count(*) FILTER ({DISTANCE_SQL} <= 3) AS n_near_event, array_to_string(list_sort(list(DISTINCT month)), ', ') AS break_months,
-      round(median(sse_ratio),6) AS median_sse_ratio FROM breaks GROUP BY platform"""))
+    SELECT metric, count(*) AS n_series, count(*) FILTER ({DISTANCE_SQL} <= 3) AS n_near_event, array_to_string(list_sort(list(DISTINCT month)), ', ') AS break_months,
+      round(median(sse_ratio),6) AS median_sse_ratio FROM breaks GROUP BY metric"""))
 def break_summary(spark, folder):
-    return rounded(breakpoints.break_summary(distances(spark, folder), ["platform"]))
+    return rounded(breakpoints.break_summary(distances(spark, folder), ["metric"]))
 
 
 @check("strongest_breaks", with_views("breaks", body="""
-    SELECT platform, community, month AS break_month, round(sse_ratio,6) AS sse_ratio FROM breaks ORDER BY sse_ratio LIMIT 8"""))
+    SELECT metric, community, month AS break_month, round(sse_ratio,6) AS sse_ratio FROM breaks ORDER BY sse_ratio LIMIT 8"""))
 def strongest_breaks(spark, folder):
     found = breakpoints.strongest_breaks(distances(spark, folder))
-    return rounded(found.select("platform", "community", "break_month", "sse_ratio"))
+    return rounded(found.select("metric", "community", "break_month", "sse_ratio"))
 
 
 VIEW_SQL["two"] = (("points",), """
-    WITH seg AS (SELECT a.platform, a.community, a.i AS lo, b.i + 1 AS hi, a.n, a.month,
+    WITH seg AS (SELECT a.metric, a.community, a.i AS lo, b.i + 1 AS hi, a.n, a.month,
         regr_syy(p.y, p.x) - pow(regr_sxy(p.y, p.x),2)/regr_sxx(p.y, p.x) AS sse, regr_slope(p.y, p.x) AS slope
-      FROM points a JOIN points b USING (platform, community) JOIN points p USING (platform, community)
+      FROM points a JOIN points b USING (metric, community) JOIN points p USING (metric, community)
       WHERE b.i - a.i >= 5 AND p.i BETWEEN a.i AND b.i AND a.n >= 14 GROUP BY ALL),
-    pairs AS (SELECT s1.platform, s1.community, s1.n, s2.month AS m1, s3.month AS m2, s1.sse + s2.sse + s3.sse AS sse, s1.slope AS a, s2.slope AS b, s3.slope AS c, s2.lo AS l2, s3.lo AS l3
-      FROM seg s1 JOIN seg s2 ON s2.platform=s1.platform AND s2.community=s1.community AND s2.lo=s1.hi
-      JOIN seg s3 ON s3.platform=s1.platform AND s3.community=s1.community AND s3.lo=s2.hi AND s3.hi=s1.n WHERE s1.lo=0)
-    SELECT platform, community, any_value(n) AS n, min(sse) AS sse, arg_min(m1||';'||m2, (sse, l2, l3)) AS months, arg_min(a, (sse, l2, l3)) AS a, arg_min(b, (sse, l2, l3)) AS b, arg_min(c, (sse, l2, l3)) AS c
+    pairs AS (SELECT s1.metric, s1.community, s1.n, s2.month AS m1, s3.month AS m2, s1.sse + s2.sse + s3.sse AS sse, s1.slope AS a, s2.slope AS b, s3.slope AS c, s2.lo AS l2, s3.lo AS l3
+      FROM seg s1 JOIN seg s2 ON s2.metric=s1.metric AND s2.community=s1.community AND s2.lo=s1.hi
+      JOIN seg s3 ON s3.metric=s1.metric AND s3.community=s1.community AND s3.lo=s2.hi AND s3.hi=s1.n WHERE s1.lo=0)
+    SELECT metric, community, any_value(n) AS n, min(sse) AS sse, arg_min(m1||';'||m2, (sse, l2, l3)) AS months, arg_min(a, (sse, l2, l3)) AS a, arg_min(b, (sse, l2, l3)) AS b, arg_min(c, (sse, l2, l3)) AS c
     FROM pairs GROUP BY ALL""")
 VIEW_SQL["models"] = (("two", "breaks"), """
-    WITH m AS (SELECT platform, community, 0 AS nb, n, NULL::VARCHAR AS months, sse0 AS sse, s0 AS a, NULL::DOUBLE AS b, NULL::DOUBLE AS c FROM breaks
-      UNION ALL SELECT platform, community, 1, n, month, sse, s1, s2, NULL FROM breaks UNION ALL SELECT platform, community, 2, n, months, sse, a, b, c FROM two),
+    WITH m AS (SELECT metric, community, 0 AS nb, n, NULL::VARCHAR AS months, sse0 AS sse, s0 AS a, NULL::DOUBLE AS b, NULL::DOUBLE AS c FROM breaks
+      UNION ALL SELECT metric, community, 1, n, month, sse, s1, s2, NULL FROM breaks UNION ALL SELECT metric, community, 2, n, months, sse, a, b, c FROM two),
     k AS (SELECT *, 3*nb+2 AS k, n*ln(sse/n) AS fit FROM m), s AS (SELECT *, fit + k*ln(n) AS bic, fit + 2*k + 2.0*k*(k+1)/(n-k-1) AS aicc FROM k)
-    SELECT *, bic - max(bic) FILTER (nb=0) OVER w AS db, nb = arg_min(nb, bic) OVER w AS sel FROM s WINDOW w AS (PARTITION BY platform, community)""")
+    SELECT *, bic - max(bic) FILTER (nb=0) OVER w AS db, nb = arg_min(nb, bic) OVER w AS sel FROM s WINDOW w AS (PARTITION BY metric, community)""")
 
 
 @check("regime_model_comparison", with_views("models", body=f"""
-    , d AS (SELECT platform, community, nb, min(abs(datediff('month', CAST(x||'-01' AS DATE), DATE '{CUTOFF}'))) AS dist
-      FROM (SELECT platform, community, nb, unnest(string_split(months, ';')) AS x FROM models) GROUP BY ALL)
-    SELECT platform, community, nb AS n_breaks, CAST(n AS INTEGER) AS n_obs, months AS break_months, round(sse,6) AS sse, round(sqrt(sse/n),6) AS rmse,
+    , d AS (SELECT metric, community, nb, min(abs(datediff('month', CAST(x||'-01' AS DATE), DATE '{CUTOFF}'))) AS dist
+      FROM (SELECT metric, community, nb, unnest(string_split(months, ';')) AS x FROM models) GROUP BY ALL)
+    SELECT metric, community, nb AS n_breaks, CAST(n AS INTEGER) AS n_obs, months AS break_months, round(sse,6) AS sse, round(sqrt(sse/n),6) AS rmse,
       round(bic,6) AS bic, round(aicc,6) AS aicc, round(db,6) AS delta_bic_vs_no_break, sel AS bic_selected, CAST(dist AS INTEGER) AS dist_to_event_months,
       coalesce(dist <= 3, false) AS near_event, round(a,6) AS slope_1, round(b,6) AS slope_2, round(c,6) AS slope_3
-    FROM models LEFT JOIN d USING (platform, community, nb)"""))
+    FROM models LEFT JOIN d USING (metric, community, nb)"""))
 def regime_model_comparison(spark, folder):
-    monthly = shared.community_month(spark, folder)
-    return rounded(breakpoints.regime_model_comparison(monthly, SERIES, "toxicity_mean", EVENT_MONTH))
+    return rounded(breakpoints.regime_model_comparison(metric_months(spark, folder), SERIES, "value", EVENT_MONTH))
 
 
 def community_panel(spark, folder):
