@@ -70,7 +70,10 @@ def block_count(docs: DataFrame) -> int:
 
 def in_blocks(docs: DataFrame, blocks: int, keep_rest: bool = False) -> DataFrame:
     """Rows of ``SCHEMA``: parts of blocks. With ``keep_rest`` the other columns travel along."""
-    if not keep_rest:
+    if keep_rest:
+        # By place, as a name may hold anything.
+        docs = docs.toDF(*[n if n in ("doc_id", "text") else f"_{i}" for i, n in enumerate(docs.columns)])
+    else:
         docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -90,8 +93,10 @@ def in_blocks(docs: DataFrame, blocks: int, keep_rest: bool = False) -> DataFram
                 if keep_rest:
                     sink = pa.BufferOutputStream()
                     part = batch.take(pa.array(rows))
+                    place = part.schema.get_field_index("text")
+                    part = part.set_column(place, "text", pa.nulls(len(rows), part.schema.field("text").type))
                     with pa.ipc.new_stream(sink, part.schema) as writer:
-                        writer.write_batch(part.set_column(part.schema.get_field_index("text"), "text", pa.array([""] * len(rows), part.schema.field("text").type)))
+                        writer.write_batch(part)
                     rest = squeeze(sink.getvalue().to_pybytes())
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -122,7 +127,7 @@ def documents_of(table: pa.Table) -> tuple[np.ndarray, list[bytes], np.ndarray]:
 
 
 def rest_of(table: pa.Table, order: np.ndarray) -> pa.Table:
-    """The rows that travelled along, in the order of ``documents_of``; their texts are empty."""
+    """The rows that travelled along, in the order of ``documents_of``; their texts are null."""
     parts = [pa.ipc.open_stream(expand(x).tobytes()).read_all() for x in table.column("rest").to_pylist()]
     return pa.concat_tables(parts).take(pa.array(order))
 

@@ -372,8 +372,8 @@ def without_repeats(
         if replace_text:
             rest = rest_of(table, order)
             columns = [
-                pa.array([k.decode() for k in kept], f.type) if f.name == "text" else rest.column(f.name).cast(f.type)
-                for f in kept_schema
+                pa.array([k.decode() for k in kept], f.type) if f.name == "text" else rest.column(i).cast(f.type)
+                for i, f in enumerate(kept_schema)
             ]
             return pa.Table.from_arrays(columns, schema=kept_schema)
         names = [None if i == NO_ID else int(i) for i in ids]
