@@ -165,10 +165,11 @@ def test_near_duplicates_of_odd_rows(texts, odd_rows):
     docs = texts(odd_rows, extra=True)
     found = near_duplicates(docs).collect()
     assert Counter(r.doc_id for r in found) == Counter(d for d, _ in odd_rows)
-    assert {r.component_id for r in found if r.doc_id == 12} == {10}
+    # The shared passage makes up nearly all of four texts.
+    assert {r.component_id for r in found if r.doc_id in (10, 11, 12, None)} == {10}
     kept = keep_one_of_each(docs)
     assert kept.columns == docs.columns
-    assert Counter(r.doc_id for r in kept.collect()) == Counter(d for d, _ in odd_rows if d != 12)
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(d for d, _ in odd_rows if d not in (11, 12, None))
 
 
 def test_sketches_fill_and_concentrate():
