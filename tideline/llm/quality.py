@@ -9,26 +9,30 @@ what the cascade costs; it never changes which documents are kept.
 from __future__ import annotations
 
 import time
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tideline.llm.texts import SPACES, id_and_text, let, words_of
+from tideline.session import cut_lineage
 
 #: Words in a window of ``n_repeat_words``.
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 
 
+#: A measure's column by its name.
+Measured = Callable[[str], Column]
+
+
 @dataclass(frozen=True)
 class Rule:
-    """``rejects`` is a boolean column over the text and the columns that ``needs`` names."""
+    """``rejects`` gives a boolean column over ``text`` and the measures it asks for."""
 
     name: str
-    rejects: Column
-    needs: tuple[str, ...] = ()
+    rejects: Callable[[Measured], Column]
 
 
 def _repeat_words(hashes: Column) -> Column:
@@ -96,33 +100,31 @@ def measured(docs: DataFrame, names: Sequence[str] = tuple(MEASURES)) -> DataFra
 
 def default_rules() -> list[Rule]:
     """The base rules and five more; each is lenient, so that ordinary prose passes."""
-    c = F.col
     return [
-        Rule("few_words", c("n_words") < 20, ("n_words",)),
-        Rule("repeated_words", c("n_repeat_words") * 100 > c("n_words") * 30, ("n_words", "n_repeat_words")),
-        Rule("symbols", c("n_symbols") * 20 > c("word_chars"), ("word_chars", "n_symbols")),
-        Rule("capitals", F.regexp_count("text", F.lit(r"\p{Lu}")) * 10 > F.char_length("text") * 3),
-        Rule("repeated_lines", c("n_dup_lines") * 2 > F.size(F.split("text", "\n")), ("n_dup_lines",)),
-        Rule("long_words", c("word_chars") > c("n_words") * 40, ("n_words", "word_chars")),
-        Rule("few_letters", F.regexp_count("text", F.lit(r"\p{L}")) * 2 < F.char_length("text")),
+        Rule("few_words", lambda m: m("n_words") < 20),
+        Rule("repeated_words", lambda m: m("n_repeat_words") * 100 > m("n_words") * 30),
+        Rule("symbols", lambda m: m("n_symbols") * 20 > m("word_chars")),
+        Rule("capitals", lambda m: F.regexp_count("text", F.lit(r"\p{Lu}")) * 10 > F.char_length("text") * 3),
+        Rule("repeated_lines", lambda m: m("n_dup_lines") * 2 > F.size(F.split("text", "\n"))),
+        Rule("long_words", lambda m: m("word_chars") > m("n_words") * 40),
+        Rule("few_letters", lambda m: F.regexp_count("text", F.lit(r"\p{L}")) * 2 < F.char_length("text")),
     ]
 
 
 def ordered_rules(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = 500) -> list[Rule]:
     """``rules`` by rejections per second on at most ``sample_rows`` documents, best first.
 
-    The sample is a bound on the estimate alone; every document goes through the cascade. Each rule
+    The sample is a bound on the estimate alone; every document goes through the cascade. It is
+    written down, so that all rules see the same rows and none of them reach the driver. Each rule
     is timed on its own with the measures it needs, and the time of reading the sample, as the
     cheapest of all passes, is taken off.
     """
-    spark = docs.sparkSession
-    sample = [(r[0],) for r in id_and_text(docs).select("text").limit(sample_rows).collect()]
-    if not sample:
+    held = cut_lineage(id_and_text(docs).select("text").limit(sample_rows))
+    if held.isEmpty():
         return list(rules)
-    held = spark.createDataFrame(sample, "text string").coalesce(1)
     found = []
     for rule in rules:
-        frame = measured(held, rule.needs).select(F.count_if(rule.rejects).alias("n"))
+        frame = held.agg(F.count_if(rejected_by([rule]).isNotNull()).alias("n"))
         begun = time.perf_counter()
         rejected = frame.first()["n"]
         found.append((time.perf_counter() - begun, rejected, rule))
@@ -130,14 +132,19 @@ def ordered_rules(docs: DataFrame, rules: Sequence[Rule], sample_rows: int = 500
     return [r for _, _, r in sorted(found, key=lambda x: (-x[1] / (x[0] - least + 0.01), x[2].name))]
 
 
-def cascade(rules: Sequence[Rule]) -> Column:
+def cascade(rules: Sequence[Rule], measure: Measured = F.col) -> Column:
     """The name of the first rule that rejects, else null. A null condition rejects nothing."""
     first = F.lit(None).cast("string")
     for rule in reversed(rules):
-        first = F.when(rule.rejects, F.lit(rule.name)).otherwise(first)
+        first = F.when(rule.rejects(measure), F.lit(rule.name)).otherwise(first)
     return first
 
 
+def rejected_by(rules: Sequence[Rule]) -> Column:
+    """The cascade straight from ``text``: words are split once, and a measure is worked out where a rule asks for it."""
+    return let(words_of(F.col("text")), lambda words: cascade(rules, lambda name: MEASURES[name](F.col("text"), words)))
+
+
 def quality_table(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
     """One row per row of ``docs``: all measures, the base verdict and the cascade's.
 
@@ -160,8 +167,8 @@ def quality_table(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataF
 def keep_clean(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFrame:
     """The rows of ``docs`` that no rule rejects, unchanged.
 
-    Here the cascade saves work: a condition that needs a measure works it out in place, so a
-    document that an earlier rule rejects never pays for the later ones. Columns of ``docs`` keep
+    Here the cascade saves work: a measure is worked out where a rule asks for it, so a document that
+    an earlier rule rejects never pays for the later ones. Columns of ``docs`` keep
     their names, whatever they are called; a null text counts as empty.
     """
     rules = default_rules() if rules is None else list(rules)
@@ -169,7 +176,4 @@ def keep_clean(docs: DataFrame, rules: Sequence[Rule] | None = None) -> DataFram
     held = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.coalesce("text", F.lit("")).alias("text")
     )
-    kept = measured(held, sorted({n for r in order for n in r.needs}, key=list(MEASURES).index)).where(
-        cascade(order).isNull()
-    )
-    return kept.select("row.*")
+    return held.where(rejected_by(order).isNull()).select("row.*")
