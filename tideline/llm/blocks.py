@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes of text in a block, about.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 #: Stands for a null id: larger than every other.
 NO_ID = np.iinfo(np.int64).max
 SCHEMA = "block int, ids binary, sizes binary, data binary, rest binary"

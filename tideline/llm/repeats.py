@@ -326,8 +326,8 @@ def without_repeats(
     """
     count = block_count(docs)
     blocks = in_blocks(docs, count, replace_text)
-    # Pieces are a part of the text, anchors fewer still; one bucket answers about two blocks.
-    spans = repeated_spans(blocks, units, index, buckets or max(1, count // 2))
+    # Pieces are a part of the text, anchors fewer still; one bucket answers about one block.
+    spans = repeated_spans(blocks, units, index, buckets or count)
     if replace_text:
         from pyspark.sql.pandas.types import to_arrow_schema
 
