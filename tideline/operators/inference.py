@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from tideline.functions.draws import draw_index, draw_key
 from tideline.functions.labels import activity_bin, bin_names, effect_size_label
 from tideline.functions.stats import (
-    corr_agg,
     correlation_p,
     normal_two_sided_p,
     ratio,
@@ -389,26 +388,45 @@ def bootstrap_percentiles(
 # Correlations --------------------------------------------------------------------------------
 
 
-def with_average_ranks(df: DataFrame, keys: Sequence[str], value: str, name: str) -> DataFrame:
-    """Attach average ranks, from the running counts of distinct values."""
-    table = running_weights(df, keys, value, {"n": F.lit(1)})
-    ranks = table.select(*keys, value, (F.col("n_below") + (F.col("n") + 1) / 2).alias(name))
+def with_average_ranks(
+    df: DataFrame, keys: Sequence[str], value: str, name: str, weight: str | None = None
+) -> DataFrame:
+    """Attach average ranks, from the running weights of distinct values."""
+    table = running_weights(df, keys, value, {"_n": F.col(weight) if weight else F.lit(1)})
+    ranks = table.select(*keys, value, (F.col("_n_below") + (F.col("_n") + 1) / 2).alias(name))
     return df.join(ranks, [*keys, value])
 
 
-def pearson_spearman(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
-    """Both correlations of two columns with p-values; null below three pairs or without spread."""
+def weighted_correlation(x: Column, y: Column, w: Column) -> Column:
+    """Aggregate: correlation of two columns that stand for ``w`` rows each; null without spread."""
+    x, y, w = x.cast("double"), y.cast("double"), w.cast("double")
+    total, sum_x, sum_y = F.sum(w), F.sum(w * x), F.sum(w * y)
+    spread_x = total * F.sum(w * x * x) - sum_x * sum_x
+    spread_y = total * F.sum(w * y * y) - sum_y * sum_y
+    spread = (F.min(x) < F.max(x)) & (F.min(y) < F.max(y))
+    return F.when(spread, (total * F.sum(w * x * y) - sum_x * sum_y) / F.sqrt(spread_x) / F.sqrt(spread_y))
+
+
+def pearson_spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, weight: str | None = None) -> DataFrame:
+    """Both correlations of two columns with p-values; null below three pairs or without spread.
+
+    Equal pairs are counted before anything is ranked or joined; with ``weight`` a row already stands
+    for that many.
+    """
     keys = list(keys)
-    known = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(
-        *keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")
+    known = (
+        df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+        .groupBy(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+        .agg(F.sum(weight or F.lit(1)).alias("_w"))
     )
-    ranked = with_average_ranks(with_average_ranks(known, keys, "x", "rank_x"), keys, "y", "rank_y")
+    ranked = with_average_ranks(with_average_ranks(known, keys, "x", "rank_x", "_w"), keys, "y", "rank_y", "_w")
+    w = F.col("_w")
     grouped = ranked.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.avg("x").alias("mean_x"),
-        F.avg("y").alias("mean_y"),
-        corr_agg(F.col("x"), F.col("y")).alias("_r"),
-        corr_agg(F.col("rank_x"), F.col("rank_y")).alias("_rho"),
+        F.sum(w).alias("n"),
+        (F.sum(w * F.col("x")) / F.sum(w)).alias("mean_x"),
+        (F.sum(w * F.col("y")) / F.sum(w)).alias("mean_y"),
+        weighted_correlation(F.col("x"), F.col("y"), w).alias("_r"),
+        weighted_correlation(F.col("rank_x"), F.col("rank_y"), w).alias("_rho"),
     )
     enough = F.col("n") >= 3
     return grouped.select(

@@ -150,7 +150,9 @@ def correlation_table(scores: DataFrame, base: str, others: dict[str, str]) -> D
     keys = ["community_type", "community"]
     named = scores.select(*keys, F.col(base).alias("_base"), *[F.col(c).alias(n) for n, c in others.items()])
     long = named.unpivot([*keys, "_base"], list(others), "label", "score")
-    return inference.pearson_spearman(in_scopes(long), [*keys, "label"], "_base", "score")
+    # Counted per community before the scopes multiply them.
+    counted = long.groupBy(*keys, "label", "_base", "score").agg(F.count("*").alias("_rows"))
+    return inference.pearson_spearman(in_scopes(counted), [*keys, "label"], "_base", "score", "_rows")
 
 
 def multi_label_cohort_summary(scores: DataFrame, labels: dict[str, str], calendar: EventCalendar) -> DataFrame:
