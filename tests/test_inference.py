@@ -130,3 +130,16 @@ def test_resampled_intervals_hold_the_estimate(spark):
     assert row["glass_ci_lower"] < row["glass_delta"] < row["glass_ci_upper"]
     assert row["cliffs_ci_lower"] < row["cliffs_delta"] < row["cliffs_ci_upper"]
     assert row["n_focal"] == row["n_reference"] == 40
+
+
+@pytest.mark.parametrize("df", [1e3, 1e5, 9e5, 1.1e6, 1e10, 1e14])
+def test_the_tail_of_large_samples_keeps_its_digits(df):
+    """Against a sum over the density, whose constant is a short series for large samples."""
+    for t in (0.05, 1.0, 2.5, 6.0):
+        x = np.linspace(t, t + 40, 400_001)
+        density = np.exp(-(df + 1) / 2 * np.log1p(x * x / df)) / math.sqrt(2 * math.pi) * (1 - 1 / (4 * df) + 1 / (32 * df**2))
+        weights = np.where(np.arange(len(x)) % 2, 4.0, 2.0)
+        weights[[0, -1]] = 1.0
+        total = 2 * float((weights * density).sum()) * (x[1] - x[0]) / 3
+        assert student_t_tail(t, df) == pytest.approx(total, rel=2e-8)
+        assert student_t_tail(-t, df) == student_t_tail(t, df)
