@@ -33,8 +33,8 @@ BANDS = SLOTS // ROWS
 #: Slots in which two sketches agree at least if a link is possible: at similarity 0.8 fewer agree with
 #: a probability below 1e-6.
 LEAST_AGREED = 80
-#: Members of a band that are compared in one task with as many others.
-CHUNK = 512
+#: Documents of a band or cluster that are compared in one task with as many others.
+CHUNK = 2048
 
 
 def shingles(words: list[bytes], size: int) -> np.ndarray:
@@ -181,44 +181,141 @@ def _band_rows(reps: DataFrame) -> DataFrame:
     )
 
 
-def _possible_pairs(members: DataFrame) -> DataFrame:
-    """Pairs in one band but different components whose sketches agree in ``LEAST_AGREED`` slots.
+class _Joined:
+    """Which of some labels have been joined: a union-find over their places in an array."""
 
-    ``members`` has band, key, rep, component, sketch and the band's number of members. A band is
-    cut into chunks by hash; every two chunks meet in one task, which compares sketches and gives out
-    the pairs that pass. All other pairs stay inside the task.
+    def __init__(self, labels: np.ndarray):
+        self.names, self.of = np.unique(labels, return_inverse=True)
+        self.up = list(range(len(self.names)))
+
+    def root(self, i: int) -> int:
+        while self.up[i] != i:
+            self.up[i] = self.up[self.up[i]]
+            i = self.up[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        """Join two labels by place; false if they were joined before."""
+        i, j = self.root(i), self.root(j)
+        self.up[max(i, j)] = min(i, j)
+        return i != j
+
+
+def _slots(table: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, SLOTS)
+
+
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.Table:
+    return pa.Table.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], schema=_PAIR)
+
+
+def _possible_joins(members: DataFrame) -> DataFrame:
+    """Pairs of components that links may join, as a forest per band.
+
+    ``members`` has band, key, rep, component, sketch and the band's number of members. A task
+    compares the sketches of a band's members; of the pairs of different components that agree in
+    ``LEAST_AGREED`` slots it gives out only those that join components not yet joined, so fewer rows
+    leave a band than enter it. A large band is cut into chunks by hash, every two of which meet.
     """
     chunks = F.ceil(F.col("size") / CHUNK).cast("int")
     placed = members.withColumn("_chunks", chunks).withColumn("_own", F.pmod(F.xxhash64("rep"), F.col("_chunks")))
-    spread = placed.select(
-        "*", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_other")
-    ).select(
+    spread = placed.select("*", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)).alias("_other")).select(
         "band",
         "key",
         F.least("_own", "_other").alias("lo"),
         F.greatest("_own", "_other").alias("hi"),
         "_own",
-        "rep",
         "component",
         "sketch",
     )
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(table: pa.Table) -> pa.Table:
-        reps, comps = table.column("rep").to_numpy(), table.column("component").to_numpy()
+        joined = _Joined(table.column("component").to_numpy())
         own, lo, hi = table.column("_own").to_numpy(), table.column("lo")[0].as_py(), table.column("hi")[0].as_py()
-        slots = np.frombuffer(b"".join(table.column("sketch").to_pylist()), np.uint16).reshape(-1, SLOTS)
+        slots, of = _slots(table), joined.of
         first, second = np.flatnonzero(own == lo), np.flatnonzero(own == hi)
-        a, b = [], []
+        found = []
         for i in first:
-            rest = second[(comps[second] != comps[i]) & ((reps[second] > reps[i]) | (lo != hi))]
+            rest = second[(of[second] != of[i]) & ((second > i) | (lo != hi))]
             hit = rest[(slots[rest] == slots[i]).sum(axis=1) >= LEAST_AGREED]
-            a.append(np.minimum(reps[hit], reps[i]))
-            b.append(np.maximum(reps[hit], reps[i]))
-        none = [np.empty(0, np.int64)]
-        return pa.Table.from_arrays([pa.array(np.concatenate(a or none)), pa.array(np.concatenate(b or none))], schema=schema)
+            for c in np.unique(of[hit]):
+                if joined.join(of[i], c):
+                    found.append((int(joined.names[of[i]]), int(joined.names[c])))
+        return _pairs(found)
 
-    return spread.groupBy("band", "key", "lo", "hi").applyInArrow(run, "a bigint, b bigint").distinct()
+    return spread.groupBy("band", "key", "lo", "hi").applyInArrow(run, "a bigint, b bigint")
+
+
+def _links_in_clusters(members: DataFrame, percent: int) -> DataFrame:
+    """Links between the components of a cluster, confirmed on full sets inside the tasks.
+
+    ``members`` has cluster, component, rep, sketch and shingles. Documents of a cluster's largest
+    component need no comparison with each other: the documents of its other components meet all.
+    Either side is cut into chunks by hash, and every two chunks meet in one task. Links that join
+    nothing new there are not given out, so their number is below that of the documents.
+    """
+    per_component = members.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    per_cluster = per_component.groupBy("cluster").agg(
+        F.max_by("component", F.struct("n", "component")).alias("largest"),
+        F.sum("n").alias("all"),
+        (F.sum("n") - F.max("n")).alias("others"),
+    )
+    sized = members.join(
+        per_cluster.select(
+            "cluster",
+            "largest",
+            F.ceil(F.col("all") / CHUNK).cast("int").alias("columns"),
+            F.ceil(F.col("others") / CHUNK).cast("int").alias("rows"),
+        ),
+        "cluster",
+    )
+    kept = ("cluster", "component", "rep", "sketch", "shingles")
+    own = F.xxhash64("rep")
+    other_side = sized.where(F.col("component") != F.col("largest")).select(
+        *kept,
+        F.lit(True).alias("other"),
+        F.pmod(own, F.col("rows")).cast("int").alias("i"),
+        F.explode(F.sequence(F.lit(0), F.col("columns") - 1)).alias("j"),
+    )
+    all_side = sized.select(
+        *kept,
+        F.lit(False).alias("other"),
+        F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("i"),
+        F.pmod(own, F.col("columns")).cast("int").alias("j"),
+    )
+
+    def run(table: pa.Table) -> pa.Table:
+        joined = _Joined(table.column("component").to_numpy())
+        slots, of, reps = _slots(table), joined.of, table.column("rep").to_numpy()
+        shingles = table.column("shingles").combine_chunks()
+        ends, flat = shingles.offsets.to_numpy(), shingles.values.to_numpy()
+        other = table.column("other").to_numpy(zero_copy_only=False)
+        second = np.flatnonzero(~other)
+        found = []
+        for i in np.flatnonzero(other):
+            rest = second[of[second] != of[i]]
+            agreed = (slots[rest] == slots[i]).sum(axis=1)
+            mine = flat[ends[i] : ends[i + 1]]
+            # The most alike first, as they join what the less alike need not be compared for.
+            for k in np.argsort(-agreed, kind="stable"):
+                if agreed[k] < LEAST_AGREED:
+                    break
+                j = rest[k]
+                if joined.root(of[i]) == joined.root(of[j]):
+                    continue
+                theirs = flat[ends[j] : ends[j + 1]]
+                shared = len(np.intersect1d(mine, theirs, assume_unique=True))
+                if 100 * shared >= percent * (len(mine) + len(theirs) - shared):
+                    joined.join(of[i], of[j])
+                    found.append((int(min(reps[i], reps[j])), int(max(reps[i], reps[j]))))
+        return _pairs(found)
+
+    # Dealt by all three keys: by the cluster alone all chunks of a large one would meet in one task.
+    tasks = all_side.unionByName(other_side).repartition("cluster", "i", "j")
+    return tasks.groupBy("cluster", "i", "j").applyInArrow(run, "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFrame:
@@ -227,7 +324,7 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     A document with a null, empty or blank text has an empty set, is linked with nothing and is its
     own component. Rows with one id are one document: each gets its row, with the set of its own text;
     links are those of the first text in order. A null id takes part as the largest id and comes out
-    as null again, with a component of its own kept as null. Other columns are not looked at.
+    as null again; where it is linked with nothing, so is its component. Other columns are not looked at.
     """
     from tideline.llm.blocks import NO_ID
 
@@ -258,10 +355,16 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
         .select("band", "key")
     )
     members = labelled.join(open_bands, ["band", "key"]).join(reps.select("rep", "sketch"), "rep")
-    pairs = _written(_possible_pairs(members).join(stars, ["a", "b"], "left_anti"), "pairs")
-    if not pairs.isEmpty():
-        more = confirmed(pairs, full_sets(blocks, _ends(pairs), count, size), percent)
-        more = _written(more, "links")
+    joins = _written(_possible_joins(members).distinct(), "joins")
+    if not joins.isEmpty():
+        clusters = components(joins).select(F.col("doc_id").alias("component"), F.col("component").alias("cluster"))
+        of_rep = reps.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select(
+            "rep", "sketch", F.coalesce("component", "rep").alias("component")
+        )
+        inside = _written(of_rep.join(clusters, "component"), "clusters")
+        sets = full_sets(blocks, inside.select(F.col("rep").alias("doc_id")), count, size)
+        inside = _written(inside.join(sets.withColumnRenamed("doc_id", "rep"), "rep"), "clusters")
+        more = _written(_links_in_clusters(inside, percent), "links")
         if not more.isEmpty():
             labels = components(links.union(more))
 
