@@ -22,15 +22,14 @@ def test_pipeline_matches_plain_stages(spark):
     rows = sorted((r.doc_id, r.text) for r in docs.select("doc_id", "text").collect() if r.doc_id in good)
     rows = [r for r, (_, c) in zip(rows, brute.near_components(rows, 5)) if r[0] == c]
     expected = Counter()
-    for (d, text), (units, flags) in zip(rows, brute.repeats(rows, 50, False)):
-        left, at, place = [], 0, 0
+    for (d, text), (_, flags) in zip(rows, brute.repeats(rows, 50, False)):
+        left, place = [], 0
         for c in text:
             n = len(c.encode())
             # A character goes when all its bytes lie in one removed run, as runs are maximal.
             if not all(flags[place : place + n]):
                 left.append(c)
             place += n
-        del at, units
         expected[d, len("".join(left).encode().split())] += 1
     found = corpus_pipeline.run(spark, FOLDER).collect()
     assert Counter((r.doc_id, r.length) for r in found) == expected
