@@ -74,6 +74,7 @@ def test_cut_repeats_keeps_columns_and_characters(texts, odd_rows):
 
     rows = [(d, t[:3000] if t else t) for d, t in odd_rows]
     docs = texts(rows, extra=True)
+    docs = docs.withColumn("doc_id", F.col("doc_id").cast("int"))
     cut = cut_repeats(docs)
     assert cut.columns == docs.columns
     assert cut.schema["doc_id"].dataType == docs.schema["doc_id"].dataType

@@ -80,7 +80,7 @@ def in_blocks(docs: DataFrame, blocks: int, keep_rest: bool = False) -> DataFram
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ids = batch.column("doc_id").fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
+            ids = batch.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
             texts = batch.column("text").fill_null("").cast(pa.large_binary())
             block = (mixed(ids.view(np.uint64)) % np.uint64(blocks)).astype(np.int32)
             order = np.argsort(block, kind="stable")
