@@ -396,6 +396,17 @@ def test_fingerprints_of_odd_rows(texts, odd_rows):
     assert alone.edited_sha256 == brute.sha("abcdefab") and alone.near_next == 1.0
 
 
+def test_window_likeness_survives_an_insertion(texts):
+    from tideline.llm.merkle import window_likeness
+
+    line = " ".join(f"word{i * 7919 % 1009}" for i in range(150))
+    blankless = "".join(chr(0x4E00 + i * 7919 % 5003) for i in range(600)) + "\U0001f600" * 3
+    docs = [(1, line), (2, "put " + line), (3, blankless), (4, "x" + blankless), (5, "short"), (6, "a\nshort"), (7, "")]
+    near = {r.doc_id: r.near_next for r in window_likeness(texts(docs)).collect()}
+    assert near[1] > 0.95 and near[3] > 0.95
+    assert near[2] < 0.01 and near[5] == 0.5 and near[6] == 0
+
+
 # --- tokenizers ----------------------------------------------------------------------------------
 
 STRANGE = ["", " ", "  a  b ", "▁", "a▁b", "<unk>", "<s>", "<0x41>", "\x00", "漢字 かな", "\U0001f600x", "é", "a\n\n b\t\r\n", "�"]

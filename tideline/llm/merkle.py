@@ -5,7 +5,8 @@ digest is the hash of its text, a section's that of its paragraphs' digests, the
 sections'. Splitting loses nothing, so equal roots mean equal texts. Below the paragraphs stand
 leaves of a few characters each, counted from the paragraph's start: an edit changes the leaves
 behind it in its own paragraph and leaves those of all other paragraphs as they are. Two documents
-are compared from the root down, and by the share of leaves they have in common.
+are compared from the root down, and by the share of leaves they have in common. Windows of as many
+characters start at every character instead, so an edit changes only the windows that hold it.
 """
 
 from __future__ import annotations
@@ -44,6 +45,18 @@ def leaves(text: Column, leaf_chars: int = LEAF_CHARS) -> Column:
     )
 
 
+def windows(text: Column, window_chars: int = LEAF_CHARS) -> Column:
+    """The set of digests of all runs of ``window_chars`` in a line; a shorter line is one itself.
+
+    The look-ahead takes the run and the match one code point, so the runs overlap.
+    """
+    run = f"[^\\n]{{{window_chars}}}"
+    line = f"(?<![^\\n])[^\\n]{{1,{window_chars}}}(?![^\\n])"
+    return F.array_distinct(
+        F.transform(F.regexp_extract_all(text, F.lit(f"(?=({run}|{line}))[^\\n]"), F.lit(1)), lambda x: F.xxhash64(x))
+    )
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Shared leaves by all leaves of two leaf sets; 1 when both are empty."""
     both = let(b, lambda b: F.struct(F.size(F.array_intersect(a, b)).alias("n"), (F.size(a) + F.size(b)).alias("all")))
@@ -89,17 +102,11 @@ def with_next(docs: DataFrame, groups: int | None = None) -> DataFrame:
     return held.join(firsts, "_g").select("doc_id", "text", F.coalesce("_ahead", "_over").alias("next_text"))
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text and of its edited form, with their likenesses.
-
-    The edited text has its last quarter of code points replaced by as many first ones of the next
-    document. A null text is empty; an empty text has one section of one empty paragraph and no
-    leaves. A single document is its own next. Repeated rows are each a document; other columns are
-    not looked at; an empty table gives an empty table.
-    """
+def with_edited(docs: DataFrame) -> DataFrame:
+    """``with_next`` with ``n_chars`` and ``edited``, whose last quarter is the start of the next text."""
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
-    texts = with_next(docs).select(
+    return with_next(docs).select(
         "doc_id",
         "text",
         "next_text",
@@ -108,7 +115,32 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("next_text"), F.lit(1), quarter)
         ).alias("edited"),
     )
-    trees = texts.select(
+
+
+def window_likeness(docs: DataFrame) -> DataFrame:
+    """``near_edited`` and ``near_next`` over windows, which an insertion of any length leaves in common.
+
+    Texts, their edited forms and odd rows are those of ``fingerprints``.
+    """
+    near = let(
+        windows(F.col("text")),
+        lambda own: F.struct(
+            likeness(own, windows(F.col("edited"))).alias("near_edited"),
+            likeness(own, windows(F.col("next_text"))).alias("near_next"),
+        ),
+    )
+    return with_edited(docs).select("doc_id", "n_chars", near.alias("_near")).select("doc_id", "n_chars", "_near.*")
+
+
+def fingerprints(docs: DataFrame) -> DataFrame:
+    """Fingerprints of every text and of its edited form, with their likenesses.
+
+    The edited text has its last quarter of code points replaced by as many first ones of the next
+    document. A null text is empty; an empty text has one section of one empty paragraph and no
+    leaves. A single document is its own next. Repeated rows are each a document; other columns are
+    not looked at; an empty table gives an empty table.
+    """
+    trees = with_edited(docs).select(
         "doc_id",
         "n_chars",
         _sha(F.col("edited")).alias("edited_sha256"),

@@ -67,3 +67,34 @@ SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(edited) AS edited
         AS BIGINT) - 1 END AS changed_paragraph
 FROM leaved
 """
+
+SQL["op10_document_likeness"] = """
+WITH texts AS (
+    SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
+), following AS (
+    SELECT rid, doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id, text),
+        first_value(text) OVER (ORDER BY doc_id, text)) AS next_text
+    FROM texts
+), edits AS (
+    SELECT *, left(text, length(text) - length(text) // 4) || left(next_text, length(text) // 4) AS edited
+    FROM following
+), lines AS (
+    SELECT rid, kind, unnest(string_split(t, chr(10))) AS line FROM (
+        SELECT rid, 'own' AS kind, text AS t FROM edits
+        UNION ALL SELECT rid, 'edited', edited FROM edits UNION ALL SELECT rid, 'next', next_text FROM edits)
+), windows AS (
+    SELECT DISTINCT rid, kind, substr(line, i, 8) AS w
+    FROM (SELECT rid, kind, line, unnest(range(1, greatest(length(line) - 7, 1) + 1)) AS i FROM lines WHERE line <> '')
+), kinds AS (
+    SELECT rid, w, bool_or(kind = 'own') AS a, bool_or(kind = 'edited') AS b, bool_or(kind = 'next') AS c
+    FROM windows GROUP BY ALL
+), counts AS (
+    SELECT rid, count(*) FILTER (a AND b) AS ab, count(*) FILTER (a OR b) AS a_b,
+        count(*) FILTER (a AND c) AS ac, count(*) FILTER (a OR c) AS a_c
+    FROM kinds GROUP BY rid
+)
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars,
+    CASE WHEN coalesce(a_b, 0) = 0 THEN 1.0 ELSE CAST(ab AS DOUBLE) / a_b END AS near_edited,
+    CASE WHEN coalesce(a_c, 0) = 0 THEN 1.0 ELSE CAST(ac AS DOUBLE) / a_c END AS near_next
+FROM edits LEFT JOIN counts USING (rid)
+"""

@@ -107,3 +107,10 @@ def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.llm.merkle import fingerprints
 
     return fingerprints(documents(spark, sf_dir))
+
+
+@query
+def op10_document_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.merkle import window_likeness
+
+    return window_likeness(documents(spark, sf_dir))
