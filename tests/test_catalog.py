@@ -42,3 +42,16 @@ def test_every_query_has_an_oracle():
 
 def test_the_entry_registers_the_catalog():
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+
+
+@needs_tables
+def test_whole_monthly_graph_keeps_every_id(spark):
+    from pyspark.sql import functions as F
+
+    from tideline.plans import standins
+
+    edges = standins.edges_whole_month(spark, FOLDER)
+    ids = {r[0] for r in edges.select(F.explode(F.array("source", "target"))).distinct().collect()}
+    customers = {str(r[0]) for r in standins.table(spark, FOLDER, "orders").select("o_custkey").distinct().collect()}
+    suppliers = {str(r[0]) for r in standins.table(spark, FOLDER, "lineitem").select("l_suppkey").distinct().collect()}
+    assert ids == customers | suppliers and len(ids) > 71
