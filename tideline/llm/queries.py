@@ -114,3 +114,32 @@ def op10_document_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.llm.merkle import window_likeness
 
     return window_likeness(documents(spark, sf_dir))
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.conversations import damaged, repair_report
+
+    return repair_report(damaged(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+
+
+@query
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.whitening import whitened
+
+    return whitened(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+@query
+def op13_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tideline.llm.decontamination import contamination
+
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    return contamination(documents(spark, sf_dir), items).select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        "n_items",
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        "contaminated",
+    )
