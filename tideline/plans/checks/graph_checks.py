@@ -10,9 +10,10 @@ from tideline.functions import labels, timeparts
 from tideline.functions.calendar import newcomer_days
 from tideline.operators import cohorts, components, graph, hubs, rollups
 from tideline.plans import network, standins
-from tideline.plans.catalog import ORACLES, check, rounded
+from tideline.plans.catalog import check, rounded
 from tideline.plans.checks.label_checks import FIXED_SQL, NEWCOMER_SQL
-from tideline.plans.standins import ORDER_CALENDAR, VIEW_SQL, with_views, with_whole_ids
+from tideline.plans.standins import ORDER_CALENDAR, VIEW_SQL, with_views
+from tideline.session import cut_lineage
 
 DAYS = newcomer_days(ORDER_CALENDAR)
 WEEK = ["community", "week"]
@@ -492,44 +493,39 @@ PLATFORM_MONTH = ["platform", "community", "month"]
 SNAPSHOT_SHOWN = ", ".join(rollups.NETWORK_COLUMNS)
 
 
-def platform_network(spark, folder, edge_list=standins.edges_platform_month):
-    return network.network_snapshot(edge_list(spark, folder), PLATFORM_MONTH)
+def platform_graph(spark, folder):
+    """Pairs and degrees of the monthly snapshots, each written down once."""
+    edges = standins.edges_platform_month(spark, folder)
+    pairs = cut_lineage(graph.dedup_edges(edges, PLATFORM_MONTH))
+    return pairs, cut_lineage(graph.pair_degrees(pairs, PLATFORM_MONTH))
+
+
+def platform_network(spark, folder):
+    return network.network_snapshot(standins.edges_platform_month(spark, folder), PLATFORM_MONTH)
 
 
 @check("join_network_metrics", with_views("community_month", "snapshot_pm", body=f"""
     SELECT m.platform, m.community, m.month, active_users, round(toxicity_mean,6) AS toxicity_mean, {SNAPSHOT_SHOWN}
     FROM community_month m LEFT JOIN snapshot_pm s ON s.community = m.platform||'|'||m.community AND s.month = m.month"""))
-def join_network_metrics(spark, folder, edge_list=standins.edges_platform_month):
+def join_network_metrics(spark, folder):
     """Every snapshot metric of either platform's network."""
     from tideline.plans import shared
 
     joined = rollups.join_network_metrics(
-        shared.community_month(spark, folder), platform_network(spark, folder, edge_list), PLATFORM_MONTH
+        shared.community_month(spark, folder), platform_network(spark, folder), PLATFORM_MONTH
     )
     shown = joined.select(*PLATFORM_MONTH, "active_users", "toxicity_mean", *rollups.NETWORK_COLUMNS)
     return rounded(shown.withColumn("degree_assortativity", F.round("degree_assortativity", 9)))
 
 
-@check("join_network_metrics_whole_ids", with_whole_ids(ORACLES["join_network_metrics"]))
-def join_network_metrics_whole_ids(spark, folder):
-    return join_network_metrics(spark, folder, standins.edges_whole_month)
-
-
 @check("path_metrics_month", with_views("snapshot_pm", body="""
     SELECT split_part(community, '|', 1) AS platform, split_part(community, '|', 2) AS community, month,
       giant_component_size, giant_component_fraction, avg_shortest_path, diameter FROM snapshot_pm"""))
-def path_metrics_month(spark, folder, edge_list=standins.edges_platform_month, words_per_pass=1):
-    """Paths of monthly snapshots, a word of sources at a time."""
-    edges = edge_list(spark, folder)
-    pairs, nodes = graph.dedup_edges(edges, PLATFORM_MONTH), graph.degrees(edges, PLATFORM_MONTH)
+def path_metrics_month(spark, folder):
+    """Paths of the monthly snapshots of either platform."""
+    pairs, nodes = platform_graph(spark, folder)
     found = components.connected_components(pairs, nodes, PLATFORM_MONTH)
-    return rounded(components.path_metrics(pairs, found, PLATFORM_MONTH, words_per_pass))
-
-
-@check("path_metrics_month_whole_ids", with_whole_ids(ORACLES["path_metrics_month"]))
-def path_metrics_month_whole_ids(spark, folder):
-    """Paths over all nodes of the tables, in passes of the usual number of words."""
-    return path_metrics_month(spark, folder, standins.edges_whole_month, words_per_pass=64)
+    return rounded(components.path_metrics(pairs, found, PLATFORM_MONTH))
 
 
 VIEW_SQL["lab_pm"] = (("edges_pm", "deg_pm"), f"""
@@ -538,21 +534,18 @@ VIEW_SQL["lab_pm"] = (("edges_pm", "deg_pm"), f"""
       ON f.community=d.community AND f.node=d.node""")
 
 
-def platform_month_labels(spark, folder, edge_list=standins.edges_platform_month):
+def platform_month_labels(edges, nodes):
     """Labels per month of the nodes that ever act; others have none."""
-    edges = edge_list(spark, folder)
     keys = ["platform", "community"]
     first = edges.groupBy(*keys, F.col("source").alias("node")).agg(F.min("month").alias("first_month"))
     label = labels.newcomer_label(
         timeparts.month_start(F.col("first_month")), timeparts.month_start(F.col("month")), DAYS
     )
-    nodes = graph.degrees(edges, PLATFORM_MONTH)
     return nodes.join(first, [*keys, "node"]).select(*PLATFORM_MONTH, "node", label.alias("label"))
 
 
-def platform_partition(spark, folder, edge_list=standins.edges_platform_month):
-    edges = edge_list(spark, folder)
-    pairs, nodes = graph.dedup_edges(edges, PLATFORM_MONTH), graph.degrees(edges, PLATFORM_MONTH)
+def platform_partition(edges, pairs, nodes):
+    """Mixing of newcomers and existing nodes, from edges, pairs and degrees that are made once."""
     return graph.partition_metrics(
-        pairs, nodes, platform_month_labels(spark, folder, edge_list), PLATFORM_MONTH, [*PLATFORM_MONTH, "node"]
+        pairs, nodes, platform_month_labels(edges, nodes), PLATFORM_MONTH, [*PLATFORM_MONTH, "node"]
     )

@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from tideline.operators import graph, inference, reputation, rollups
 from tideline.plans import overview, shared, standins
-from tideline.plans.catalog import ORACLES, check, rounded
+from tideline.plans.catalog import check, rounded
 from tideline.plans.checks import graph_checks, inference_checks, reputation_checks
 from tideline.plans.standins import LABELS, with_views
-from tideline.session import fresh_folder
+from tideline.session import cut_lineage, fresh_folder
 from tideline.sources import activity as activity_files
 from tideline.sources import edges as edge_files
 from tideline.sources import reputation_files, score_files, sinks
@@ -188,12 +188,15 @@ _PARTITION_PM = graph_checks.for_platform_months(graph_checks.PARTITION_SQL).rep
         f"round({s}_p{p},6) AS {s}_p{p}" for s in ("toxicity_mean", "vader_mean") for p in (5, 50, 95)) + """
     FROM w LEFT JOIN part USING (community, month)
     LEFT JOIN (SELECT community, month, toxicity_mean_p5, toxicity_mean_p50, toxicity_mean_p95, vader_mean_p5, vader_mean_p50, vader_mean_p95 FROM focal_wide) USING (community, month)"""))
-def overview_monthly(spark, folder, edge_list=standins.edges_platform_month):
+def overview_monthly(spark, folder):
     """Overridden reputation, both platforms' networks, mixing and matched bands joined to the months."""
     keys = ["community", "month"]
     monthly = rollups.community_month_basic(reputation_checks.user_month_with_reputation(spark, folder))
-    edges, by_platform = edge_list(spark, folder), graph_checks.PLATFORM_MONTH
-    pairs, nodes = graph.dedup_edges(edges, by_platform), graph.degrees(edges, by_platform)
+    by_platform = graph_checks.PLATFORM_MONTH
+    # Labels and pairs read the same lines, which are joined once.
+    edges = cut_lineage(standins.edges_platform_month(spark, folder))
+    pairs = cut_lineage(graph.dedup_edges(edges, by_platform))
+    nodes = cut_lineage(graph.pair_degrees(pairs, by_platform))
     network = rollups.left_join_all(
         graph.degree_stats(nodes, by_platform).select(*by_platform, "mean_degree"),
         [
@@ -202,7 +205,7 @@ def overview_monthly(spark, folder, edge_list=standins.edges_platform_month):
         ],
         by_platform,
     )
-    mixing = graph_checks.platform_partition(spark, folder, edge_list).where(F.col("platform") == "focal").drop("platform")
+    mixing = graph_checks.platform_partition(edges, pairs, nodes).where(F.col("platform") == "focal").drop("platform")
     bands = inference.bootstrap_percentiles(inference_checks.matched(spark, folder))
     override = reputation_checks.cp_weighted(spark, folder)
     return rounded(
@@ -216,8 +219,3 @@ def overview_monthly(spark, folder, edge_list=standins.edges_platform_month):
             *[f"{m}_p{p}" for m in ("toxicity_mean", "vader_mean") for p in (5, 50, 95)],
         )
     )
-
-
-@check("overview_monthly_whole_ids", standins.with_whole_ids(ORACLES["overview_monthly"]))
-def overview_monthly_whole_ids(spark, folder):
-    return overview_monthly(spark, folder, standins.edges_whole_month)

@@ -109,19 +109,6 @@ def edges_month(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def edges_platform_month(spark: SparkSession, folder: str) -> DataFrame:
-    """Monthly edge lists of either platform, small and dense enough for triangles."""
-    orders = table(spark, folder, "orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
-    lines = table(spark, folder, "lineitem").select("l_orderkey", "l_suppkey", "l_linenumber")
-    return lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        F.when(F.col("o_custkey") % 3 == 0, "focal").otherwise("reference").alias("platform"),
-        F.col("o_orderpriority").alias("community"),
-        F.date_format("o_orderdate", "yyyy-MM").alias("month"),
-        (F.col("o_custkey") % 61).cast("string").alias("source"),
-        ((F.col("l_suppkey") + F.col("l_linenumber") * 7) % 71).cast("string").alias("target"),
-    )
-
-
-def edges_whole_month(spark: SparkSession, folder: str) -> DataFrame:
     """Monthly edge lists of either platform over whole ids: nodes grow with the tables.
 
     Customers and suppliers share one range of ids, as in ``edges_week``, so there are triangles.
@@ -137,18 +124,6 @@ def edges_whole_month(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def with_whole_ids(sql: str) -> str:
-    """SQL over ``edges_platform_month`` as SQL over ``edges_whole_month``."""
-    for folded, whole in (
-        ("CAST(o_custkey % 61 AS VARCHAR)", "CAST(o_custkey AS VARCHAR)"),
-        ("CAST((l_suppkey + l_linenumber * 7) % 71 AS VARCHAR)", "CAST(l_suppkey AS VARCHAR)"),
-    ):
-        if folded not in sql:
-            raise ValueError(f"no {folded} in the SQL")
-        sql = sql.replace(folded, whole)
-    return sql
-
-
 # The same views as DuckDB common table expressions, each with those it builds on.
 VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "activity": ((), """
@@ -197,7 +172,7 @@ VIEW_SQL: dict[str, tuple[tuple[str, ...], str]] = {
     "edges_pm": ((), """
         SELECT CASE WHEN o_custkey % 3 = 0 THEN 'focal' ELSE 'reference' END || '|' || o_orderpriority AS community,
           strftime(CAST(o_orderdate AS TIMESTAMP), '%Y-%m') AS month,
-          CAST(o_custkey % 61 AS VARCHAR) AS source, CAST((l_suppkey + l_linenumber * 7) % 71 AS VARCHAR) AS target
+          CAST(o_custkey AS VARCHAR) AS source, CAST(l_suppkey AS VARCHAR) AS target
         FROM lineitem JOIN orders ON l_orderkey = o_orderkey"""),
     "pairs_pm": (("edges_pm",), """
         SELECT DISTINCT community, month, least(source, target) AS a, greatest(source, target) AS b FROM edges_pm"""),
