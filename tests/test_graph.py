@@ -71,11 +71,37 @@ def test_long_chain_and_wide_words(spark):
     found = components.connected_components(pairs, nodes, ["g"])
     # In one pass over all words of sources, and in one pass per word.
     metrics = components.path_metrics(pairs, found, ["g"]).first()
-    assert metrics == components.path_metrics(pairs, found, ["g"], words_per_pass=1).first()
+    assert metrics == components.path_metrics(pairs, found, ["g"], most_rows=1).first()
     assert metrics["diameter"] == 2
     assert metrics["avg_shortest_path"] == pytest.approx((2 * n + 2 * n * (n - 1)) / ((n + 1) * n))
 
 
+@pytest.mark.parametrize("most_rows,passes", [(1 << 28, 1), (6_200 * 40, 3)])
+def test_paths_of_more_than_five_thousand_nodes(spark, monkeypatch, most_rows, passes):
+    """A hub with spokes that have leaves, whose distances are known; a pass writes once per distance."""
+    spokes, leaves = 80, 75
+    data = [("g", "hub", f"s{i}") for i in range(spokes)] + [
+        ("g", f"s{i}", f"l{i}-{j}") for i in range(spokes) for j in range(leaves)
+    ]
+    wide = spark.createDataFrame(data, "g string, source string, target string")
+    pairs, nodes = graph.dedup_edges(wide, ["g"]), graph.degrees(wide, ["g"])
+    found = components.connected_components(pairs, nodes, ["g"])
+    steps = []
+    fresh = components.fresh_folder
+    monkeypatch.setattr(components, "fresh_folder", lambda s, stem: steps.append(stem) or fresh(s, stem))
+    row = components.path_metrics(pairs, found, ["g"], most_rows=most_rows).first()
+    n = 1 + spokes + spokes * leaves
+    everyone = spokes * leaves
+    total = 2 * (
+        spokes + 2 * everyone + everyone + 3 * everyone * (spokes - 1)
+        + 2 * spokes * (spokes - 1) // 2 + 2 * spokes * leaves * (leaves - 1) // 2
+        + 4 * everyone * (everyone - leaves) // 2
+    )
+    assert row["giant_component_size"] == n > 5_000 and row["diameter"] == 4
+    assert row["avg_shortest_path"] == pytest.approx(total / (n * (n - 1)), rel=1e-12)
+    assert steps.count("paths") == 4 * passes
+
+
 def test_empty_snapshots_give_no_rows(spark):
     empty = spark.createDataFrame([], "g string, source string, target string")
     assert graph.degrees(empty, ["g"]).count() == 0

@@ -9,12 +9,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tideline.functions.stats import ratio
 from tideline.operators.ranking import numbered_rows
-from tideline.session import Rounds, cut_lineage
+from tideline.session import Rounds, cut_lineage, drop_folder, fresh_folder
 
 
 def _both_ways(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -83,74 +83,99 @@ def giant_component(components: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
+def numbered_graph(
+    pairs: DataFrame, components: DataFrame, keys: Sequence[str]
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Giant components with numbers in place of names, so that searches move few bytes.
+
+    Returns the snapshots with their number ``_s``, their nodes as ``_s, node, _i`` and their arcs as
+    ``_s, u, v``. ``_i`` counts the nodes of a snapshot from 0.
+    """
+    keys = list(keys)
+    giant = giant_component(components, keys).where(F.col("giant_component_size") > 1)
+    snapshots = cut_lineage(giant.withColumn("_s", F.monotonically_increasing_id()))
+    named = snapshots.select(*keys, "component", "_s")
+    members = components.join(named, [*keys, "component"]).select("_s", "node")
+    nodes = numbered_rows(members, ["_s"], [F.col("node")], "_i").withColumn("_i", F.col("_i") - 1)
+    nodes = cut_lineage(nodes.select("_s", "node", "_i"))
+    arcs = _both_ways(pairs, keys).join(named.select(*keys, "_s"), keys).select("_s", "u", "v")
+    for end in ("u", "v"):
+        names = nodes.select("_s", F.col("node").alias(end), F.col("_i").alias(f"_{end}"))
+        arcs = arcs.join(names, ["_s", end])
+    return snapshots, nodes, cut_lineage(arcs.select("_s", F.col("_u").alias("u"), F.col("_v").alias("v")))
+
+
 def path_metrics(
-    pairs: DataFrame, components: DataFrame, keys: Sequence[str], words_per_pass: int = 64
+    pairs: DataFrame, components: DataFrame, keys: Sequence[str], most_rows: int = 1 << 28
 ) -> DataFrame:
     """Mean shortest path and diameter of the giant component; null for a single node.
 
-    What a node has been reached from is a set of numbered sources, held as words of 64 bits; one
-    step joins the newest words to the edges and ORs them. The distances are then sums of bit
-    counts: no pair of nodes becomes a row. Sources are searched ``words_per_pass`` words at a time,
-    after which their counts are added up and the state is dropped, so the state never exceeds the
-    nodes times that number, however large a component is.
+    Which sources a node is reached from is a set of numbered sources, in words of 64 bits. A step
+    joins the newest words to the edges and ORs them. Edges lead both ways, so a node next to one at
+    distance ``d`` is itself at ``d - 1``, ``d`` or ``d + 1``: what is new is known from the last two
+    steps, and a step writes new bits alone. Distances are then sums of bit counts, and no pair of
+    nodes becomes a row.
+
+    As many sources are searched at once as keep a step within ``most_rows`` rows (nodes times words);
+    small snapshots are therefore searched whole and together. How many pairs there are to find is
+    known beforehand, and each step counts what it finds as it writes, so a pass takes one job per
+    distance and one that sums up.
     """
     keys = list(keys)
     spark = pairs.sparkSession
-    giant = giant_component(components, keys)
-    wanted = giant.where(F.col("giant_component_size") > 1)
-    members = components.join(wanted.select(*keys, "component"), [*keys, "component"]).select(*keys, "node")
-    numbered = cut_lineage(
-        numbered_rows(members, keys, [F.col("node")], "_i").withColumn("_i", F.col("_i") - 1)
-    )
-    arcs = cut_lineage(
-        _both_ways(pairs, keys).join(members.withColumnRenamed("node", "u"), [*keys, "u"])
-    )
-    own = F.expr("shiftleft(1L, CAST(_i % 64 AS INT))")
-    word = F.floor(F.col("_i") / 64).cast("int").alias("word")
-    sources = numbered.select(*keys, "node", word, own.alias("bits"), own.alias("fresh"))
-    last = sources.agg(F.max("word")).first()[0]
+    giant = cut_lineage(giant_component(components, keys))
+    snapshots, nodes, arcs = numbered_graph(pairs, components, keys)
+    total = nodes.count()
+    words = max(1, most_rows // max(1, total))
+    word = F.floor(F.col("_i") / 64).cast("int")
+    sizes = snapshots.select("_s", F.col("giant_component_size").alias("_n"))
+    counted = nodes.groupBy("_s", F.floor(word / words).cast("int").alias("_pass")).agg(F.count("*").alias("_c"))
+    wanted = counted.join(sizes, "_s").groupBy("_pass").agg(F.sum(F.col("_c") * (F.col("_n") - 1)).alias("_pairs"))
     found = []
-    for first in range(0, (-1 if last is None else last) + 1, words_per_pass):
-        rounds = Rounds(spark)
-        state = rounds.cut(sources.where(F.col("word").between(first, first + words_per_pass - 1)))
-        distance = 0
-        while True:
-            distance += 1
-            newest = state.where(F.col("fresh") != 0)
-            step = arcs.join(
-                newest.select(*keys, F.col("node").alias("u"), "word", "fresh"), [*keys, "u"]
-            ).select(
-                *keys, F.col("v").alias("node"), "word", F.lit(0).cast("bigint").alias("bits"), F.col("fresh").alias("near")
-            )
-            held = state.select(*keys, "node", "word", "bits", F.lit(0).cast("bigint").alias("near"))
-            merged = held.unionByName(step).groupBy(*keys, "node", "word").agg(
-                F.bit_or("bits").alias("bits"), F.bit_or("near").alias("near")
-            )
-            state = rounds.cut(
-                merged.select(
-                    *keys,
-                    "node",
-                    "word",
-                    F.col("bits").bitwiseOR(F.col("near")).alias("bits"),
-                    F.col("near").bitwiseAND(F.bitwise_not("bits")).alias("fresh"),
-                )
+    # One row per pass.
+    for number, pairs_wanted in sorted(tuple(r) for r in wanted.collect()):
+        sources = nodes.where(word.between(number * words, (number + 1) * words - 1)).select(
+            "_s", F.col("_i").alias("node"), word.alias("word"), F.expr("shiftleft(1L, CAST(_i % 64 AS INT))").alias("fresh")
+        )
+        folders, steps = [], []
+        before, newest, pairs_found = None, sources, 0
+        while pairs_found < pairs_wanted:
+            near = arcs.join(newest.withColumnRenamed("node", "u"), ["_s", "u"]).select(
+                "_s", F.col("v").alias("node"), "word", F.lit(0).cast("bigint").alias("held"), F.col("fresh").alias("near")
             )
-            # One row per snapshot leaves the round, so the round's state may go.
-            pairs_found = F.sum(F.bit_count("fresh")).alias("_pairs")
-            reached = cut_lineage(
-                state.where(F.col("fresh") != 0).groupBy(*keys).agg(pairs_found).withColumn("_d", F.lit(distance))
+            known = newest if before is None else newest.unionByName(before)
+            held = known.select("_s", "node", "word", F.col("fresh").alias("held"), F.lit(0).cast("bigint").alias("near"))
+            step = (
+                held.unionByName(near)
+                .groupBy("_s", "node", "word")
+                .agg(F.bit_or("near").bitwiseAND(F.bitwise_not(F.bit_or("held"))).alias("fresh"))
+                .where(F.col("fresh") != 0)
             )
-            if reached.isEmpty():
-                break
-            found.append(reached)
+            seen = Observation()
+            folders.append(fresh_folder(spark, "paths"))
+            bits = F.coalesce(F.sum(F.bit_count("fresh")), F.lit(0).cast("bigint"))
+            before, newest = newest, cut_lineage(step.observe(seen, bits.alias("bits")), folders[-1])
+            steps.append(newest.select("_s", F.lit(len(folders)).alias("_d"), F.bit_count("fresh").cast("bigint").alias("_pairs")))
+            if not seen.get["bits"]:
+                raise RuntimeError("a component is not connected by the given pairs")
+            pairs_found += seen.get["bits"]
+        counts = reduce(DataFrame.unionByName, steps).groupBy("_s", "_d").agg(F.sum("_pairs").alias("_pairs"))
+        found.append(cut_lineage(counts))
+        for folder in folders:
+            drop_folder(spark, folder)
     base = giant.select(*keys, "giant_component_size", "giant_component_fraction")
     if not found:
         nothing = F.lit(None)
         return base.withColumns({"avg_shortest_path": nothing.cast("double"), "diameter": nothing.cast("int")})
-    counts = reduce(DataFrame.unionByName, found)
     size = F.col("giant_component_size")
     # A snapshot has a row per pass and distance.
-    lengths = counts.groupBy(*keys).agg(F.sum(F.col("_pairs") * F.col("_d")).alias("_sum"), F.max("_d").alias("diameter"))
+    lengths = (
+        reduce(DataFrame.unionByName, found)
+        .groupBy("_s")
+        .agg(F.sum(F.col("_pairs") * F.col("_d")).alias("_sum"), F.max("_d").alias("diameter"))
+        .join(snapshots.select(*keys, "_s"), "_s")
+        .drop("_s")
+    )
     return base.join(lengths, keys, "left").select(
         *keys,
         "giant_component_size",
