@@ -64,14 +64,17 @@ def test_long_chain_and_wide_words(spark):
     n = 150
     chain = spark.createDataFrame([("c", f"{i:04d}", f"{i + 1:04d}") for i in range(n - 1)], "g string, source string, target string")
     pairs, nodes = graph.dedup_edges(chain, ["g"]), graph.degrees(chain, ["g"])
-    found = components.connected_components(pairs, nodes, ["g"])
-    assert {r["component"] for r in found.collect()} == {"0000"}
+    for most in (components.TASK_ARCS, 0):
+        found = components.connected_components(pairs, nodes, ["g"], most)
+        assert {r["component"] for r in found.collect()} == {"0000"} and found.count() == n
     star = spark.createDataFrame([("s", "hub", f"{i:04d}") for i in range(n)], "g string, source string, target string")
     pairs, nodes = graph.dedup_edges(star, ["g"]), graph.degrees(star, ["g"])
     found = components.connected_components(pairs, nodes, ["g"])
-    # In one pass over all words of sources, and in one pass per word.
+    # In one task, in a task per word, by joins over all words of sources, and by joins word by word.
     metrics = components.path_metrics(pairs, found, ["g"]).first()
-    assert metrics == components.path_metrics(pairs, found, ["g"], most_rows=1).first()
+    assert metrics == components.path_metrics(pairs, found, ["g"], task_work=1).first()
+    assert metrics == components.path_metrics(pairs, found, ["g"], task_arcs=0).first()
+    assert metrics == components.path_metrics(pairs, found, ["g"], task_arcs=0, most_rows=1).first()
     assert metrics["diameter"] == 2
     assert metrics["avg_shortest_path"] == pytest.approx((2 * n + 2 * n * (n - 1)) / ((n + 1) * n))
 
@@ -89,7 +92,8 @@ def test_paths_of_more_than_five_thousand_nodes(spark, monkeypatch, most_rows, p
     steps = []
     fresh = components.fresh_folder
     monkeypatch.setattr(components, "fresh_folder", lambda s, stem: steps.append(stem) or fresh(s, stem))
-    row = components.path_metrics(pairs, found, ["g"], most_rows=most_rows).first()
+    row = components.path_metrics(pairs, found, ["g"], task_arcs=0, most_rows=most_rows).first()
+    assert row == components.path_metrics(pairs, found, ["g"], task_work=1 << 24).first()
     n = 1 + spokes + spokes * leaves
     everyone = spokes * leaves
     total = 2 * (
@@ -102,6 +106,46 @@ def test_paths_of_more_than_five_thousand_nodes(spark, monkeypatch, most_rows, p
     assert steps.count("paths") == 4 * passes
 
 
+def test_distances_in_a_task_match_a_plain_search():
+    import random
+    from collections import Counter, deque
+
+    import numpy as np
+
+    draw = random.Random(3)
+    n = 150
+    links = {(i, draw.randrange(i)) for i in range(1, n)} | {(draw.randrange(n), draw.randrange(n)) for _ in range(30)}
+    arcs = sorted({(a, b) for x, y in links if x != y for a, b in ((x, y), (y, x))})
+    following = {}
+    for a, b in arcs:
+        following.setdefault(a, []).append(b)
+    expected = Counter()
+    for source in range(20, 140):
+        away, queue = {source: 0}, deque([source])
+        while queue:
+            at = queue.popleft()
+            for b in following[at]:
+                if b not in away:
+                    away[b] = away[at] + 1
+                    queue.append(b)
+        expected.update(d for d in away.values() if d)
+    u, v = (np.array(x) for x in zip(*arcs))
+    for words in (1, len(arcs), 1 << 20):
+        found = components.distance_counts(u, v, 20, 120, words)
+        assert dict(enumerate(found, 1)) == dict(expected)
+
+
+def test_components_in_tasks_and_by_rounds(spark):
+    import random
+
+    draw = random.Random(9)
+    data = [(g, f"n{draw.randrange(90):02d}", f"n{draw.randrange(90):02d}") for g in "abc" for _ in range(20 * (ord(g) - 96))]
+    links = spark.createDataFrame(data, "g string, source string, target string")
+    pairs, nodes = graph.dedup_edges(links, ["g"]), graph.degrees(links, ["g"])
+    found = [rows(components.connected_components(pairs, nodes, ["g"], most)) for most in (components.TASK_ARCS, 60, 0)]
+    assert found[0] == found[1] == found[2] and len(found[0]) == nodes.count()
+
+
 def test_empty_snapshots_give_no_rows(spark):
     empty = spark.createDataFrame([], "g string, source string, target string")
     assert graph.degrees(empty, ["g"]).count() == 0

@@ -9,6 +9,8 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -16,6 +18,10 @@ from tideline.functions.stats import ratio
 from tideline.operators.ranking import numbered_rows
 from tideline.session import Rounds, cut_lineage, drop_folder, fresh_folder
 
+#: Arcs of a snapshot that a task may hold (16 bytes each), arcs times sources that it searches, and
+#: words that stand in its arrays at once.
+TASK_ARCS, TASK_WORK, HELD_WORDS = 1 << 22, 1 << 33, 1 << 22
+
 
 def _both_ways(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Edges in both directions, without self-loops."""
@@ -23,9 +29,59 @@ def _both_ways(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return there.unionByName(there.select(*keys, F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def connected_components(pairs: DataFrame, nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
+def smallest_linked(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """The smallest number that each of ``n`` numbers is linked with, itself included."""
+    root = np.arange(n)
+    while True:
+        one, other = root[a], root[b]
+        low, high = np.minimum(one, other), np.maximum(one, other)
+        if (low == high).all():
+            return root
+        # Every root with a smaller neighbour points to it; then all pointers lead to roots again.
+        np.minimum.at(root, high, low)
+        while not ((above := root[root]) == root).all():
+            root = above
+
+
+def _components_in_tasks(links: DataFrame, keys: list[str]) -> DataFrame:
+    """Components of snapshots that a task can hold."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ends = pa.concat_arrays([*table.column("a").chunks, *table.column("b").chunks])
+        names, number = np.unique(ends.to_numpy(zero_copy_only=False), return_inverse=True)
+        half = len(number) // 2
+        smallest = names[smallest_linked(number[:half], number[half:], len(names))]
+        held = [pa.repeat(table.column(k)[0], len(names)) for k in keys]
+        kind = table.schema.field("a").type
+        return pa.table([*held, pa.array(names, kind), pa.array(smallest, kind)], names=[*keys, "node", "component"])
+
+    schema = links.select(*keys, F.col("a").alias("node"), F.col("b").alias("component")).schema
+    return links.groupBy(*keys).applyInArrow(run, schema)
+
+
+def connected_components(
+    pairs: DataFrame, nodes: DataFrame, keys: Sequence[str], task_arcs: int = TASK_ARCS
+) -> DataFrame:
     """Every node with ``component``, the smallest node name of its component.
 
+    A snapshot with up to ``task_arcs`` pairs and nodes is searched in one task; larger ones by rounds
+    of joins.
+    """
+    keys = list(keys)
+    alone = nodes.select(*keys, F.col("node").alias("a"), F.col("node").alias("b"))
+    links = cut_lineage(pairs.select(*keys, "a", "b").unionByName(alone))
+    sizes = cut_lineage(links.groupBy(*keys).agg(F.count("*").alias("_links")))
+    large = sizes.where(F.col("_links") > task_arcs).select(*keys)
+    if large.isEmpty():
+        return _components_in_tasks(links, keys)
+    small = links.join(sizes.where(F.col("_links") <= task_arcs).select(*keys), keys, "semi")
+    rest = _components_by_rounds(pairs.join(large, keys, "semi"), nodes.join(large, keys, "semi"), keys)
+    return _components_in_tasks(small, keys).unionByName(rest.select(*keys, "node", "component"))
+
+
+def _components_by_rounds(pairs: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
+    """Components of snapshots of any size.
+
     Each round every node looks at the labels its neighbours point to, passes the smallest one on to
     the node it points to itself, and shortens its own pointer. Trees of pointers at least halve in
     height, so rounds grow with the logarithm of a component's diameter (Shiloach and Vishkin's
@@ -34,7 +90,6 @@ def connected_components(pairs: DataFrame, nodes: DataFrame, keys: Sequence[str]
     adaptive planner sees a table small enough to broadcast. Rounds go on until nothing moves; a
     label only ever falls, so that happens.
     """
-    keys = list(keys)
     arcs = cut_lineage(_both_ways(pairs, keys))
     state = cut_lineage(nodes.select(*keys, "node", F.col("node").alias("f")))
     rounds = Rounds(pairs.sparkSession)
@@ -105,30 +160,71 @@ def numbered_graph(
     return snapshots, nodes, cut_lineage(arcs.select("_s", F.col("_u").alias("u"), F.col("_v").alias("v")))
 
 
-def path_metrics(
-    pairs: DataFrame, components: DataFrame, keys: Sequence[str], most_rows: int = 1 << 28
-) -> DataFrame:
-    """Mean shortest path and diameter of the giant component; null for a single node.
+def distance_counts(u: np.ndarray, v: np.ndarray, first: int, count: int, held_words: int) -> list[int]:
+    """How many nodes are 1, 2, ... edges away from each of ``count`` sources from ``first`` on, summed.
+
+    Arcs lead both ways and every node has one. Bits of 64 sources stand in a word; so many words are
+    searched at once that arcs times words stay below ``held_words``.
+    """
+    order = np.argsort(v, kind="stable")
+    u, v = u[order], v[order]
+    starts = np.flatnonzero(np.diff(v, prepend=-1))
+    n = len(starts)
+    wide = 64 * max(1, held_words // len(u))
+    found: list[int] = []
+    for low in range(first, first + count, wide):
+        sources = np.arange(low, min(low + wide, first + count))
+        newest = np.zeros((n, -(-len(sources) // 64)), np.uint64)
+        bit = np.uint64(1) << ((sources - low) % 64).astype(np.uint64)
+        newest[sources, (sources - low) // 64] = bit
+        seen = newest.copy()
+        for distance in range(n):
+            newest = np.bitwise_or.reduceat(newest[u], starts, axis=0) & ~seen
+            bits = int(np.bitwise_count(newest).sum(dtype=np.int64))
+            if not bits:
+                break
+            seen |= newest
+            if distance == len(found):
+                found.append(0)
+            found[distance] += bits
+    return found
 
-    Which sources a node is reached from is a set of numbered sources, in words of 64 bits. A step
-    joins the newest words to the edges and ORs them. Edges lead both ways, so a node next to one at
-    distance ``d`` is itself at ``d - 1``, ``d`` or ``d + 1``: what is new is known from the last two
-    steps, and a step writes new bits alone. Distances are then sums of bit counts, and no pair of
-    nodes becomes a row.
 
-    As many sources are searched at once as keep a step within ``most_rows`` rows (nodes times words);
-    small snapshots are therefore searched whole and together. How many pairs there are to find is
-    known beforehand, and each step counts what it finds as it writes, so a pass takes one job per
-    distance and one that sums up.
+def _counts_in_tasks(arcs: DataFrame, sizes: DataFrame, sources: int) -> DataFrame:
+    """Pairs per snapshot and distance: a task holds a snapshot's arcs and searches some of its sources.
+
+    Each task of a snapshot searches so many sources that arcs times sources stay the same, ``sources``
+    being that product; so a large snapshot becomes many tasks, and a task's work has a bound.
     """
-    keys = list(keys)
-    spark = pairs.sparkSession
-    giant = cut_lineage(giant_component(components, keys))
-    snapshots, nodes, arcs = numbered_graph(pairs, components, keys)
+    per_task = F.greatest(F.lit(64).cast("bigint"), F.floor(F.lit(sources) / F.col("_arcs")))
+    chunks = sizes.select("_s", "_n", per_task.alias("_per")).withColumn(
+        "_part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_n") / F.col("_per")).cast("int") - 1))
+    )
+
+    def search(table: pa.Table) -> pa.Table:
+        first = table.column("_part")[0].as_py() * table.column("_per")[0].as_py()
+        count = min(table.column("_per")[0].as_py(), table.column("_n")[0].as_py() - first)
+        counts = distance_counts(table.column("u").to_numpy(), table.column("v").to_numpy(), first, count, HELD_WORDS)
+        columns = [[table.column("_s")[0].as_py()] * len(counts), list(range(1, len(counts) + 1)), counts]
+        kinds = [pa.int64(), pa.int32(), pa.int64()]
+        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["_s", "_d", "_pairs"])
+
+    return arcs.join(chunks, "_s").groupBy("_s", "_part").applyInArrow(search, "_s bigint, _d int, _pairs bigint")
+
+
+def _counts_by_joins(arcs: DataFrame, nodes: DataFrame, sizes: DataFrame, most_rows: int) -> list[DataFrame]:
+    """Pairs per snapshot and distance, a table per pass: no task holds a snapshot.
+
+    A step joins the newest words to the edges and ORs them. Edges lead both ways, so a node next to
+    one at distance ``d`` is itself at ``d - 1``, ``d`` or ``d + 1``: what is new is known from the last
+    two steps, and a step writes new bits alone. How many pairs there are to find is known beforehand,
+    and each step counts what it finds as it writes, so a pass takes one job per distance and one that
+    sums up. As many sources are searched at once as keep a step within ``most_rows`` rows.
+    """
+    spark = arcs.sparkSession
     total = nodes.count()
     words = max(1, most_rows // max(1, total))
     word = F.floor(F.col("_i") / 64).cast("int")
-    sizes = snapshots.select("_s", F.col("giant_component_size").alias("_n"))
     counted = nodes.groupBy("_s", F.floor(word / words).cast("int").alias("_pass")).agg(F.count("*").alias("_c"))
     wanted = counted.join(sizes, "_s").groupBy("_pass").agg(F.sum(F.col("_c") * (F.col("_n") - 1)).alias("_pairs"))
     found = []
@@ -163,10 +259,38 @@ def path_metrics(
         found.append(cut_lineage(counts))
         for folder in folders:
             drop_folder(spark, folder)
+    return found
+
+
+def path_metrics(
+    pairs: DataFrame,
+    components: DataFrame,
+    keys: Sequence[str],
+    task_arcs: int = TASK_ARCS,
+    task_work: int = TASK_WORK,
+    most_rows: int = 1 << 28,
+) -> DataFrame:
+    """Mean shortest path and diameter of the giant component; null for a single node.
+
+    Which sources a node is reached from is a set of numbered sources, in words of 64 bits that spread
+    along the edges step by step. Distances are then sums of bit counts, and no pair of nodes becomes a
+    row. Of snapshots with up to ``task_arcs`` arcs a task holds all arcs and searches a part of the
+    sources; larger ones are searched by joins. Both count the same pairs.
+    """
+    keys = list(keys)
+    giant = cut_lineage(giant_component(components, keys))
+    snapshots, nodes, arcs = numbered_graph(pairs, components, keys)
+    sizes = cut_lineage(
+        arcs.groupBy("_s").agg(F.count("*").alias("_arcs")).join(
+            snapshots.select("_s", F.col("giant_component_size").alias("_n")), "_s"
+        )
+    )
+    small, large = sizes.where(F.col("_arcs") <= task_arcs), sizes.where(F.col("_arcs") > task_arcs)
+    found = [_counts_in_tasks(arcs, small, task_work)]
+    if not large.isEmpty():
+        names = large.select("_s")
+        found += _counts_by_joins(arcs.join(names, "_s", "semi"), nodes.join(names, "_s", "semi"), large, most_rows)
     base = giant.select(*keys, "giant_component_size", "giant_component_fraction")
-    if not found:
-        nothing = F.lit(None)
-        return base.withColumns({"avg_shortest_path": nothing.cast("double"), "diameter": nothing.cast("int")})
     size = F.col("giant_component_size")
     # A snapshot has a row per pass and distance.
     lengths = (

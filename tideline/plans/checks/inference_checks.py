@@ -215,9 +215,11 @@ METRICS = {
 }
 
 
-def matched(spark, folder):
-    users = cut_lineage(reputation_checks.user_month_with_reputation(spark, folder))
-    return inference.activity_matched_bootstrap(users.where(is_focal()), users.where(~is_focal()), METRICS, ITERATIONS)
+def matched(spark, folder, users=None, metrics=tuple(METRICS)):
+    if users is None:
+        users = cut_lineage(reputation_checks.user_month_with_reputation(spark, folder))
+    wanted = {name: METRICS[name] for name in metrics}
+    return inference.activity_matched_bootstrap(users.where(is_focal()), users.where(~is_focal()), wanted, ITERATIONS)
 
 
 @check("activity_matched_bootstrap", with_views("matched_long", body="""

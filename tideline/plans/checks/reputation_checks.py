@@ -10,6 +10,7 @@ from tideline.operators.reputation import ReputationModel
 from tideline.plans import shared, standins
 from tideline.plans.catalog import check, rounded
 from tideline.plans.standins import VIEW_SQL, with_views
+from tideline.session import cut_lineage
 
 MODEL = ReputationModel(beta=0.96, alpha=2.0, base=1.0)
 COMPOUNDING = ReputationModel(beta=0.96, alpha=2.0, base=1.0, compounding=True)
@@ -63,8 +64,8 @@ def order_days(spark, folder):
     return reputation.with_month(reputation.reputation_daily(order_events(spark, folder), MODEL, at_least=1.0))
 
 
-def user_month_with_reputation(spark, folder):
-    monthly = rollups.reputation_user_month(order_days(spark, folder))
+def user_month_with_reputation(spark, folder, days=None):
+    monthly = rollups.reputation_user_month(order_days(spark, folder) if days is None else days)
     return rollups.join_user_month_reputation(shared.user_month(spark, folder), monthly)
 
 
@@ -248,9 +249,10 @@ def cp_joined(spark, folder):
     return core_periphery.join_cp_labels(order_days(spark, folder), cp_labels(spark, folder))
 
 
-def cp_wide(spark, folder):
-    labelled = cp_labels(spark, folder)
-    monthly = core_periphery.cp_reputation_monthly(core_periphery.join_cp_labels(order_days(spark, folder), labelled))
+def cp_wide(spark, folder, days=None):
+    labelled = cut_lineage(cp_labels(spark, folder))
+    days = order_days(spark, folder) if days is None else days
+    monthly = core_periphery.cp_reputation_monthly(core_periphery.join_cp_labels(days, labelled))
     return core_periphery.join_blocks_wide(core_periphery.core_periphery_blocks(labelled), monthly)
 
 
@@ -282,14 +284,14 @@ WEIGHTED_SQL = """(coalesce(core_mean_rep_active,0)*coalesce(core_active_users,0
       / nullif(coalesce(core_active_users,0)+coalesce(periphery_active_users,0),0)"""
 
 
-def cp_weighted(spark, folder):
+def cp_weighted(spark, folder, days=None):
     value = reputation.weighted_core_periphery(
         F.col("core_mean_rep_active"),
         F.col("periphery_mean_rep_active"),
         F.col("core_active_users").cast("double"),
         F.col("periphery_active_users").cast("double"),
     )
-    return cp_wide(spark, folder).select("community", "month", value.alias("cp_reputation"))
+    return cp_wide(spark, folder, days).select("community", "month", value.alias("cp_reputation"))
 
 
 @check("cp_reputation_weighted", with_views("cp_wide", body=f"""

@@ -159,6 +159,7 @@ def sink_csv_tables(spark, folder):
     return rounded(spark.read.schema(schema).option("header", "true").csv(path))
 
 
+BANDED = ("toxicity_mean", "vader_mean")
 PAIRED = [f"{c}_{p}" for c in overview.OVERVIEW_METRICS for p in ("focal", "reference")]
 _PARTITION_PM = graph_checks.for_platform_months(graph_checks.PARTITION_SQL).replace(
     "JOIN lab_pm l USING (community, node)", "JOIN lab_pm l USING (community, month, node)"
@@ -191,7 +192,10 @@ _PARTITION_PM = graph_checks.for_platform_months(graph_checks.PARTITION_SQL).rep
 def overview_monthly(spark, folder):
     """Overridden reputation, both platforms' networks, mixing and matched bands joined to the months."""
     keys = ["community", "month"]
-    monthly = rollups.community_month_basic(reputation_checks.user_month_with_reputation(spark, folder))
+    # Days with reputation and user-months feed several parts each.
+    days = cut_lineage(reputation_checks.order_days(spark, folder))
+    users = cut_lineage(reputation_checks.user_month_with_reputation(spark, folder, days))
+    monthly = rollups.community_month_basic(users)
     by_platform = graph_checks.PLATFORM_MONTH
     # Labels and pairs read the same lines, which are joined once.
     edges = cut_lineage(standins.edges_platform_month(spark, folder))
@@ -206,8 +210,8 @@ def overview_monthly(spark, folder):
         by_platform,
     )
     mixing = graph_checks.platform_partition(edges, pairs, nodes).where(F.col("platform") == "focal").drop("platform")
-    bands = inference.bootstrap_percentiles(inference_checks.matched(spark, folder))
-    override = reputation_checks.cp_weighted(spark, folder)
+    bands = inference.bootstrap_percentiles(inference_checks.matched(spark, folder, users, BANDED))
+    override = reputation_checks.cp_weighted(spark, folder, days)
     return rounded(
         overview.overview_monthly(monthly, network, mixing, bands, override, ["focal", "reference"]).select(
             *keys,
@@ -216,6 +220,6 @@ def overview_monthly(spark, folder):
             "ei_index",
             "n_newcomers",
             "n_existing",
-            *[f"{m}_p{p}" for m in ("toxicity_mean", "vader_mean") for p in (5, 50, 95)],
+            *[f"{m}_p{p}" for m in BANDED for p in (5, 50, 95)],
         )
     )
