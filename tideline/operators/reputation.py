@@ -94,6 +94,25 @@ def activity_runs(clocked: DataFrame, scope: Sequence[str] = SCOPE) -> DataFrame
     )
 
 
+def decayed_running_sum(placed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``_value``, the running sum of ``_gain`` over the days of ``keys``, decayed by the exponent ``_decay``.
+
+    Sums are taken relative to the start of a block of exponents. What lies two blocks back has
+    decayed below the precision of doubles.
+    """
+    since_block = F.col("_decay") - F.col("_block") * _BLOCK
+    in_block = Window.partitionBy(*keys, "_block").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    block_before = Window.partitionBy(*keys).orderBy("_block").rangeBetween(-1, -1)
+    value = F.exp(-since_block) * F.sum("_grown").over(in_block) + F.exp(-since_block - _BLOCK) * F.coalesce(
+        F.sum("_grown").over(block_before), F.lit(0.0)
+    )
+    return (
+        placed.withColumn("_block", F.floor(F.col("_decay") / _BLOCK))
+        .withColumn("_grown", F.col("_gain") * F.exp(since_block))
+        .withColumn("_value", value)
+    )
+
+
 def reputation_events(
     activity: DataFrame, model: ReputationModel, scope: Sequence[str] = SCOPE
 ) -> DataFrame:
@@ -125,22 +144,12 @@ def reputation_events(
     placed = (
         days.withColumn("_step", F.coalesce(exponent * model.rate, F.lit(0.0)))
         .withColumn("_decay", F.sum("_step").over(by_user))
-        .withColumn("_block", F.floor(F.col("_decay") / _BLOCK))
         .join(gains, [*keys, "day"])
     )
 
-    # Running sum of gains over decays, relative to the start of a block of exponents. What lies two
-    # blocks back has decayed below the precision of doubles.
-    grown = F.col("_gain") * F.exp(F.col("_decay") - F.col("_block") * _BLOCK)
-    in_block = Window.partitionBy(*keys, "_block").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    block_before = Window.partitionBy(*keys).orderBy("_block").rangeBetween(-1, -1)
-    since_block = F.col("_decay") - F.col("_block") * _BLOCK
-    value = F.exp(-since_block) * F.sum("_grown").over(in_block) + F.exp(-since_block - _BLOCK) * F.coalesce(
-        F.sum("_grown").over(block_before), F.lit(0.0)
-    )
     return (
-        placed.withColumn("_grown", grown)
-        .withColumn("reputation", value)
+        decayed_running_sum(placed, keys)
+        .withColumnRenamed("_value", "reputation")
         .select(
             *keys,
             "day",

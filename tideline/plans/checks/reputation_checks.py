@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tideline.functions import labels
-from tideline.operators import cohorts, core_periphery, ranking, reputation, rollups
+from tideline.operators import cohorts, core_periphery, ranking, reputation, reputation_periods, rollups
 from tideline.operators.reputation import ReputationModel
 from tideline.plans import shared, standins
 from tideline.plans.catalog import check, rounded
 from tideline.plans.standins import VIEW_SQL, with_views
-from tideline.session import cut_lineage
+from tideline.session import cut_lineage, fresh_folder
 
 MODEL = ReputationModel(beta=0.96, alpha=2.0, base=1.0)
 COMPOUNDING = ReputationModel(beta=0.96, alpha=2.0, base=1.0, compounding=True)
@@ -128,6 +128,24 @@ def reputation_batch(spark, folder):
     )
 
 
+@check("reputation_by_period", with_views("rep_orders", body="""
+    SELECT platform, community, user_id, day, a AS run_events, round(off,6) AS day_fraction, next_day, round(r,6) AS reputation
+    FROM rep_orders"""))
+def reputation_by_period(spark, folder):
+    """All months but three in one run, side by side; then each of the three from its own rows and the last summaries."""
+    orders = standins.activity(spark, folder).withColumn("period", F.col("month"))
+    months = sorted(r["month"] for r in orders.select("month").distinct().collect())
+    store = reputation_periods.ReputationStore(spark, fresh_folder(spark, "reputation"), MODEL)
+    ends = months[-4:] if len(months) > 3 else months[-1:]
+    after = ""
+    for end in ends:
+        store.append(orders.where((F.col("month") > after) & (F.col("month") <= end)), end)
+        after = end
+    return rounded(
+        store.events().select("platform", "community", "user_id", "day", "run_events", "day_fraction", "next_day", "reputation")
+    )
+
+
 @check("reputation_user_month", with_views("rep_user_month", body="""
     SELECT platform, community, user_id, month, round(mean_reputation,6) AS mean_reputation, active_days FROM rep_user_month"""))
 def reputation_user_month(spark, folder):

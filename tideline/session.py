@@ -62,6 +62,13 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def finished_folders(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders below ``path`` whose writing job ended, in order."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/*/_SUCCESS")
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    return sorted(f.getPath().getParent().getName() for f in found or [])
+
+
 def cut_lineage(df: DataFrame, folder: str | None = None) -> DataFrame:
     """Write ``df`` down as Parquet and read it back, so that later steps neither recompute it nor see other rows.
 
