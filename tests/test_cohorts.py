@@ -110,3 +110,50 @@ def test_hub_summary_counts_user_communities(spark):
     row = found.where("fixed_cohort = 'fph_pg' and hub_fraction = 0.1").first()
     assert (row["n_users"], row["mean_ever_hub_rate"], row["high_activity_ever_hub_rate"]) == (2, 0.5, 1.0)
     assert found.where("fixed_cohort = 'ga_td'").first()["n_users"] == 0
+
+
+@pytest.mark.parametrize("window,step", [(5, 1), (7, 3)])
+def test_sliding_windows_match_a_plain_scan(spark, window, step):
+    """Every window counted afresh; users come and go, one with many days, days with several scores."""
+    import random
+    import statistics
+    from datetime import date, timedelta
+
+    from tideline.functions.calendar import Event, EventCalendar
+
+    calendar = EventCalendar(events=(Event("a", "2020-01-10"), Event("b", "2020-01-20")), end="2020-03-01")
+    draw = random.Random(window)
+    start = date(2020, 1, 1)
+    data = [(f"u{draw.randrange(9)}", start + timedelta(days=draw.randrange(45)), draw.random()) for _ in range(120)]
+    data += [("hot", start + timedelta(days=d), draw.random()) for d in range(45) for _ in range(3)]
+    df = spark.createDataFrame([("c", u, str(d), v) for u, d, v in data], "community string, user_id string, day string, score double")
+    df = df.withColumn("ts", F.to_timestamp("day"))
+    found = {(r.step, r.cohort): r for r in cohorts.sliding_window_timeseries(df, calendar, "score", window, step).collect()}
+    first_days = {}
+    for u, d, _ in data:
+        first_days[u] = min(first_days.get(u, d), d)
+    names = ["beforeA", "betweenA-B", "afterB"]
+    cohort = {u: names[(d >= date(2020, 1, 10)) + (d >= date(2020, 1, 20))] for u, d in first_days.items()}
+    low, high = min(d for _, d, _ in data), max(d for _, d, _ in data)
+    steps = range(0, (high - low).days - window + 2, step)
+    assert set(found) == {(k, c) for k in steps for c in names}
+    for (k, name), row in found.items():
+        held = {}
+        for u, d, v in data:
+            if cohort[u] == name and 0 <= (d - low).days - k < window:
+                held.setdefault(u, []).append(v)
+        means = [statistics.fmean(v) for v in held.values()]
+        count = sum(map(len, held.values()))
+        assert (row.active_users, row.activity_count) == (len(held), count)
+        if not held:
+            assert row.user_mean is None and row.activity_mean is None
+            continue
+        mean = sum(map(sum, held.values())) / count
+        assert row.user_mean == pytest.approx(statistics.fmean(means), abs=1e-9)
+        assert row.activity_mean == pytest.approx(mean, abs=1e-9)
+        if len(held) == 1:
+            assert row.user_se is None and row.activity_se is None
+        else:
+            assert row.user_se == pytest.approx(statistics.stdev(means) / len(held) ** 0.5, abs=1e-6)
+            weighted = sum(len(v) * (m - mean) ** 2 for v, m in zip(held.values(), means)) / count
+            assert row.activity_se == pytest.approx((weighted / len(held)) ** 0.5, abs=1e-6)

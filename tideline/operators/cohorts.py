@@ -284,37 +284,83 @@ def sliding_window_timeseries(
 ) -> DataFrame:
     """Cohort metrics of every sliding window that fits between first and last day.
 
-    A user's day belongs to at most ``window_days / step_days`` windows, so days are spread over
-    window starts after they have been summed, and each step after that is a partial aggregate.
+    A user's sum over the window only changes at the windows that a day of theirs enters or leaves, so
+    a user-day becomes two rows at most, whatever the window's length. A user's part in a cohort's sums
+    is the difference at these changes; running sums over the windows of a cohort then give every
+    window. Sums are decimals, so that what enters also leaves without a trace, and means are taken
+    from the cohort's own mean.
     """
-    # Read for the spans, the scopes and the windows.
+    # Read for the spans, the means, the scopes and the windows.
     tagged = cut_lineage(with_arrival_cohort(user_days(activity, score, keys), activity, calendar, keys))
     span = tagged.groupBy(*keys).agg(F.min("day").alias("_first"), F.max("day").alias("_last"))
     span = span.where(F.date_add("_first", window_days - 1) <= F.col("_last"))
     last_step = F.floor((F.datediff("_last", "_first") - (window_days - 1)) / step_days).cast("int")
-    scopes = span.select(
-        *keys, "_first", F.explode(F.sequence(F.lit(0), last_step)).alias("_k")
-    ).select(
-        *keys,
-        (F.col("_k") * step_days).alias("step"),
-        F.date_add("_first", F.col("_k") * step_days).alias("_start"),
+    scopes = span.select(*keys, "_first", F.explode(F.sequence(F.lit(0), last_step)).alias("_k")).select(
+        *keys, "_k", F.date_add("_first", F.col("_k") * step_days).alias("_start")
     )
     place = F.datediff("day", "_first")
     first_k = F.greatest(F.lit(0), F.ceil((place - (window_days - 1)) / step_days)).cast("int")
     last_k = F.least(F.floor(place / step_days).cast("int"), last_step)
-    spread = cut_lineage(
+    exact = F.col("_sum").cast("decimal(28,12)")
+    moves = F.array(
+        F.struct(first_k.alias("_k"), exact.alias("_s"), F.col("_n").alias("_c")),
+        F.struct((last_k + 1).alias("_k"), (-exact).alias("_s"), (-F.col("_n")).alias("_c")),
+    )
+    centre = tagged.groupBy(*keys, "cohort").agg((F.sum("_sum") / F.sum("_n")).alias("_centre"))
+    changes = (
         tagged.join(sized_side(span), list(keys))
         .where(first_k <= last_k)
-        .withColumn("_k", F.explode(F.sequence(first_k, last_k)))
-        .groupBy(*keys, "cohort", "user_id", (F.col("_k") * step_days).alias("step"))
-        .agg(F.sum("_sum").alias("_sum"), F.sum("_n").alias("_n"))
+        .select(*keys, "cohort", "user_id", F.inline(moves))
+        .groupBy(*keys, "cohort", "user_id", "_k")
+        .agg(F.sum("_s").alias("_s"), F.sum("_c").alias("_c"))
+        .join(sized_side(centre), [*keys, "cohort"])
+    )
+    by_user = Window.partitionBy(*keys, "cohort", "user_id").orderBy("_k")
+    so_far = by_user.rowsBetween(Window.unboundedPreceding, 0)
+    held = changes.withColumns({"_total": F.sum("_s").over(so_far), "_count": F.sum("_c").over(so_far)})
+    away = F.col("_total").cast("double") / F.col("_count") - F.col("_centre")
+    parts = {
+        "_users": F.lit(1),
+        "_n": F.col("_count"),
+        "_sum": F.col("_total"),
+        "_x": away,
+        "_xx": away * away,
+        "_nxx": F.col("_count") * away * away,
+    }
+    zero = F.lit(0).cast("decimal(28,12)")
+    present = {c: F.when(F.col("_count") > 0, v.cast("decimal(28,12)")).otherwise(zero) for c, v in parts.items()}
+    deltas = {c: F.col(c) - F.coalesce(F.lag(c).over(by_user), zero) for c in parts}
+    summed = (
+        held.withColumns(present)
+        .select(*keys, "cohort", "_k", *[v.alias(c) for c, v in deltas.items()])
+        .groupBy(*keys, "cohort", "_k")
+        .agg(*[F.sum(c).alias(c) for c in parts])
+    )
+    # One row per window and cohort from here on.
+    cohorts = F.array(*[F.lit(c) for c in calendar.arrival_cohorts])
+    grid = scopes.withColumn("cohort", F.explode(cohorts)).join(summed, [*keys, "cohort", "_k"], "left")
+    by_step = Window.partitionBy(*keys, "cohort").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    running = grid.withColumns({c: F.coalesce(F.sum(c).over(by_step), zero).cast("double") for c in parts})
+    running = running.join(sized_side(centre), [*keys, "cohort"], "left")
+    users, count, x, some = F.col("_users"), F.col("_n"), F.col("_x"), F.col("_users") > 0
+    # Sums around the cohort's mean, moved to the window's own means.
+    spread = F.greatest(F.col("_xx") - x * x / users, F.lit(0.0)) / (users - 1)
+    offset = F.col("_sum") / count - F.col("_centre")
+    weighted = F.greatest(F.col("_nxx") / count - offset * offset, F.lit(0.0))
+    metrics = running.select(
+        *keys,
+        (F.col("_k") * step_days).alias("step"),
+        "cohort",
+        users.cast("bigint").alias("active_users"),
+        count.cast("bigint").alias("activity_count"),
+        F.when(some, F.col("_centre") + x / users).alias("user_mean"),
+        F.when(users > 1, F.sqrt(spread / users)).alias("user_se"),
+        F.when(some, F.col("_sum") / count).alias("activity_mean"),
+        F.when(users > 1, F.sqrt(weighted / users)).alias("activity_se"),
+        F.date_format("_start", "yyyy-MM-dd").alias("window_tmin"),
+        F.date_format(F.date_add("_start", window_days), "yyyy-MM-dd").alias("window_tmax"),
     )
-    metrics = cohort_metrics(spread, [*keys, "step", "cohort"])
-    filled = with_all_cohorts(scopes, calendar.arrival_cohorts, metrics, [*keys, "step"])
-    return filled.withColumns({
-        "window_tmin": F.date_format("_start", "yyyy-MM-dd"),
-        "window_tmax": F.date_format(F.date_add("_start", window_days), "yyyy-MM-dd"),
-    }).drop("_start")
+    return with_confidence(metrics)
 
 
 def period_cohort_bars(
