@@ -225,59 +225,144 @@ def test_lm_scores_of_odd_rows(texts, odd_rows):
     assert all(r.score <= 0 for r in found)
 
 
-def test_predictive_probabilities_sum_to_one():
-    """In one bucket: over all known words and the one unknown word, after every context."""
+def one_bucket(counts):
+    """A bucket's restaurants with ``counts`` customers per context and word, all numbered from 1."""
     import pyarrow as pa
 
     from tideline.llm import pitman_yor as py
     from tideline.llm.blocks import pack_sorted, squeeze
 
-    model = py.PitmanYor()
-    random = np.random.default_rng(9)
-    contexts, words = np.arange(1, 6, dtype=np.uint64), np.arange(1, 9, dtype=np.uint64)
-    counts = random.integers(0, 30, (len(contexts), len(words))).astype(np.uint32)
+    contexts, words = (np.arange(1, n + 1, dtype=np.uint64) for n in counts.shape)
+    row = {
+        "bucket": 0,
+        "block": 0,
+        "contexts": pack_sorted(contexts),
+        "fans": squeeze(np.full(len(contexts), len(words), np.uint32)),
+        "words": np.tile(words, len(contexts)).tobytes(),
+        "counts": squeeze(counts.astype(np.uint32)),
+    }
+    return py._Restaurants(pa.Table.from_pylist([row], schema=py._ASKED), py.PitmanYor())
+
+
+def root_of(own):
+    """The root after one table per dish and context."""
+    import pyarrow as pa
+
+    from tideline.llm import pitman_yor as py
+    from tideline.llm.blocks import squeeze
+
+    fans = own.fans().astype(np.uint32)
+    seats = (fans > 0).astype(np.uint32)
+    row = {"bucket": 0, "shard": 0, "given": squeeze(fans), "held": squeeze(fans), "seats": squeeze(seats), "tokens": 0}
+    row |= {"dishes": int(seats.sum()), "customers": int(fans.sum()), "root_tables": int(seats.sum())}
+    return py._Root(pa.Table.from_pylist([row], schema=py._ROOT), own.model)
+
+
+def test_predictive_probabilities_sum_to_one():
+    """Over all known words and the one unknown word, after every context and at the root, in every sweep."""
+    counts = np.random.default_rng(9).integers(0, 30, (5, 8))
     counts[0] = 0
-    asked = pa.Table.from_pylist(
-        [
-            {
-                "bucket": 0,
-                "block": 0,
-                "contexts": pack_sorted(contexts),
-                "fans": squeeze(np.full(len(contexts), len(words), np.uint32)),
-                "words": np.tile(words, len(contexts)).tobytes(),
-                "counts": squeeze(counts),
-            }
-        ],
-        schema=py._ASKED,
-    )
-    own = py._Restaurants(asked, model)
-    parent = np.full(len(words), 1 / (len(words) + 1))
-    seats = own.per_context(own.first_sweep())
-    for sweep in (1, 2):
-        drawn = own.seated(parent, seats, sweep)
+    own = one_bucket(counts)
+    root, model, drawn = root_of(own), own.model, own.alone()
+    for sweep in range(4):
+        random = own.random(sweep)
+        parent = root.probabilities()
+        unknown = (model.root_strength + model.root_discount * root.tables) / (root.dishes + 1) / (model.root_strength + root.customers)
+        assert parent.sum() + unknown == pytest.approx(1.0)
+        drawn = own.seated(parent, drawn, random)
         assert (drawn <= own.counts).all() and ((drawn > 0) == (own.counts > 0)).all()
-        seats = own.per_context(drawn)
-        weight = model.strength + model.discount * seats
-        known = own.counts - model.discount * drawn + weight[own.context] * parent[own.word]
-        total = own.per_context(known) + weight / (len(words) + 1)
-        assert total / (model.strength + own.customers) == pytest.approx(1.0)
+        weight = model.strength + model.discount * own.per_context(drawn)
+        known = own.per_context(own.counts - model.discount * drawn + weight[own.context] * parent[own.word])
+        assert (known + weight * unknown) / (model.strength + own.customers) == pytest.approx(1.0)
+        root.take(np.bincount(own.word, drawn, len(own.words)), random)
+        assert root.customers == drawn.sum() and (root.seats <= root.held).all() and root.tables == root.seats.sum()
+
 
+def seat_one_by_one(customers, others, parent, strength, discount, random, repeats):
+    tables = np.ones(repeats)
+    for k in range(1, customers):
+        mass = (strength + discount * (others + tables)) * parent
+        tables += random.random(repeats) * (mass + k - discount * tables) < mass
+    return tables
 
-@pytest.mark.parametrize("mass,discount", [(0.5, 0.0), (3.0, 0.5), (200.0, 0.8)])
-def test_drawn_tables_follow_the_seating(mass, discount):
-    """The mean number of tables against its own recursion, one by one and in steps."""
+
+@pytest.mark.parametrize("others,parent,discount", [(0, 0.5, 0.0), (5, 0.3, 0.8), (40, 0.01, 0.5), (0, 0.9, 0.8)])
+def test_drawn_tables_follow_the_seating(others, parent, discount):
+    """The mean number of tables against a seating of single customers, whether they come singly or not."""
     from tideline.llm.pitman_yor import draw_tables
 
-    random = np.random.default_rng(5)
-    for customers in (1, 2, 40, 1500):
-        t = 1.0
-        simulated = np.ones(400)
-        for k in range(1, customers):
-            simulated += random.random(400) < mass / (mass + k - discount * simulated)
-        t = simulated.mean()
-        drawn = draw_tables(np.full(400, customers), np.full(400, mass), discount, random)
+    random, n = np.random.default_rng(5), 2_000
+    for customers in (1, 2, 40, 200, 1500):
+        plain = seat_one_by_one(customers, others, parent, 1.0, discount, random, n)
+        drawn = draw_tables(np.full(n, customers), np.full(n, float(others)), np.full(n, parent), 1.0, discount, random)
         assert drawn.min() >= 1 and drawn.max() <= customers
-        assert abs(drawn.mean() - t) < 0.05 * t + 4 * simulated.std() / 20 + 0.01
+        error = 4 * np.hypot(plain.std(), drawn.std()) / n**0.5
+        assert abs(drawn.mean() - plain.mean()) <= error + 1e-9
+
+
+def test_sweeps_keep_the_mean_of_a_single_dish():
+    """A dish of 200 customers beside five others with one customer each: about 24.6 tables in every sweep."""
+    from tideline.llm import pitman_yor as py
+
+    contexts = 400
+    counts = np.ones((contexts, 6), np.int64)
+    counts[:, 0] = 200
+    own = one_bucket(counts)
+    parent = np.full(6, 0.14)
+    parent[0] = 0.3
+    random = np.random.default_rng(2)
+    plain = seat_one_by_one(200, 5, 0.3, 1.0, own.model.discount, random, 20_000)
+    drawn = own.alone()
+    for sweep in range(12):
+        drawn = own.seated(parent, drawn, own.random(sweep))
+        mine = drawn.reshape(contexts, 6)[:, 0]
+        assert abs(mine.mean() - plain.mean()) < 4 * plain.std() / contexts**0.5
+    assert 24 < plain.mean() < 25.5 and py.SINGLY > 200
+
+
+def test_large_dishes_are_seated_in_steps_of_tables():
+    from tideline.llm.pitman_yor import draw_tables
+
+    random = np.random.default_rng(8)
+    counts = np.full(50, 10_000_000)
+    drawn = draw_tables(counts, np.zeros(50), np.full(50, 1e-3), 1.0, 0.5, random)
+    assert (drawn >= 1).all() and drawn.mean() < 60
+
+
+def test_scores_hardly_depend_on_the_blocks(spark, monkeypatch):
+    from tideline.llm import pitman_yor
+
+    docs = given(spark)
+    scores = []
+    for size in (1 << 24, 150_000):
+        monkeypatch.setattr(pitman_yor, "BLOCK_BYTES", size)
+        scores.append({r.doc_id: r.score / r.n_tokens for r in pitman_yor.lm_scores(docs).collect()})
+    # Draws differ; the model does not. In log10 per token.
+    off = [abs(scores[1][d] - s) for d, s in scores[0].items()]
+    assert max(off) < 0.1 and sum(off) / len(off) < 0.01
+
+
+def test_scores_of_a_tiny_corpus_by_hand(texts):
+    """With one customer everywhere there is one seating, whose probabilities are written out."""
+    from tideline.llm.pitman_yor import lm_scores
+
+    rows = [(1, "a b"), (2, "c")]
+    held = [d for d in range(3, 200) if brute.base_scores([(d, "")])[0][0]][0]
+    found = {r.doc_id: r.score for r in lm_scores(texts([*rows, (held, "a c")])).collect()}
+    # Contexts: start (a, c), a (b), b (end), c (end); the root has a, b, c once and the end twice.
+    d, d0 = 0.8, 0.7
+    assert not any(x[0] for x in brute.base_scores(rows))
+    possible = set()
+    for seats_end in (1, 2):
+        tables = 3 + seats_end
+        base = (1.0 + d0 * tables) / 5
+        root = {w: (1 - d0 + base) / 6.0 for w in "abc"} | {"end": (2 - d0 * seats_end + base) / 6.0}
+        after_start = lambda w: (1 - d + (1 + 2 * d) * root[w]) / 3.0
+        other = (1 + d) * root["c"] / 2.0
+        ends = (1 - d + (1 + d) * root["end"]) / 2.0
+        possible.add(np.log10(after_start("a") * other * ends))
+    low, high = min(possible), max(possible)
+    assert low - 1e-5 <= found[held] <= high + 1e-5
 
 
 # --- licences ------------------------------------------------------------------------------------

@@ -8,11 +8,16 @@ contexts are 64-bit hashes, counts are exact, and nothing is pruned.
 Texts are held in blocks. Blocks send their distinct (context, word) pairs with training counts to
 the buckets of the contexts, so a restaurant stands in one place and a frequent context arrives as
 one count per block and pair. The seating is sampled by Gibbs sweeps over blocks of customers: all
-customers of a dish leave and are seated again one by one, given the tables of all other dishes and
-the parent's probabilities. A first sweep, with the parent estimated from the bucket's own contexts,
-gives the root its customers; the root is seated; its probabilities return to the contexts, which
-make ``sweeps`` further sweeps, and the predictive probabilities are averaged over these. Draws come
-from generators keyed by bucket and sweep over rows in a fixed order, so a retried task repeats them.
+customers of a dish leave and are seated again one by one, given the tables of the other dishes, those
+opened so far and the parent's probabilities. Every second dish of a restaurant is seated side by side,
+then the rest, given the first half's new tables.
+
+At first every dish has one table in each restaurant, in all buckets alike, and so many customers at
+the root. A first sweep gives the root its customers; the root is seated; its seats return to the
+contexts, which make one sweep to settle and ``sweeps`` further ones, over which the predictive
+probabilities are averaged. In each of them the root takes in the bucket's own new tables and seats the
+bucket's words anew; tables of other buckets are those of the first sweep. Draws come from generators
+keyed by bucket and sweep over rows in a fixed order, so a retried task repeats them.
 """
 
 from __future__ import annotations
@@ -45,7 +50,7 @@ from tideline.llm.repeats import STEP_BYTES
 BLOCK_BYTES = 16 << 20
 #: Stand for the place before the first word and for the end, which is a token.
 START, END = np.uint64(0x53544152545F5F5F), np.uint64(0x454E445F5F5F5F5F)
-#: Customers of a dish that are seated one by one; beyond them a quarter of those seated at a time.
+#: Customers of a dish that are seated one by one; beyond them the next new table is drawn, which is the same seating.
 SINGLY = 256
 
 
@@ -66,31 +71,64 @@ def held_out(doc_id: int) -> bool:
     return zlib.crc32(b"" if doc_id == NO_ID else str(doc_id).encode()) % 10 == 0
 
 
-def draw_tables(counts: np.ndarray, mass: np.ndarray, discount: float, random: np.random.Generator) -> np.ndarray:
+def _log_gamma_rise(z: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Logarithm of ``z (z + 1) ... (z + n - 1)`` for ``z`` of 30 or more, by Stirling's series."""
+    end = z + n
+    correction = lambda x: 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+    return (z - 0.5) * np.log1p(n / z) + n * (np.log(end) - 1) + correction(end) - correction(z)
+
+
+def _joined_before_new(z: np.ndarray, mass: np.ndarray, most: np.ndarray, chance: np.ndarray) -> np.ndarray:
+    """Customers who sit down at open tables before the next opens one, up to ``most``.
+
+    The next customer joins with probability ``z / (z + mass)``, the one after with ``z`` larger by one.
+    """
+    wanted = np.log(chance)
+    low, high = np.zeros(len(z)), most.astype(np.float64)
+    # The chance that all of ``n`` join falls with n; the answer is the largest n at which it is not below the draw.
+    while (low < high).any():
+        middle = np.ceil((low + high) / 2)
+        stays = _log_gamma_rise(z, middle) - _log_gamma_rise(z + mass, middle) >= wanted
+        low, high = np.where(stays, middle, low), np.where(stays, high, middle - 1)
+    return low
+
+
+def draw_tables(
+    counts: np.ndarray,
+    others: np.ndarray,
+    parent: np.ndarray,
+    strength: float,
+    discount: float,
+    random: np.random.Generator,
+) -> np.ndarray:
     """Tables of dishes with ``counts`` customers, seated one after the other.
 
-    The customer after ``k`` others at ``t`` tables opens one with probability
-    ``mass / (mass + k - discount * t)``, ``mass`` being the weight of a new table of this dish. From
-    ``SINGLY`` customers on, a quarter of those seated come at a time, with the number of new tables
-    drawn at their mean rate.
+    The customer after ``k`` others at ``t`` tables opens one with a weight of
+    ``(strength + discount * (others + t)) * parent`` against ``k - discount * t``. ``others`` are the
+    restaurant's tables of other dishes, ``parent`` the dish's probability there.
     """
     tables = (counts > 0).astype(np.float64)
     order = np.argsort(-counts, kind="stable")
-    n, m, t = counts[order], mass[order], tables[order]
+    n, t = counts[order], tables[order]
+    first = ((strength + discount * others) * parent)[order]
+    grown = discount * np.broadcast_to(parent, counts.shape)[order]
     live = len(n)
     for k in range(1, SINGLY):
         live = int(np.searchsorted(-n[:live], -k, side="left"))
         if not live:
             break
-        open_new = random.random(live) * (m[:live] + k - discount * t[:live]) < m[:live]
-        t[:live] += open_new
-    k = SINGLY
-    while live and k < n[0]:
-        live = int(np.searchsorted(-n[:live], -k, side="left"))
-        came = np.minimum(n[:live] - k, k // 4)
-        rate = m[:live] / (m[:live] + k + came / 2 - discount * t[:live])
-        t[:live] += np.minimum(random.poisson(came * rate), came)
-        k += k // 4
+        mass = first[:live] + grown[:live] * t[:live]
+        t[:live] += random.random(live) * (mass + k - discount * t[:live]) < mass
+    at = np.arange(int(np.searchsorted(-n[:live], -SINGLY, side="left")))
+    seated = np.full(len(at), float(SINGLY))
+    while len(at):
+        z, mass = seated - discount * t[at], first[at] + grown[at] * t[at]
+        seated = seated + _joined_before_new(z, mass, n[at] - seated, 1 - random.random(len(at)))
+        opens = seated < n[at]
+        t[at[opens]] += 1
+        at, seated = at[opens], seated[opens] + 1
+        left = seated < n[at]
+        at, seated = at[left], seated[left]
     tables[order] = t
     return tables
 
@@ -141,7 +179,8 @@ _TABLES = pa.schema(
     [("shard", pa.int32()), ("bucket", pa.int32()), ("words", pa.binary()), ("tables", pa.binary()), ("tokens", pa.int64())]
 )
 _ROOT = pa.schema(
-    [("bucket", pa.int32()), ("shard", pa.int32()), ("mass", pa.binary())]
+    [("bucket", pa.int32()), ("shard", pa.int32())]
+    + [(n, pa.binary()) for n in ("given", "held", "seats")]
     + [(n, pa.int64()) for n in ("dishes", "customers", "root_tables", "tokens")]
 )
 _ANSWERS = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("probs", pa.binary()), ("counts", pa.binary())])
@@ -196,25 +235,65 @@ class _Restaurants:
         self.customers = np.add.reduceat(self.counts, start)
         self.words, self.word = np.unique(pair_w, return_inverse=True)
 
-    def seated(self, parent: np.ndarray, tables: np.ndarray, sweep: int) -> np.ndarray:
-        """One sweep: tables per pair, given the parent's probabilities and the tables per context."""
+    def alone(self) -> np.ndarray:
+        """One table per dish that was seen in training."""
+        return (self.counts > 0).astype(np.float64)
+
+    def fans(self) -> np.ndarray:
+        """Restaurants that serve each word."""
+        return np.bincount(self.word, self.counts > 0, len(self.words))
+
+    def random(self, sweep: int) -> np.random.Generator:
+        return np.random.Generator(np.random.Philox(key=[self.model.seed, (self.bucket << 8) + sweep]))
+
+    def seated(self, parent: np.ndarray, drawn: np.ndarray, random: np.random.Generator) -> np.ndarray:
+        """One sweep: tables per pair, given the parent's probabilities and the tables so far."""
         m = self.model
-        random = np.random.Generator(np.random.Philox(key=[m.seed, (self.bucket << 8) + sweep]))
-        mass = (m.strength + m.discount * tables)[self.context] * parent[self.word]
-        drawn = (self.counts > 0).astype(np.float64)
-        # One customer has one table.
-        several = np.flatnonzero(self.counts > 1)
-        drawn[several] = draw_tables(self.counts[several], mass[several], m.discount, random)
+        drawn = drawn.copy()
+        rank = np.arange(len(self.counts)) - self.starts[self.context]
+        for half in (0, 1):
+            # One customer has one table.
+            some = np.flatnonzero((self.counts > 1) & (rank % 2 == half))
+            others = self.per_context(drawn)[self.context[some]] - drawn[some]
+            drawn[some] = draw_tables(self.counts[some], others, parent[self.word[some]], m.strength, m.discount, random)
         return drawn
 
     def per_context(self, values: np.ndarray) -> np.ndarray:
         return np.add.reduceat(values, self.starts)
 
-    def first_sweep(self) -> np.ndarray:
-        """Tables per pair with the parent estimated from this bucket's contexts."""
-        here = np.bincount(self.word, self.counts > 0, len(self.words))
-        known = (self.counts > 0).astype(np.float64)
-        return self.seated((here + 0.5) / (here.sum() + 0.5 * len(here)), self.per_context(known), 0)
+    def first_sweep(self, root: "_Root") -> np.ndarray:
+        """Tables per pair after the sweep that follows one table per dish."""
+        return self.seated(root.probabilities(), self.alone(), self.random(0))
+
+
+class _Root:
+    """What a bucket knows of the root: its own words' customers and seats, and the totals of all words."""
+
+    def __init__(self, replies: pa.Table, model: PitmanYor):
+        rows = sorted(replies.to_pylist(), key=lambda r: r["shard"])
+        self.model = model
+        self.dishes, self.customers, self.tables = rows[0]["dishes"], rows[0]["customers"], rows[0]["root_tables"]
+        self.given, self.held, self.seats = (
+            np.concatenate([expand(r[n], np.uint32) for r in rows]).astype(np.float64) for n in ("given", "held", "seats")
+        )
+
+    def take(self, tables: np.ndarray, random: np.random.Generator) -> None:
+        """The bucket's words have ``tables`` now; their customers at the root are seated anew."""
+        m = self.model
+        self.customers += (tables - self.given).sum()
+        self.held += tables - self.given
+        self.given = tables
+        seats = draw_tables(
+            self.held, self.tables - self.seats, np.full(len(tables), 1 / (self.dishes + 1)), m.root_strength, m.root_discount, random
+        )
+        self.tables += (seats - self.seats).sum()
+        self.seats = seats
+
+    def probabilities(self) -> np.ndarray:
+        """Of the bucket's words; over all words and the one unknown word they sum to one."""
+        m = self.model
+        base = (m.root_strength + m.root_discount * self.tables) / (self.dishes + 1)
+        return (self.held - m.root_discount * self.seats + base) / (m.root_strength + self.customers)
 
 
 def lm_scores(docs: DataFrame, model: PitmanYor = PitmanYor()) -> DataFrame:
@@ -245,45 +324,56 @@ def lm_scores(docs: DataFrame, model: PitmanYor = PitmanYor()) -> DataFrame:
             rows.append((bucket, block, pack_sorted(u[a:b][start]), squeeze(fans), w[a:b].tobytes(), squeeze(counts[a:b])))
         return _table(_ASKED, rows)
 
-    def to_root(table: pa.Table) -> pa.Table:
-        own = _Restaurants(table, model)
-        tables = np.bincount(own.word, own.first_sweep(), len(own.words)).astype(np.uint32)
-        tokens = int(own.counts.sum())
+    def shares(own: _Restaurants, tables: np.ndarray) -> pa.Table:
+        """Tables per word of a bucket, by the shard of the root that seats them."""
+        tokens, given = int(own.counts.sum()), tables.astype(np.uint32)
         rows = []
         for shard, a, b in _slices(own.words, buckets):
-            rows.append((shard, own.bucket, pack_sorted(own.words[a:b]), squeeze(tables[a:b]), tokens))
+            rows.append((shard, own.bucket, pack_sorted(own.words[a:b]), squeeze(given[a:b]), tokens))
             tokens = 0
         return _table(_TABLES, rows)
 
+    def count_fans(table: pa.Table) -> pa.Table:
+        own = _Restaurants(table, model)
+        return shares(own, own.fans())
+
+    def to_root(table: pa.Table, replies: pa.Table) -> pa.Table:
+        own = _Restaurants(table, model)
+        drawn = own.first_sweep(_Root(replies, model))
+        return shares(own, np.bincount(own.word, drawn, len(own.words)))
+
     def root(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
+        rows = sorted(table.to_pylist(), key=lambda r: r["bucket"])
         asked = [unpack_sorted(r["words"]) for r in rows]
         words, place = np.unique(np.concatenate(asked), return_inverse=True)
-        given = np.concatenate([expand(r["tables"], np.uint32) for r in rows]).astype(np.int64)
-        customers = np.bincount(place, given, len(words)).astype(np.int64)
+        given = [expand(r["tables"], np.uint32) for r in rows]
+        held = np.bincount(place, np.concatenate(given), len(words)).astype(np.int64)
         shard = rows[0]["shard"]
         random = np.random.Generator(np.random.Philox(key=[model.seed, (shard << 8) + 255]))
-        # Nearly every dish has one root table, so the base's weight for one dish is about the discount.
-        tables = draw_tables(customers, np.full(len(words), model.root_discount), model.root_discount, random)
-        mass = (customers - model.root_discount * tables).astype(np.float32)
-        ends = np.cumsum([len(a) for a in asked])[:-1]
-        out = [(-1, shard, None, int((customers > 0).sum()), int(customers.sum()), int(tables.sum()), sum(r["tokens"] for r in rows))]
-        out += [(r["bucket"], shard, squeeze(mass[p]), 0, 0, 0, 0) for r, p in zip(rows, np.split(place, ends))]
+        # Nearly every dish has one root table; the contexts seat their words again with all tables known.
+        served = (held > 0).sum()
+        seats = draw_tables(held, np.full(len(words), served - 1.0), np.full(len(words), 1 / (served + 1)), model.root_strength, model.root_discount, random)
+        cuts = np.cumsum([len(a) for a in asked])[:-1]
+        out = [(-1, shard, None, None, None, int(served), int(held.sum()), int(seats.sum()), sum(r["tokens"] for r in rows))]
+        out += [
+            (r["bucket"], shard, squeeze(own), squeeze(held[p].astype(np.uint32)), squeeze(seats[p].astype(np.uint32)), 0, 0, 0, 0)
+            for r, own, p in zip(rows, given, np.split(place, cuts))
+        ]
         return _table(_ROOT, out)
 
     def answer(table: pa.Table, replies: pa.Table) -> pa.Table:
-        own = _Restaurants(table, model)
-        rows = sorted(replies.to_pylist(), key=lambda r: r["shard"])
-        dishes, customers, tables = rows[0]["dishes"], rows[0]["customers"], rows[0]["root_tables"]
-        over = model.root_strength + customers
-        parent = np.concatenate([expand(r["mass"], np.float32) for r in rows]).astype(np.float64) / over
-        parent += (model.root_strength + model.root_discount * tables) / over / (dishes + 1)
-        seats = own.per_context(own.first_sweep())
+        own, above = _Restaurants(table, model), _Root(replies, model)
+        drawn = own.alone()
         probs = np.zeros(len(own.counts))
-        for sweep in range(1, model.sweeps + 1):
-            drawn = own.seated(parent, seats, sweep)
+        for sweep in range(model.sweeps + 1):
+            random = own.random(sweep + 1)
+            parent = above.probabilities()
+            drawn = own.seated(parent, drawn, random)
+            above.take(np.bincount(own.word, drawn, len(own.words)), random)
+            if not sweep:
+                continue
             seats = own.per_context(drawn)
-            backoff = (model.strength + model.discount * seats)[own.context] * parent[own.word]
+            backoff = (model.strength + model.discount * seats)[own.context] * above.probabilities()[own.word]
             probs += (own.counts - model.discount * drawn + backoff) / (model.strength + own.customers)[own.context]
         probs = (probs / model.sweeps).astype(np.float32)
         out, at = [], 0
@@ -320,13 +410,19 @@ def lm_scores(docs: DataFrame, model: PitmanYor = PitmanYor()) -> DataFrame:
             schema=_SCORES,
         )
 
-    asked = blocks.groupBy("block").applyInArrow(ask, _ddl(_ASKED))
-    seated = asked.groupBy("bucket").applyInArrow(to_root, _ddl(_TABLES)).groupBy("shard").applyInArrow(root, _ddl(_ROOT))
     names = ("dishes", "customers", "root_tables", "tokens")
-    # One row.
-    totals = seated.where("bucket < 0").groupBy(F.lit(1).alias("all")).agg(*[F.sum(n).alias(n) for n in names])
-    replies = seated.where("bucket >= 0").select("bucket", "shard", "mass", F.lit(1).alias("all"))
-    replies = replies.join(F.broadcast(totals), "all").select("bucket", "shard", "mass", "dishes", "customers", "root_tables")
+
+    def answered(tables: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """The root's replies to each bucket, and its totals in one row."""
+        seated = tables.groupBy("shard").applyInArrow(root, _ddl(_ROOT))
+        totals = seated.where("bucket < 0").groupBy(F.lit(1).alias("all")).agg(*[F.sum(n).alias(n) for n in names])
+        replies = seated.where("bucket >= 0").select("bucket", "shard", "given", "held", "seats", F.lit(1).alias("all"))
+        return replies.join(F.broadcast(totals), "all").drop("all", "tokens"), totals
+
+    asked = blocks.groupBy("block").applyInArrow(ask, _ddl(_ASKED))
+    replies, _ = answered(asked.groupBy("bucket").applyInArrow(count_fans, _ddl(_TABLES)))
+    first = asked.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(to_root, _ddl(_TABLES))
+    replies, totals = answered(first)
     answers = asked.groupBy("bucket").cogroup(replies.groupBy("bucket")).applyInArrow(answer, _ddl(_ANSWERS))
     scored = blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, _ddl(_SCORES))
     n_tokens = F.col("n_words") + 1
