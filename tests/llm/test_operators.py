@@ -481,17 +481,67 @@ def test_fingerprints_of_odd_rows(texts, odd_rows):
     assert alone.edited_sha256 == brute.sha("abcdefab") and alone.near_next == 1.0
 
 
-def test_window_likeness_survives_an_insertion(texts):
-    from tideline.llm.merkle import window_likeness
+def test_likeness_survives_an_insertion(texts):
+    from tideline.llm.merkle import fingerprints
 
     line = " ".join(f"word{i * 7919 % 1009}" for i in range(150))
     blankless = "".join(chr(0x4E00 + i * 7919 % 5003) for i in range(600)) + "\U0001f600" * 3
     docs = [(1, line), (2, "put " + line), (3, blankless), (4, "x" + blankless), (5, "short"), (6, "a\nshort"), (7, "")]
-    near = {r.doc_id: r.near_next for r in window_likeness(texts(docs)).collect()}
+    near = {r.doc_id: r.near_next for r in fingerprints(texts(docs)).collect()}
     assert near[1] > 0.95 and near[3] > 0.95
     assert near[2] < 0.01 and near[5] == 0.5 and near[6] == 0
 
 
+def differing(x, y):
+    """Start, ends and places of the stretch in which two lists differ."""
+    start = 0
+    while start < min(len(x), len(y)) and x[start] == y[start]:
+        start += 1
+    tail = 0
+    while tail < min(len(x), len(y)) - start and x[-1 - tail] == y[-1 - tail]:
+        tail += 1
+    ends = len(x) - tail, len(y) - tail
+    return ends, range(start, max(ends))
+
+
+def places_of_edits(x, y):
+    out = []
+    x, y = (t.split("\n\n") for t in (x, y))
+    (xe, ye), places = differing(x, y)
+    for i in places:
+        p, q = (t[i].split("\n") if i < e else [] for t, e in ((x, xe), (y, ye)))
+        (pe, qe), inner = differing(p, q)
+        out += [(i, j) for j in inner if (p[j] if j < pe else None) != (q[j] if j < qe else None)]
+    return out
+
+
+def test_edits_are_located_from_the_root_down(spark):
+    import random
+
+    from tideline.llm.merkle import changed_places, tree
+
+    draw = random.Random(4)
+    base = "\n\n".join("\n".join(f"line {s} {p}" for p in range(4)) for s in range(5))
+    lines = base.split("\n")
+    pairs = [
+        (base, base), (base, "new\n" + base), (base, "new\n\n" + base), (base, base.replace("line 2 1\n", "")),
+        (base, base.replace("line 1 3", "x").replace("line 3 0", "y").replace("line 3 2", "z")), ("", base), (base, ""), ("", ""),
+        (base, base.replace("line 0 1", "line 0 1\nput in").replace("line 4 2", "other")),
+    ]
+    for _ in range(40):
+        held = lines.copy()
+        for _ in range(draw.randint(1, 4)):
+            at = draw.randrange(len(held))
+            held[at : at + draw.randint(0, 2)] = draw.choice([[], ["a"], ["", "b"], ["line 2 2"]])
+            held = held or [""]
+        pairs.append((base, "\n".join(held)))
+    df = spark.createDataFrame([(i, x, y) for i, (x, y) in enumerate(pairs)], "i int, x string, y string")
+    found = {r.i: [tuple(c) for c in r.c] for r in df.select("i", changed_places(tree(F.col("x")), tree(F.col("y"))).alias("c")).collect()}
+    assert found == {i: places_of_edits(x, y) for i, (x, y) in enumerate(pairs)}
+    assert found[0] == [] and found[1] == [(0, 0)] and found[3] == [(2, 1)] and found[4] == [(1, 3), (3, 0), (3, 2)]
+    assert found[2] == [(0, 0)]
+
+
 # --- tokenizers ----------------------------------------------------------------------------------
 
 STRANGE = ["", " ", "  a  b ", "▁", "a▁b", "<unk>", "<s>", "<0x41>", "\x00", "漢字 かな", "\U0001f600x", "é", "a\n\n b\t\r\n", "�"]

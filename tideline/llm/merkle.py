@@ -1,12 +1,12 @@
-"""Document fingerprints: a Merkle tree over sections, paragraphs and runs of characters.
+"""Document fingerprints: a Merkle tree over sections and paragraphs, with windows of characters.
 
 A text is split into sections at empty lines, a section into paragraphs at line ends. A paragraph's
 digest is the hash of its text, a section's that of its paragraphs' digests, the root's that of the
-sections'. Splitting loses nothing, so equal roots mean equal texts. Below the paragraphs stand
-leaves of a few characters each, counted from the paragraph's start: an edit changes the leaves
-behind it in its own paragraph and leaves those of all other paragraphs as they are. Two documents
-are compared from the root down, and by the share of leaves they have in common. Windows of as many
-characters start at every character instead, so an edit changes only the windows that hold it.
+sections'. Splitting loses nothing, so equal roots mean equal texts. Two texts are compared from the
+root down: equal sections at both ends are passed over, and only differing ones are looked into, where
+the paragraphs are compared in the same way; that gives the places of all edits. How alike two texts
+are is the share of windows they have in common: runs of a few characters that start at every
+character of a line, so an edit of any length changes only the windows that hold it.
 """
 
 from __future__ import annotations
@@ -16,36 +16,96 @@ from pyspark.sql import functions as F
 
 from tideline.llm.texts import id_and_text, let
 
-#: Code points in a leaf.
-LEAF_CHARS = 8
+#: Code points in a window.
+WINDOW_CHARS = 8
 
 
 def _sha(text: Column) -> Column:
     return F.sha2(text, 256)
 
 
-def section_digests(text: Column) -> Column:
-    """One digest per section. The level's letter keeps a paragraph from passing for a section."""
+def tree(text: Column) -> Column:
+    """Sections with their ``digest`` and their ``paragraphs``' digests. The level's letter keeps a paragraph from passing for a section."""
+    digests = F.transform(
+        F.split(text, "\n\n"), lambda s: F.transform(F.split(s, "\n"), lambda p: _sha(F.concat(F.lit("P"), p)))
+    )
     return F.transform(
-        F.split(text, "\n\n"),
-        lambda s: _sha(
-            F.concat(F.lit("S"), F.concat_ws(",", F.transform(F.split(s, "\n"), lambda p: _sha(F.concat(F.lit("P"), p)))))
-        ),
+        digests,
+        lambda ps: F.struct(_sha(F.concat(F.lit("S"), F.concat_ws(",", ps))).alias("digest"), ps.alias("paragraphs")),
     )
 
 
 def root(sections: Column) -> Column:
-    return _sha(F.concat(F.lit("R"), F.concat_ws(",", sections)))
+    return _sha(F.concat(F.lit("R"), F.concat_ws(",", F.transform(sections, lambda s: s["digest"]))))
 
 
-def leaves(text: Column, leaf_chars: int = LEAF_CHARS) -> Column:
-    """The set of leaf digests of a text: a line end also ends a leaf."""
-    return F.array_distinct(
-        F.transform(F.regexp_extract_all(text, F.lit(f"[^\\n]{{1,{leaf_chars}}}"), F.lit(0)), lambda x: F.xxhash64(x))
+def _equal_start(a: Column, b: Column, most: Column) -> Column:
+    """How many digests two lists have in common from their starts on, up to ``most``."""
+    differ = F.zip_with(F.slice(a, F.lit(1), most), F.slice(b, F.lit(1), most), lambda x, y: x != y)
+    return let(F.array_position(differ, F.lit(True)).cast("int"), lambda at: F.when(at == 0, most).otherwise(at - 1))
+
+
+def _differing(a: Column, b: Column) -> Column:
+    """The stretch in which two lists of digests differ: its ``start`` in both, and its ends."""
+    n = F.least(F.size(a), F.size(b))
+    return let(
+        _equal_start(a, b, n),
+        lambda start: let(
+            _equal_start(F.reverse(a), F.reverse(b), n - start),
+            lambda tail: F.struct(
+                start.alias("start"), (F.size(a) - tail).alias("a_end"), (F.size(b) - tail).alias("b_end")
+            ),
+        ),
+    )
+
+
+def _places(stretch: Column) -> Column:
+    """Numbers from 0 in the stretch; as many as the longer side has."""
+    none = F.array().cast("array<int>")
+    end = F.greatest(stretch["a_end"], stretch["b_end"])
+    return F.when(end > stretch["start"], F.sequence(stretch["start"], end - 1)).otherwise(none)
+
+
+def _within(list_: Column, place: Column, end: Column) -> Column:
+    return F.when(place < end, F.get(list_, place))
+
+
+def changed_places(a: Column, b: Column) -> Column:
+    """Sections and paragraphs, from 0, at which two trees differ.
+
+    Equal sections at both ends are left out, then equal ones at the same place; in a pair that
+    differs, the same is done with its paragraphs. What one side lacks counts as different.
+    """
+    digests = lambda t: F.transform(t, lambda s: s["digest"])
+    nothing = F.array().cast("array<string>")
+
+    def in_section(section: Column, x: Column, y: Column) -> Column:
+        ps, qs = F.coalesce(x["paragraphs"], nothing), F.coalesce(y["paragraphs"], nothing)
+        return let(
+            F.struct(ps.alias("ps"), qs.alias("qs")),
+            lambda held: let(
+                _differing(held["ps"], held["qs"]),
+                lambda d: F.transform(
+                    F.filter(
+                        _places(d),
+                        lambda j: ~_within(held["ps"], j, d["a_end"]).eqNullSafe(_within(held["qs"], j, d["b_end"])),
+                    ),
+                    lambda j: F.struct(section.alias("section"), j.alias("paragraph")),
+                ),
+            ),
+        )
+
+    return let(
+        _differing(digests(a), digests(b)),
+        lambda d: F.flatten(
+            F.transform(
+                _places(d), lambda i: in_section(i, _within(a, i, d["a_end"]), _within(b, i, d["b_end"]))
+            )
+        ),
     )
 
 
-def windows(text: Column, window_chars: int = LEAF_CHARS) -> Column:
+def windows(text: Column, window_chars: int = WINDOW_CHARS) -> Column:
     """The set of digests of all runs of ``window_chars`` in a line; a shorter line is one itself.
 
     The look-ahead takes the run and the match one code point, so the runs overlap.
@@ -58,7 +118,7 @@ def windows(text: Column, window_chars: int = LEAF_CHARS) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Shared leaves by all leaves of two leaf sets; 1 when both are empty."""
+    """Shared windows by all windows of two sets; 1 when both are empty."""
     both = let(b, lambda b: F.struct(F.size(F.array_intersect(a, b)).alias("n"), (F.size(a) + F.size(b)).alias("all")))
     return let(both, lambda x: F.when(x["all"] == 0, F.lit(1.0)).otherwise(x["n"] / (x["all"] - x["n"])))
 
@@ -117,59 +177,37 @@ def with_edited(docs: DataFrame) -> DataFrame:
     )
 
 
-def window_likeness(docs: DataFrame) -> DataFrame:
-    """``near_edited`` and ``near_next`` over windows, which an insertion of any length leaves in common.
-
-    Texts, their edited forms and odd rows are those of ``fingerprints``.
-    """
-    near = let(
-        windows(F.col("text")),
-        lambda own: F.struct(
-            likeness(own, windows(F.col("edited"))).alias("near_edited"),
-            likeness(own, windows(F.col("next_text"))).alias("near_next"),
-        ),
-    )
-    return with_edited(docs).select("doc_id", "n_chars", near.alias("_near")).select("doc_id", "n_chars", "_near.*")
-
-
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """Fingerprints of every text and of its edited form, with their likenesses.
+    """Fingerprints of every text and of its edited form, with their likenesses and the places of the edits.
 
     The edited text has its last quarter of code points replaced by as many first ones of the next
-    document. A null text is empty; an empty text has one section of one empty paragraph and no
-    leaves. A single document is its own next. Repeated rows are each a document; other columns are
-    not looked at; an empty table gives an empty table.
+    document. ``changed`` holds the places at which the trees of both differ. A null text is empty; an
+    empty text has one section of one empty paragraph and no windows. A single document is its own
+    next. Repeated rows are each a document; other columns are not looked at; an empty table gives an
+    empty table.
     """
     trees = with_edited(docs).select(
         "doc_id",
         "n_chars",
         _sha(F.col("edited")).alias("edited_sha256"),
-        section_digests(F.col("text")).alias("_sections"),
-        section_digests(F.col("edited")).alias("_edited_sections"),
+        tree(F.col("text")).alias("_tree"),
+        tree(F.col("edited")).alias("_edited_tree"),
         let(
-            leaves(F.col("text")),
+            windows(F.col("text")),
             lambda own: F.struct(
-                likeness(own, leaves(F.col("edited"))).alias("edited"),
-                likeness(own, leaves(F.col("next_text"))).alias("next"),
+                likeness(own, windows(F.col("edited"))).alias("edited"),
+                likeness(own, windows(F.col("next_text"))).alias("next"),
             ),
         ).alias("_near"),
-        F.size(F.split("text", "\n")).cast("bigint").alias("n_paragraphs"),
-        changed_paragraph(F.col("text"), F.col("edited")).alias("changed_paragraph"),
     )
     return trees.select(
         "doc_id",
         "n_chars",
         "edited_sha256",
-        root(F.col("_sections")).alias("fingerprint"),
-        root(F.col("_edited_sections")).alias("edited_fingerprint"),
+        root(F.col("_tree")).alias("fingerprint"),
+        root(F.col("_edited_tree")).alias("edited_fingerprint"),
         F.col("_near.edited").alias("near_edited"),
         F.col("_near.next").alias("near_next"),
-        "n_paragraphs",
-        "changed_paragraph",
+        F.aggregate("_tree", F.lit(0).cast("bigint"), lambda n, s: n + F.size(s["paragraphs"])).alias("n_paragraphs"),
+        changed_places(F.col("_tree"), F.col("_edited_tree")).alias("changed"),
     )
-
-
-def changed_paragraph(a: Column, b: Column) -> Column:
-    """The first paragraph, from 0, that differs between two texts; null when none does."""
-    different = F.zip_with(F.split(a, "\n"), F.split(b, "\n"), lambda x, y: ~x.eqNullSafe(y))
-    return F.nullif(F.array_position(different, F.lit(True)), F.lit(0).cast("bigint")) - 1

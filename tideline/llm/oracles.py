@@ -39,36 +39,14 @@ FROM judged
 
 _TREE = """sha256('R' || array_to_string(list_transform(string_split({0}, chr(10) || chr(10)), lambda s:
         sha256('S' || array_to_string(list_transform(string_split(s, chr(10)), lambda p: sha256('P' || p)), ','))), ','))"""
-_LEAVES = r"list_distinct(regexp_extract_all({0}, '[^\n]{{1,8}}'))"
-_NEAR = """CASE WHEN len({0}) + len({1}) = 0 THEN 1.0
-        ELSE CAST(len(list_intersect({0}, {1})) AS DOUBLE) / (len({0}) + len({1}) - len(list_intersect({0}, {1}))) END"""
+_SECTIONS = "string_split({0}, chr(10) || chr(10))"
+# How many elements two lists share from their starts on, and from their ends back to there.
+_START = """coalesce(list_position(list_transform(range(1, least(len({0}), len({1})) + 1), lambda i: {0}[i] <> {1}[i]), true) - 1,
+        least(len({0}), len({1})))"""
+_TAIL = """coalesce(list_position(list_transform(range(0, least(len({0}), len({1})) - {2}),
+            lambda i: {0}[len({0}) - i] <> {1}[len({1}) - i]), true) - 1, least(len({0}), len({1})) - {2})"""
 
 SQL["op10_document_fingerprints"] = f"""
-WITH texts AS (
-    SELECT doc_id, coalesce(text, '') AS text FROM documents
-), following AS (
-    SELECT doc_id, text, coalesce(lead(text) OVER (ORDER BY doc_id, text),
-        first_value(text) OVER (ORDER BY doc_id, text)) AS next_text
-    FROM texts
-), edits AS (
-    SELECT *, left(text, length(text) - length(text) // 4) || left(next_text, length(text) // 4) AS edited
-    FROM following
-), leaved AS (
-    SELECT *, {_LEAVES.format("text")} AS a, {_LEAVES.format("edited")} AS b, {_LEAVES.format("next_text")} AS c
-    FROM edits
-)
-SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256,
-    {_TREE.format("text")} AS fingerprint, {_TREE.format("edited")} AS edited_fingerprint,
-    {_NEAR.format("a", "b")} AS near_edited, {_NEAR.format("a", "c")} AS near_next,
-    CAST(len(string_split(text, chr(10))) AS BIGINT) AS n_paragraphs,
-    CASE WHEN text <> edited THEN CAST(list_position(list_transform(
-        range(1, greatest(len(string_split(text, chr(10))), len(string_split(edited, chr(10)))) + 1),
-        lambda i: string_split(text, chr(10))[i] IS DISTINCT FROM string_split(edited, chr(10))[i]), true)
-        AS BIGINT) - 1 END AS changed_paragraph
-FROM leaved
-"""
-
-SQL["op10_document_likeness"] = """
 WITH texts AS (
     SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents
 ), following AS (
@@ -92,11 +70,33 @@ WITH texts AS (
     SELECT rid, count(*) FILTER (a AND b) AS ab, count(*) FILTER (a OR b) AS a_b,
         count(*) FILTER (a AND c) AS ac, count(*) FILTER (a OR c) AS a_c
     FROM kinds GROUP BY rid
+), parted AS (
+    SELECT rid, {_SECTIONS.format("text")} AS x, {_SECTIONS.format("edited")} AS y FROM edits
+), started AS (
+    SELECT *, {_START.format("x", "y")} AS s FROM parted
+), ended AS (
+    SELECT *, {_TAIL.format("x", "y", "s")} AS t FROM started
+), pairs AS (
+    SELECT rid, i, CASE WHEN i < len(x) - t THEN string_split(x[i + 1], chr(10)) ELSE [] END AS x,
+        CASE WHEN i < len(y) - t THEN string_split(y[i + 1], chr(10)) ELSE [] END AS y
+    FROM (SELECT *, unnest(range(s, greatest(len(x), len(y)) - t)) AS i FROM ended)
+), pairs_started AS (
+    SELECT *, {_START.format("x", "y")} AS s FROM pairs
+), pairs_ended AS (
+    SELECT *, {_TAIL.format("x", "y", "s")} AS t FROM pairs_started
+), places AS (
+    SELECT rid, i, j FROM (SELECT *, unnest(range(s, greatest(len(x), len(y)) - t)) AS j FROM pairs_ended)
+    WHERE (CASE WHEN j < len(x) - t THEN x[j + 1] END) IS DISTINCT FROM (CASE WHEN j < len(y) - t THEN y[j + 1] END)
+), changed AS (
+    SELECT rid, string_agg(i || ':' || j, ',' ORDER BY i, j) AS changed FROM places GROUP BY rid
 )
-SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars,
+SELECT doc_id, CAST(length(text) AS BIGINT) AS n_chars, sha256(edited) AS edited_sha256,
+    {_TREE.format("text")} AS fingerprint, {_TREE.format("edited")} AS edited_fingerprint,
     CASE WHEN coalesce(a_b, 0) = 0 THEN 1.0 ELSE CAST(ab AS DOUBLE) / a_b END AS near_edited,
-    CASE WHEN coalesce(a_c, 0) = 0 THEN 1.0 ELSE CAST(ac AS DOUBLE) / a_c END AS near_next
-FROM edits LEFT JOIN counts USING (rid)
+    CASE WHEN coalesce(a_c, 0) = 0 THEN 1.0 ELSE CAST(ac AS DOUBLE) / a_c END AS near_next,
+    CAST(list_sum(list_transform({_SECTIONS.format("text")}, lambda q: len(string_split(q, chr(10))))) AS BIGINT) AS n_paragraphs,
+    coalesce(changed, '') AS changed
+FROM edits LEFT JOIN counts USING (rid) LEFT JOIN changed USING (rid)
 """
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

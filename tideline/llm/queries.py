@@ -106,14 +106,9 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tideline.llm.merkle import fingerprints
 
-    return fingerprints(documents(spark, sf_dir))
-
-
-@query
-def op10_document_likeness(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tideline.llm.merkle import window_likeness
-
-    return window_likeness(documents(spark, sf_dir))
+    found = fingerprints(documents(spark, sf_dir))
+    places = F.transform("changed", lambda c: F.concat_ws(":", c["section"], c["paragraph"]))
+    return found.withColumn("changed", F.array_join(places, ","))
 
 
 @query
