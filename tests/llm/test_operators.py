@@ -417,6 +417,71 @@ def test_license_spans_chain_over_small_changes():
     assert not scanner.scan(" ".join(reversed(words)))[2]
 
 
+def test_no_pair_of_edits_loses_a_template():
+    """Two words of a template of 30 or more are replaced, by unknown words or by words of templates."""
+    from tideline.llm.license_templates import TEMPLATES
+    from tideline.llm.licenses import LicenseScanner, license_words
+
+    scanner = LicenseScanner()
+    for label, text in TEMPLATES:
+        words = [w.decode() for w in license_words(text)]
+        if len(words) < 30:
+            continue
+        for i in range(len(words)):
+            for j in range(i + 1, len(words)):
+                held = words.copy()
+                held[i], held[j] = ("replicate", "within") if (i + j) % 2 else ("the", "software")
+                assert label in {s[2] for s in scanner.scan(" ".join(held))[2]}, (label, i, j)
+
+
+def best_cover(text, template, least_run, most_gap):
+    """The most words that a chain covers, over all chains of maximal common runs."""
+    runs = []
+    for e in range(1, len(text) + 1):
+        for p in range(1, len(template) + 1):
+            n = 0
+            while n < min(e, p) and text[e - 1 - n] == template[p - 1 - n]:
+                n += 1
+            runs.append((e, p, n))
+    # As the scanner has it: the longest run of the template that ends at a word, unless the next word prolongs it.
+    longest = [max((n for e, p, n in runs if e == end), default=0) for end in range(len(text) + 2)]
+    anchors = [
+        (e, p - 1, n) for e, p, n in runs
+        if n >= min(least_run, len(template)) and n == longest[e] and not (e < len(text) and longest[e + 1] == n + 1)
+    ]
+    anchors.sort()
+    best = []
+    for i, (e, p, n) in enumerate(anchors):
+        best.append(max([n] + [
+            best[j] + min(n, e - f, p - q) for j, (f, q, _) in enumerate(anchors[:i]) if f < e and q < p and e - n - f <= most_gap
+        ]))
+    return max(best, default=0)
+
+
+def test_chains_cover_as_much_as_any():
+    import random
+
+    from tideline.llm.licenses import LicenseScanner
+
+    draw = random.Random(6)
+    for _ in range(150):
+        template = [draw.choice("abcd") for _ in range(draw.randint(4, 12))]
+        other = [draw.choice("abcde") for _ in range(6)]
+        scanner = LicenseScanner((), (("x", " ".join(template)), ("y", " ".join(other))), least_run=2, most_gap=3, least_cover=0.01)
+        text = [w if draw.random() < 0.8 else draw.choice("abcdz") for w in template + other + template[::-1]]
+        spans = [s for s in scanner.scan(" ".join(text))[2] if s[2] == "x"]
+        most = best_cover(text, template, 2, 3)
+        assert max((s[3] for s in spans), default=0) == pytest.approx(min(1, most / len(template)))
+        assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+
+
+def test_a_phrase_may_be_one_word():
+    from tideline.llm.licenses import LicenseScanner
+
+    n, phrases, spans = LicenseScanner((("copyleft", "left"),), ()).scan("No copyleft, no Copyleft here")
+    assert (n, phrases, spans) == (5, [(1, 2, "left"), (3, 4, "left")], [])
+
+
 # --- quality, fingerprints -----------------------------------------------------------------------
 
 

@@ -1,8 +1,10 @@
 """Licence scans with a generalised suffix automaton of licence templates.
 
 The automaton holds every run of words of every template. Streaming a text through it gives, at each
-word, the longest run ending there that some template holds (its matching statistics). Long runs are
-chained along a template into covered spans; a template that is covered well enough gives its label.
+word, the longest run ending there that some template holds (its matching statistics), and along its
+links the longest that each template holds. Long runs are chained along a template into covered spans:
+a run counts at every place of the template that holds it, and of all chains those that cover most are
+taken. A template that is covered well enough gives its label.
 Short phrases that count at every place are templates of the same automaton. Its size is bounded by
 the templates, which travel with the task.
 """
@@ -35,7 +37,8 @@ class LicenseScanner:
 
     ``least_run`` words make a run worth chaining, or all words of a shorter template. Runs of one
     template chain when both places move forward and at most ``most_gap`` words of the text lie
-    between them. A template is found when a chain covers ``least_cover`` of its words.
+    between them. A template is found when a chain covers ``least_cover`` of its words; chains of one
+    template share no words of the text, and those that cover most come first.
     """
 
     def __init__(
@@ -56,19 +59,23 @@ class LicenseScanner:
         for template, words in enumerate(worded):
             self.automaton.add([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], template)
         a = self.automaton
-        # Where each template holds a state's runs (the first place), and which phrases end a state's runs.
-        self.places: list[dict[int, int]] = [{} for _ in a.length]
-        for template, words in enumerate(worded):
+        # Where each template holds a state's runs, and which phrases end a state's runs.
+        held: list[dict[int, set[int]]] = [{} for _ in a.length]
+        for template, words in enumerate(worded[self.n_phrases :], self.n_phrases):
             state = 0
             for end, w in enumerate(words):
                 state = a.next[state][self.vocabulary[w]]
-                self.places[state].setdefault(template, end)
+                held[state].setdefault(template, set()).add(end)
         by_length = sorted(range(len(a.length)), key=lambda v: -a.length[v])
         for v in by_length:
             if a.link[v] > 0:
-                for template, end in self.places[v].items():
-                    held = self.places[a.link[v]]
-                    held[template] = min(held.get(template, end), end)
+                for template, places in held[v].items():
+                    held[a.link[v]].setdefault(template, set()).update(places)
+        self.places = [{t: sorted(places) for t, places in of.items()} for of in held]
+        least = [min(least_run, n) if t >= self.n_phrases else n for t, n in enumerate(self.sizes)]
+        self.least = dict(enumerate(least))
+        self.shortest = min(least, default=1)
+        self.shortest_run = min(least[self.n_phrases :], default=1)
         ends: list[list[tuple[int, int]]] = [[] for _ in a.length]
         for p in range(self.n_phrases):
             state = 0
@@ -89,49 +96,78 @@ class LicenseScanner:
         words = license_words(text)
         n = len(words)
         symbols = np.fromiter(map(self.vocabulary.get, words, repeat(-1)), np.int32, n)
-        # Runs of words that templates know; a single one can hold nothing.
+        # Runs of words that templates know; too short ones can hold nothing.
         edges = np.flatnonzero(np.diff(np.concatenate([[False], symbols >= 0, [False]]).astype(np.int8)))
-        phrases, runs = [], []
+        phrases: list[tuple[int, int, str]] = []
+        anchors: dict[int, list[tuple[int, int, int]]] = {}
         for start, stop in zip(edges[::2].tolist(), edges[1::2].tolist()):
-            if stop - start < 2:
+            if stop - start < self.shortest:
                 continue
-            found = self.statistics(symbols[start:stop].tolist())
-            for k, (state, length) in enumerate(found):
-                if length < 2:
-                    continue
-                for p, size in self.ends[state]:
-                    if length >= size:
-                        phrases.append((start + k + 1 - size, start + k + 1, self.labels[p]))
-                if k + 1 == len(found) or found[k + 1][1] != length + 1:
-                    runs.append((start + k + 1, length, state))
-        return n, phrases, self._spans(runs)
-
-    def _spans(self, runs: list[tuple[int, int, int]]) -> list[tuple[int, int, str, float]]:
-        """Chains of runs per template, in the order of the text."""
-        open_chains: dict[int, list[int]] = {}
-        spans = []
-
-        def close(template: int) -> None:
-            first, end, _, covered = open_chains.pop(template)
-            cover = min(1.0, covered / self.sizes[template])
-            if cover >= self.least_cover:
-                spans.append((first, end, self.labels[template], cover))
-
-        for end, length, state in runs:
-            for template, place in self.places[state].items():
-                if template < self.n_phrases or length < min(self.least_run, self.sizes[template]):
-                    continue
-                chain = open_chains.get(template)
-                if chain and place > chain[2] and end - length - chain[1] <= self.most_gap:
-                    chain[3] += min(length, end - chain[1], place - chain[2])
-                    chain[1], chain[2] = end, place
-                else:
-                    if chain:
-                        close(template)
-                    open_chains[template] = [end - length, end, place, length]
-        for template in list(open_chains):
-            close(template)
-        return sorted(spans)
+            open_runs: dict[int, tuple[int, int]] = {}
+            for end, (state, length) in enumerate(self.statistics(symbols[start:stop].tolist()), start + 1):
+                if length >= self.shortest:
+                    for p, size in self.ends[state]:
+                        if length >= size:
+                            phrases.append((end - size, end, self.labels[p]))
+                open_runs = self._ended(open_runs, self._longest(state, length), end - 1, anchors)
+            self._ended(open_runs, {}, stop, anchors)
+        return n, phrases, sorted(span for t, held in anchors.items() for span in self._spans(t, held))
+
+    def _longest(self, state: int, length: int) -> dict[int, tuple[int, int]]:
+        """For each template the longest run ending here that it holds, if long enough: length and state."""
+        found: dict[int, tuple[int, int]] = {}
+        link, lengths = self.automaton.link, self.automaton.length
+        while state > 0 and length >= self.shortest_run:
+            for template in self.places[state]:
+                if length >= self.least[template]:
+                    found.setdefault(template, (length, state))
+            state = link[state]
+            length = lengths[state]
+        return found
+
+    def _ended(
+        self,
+        before: dict[int, tuple[int, int]],
+        now: dict[int, tuple[int, int]],
+        end: int,
+        anchors: dict[int, list[tuple[int, int, int]]],
+    ) -> dict[int, tuple[int, int]]:
+        """Runs that the next word does not prolong become anchors: end in the text, place, length."""
+        for template, (length, state) in before.items():
+            if now.get(template, (0, 0))[0] != length + 1:
+                held = anchors.setdefault(template, [])
+                held += [(end, place, length) for place in self.places[state][template]]
+        return now
+
+    def _spans(self, template: int, anchors: list[tuple[int, int, int]]) -> list[tuple[int, int, str, float]]:
+        """The chains of a template that cover most, none over another."""
+        anchors.sort()
+        best, previous = [], []
+        first = 0
+        for i, (end, place, length) in enumerate(anchors):
+            best.append(length)
+            previous.append(-1)
+            # Ends grow by less than a run's length, so few earlier anchors are near enough.
+            while anchors[first][0] < end - self.sizes[template] - self.most_gap:
+                first += 1
+            for j in range(first, i):
+                other_end, other_place, _ = anchors[j]
+                if other_end < end and other_place < place and end - length - other_end <= self.most_gap:
+                    covered = best[j] + min(length, end - other_end, place - other_place)
+                    if covered > best[i]:
+                        best[i], previous[i] = covered, j
+        spans: list[tuple[int, int, str, float]] = []
+        for i in sorted(range(len(anchors)), key=lambda i: (-best[i], anchors[i])):
+            cover = min(1.0, best[i] / self.sizes[template])
+            if cover < self.least_cover:
+                break
+            at = i
+            while previous[at] >= 0:
+                at = previous[at]
+            start, end = anchors[at][0] - anchors[at][2], anchors[i][0]
+            if all(end <= a or b <= start for a, b, _, _ in spans):
+                spans.append((start, end, self.labels[template], cover))
+        return spans
 
 
 def license_scan(docs: DataFrame, scanner: LicenseScanner | None = None) -> DataFrame:
