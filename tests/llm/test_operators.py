@@ -287,17 +287,19 @@ def seat_one_by_one(customers, others, parent, strength, discount, random, repea
 
 
 @pytest.mark.parametrize("others,parent,discount", [(0, 0.5, 0.0), (5, 0.3, 0.8), (40, 0.01, 0.5), (0, 0.9, 0.8)])
-def test_drawn_tables_follow_the_seating(others, parent, discount):
-    """The mean number of tables against a seating of single customers, whether they come singly or not."""
-    from tideline.llm.pitman_yor import draw_tables
+def test_drawn_tables_follow_the_seating(monkeypatch, others, parent, discount):
+    """The mean number of tables against a seating of single customers, in runs of customers and table by table."""
+    from tideline.llm import pitman_yor as py
 
     random, n = np.random.default_rng(5), 2_000
     for customers in (1, 2, 40, 200, 1500):
         plain = seat_one_by_one(customers, others, parent, 1.0, discount, random, n)
-        drawn = draw_tables(np.full(n, customers), np.full(n, float(others)), np.full(n, parent), 1.0, discount, random)
-        assert drawn.min() >= 1 and drawn.max() <= customers
-        error = 4 * np.hypot(plain.std(), drawn.std()) / n**0.5
-        assert abs(drawn.mean() - plain.mean()) <= error + 1e-9
+        for per_table in (0, 1 << 40):
+            monkeypatch.setattr(py, "RUN_PER_TABLE", per_table)
+            drawn = py.draw_tables(np.full(n, customers), np.full(n, float(others)), np.full(n, parent), 1.0, discount, random)
+            assert drawn.min() >= 1 and drawn.max() <= customers
+            error = 4 * np.hypot(plain.std(), drawn.std()) / n**0.5
+            assert abs(drawn.mean() - plain.mean()) <= error + 1e-9
 
 
 def test_sweeps_keep_the_mean_of_a_single_dish():
@@ -327,6 +329,9 @@ def test_large_dishes_are_seated_in_steps_of_tables():
     counts = np.full(50, 10_000_000)
     drawn = draw_tables(counts, np.zeros(50), np.full(50, 1e-3), 1.0, 0.5, random)
     assert (drawn >= 1).all() and drawn.mean() < 60
+    # Many tables of a large dish, seated in runs.
+    drawn = draw_tables(np.full(2, 3_000_000), np.full(2, 200_000.0), np.full(2, 0.5), 1.0, 0.8, random)
+    assert (drawn > 200_000).all()
 
 
 def test_scores_hardly_depend_on_the_blocks(spark, monkeypatch):

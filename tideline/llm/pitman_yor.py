@@ -50,8 +50,11 @@ from tideline.llm.repeats import STEP_BYTES
 BLOCK_BYTES = 16 << 20
 #: Stand for the place before the first word and for the end, which is a token.
 START, END = np.uint64(0x53544152545F5F5F), np.uint64(0x454E445F5F5F5F5F)
-#: Customers of a dish that are seated one by one; beyond them the next new table is drawn, which is the same seating.
+#: Customers that all dishes of a bucket seat side by side. Beyond them a dish seats a run of customers at
+#: once or draws how many join before the next new table, whichever takes less; the seating is the same.
 SINGLY = 256
+#: Customers of a run, and customers that take as long to seat as one drawn table.
+RUN, RUN_PER_TABLE = 1 << 16, 6_000
 
 
 @dataclass(frozen=True)
@@ -93,6 +96,30 @@ def _joined_before_new(z: np.ndarray, mass: np.ndarray, most: np.ndarray, chance
     return low
 
 
+def _seated_run(n: int, t: float, first: float, grown: float, discount: float, random: np.random.Generator) -> float:
+    """Tables of a dish once customers ``SINGLY`` to ``n`` have come one after the other.
+
+    Whether a customer opens a table depends on the tables opened before: that is solved for a run of
+    customers at once, from no table on, until nothing changes. A run is at most as long as the
+    customers before it, so a few rounds do.
+    """
+    k = SINGLY
+    while k < n:
+        size = min(n - k, k, RUN)
+        chance, seats = random.random(size), np.arange(k, k + size)
+        opens = np.zeros(size, bool)
+        while True:
+            tables = t + np.cumsum(opens) - opens
+            mass = first + grown * tables
+            again = chance * (mass + seats - discount * tables) < mass
+            if (again == opens).all():
+                break
+            opens = again
+        t += opens.sum()
+        k += size
+    return t
+
+
 def draw_tables(
     counts: np.ndarray,
     others: np.ndarray,
@@ -120,6 +147,12 @@ def draw_tables(
         mass = first[:live] + grown[:live] * t[:live]
         t[:live] += random.random(live) * (mass + k - discount * t[:live]) < mass
     at = np.arange(int(np.searchsorted(-n[:live], -SINGLY, side="left")))
+    mass = first[at] + grown[at] * t[at]
+    tables_to_come = mass * np.log1p(n[at] / (mass + 1e-300))
+    in_runs = n[at] < RUN_PER_TABLE * tables_to_come
+    for i in at[in_runs].tolist():
+        t[i] = _seated_run(int(n[i]), float(t[i]), float(first[i]), float(grown[i]), discount, random)
+    at = at[~in_runs]
     seated = np.full(len(at), float(SINGLY))
     while len(at):
         z, mass = seated - discount * t[at], first[at] + grown[at] * t[at]
