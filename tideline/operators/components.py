@@ -75,11 +75,11 @@ def connected_components(
     if large.isEmpty():
         return _components_in_tasks(links, keys)
     small = links.join(sizes.where(F.col("_links") <= task_arcs).select(*keys), keys, "semi")
-    rest = _components_by_rounds(pairs.join(large, keys, "semi"), nodes.join(large, keys, "semi"), keys)
+    rest = components_by_rounds(pairs.join(large, keys, "semi"), nodes.join(large, keys, "semi"), keys)
     return _components_in_tasks(small, keys).unionByName(rest.select(*keys, "node", "component"))
 
 
-def _components_by_rounds(pairs: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
+def components_by_rounds(pairs: DataFrame, nodes: DataFrame, keys: list[str]) -> DataFrame:
     """Components of snapshots of any size.
 
     Each round every node looks at the labels its neighbours point to, passes the smallest one on to
