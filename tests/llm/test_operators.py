@@ -160,6 +160,50 @@ def test_near_duplicates_of_given_tables(spark):
     assert found_near(near_duplicates(docs)) == expected
 
 
+def test_a_long_chain_of_links_takes_few_rounds(spark, monkeypatch):
+    import random
+
+    from tideline.llm import near
+    from tideline.operators import components
+
+    ids = list(range(1_000))
+    random.Random(5).shuffle(ids)
+    links = spark.createDataFrame(list(zip(ids, ids[1:])) + [(5_000, 5_001), (5_001, 5_000)], "a bigint, b bigint")
+    rounds = []
+    cut = components.Rounds.cut
+    monkeypatch.setattr(components.Rounds, "cut", lambda self, state: rounds.append(1) or cut(self, state))
+    found = {r.doc_id: r.component for r in near.components(links).collect()}
+    assert found == {i: 0 for i in range(1_000)} | {5_000: 5_000, 5_001: 5_000}
+    assert len(rounds) <= 15
+
+
+@pytest.mark.parametrize("percent", [80, 90, 100])
+def test_other_similarities(texts, percent):
+    from tideline.llm import near
+
+    rows = near_rows()
+    expected = {d: (n, c, d == c) for (d, _), (n, c) in zip(rows, brute.near_components(rows, percent=percent))}
+    assert found_near(near.near_duplicates(texts(rows), percent=percent)) == expected
+
+
+def test_similarities_that_sketches_may_miss_are_refused(texts):
+    from tideline.llm import near
+
+    with pytest.raises(ValueError):
+        near.near_duplicates(texts(near_rows()), percent=79)
+
+
+def test_steps_leave_the_shared_folder(texts, spark):
+    import os
+
+    from tideline.llm import near
+    from tideline.session import shared_folder
+
+    near.near_duplicates(texts(near_rows())).collect()
+    left = os.listdir(shared_folder(spark).removeprefix("file:"))
+    assert not [f for f in left if f.split("-")[0] in ("bands", "stars", "links", "joins", "clusters")]
+
+
 def test_near_duplicates_of_odd_rows(texts, odd_rows):
     from tideline.llm.near import keep_one_of_each, near_duplicates
 

@@ -20,19 +20,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.blocks import block_count, documents_of, in_blocks, mixed, runs_of
 from tideline.llm.repeats import STEP_BYTES, gram_hashes
-from tideline.session import fresh_folder
+from tideline.operators.components import components_by_rounds
+from tideline.session import drop_folder, fresh_folder
 
 #: With 32 bands of 4 slots a pair at similarity 0.8 shares no band with a probability below 1e-7.
 SLOTS, ROWS = 128, 4
 BANDS = SLOTS // ROWS
 #: Slots in which two sketches agree at least if a link is possible: at similarity 0.8 fewer agree with
-#: a probability below 1e-6.
-LEAST_AGREED = 80
+#: a probability below 1e-6. Bands and this number fit that similarity and larger ones.
+LEAST_AGREED, LEAST_PERCENT = 80, 80
 #: Documents of a band or cluster that are compared in one task with as many others.
 CHUNK = 2048
 
@@ -126,11 +127,23 @@ def full_sets(blocks: DataFrame, wanted: DataFrame, count: int, size: int) -> Da
     )
 
 
-def _written(df: DataFrame, stem: str) -> DataFrame:
-    """``df`` as Parquet in the shared folder, read back."""
-    folder = fresh_folder(df.sparkSession, stem)
-    df.write.parquet(folder)
-    return df.sparkSession.read.parquet(folder)
+class _Scratch:
+    """Steps written as Parquet to the shared folder; those that the result does not read are removed in the end."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.spent: list[str] = []
+
+    def written(self, df: DataFrame, stem: str, kept: bool = False) -> DataFrame:
+        folder = fresh_folder(self.spark, stem)
+        df.write.parquet(folder)
+        if not kept:
+            self.spent.append(folder)
+        return self.spark.read.parquet(folder)
+
+    def clear(self) -> None:
+        for folder in self.spent:
+            drop_folder(self.spark, folder)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -147,25 +160,12 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def components(links: DataFrame) -> DataFrame:
     """``doc_id`` and ``component``, its smallest linked document, for every document in ``links``.
 
-    Labels fall to the smallest of the neighbours' labels and then to the label's own label, until
-    none falls; the second step halves the way to the smallest, so rounds grow with the logarithm of
-    a component's diameter. Rounds are written down, and their number has no limit.
+    Rounds grow with the logarithm of a component's diameter, so chains of revisions take few.
     """
-    arcs = _written(links.union(links.select("b", "a")).toDF("a", "b"), "arcs")
-    labels = _written(arcs.groupBy(F.col("a").alias("doc_id")).agg(F.least("doc_id", F.min("b")).alias("component")), "labels")
-    while True:
-        near = arcs.join(labels.select(F.col("doc_id").alias("b"), F.col("component").alias("l")), "b")
-        near = near.groupBy(F.col("a").alias("doc_id")).agg(F.min("l").alias("l"))
-        fallen = labels.join(near, "doc_id").select(
-            "doc_id", F.col("component").alias("old"), F.least("component", "l").alias("component")
-        )
-        up = labels.select(F.col("doc_id").alias("component"), F.col("component").alias("up"))
-        step = _written(
-            fallen.join(up, "component").select("doc_id", "old", F.least("component", "up").alias("component")), "labels"
-        )
-        labels = step.select("doc_id", "component")
-        if step.where(F.col("old") != F.col("component")).isEmpty():
-            return labels
+    pairs = links.select(F.lit(0).alias("all"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    nodes = pairs.select("all", F.explode(F.array("a", "b")).alias("node")).distinct()
+    found = components_by_rounds(pairs, nodes, ["all"])
+    return found.select(F.col("node").alias("doc_id"), "component")
 
 
 def _band_rows(reps: DataFrame) -> DataFrame:
@@ -325,26 +325,30 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
     own component. Rows with one id are one document: each gets its row, with the set of its own text;
     links are those of the first text in order. A null id takes part as the largest id and comes out
     as null again; where it is linked with nothing, so is its component. Other columns are not looked at.
+    A ``percent`` below ``LEAST_PERCENT`` is refused.
     """
     from tideline.llm.blocks import NO_ID
 
+    if percent < LEAST_PERCENT:
+        raise ValueError(f"links below {LEAST_PERCENT} percent may be missed: {percent}")
+    scratch = _Scratch(docs.sparkSession)
     count = block_count(docs)
     blocks = in_blocks(docs, count)
-    table = _written(sketched(blocks, size), "sketches")
+    table = scratch.written(sketched(blocks, size), "sketches", kept=True)
     reps = table.where("n_shingles > 0").groupBy("digest").agg(
         F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch")
     )
-    reps = _written(reps, "reps")
+    reps = scratch.written(reps, "reps", kept=True)
 
     rows = _band_rows(reps)
     hubs = rows.groupBy("band", "key").agg(F.min("rep").alias("hub"), F.count("*").alias("size")).where("size > 1")
-    joined = _written(rows.join(hubs, ["band", "key"]), "bands")
+    joined = scratch.written(rows.join(hubs, ["band", "key"]), "bands")
     stars = joined.where("rep != hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()
-    stars = _written(stars, "stars")
+    stars = scratch.written(stars, "stars")
     sets = full_sets(blocks, _ends(stars), count, size)
-    links = _written(confirmed(stars, sets, percent), "links")
+    links = scratch.written(confirmed(stars, sets, percent), "links")
 
-    labels = components(links)
+    labels = scratch.written(components(links), "labels", kept=True)
     labelled = joined.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").withColumn(
         "component", F.coalesce("component", "rep")
     )
@@ -355,18 +359,19 @@ def near_duplicates(docs: DataFrame, size: int = 4, percent: int = 80) -> DataFr
         .select("band", "key")
     )
     members = labelled.join(open_bands, ["band", "key"]).join(reps.select("rep", "sketch"), "rep")
-    joins = _written(_possible_joins(members).distinct(), "joins")
+    joins = scratch.written(_possible_joins(members).distinct(), "joins")
     if not joins.isEmpty():
         clusters = components(joins).select(F.col("doc_id").alias("component"), F.col("component").alias("cluster"))
         of_rep = reps.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select(
             "rep", "sketch", F.coalesce("component", "rep").alias("component")
         )
-        inside = _written(of_rep.join(clusters, "component"), "clusters")
+        inside = scratch.written(of_rep.join(clusters, "component"), "clusters")
         sets = full_sets(blocks, inside.select(F.col("rep").alias("doc_id")), count, size)
-        inside = _written(inside.join(sets.withColumnRenamed("doc_id", "rep"), "rep"), "clusters")
-        more = _written(_links_in_clusters(inside, percent), "links")
+        inside = scratch.written(inside.join(sets.withColumnRenamed("doc_id", "rep"), "rep"), "clusters")
+        more = scratch.written(_links_in_clusters(inside, percent), "links")
         if not more.isEmpty():
-            labels = components(links.union(more))
+            labels = scratch.written(components(links.union(more)), "labels", kept=True)
+    scratch.clear()
 
     of_digest = reps.join(labels.withColumnRenamed("doc_id", "rep"), "rep", "left").select(
         "digest", F.coalesce("component", "rep").alias("component_id")
