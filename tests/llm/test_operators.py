@@ -340,6 +340,7 @@ def test_drawn_tables_follow_the_seating(monkeypatch, others, parent, discount):
         plain = seat_one_by_one(customers, others, parent, 1.0, discount, random, n)
         for per_table in (0, 1 << 40):
             monkeypatch.setattr(py, "RUN_PER_TABLE", per_table)
+            monkeypatch.setattr(py, "FEW_TABLES", 0)
             drawn = py.draw_tables(np.full(n, customers), np.full(n, float(others)), np.full(n, parent), 1.0, discount, random)
             assert drawn.min() >= 1 and drawn.max() <= customers
             error = 4 * np.hypot(plain.std(), drawn.std()) / n**0.5

@@ -53,8 +53,9 @@ START, END = np.uint64(0x53544152545F5F5F), np.uint64(0x454E445F5F5F5F5F)
 #: Customers that all dishes of a bucket seat side by side. Beyond them a dish seats a run of customers at
 #: once or draws how many join before the next new table, whichever takes less; the seating is the same.
 SINGLY = 256
-#: Customers of a run, and customers that take as long to seat as one drawn table.
-RUN, RUN_PER_TABLE = 1 << 16, 6_000
+#: Customers of a run, customers that take as long to seat as one drawn table, and tables to come up to
+#: which dishes are better taken together.
+RUN, RUN_PER_TABLE, FEW_TABLES = 1 << 16, 6_000, 64
 
 
 @dataclass(frozen=True)
@@ -149,7 +150,7 @@ def draw_tables(
     at = np.arange(int(np.searchsorted(-n[:live], -SINGLY, side="left")))
     mass = first[at] + grown[at] * t[at]
     tables_to_come = mass * np.log1p(n[at] / (mass + 1e-300))
-    in_runs = n[at] < RUN_PER_TABLE * tables_to_come
+    in_runs = (tables_to_come > FEW_TABLES) & (n[at] < RUN_PER_TABLE * tables_to_come)
     for i in at[in_runs].tolist():
         t[i] = _seated_run(int(n[i]), float(t[i]), float(first[i]), float(grown[i]), discount, random)
     at = at[~in_runs]
