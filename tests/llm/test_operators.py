@@ -689,17 +689,27 @@ def test_pieces_match_the_library(spark, texts):
     assert as_counter(digests(found).collect()) == hashed
 
 
-def test_counts_match_the_library(spark, texts):
+@pytest.mark.parametrize("with_bytes", [True, False])
+def test_counts_match_the_library(spark, texts, with_bytes):
     tokenizers = pytest.importorskip("tokenizers")
-    from tideline.llm.counts import token_counts, unigram_vocabulary
+    from tideline.llm import counts
     from tideline.llm.queries import tokenizer_path
 
     path = tokenizer_path("piece_bpe_32k.model")
-    library = tokenizers.Tokenizer(tokenizers.models.Unigram(unigram_vocabulary(path), unk_id=0, byte_fallback=False))
+    vocabulary = counts.unigram_vocabulary(path)
+    if not with_bytes:
+        vocabulary = [x for x in vocabulary if not x[0].startswith("<0x")]
+    library = tokenizers.Tokenizer(tokenizers.models.Unigram(vocabulary, unk_id=0, byte_fallback=with_bytes))
     library.pre_tokenizer = tokenizers.pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
-    rows = [*enumerate(tokenizer_texts(spark)), (None, "null id"), (3, None)]
-    expected = Counter((d, len(library.encode(t or "", add_special_tokens=False).ids)) for d, t in rows)
-    assert as_counter(r[:2] for r in token_counts(texts(rows, extra=True), path).collect()) == expected
+    rare = ["\U0001f600\U0001f601x", "\u4e02\u4e04" * 500, "<unk>", "<unk><unk>", "\U0001f600<unk>", "a<unk>b", "<0x41>\u4e02", "<unk>\u4e02 <unk>"]
+    plain = [*tokenizer_texts(spark), *rare]
+    counter = counts.UnigramCounter(vocabulary)
+    assert [counter.count(t)[0] for t in plain] == [len(library.encode(t, add_special_tokens=False).ids) for t in plain]
+    assert counter.has_bytes == with_bytes
+    if with_bytes:
+        rows = [*enumerate(plain), (None, "null id"), (3, None)]
+        expected = Counter((d, len(library.encode(t or "", add_special_tokens=False).ids)) for d, t in rows)
+        assert as_counter(r[:2] for r in counts.token_counts(texts(rows, extra=True), path).collect()) == expected
 
 
 # --- packing -------------------------------------------------------------------------------------
@@ -726,6 +736,17 @@ def test_boundaries_have_the_least_padding():
         assert padded(optimal_boundaries(tops, counts, buckets)) == best
 
 
+def test_long_lengths_pad_to_the_longest_of_their_bucket(spark):
+    from tideline.llm.packing import packed
+
+    lengths = [3, 4_097, 5_000, 5_001, 123_457, 9_999_999]
+    rows = packed(spark.createDataFrame(list(enumerate(lengths)), "doc_id bigint, length bigint"), buckets=16).collect()
+    assert {r.length: r.padded_length for r in rows} == {n: n for n in lengths}
+    some = packed(spark.createDataFrame([(i, 4_000 + 7 * i) for i in range(3_000)], "doc_id bigint, length bigint"), buckets=3)
+    longest = {r.bucket: r.n for r in some.groupBy("bucket").agg(F.max("length").alias("n")).collect()}
+    assert all(r.padded_length == longest[r.bucket] for r in some.collect())
+
+
 def test_batches_are_full_and_whole(spark):
     from tideline.llm.packing import packed
 

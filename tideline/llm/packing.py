@@ -1,8 +1,10 @@
 """Length buckets with the least padding, and token-budget batches inside them.
 
 The lengths of all documents are counted in cells: one cell per length up to a bound, cells of a
-fixed relative width beyond it, so the histogram that reaches the driver has a proven size. Dynamic
-programming over its cells finds the bucket boundaries with the least padding. Documents are then
+fixed relative width beyond it, so the histogram that reaches the driver has a proven size. A cell's top
+is the largest length in it, so no padding comes from the cells themselves; only boundaries inside a cell
+are not tried. Dynamic programming over the cells finds the bucket boundaries with the least padding.
+Lengths are what the caller counts, words or tokens. Documents are then
 numbered inside their buckets from counts per bucket and part, without sorting a bucket in one task.
 """
 
@@ -18,7 +20,7 @@ _PER_OCTAVE = EXACT_UPTO // 8
 
 
 def cell_of(length: Column) -> Column:
-    """The largest length of the cell of ``length``: the length itself, or its rounding upwards."""
+    """The cell of ``length``, by the largest length that it may hold."""
     octave = F.floor(F.log2(length.cast("double") / EXACT_UPTO))
     step = F.pow(F.lit(2.0), octave) * (EXACT_UPTO // _PER_OCTAVE)
     return F.when(length <= EXACT_UPTO, length).otherwise((F.ceil(length / step) * step).cast("bigint"))
@@ -67,7 +69,8 @@ def optimal_boundaries(tops: np.ndarray, counts: np.ndarray, buckets: int) -> li
 
 def length_histogram(lengths: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Cell tops and counts, ascending. Their number is bounded by ``EXACT_UPTO + 64 * EXACT_UPTO / 8``."""
-    cells = lengths.groupBy(cell_of(F.col("length")).alias("top")).count().orderBy("top").collect()
+    held = lengths.groupBy(cell_of(F.col("length")).alias("cell")).agg(F.max("length").alias("top"), F.count("*").alias("n"))
+    cells = held.select("top", "n").orderBy("top").collect()
     return np.array([r[0] for r in cells], np.int64), np.array([r[1] for r in cells], np.int64)
 
 
