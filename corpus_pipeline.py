@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.texts import documents
-from tideline.session import fresh_folder
+from tideline.session import drop_folder, fresh_folder
 
 #: No SQL: two stages have no form in it. ``tests/llm`` holds the result against a brute-force version.
 ORACLE_SQL: str | None = None
@@ -55,9 +55,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    docs, former = documents(spark, sf_dir), None
     for name, stage in STAGES[:-1]:
         folder = fresh_folder(spark, name.replace(" ", "-"))
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
+        # What the next stage has read is not needed again.
+        if former:
+            drop_folder(spark, former)
+        former = folder
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -69,6 +69,46 @@ def test_repeats_of_given_tables_in_many_blocks(spark, monkeypatch, words, windo
     assert found_repeats(found) == expected_repeats(pairs_of(docs), window, words)
 
 
+@pytest.mark.parametrize("words,window", [(True, 13), (False, 50)])
+def test_a_passage_of_a_third_of_all_documents(spark, texts, monkeypatch, words, window):
+    """Windows around the passage have its anchors and differ in every document; they spread over the buckets."""
+    import random
+
+    from tideline.llm import blocks, repeats, substrings, suffixes
+
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 60_000)
+    monkeypatch.setattr(repeats, "HOT_DOCUMENTS", 64)
+    draw = random.Random(window)
+    passage = " ".join(f"shared{i}" for i in range(20))
+    rows = []
+    for d in range(10_000):
+        own = [f"{draw.randrange(10**6):x}" for _ in range(16)]
+        rows.append((d, " ".join([*own[:8], passage, *own[8:]]) if d % 3 == 0 else " ".join(own)))
+    docs = texts(rows)
+    found = (substrings.substring_dedup if words else suffixes.suffix_dedup)(docs, window)
+    assert found_repeats(found) == expected_repeats(rows, window, words)
+    # What the buckets get, in bytes of text.
+    count = blocks.block_count(docs)
+    units = substrings.word_units(window) if words else suffixes.byte_units(window)
+    sizes = sorted(pieces_per_bucket(blocks.in_blocks(docs, count), units, count))
+    assert sizes[-1] <= 3 * sizes[len(sizes) // 2]
+
+
+def pieces_per_bucket(held, units, buckets):
+    """Bytes of pieces that reach each bucket."""
+    import pyarrow as pa
+
+    from tideline.llm import repeats
+    from tideline.llm.blocks import expand
+
+    def size(table: pa.Table) -> pa.Table:
+        n = sum(len(expand(x)) for x in table.column("contents").to_pylist() if x is not None)
+        return pa.table({"n": pa.array([n], pa.int64())})
+
+    pieces = repeats.pieces_of(held, units, buckets)
+    return [r.n for r in pieces.groupBy("bucket").applyInArrow(size, "n bigint").collect()]
+
+
 def test_cut_repeats_keeps_columns_and_characters(texts, odd_rows):
     from tideline.llm.suffixes import cut_repeats
 

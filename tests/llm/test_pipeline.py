@@ -41,3 +41,17 @@ def test_stages_keep_the_columns_of_documents(texts, spark):
     docs = texts([(1, "some words of a text " * 3 + " ".join(f"w{i}" for i in range(60))), (2, None), (3, "")])
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, "").columns == docs.columns
+
+
+def test_pipeline_of_odd_and_empty_tables(texts, spark, tmp_path):
+    """Repeated rows, nulls and clashing columns pass all stages; an empty table gives no rows."""
+    import corpus_pipeline
+
+    long = " ".join(f"word{i} of a text" for i in range(60)) + "."
+    other = " ".join(f"thing{i} in other words" for i in range(60)) + "."
+    rows = [(1, long), (1, long), (2, long), (3, other), (4, None), (5, ""), (None, other), (6, "too short")]
+    for name, table in (("odd", texts(rows, extra=True)), ("empty", texts([]))):
+        table.write.parquet(str(tmp_path / name / "documents.parquet"))
+    found = Counter(r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path / "odd")).collect())
+    assert found == {1: 2, 3: 1}
+    assert corpus_pipeline.run(spark, str(tmp_path / "empty")).count() == 0

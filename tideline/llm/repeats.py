@@ -9,7 +9,9 @@ neither all windows nor all texts to one place:
 2. Windows with such an anchor are cut out as pieces, one per run of windows with the same anchor,
    and go to the bucket of the anchor. All copies of a window meet there. Of equal pieces inside a
    block only the earliest document's goes on, so a passage of a third of all documents sends one
-   piece per block; the later ones are known to be repeated.
+   piece per block; the later ones are known to be repeated. Around such a passage every document's
+   windows differ while their anchor is the same; windows of an anchor that very many documents hold
+   are therefore pieces of their own, which go to the buckets of their own hashes.
 3. A bucket finds, for every window of its distinct pieces, the smallest document that holds it,
    with an index over the pieces themselves. Spans go back to the blocks.
 4. Blocks cut the spans out of their texts.
@@ -45,6 +47,8 @@ from tideline.llm.blocks import (
 
 #: Text looked at in one numpy step.
 STEP_BYTES = 1 << 20
+#: Documents beyond which an anchor's windows go to buckets of their own.
+HOT_DOCUMENTS = 1024
 _BASE = 0x9E3779B97F4A7C15
 
 #: Smallest document per window of each distinct piece, in the order of pieces and windows.
@@ -133,8 +137,8 @@ def _batch(schema: pa.Schema, rows: list[tuple]) -> pa.Table:
     return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [[]] * len(schema), schema)], schema=schema)
 
 
-_ANCHORS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("shared", pa.binary())])
-_REPLIES = pa.schema([("block", pa.int32()), ("hashes", pa.binary())])
+_ANCHORS = pa.schema([("bucket", pa.int32()), ("block", pa.int32()), ("hashes", pa.binary()), ("holders", pa.binary())])
+_REPLIES = pa.schema([("block", pa.int32()), ("hashes", pa.binary()), ("hot", pa.binary())])
 _PIECES = pa.schema(
     [("bucket", pa.int32()), ("block", pa.int32()), ("spans", pa.binary())]
     + [(n, pa.binary()) for n in ("anchors", "docs", "places", "sizes", "contents")]
@@ -156,7 +160,7 @@ def _by_bucket(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
 
 
 def shared_anchors(blocks: DataFrame, units: Units, buckets: int) -> DataFrame:
-    """Per block, those of its anchors that two documents or more hold."""
+    """Per block, those of its anchors that two documents or more hold, and whether very many do."""
 
     def ask(table: pa.Table) -> pa.Table:
         ids, texts, _ = documents_of(table)
@@ -169,28 +173,31 @@ def shared_anchors(blocks: DataFrame, units: Units, buckets: int) -> DataFrame:
         order = np.lexsort((doc, anchor))
         anchor, doc = anchor[order], doc[order]
         first = np.flatnonzero(np.append(True, anchor[1:] != anchor[:-1])) if len(anchor) else np.empty(0, np.int64)
-        last = np.append(first[1:], len(anchor)) - 1 if len(first) else first
-        distinct, several = anchor[first], doc[first] != doc[last]
+        distinct, holders = anchor[first], np.empty(0, np.uint32)
+        if len(first):
+            new = np.append(True, (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1]))
+            holders = np.add.reduceat(new.astype(np.uint32), first).astype(np.uint32)
         block = table.column("block")[0].as_py()
         return _batch(
             _ANCHORS,
             [
-                (bucket, block, pack_sorted(distinct[s]), squeeze(np.packbits(several[s])))
+                (bucket, block, pack_sorted(distinct[s]), squeeze(holders[s]))
                 for bucket, s in _by_bucket(distinct, buckets)
             ],
         )
 
     def answer(table: pa.Table) -> pa.Table:
         asked = [unpack_sorted(x) for x in table.column("hashes").to_pylist()]
-        flags = [np.unpackbits(expand(x), count=len(a)) for a, x in zip(asked, table.column("shared").to_pylist())]
-        _, place, count = np.unique(np.concatenate(asked), return_inverse=True, return_counts=True)
-        shared = count > 1
-        shared[place[np.concatenate(flags).astype(bool)]] = True
+        given = [expand(x, np.uint32) for x in table.column("holders").to_pylist()]
+        distinct, place = np.unique(np.concatenate(asked), return_inverse=True)
+        holders = np.bincount(place, np.concatenate(given), len(distinct))
         ends = np.cumsum([len(a) for a in asked])
-        hits = [a[shared[p]] for a, p in zip(asked, np.split(place, ends[:-1]))]
-        return _batch(
-            _REPLIES, [(b, pack_sorted(h)) for b, h in zip(table.column("block").to_pylist(), hits) if len(h)]
-        )
+        rows = []
+        for block, own, p in zip(table.column("block").to_pylist(), asked, np.split(place, ends[:-1])):
+            shared = holders[p] > 1
+            if shared.any():
+                rows.append((block, pack_sorted(own[shared]), squeeze(np.packbits(holders[p][shared] > HOT_DOCUMENTS))))
+        return _batch(_REPLIES, rows)
 
     asked = blocks.groupBy("block").applyInArrow(ask, _ddl(_ANCHORS))
     return asked.groupBy("bucket").applyInArrow(answer, _ddl(_REPLIES))
@@ -203,25 +210,43 @@ def _members(sorted_values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return sorted_values[place] == wanted
 
 
-def repeated_spans(blocks: DataFrame, units: Units, index: Index, buckets: int) -> DataFrame:
-    """Per block, spans of units that an earlier document holds: document's place, start, end."""
+def _single_windows(
+    hashes: np.ndarray, window: int, first: np.ndarray, count: np.ndarray, anchor: np.ndarray, doc: np.ndarray, single: np.ndarray
+) -> tuple[np.ndarray, ...]:
+    """Runs of windows, of which the ``single`` ones become runs of one window, with its own hash as anchor."""
+    n = count[single]
+    starts = np.repeat(first[single], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    whole = mixed(gram_hashes(hashes, window)[starts])
+    parts = ((first, starts), (count, np.ones(len(starts), count.dtype)), (anchor, whole), (doc, np.repeat(doc[single], n)))
+    return tuple(np.concatenate([kept[~single], new]) for kept, new in parts)
+
+
+def pieces_of(blocks: DataFrame, units: Units, buckets: int) -> DataFrame:
+    """Runs of windows that may occur in another document, by the bucket in which all copies meet."""
     window = units.window
 
     def cut(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not replies.num_rows or not table.num_rows:
             return _batch(_PIECES, [])
-        shared = np.sort(np.concatenate([unpack_sorted(x) for x in replies.column("hashes").to_pylist()]))
+        replied = [unpack_sorted(x) for x in replies.column("hashes").to_pylist()]
+        flags = [np.unpackbits(expand(x), count=len(a)) for a, x in zip(replied, replies.column("hot").to_pylist())]
+        shared, hot = np.concatenate(replied), np.concatenate(flags).astype(bool)
+        hot = np.sort(shared[hot])
+        shared = np.sort(shared)
         ids, texts, _ = documents_of(table)
         block = table.column("block")[0].as_py()
         earliest: dict[bytes, int] = {}
         known, sent, contents = [], [], []
         for at, parts, sizes in _steps(texts, units):
-            first, count, anchor, doc = anchor_runs(units.hashes(parts), sizes, units)
-            held = np.flatnonzero(_members(shared, anchor))
-            offset = np.concatenate([[0], np.cumsum(sizes)])[doc[held]]
-            for a, d, start, n in zip(
-                anchor[held].tolist(), doc[held].tolist(), (first[held] - offset).tolist(), count[held].tolist()
-            ):
+            hashes = units.hashes(parts)
+            first, count, anchor, doc = anchor_runs(hashes, sizes, units)
+            held = _members(shared, anchor)
+            first, count, anchor, doc = first[held], count[held], anchor[held], doc[held]
+            single = _members(hot, anchor)
+            if single.any():
+                first, count, anchor, doc = _single_windows(hashes, window, first, count, anchor, doc, single)
+            offset = np.concatenate([[0], np.cumsum(sizes)])[doc]
+            for a, d, start, n in zip(anchor.tolist(), doc.tolist(), (first - offset).tolist(), count.tolist()):
                 piece = units.join(parts[d][start : start + n + window - 1])
                 owner = int(ids[at + d])
                 if earliest.setdefault(piece, owner) < owner:
@@ -253,6 +278,14 @@ def repeated_spans(blocks: DataFrame, units: Units, index: Index, buckets: int)
                 )
         return _batch(_PIECES, rows)
 
+    replies = shared_anchors(blocks, units, buckets)
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(cut, _ddl(_PIECES))
+
+
+def repeated_spans(blocks: DataFrame, units: Units, index: Index, buckets: int) -> DataFrame:
+    """Per block, spans of units that an earlier document holds: document's place, start, end."""
+    window = units.window
+
     def settle(table: pa.Table) -> pa.Table:
         rows = [(r["block"], r["spans"]) for r in table.select(["block", "spans"]).to_pylist() if r["spans"] is not None]
         number: dict[bytes, int] = {}
@@ -297,9 +330,7 @@ def repeated_spans(blocks: DataFrame, units: Units, index: Index, buckets: int)
                     rows.append((block, squeeze(found.astype(np.int32))))
         return _batch(_SPANS, rows)
 
-    replies = shared_anchors(blocks, units, buckets)
-    pieces = blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(cut, _ddl(_PIECES))
-    return pieces.groupBy("bucket").applyInArrow(settle, _ddl(_SPANS))
+    return pieces_of(blocks, units, buckets).groupBy("bucket").applyInArrow(settle, _ddl(_SPANS))
 
 
 def united(spans: np.ndarray) -> np.ndarray:
