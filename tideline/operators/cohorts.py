@@ -301,7 +301,7 @@ def sliding_window_timeseries(
     place = F.datediff("day", "_first")
     first_k = F.greatest(F.lit(0), F.ceil((place - (window_days - 1)) / step_days)).cast("int")
     last_k = F.least(F.floor(place / step_days).cast("int"), last_step)
-    exact = F.col("_sum").cast("decimal(28,12)")
+    exact = F.col("_sum").cast("decimal(36,20)")
     moves = F.array(
         F.struct(first_k.alias("_k"), exact.alias("_s"), F.col("_n").alias("_c")),
         F.struct((last_k + 1).alias("_k"), (-exact).alias("_s"), (-F.col("_n")).alias("_c")),
@@ -327,8 +327,8 @@ def sliding_window_timeseries(
         "_xx": away * away,
         "_nxx": F.col("_count") * away * away,
     }
-    zero = F.lit(0).cast("decimal(28,12)")
-    present = {c: F.when(F.col("_count") > 0, v.cast("decimal(28,12)")).otherwise(zero) for c, v in parts.items()}
+    zero = F.lit(0).cast("decimal(36,20)")
+    present = {c: F.when(F.col("_count") > 0, v.cast("decimal(36,20)")).otherwise(zero) for c, v in parts.items()}
     deltas = {c: F.col(c) - F.coalesce(F.lag(c).over(by_user), zero) for c in parts}
     summed = (
         held.withColumns(present)

@@ -19,6 +19,7 @@ LABELS = {
     "detoxify_threat": "detoxify_threat",
 }
 
+# The columns that every score file has.
 BASE_COLUMNS = ("post_id", "publish_date", "user_id", "interaction_type", "community", "community_type")
 
 
