@@ -48,7 +48,7 @@ from tideline.llm.blocks import (
 #: Text looked at in one numpy step.
 STEP_BYTES = 1 << 20
 #: Documents beyond which an anchor's windows go to buckets of their own.
-HOT_DOCUMENTS = 1024
+HOT_DOCUMENTS = 16_384
 _BASE = 0x9E3779B97F4A7C15
 
 #: Smallest document per window of each distinct piece, in the order of pieces and windows.
