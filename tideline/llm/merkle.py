@@ -105,15 +105,34 @@ def changed_places(a: Column, b: Column) -> Column:
     )
 
 
-def windows(text: Column, window_chars: int = WINDOW_CHARS) -> Column:
-    """The set of digests of all runs of ``window_chars`` in a line; a shorter line is one itself.
+def window_list(text: Column, window_chars: int = WINDOW_CHARS) -> Column:
+    """Digests of all runs of ``window_chars`` in a line; a shorter line is one itself.
 
     The look-ahead takes the run and the match one code point, so the runs overlap.
     """
     run = f"[^\\n]{{{window_chars}}}"
     line = f"(?<![^\\n])[^\\n]{{1,{window_chars}}}(?![^\\n])"
-    return F.array_distinct(
-        F.transform(F.regexp_extract_all(text, F.lit(f"(?=({run}|{line}))[^\\n]"), F.lit(1)), lambda x: F.xxhash64(x))
+    return F.transform(
+        F.regexp_extract_all(text, F.lit(f"(?=({run}|{line}))[^\\n]"), F.lit(1)), lambda x: F.xxhash64(x)
+    )
+
+
+def _likenesses(text: Column, edited: Column, following: Column, kept: Column) -> Column:
+    """Likeness of a text to its edited form and to the next text.
+
+    The first ``kept`` code points of both forms are the same; their whole lines are looked at once.
+    """
+    lines = F.regexp_extract(F.substring(text, F.lit(1), kept), r"(?s)^(.*\n)", 1)
+    rest = lambda whole, n: F.array_distinct(F.concat(n["same"], window_list(F.substring(whole, n["from"], F.lit(1 << 30)))))
+    return let(
+        let(lines, lambda x: F.struct(window_list(x).alias("same"), (F.char_length(x) + 1).alias("from"))),
+        lambda n: let(
+            rest(text, n),
+            lambda own: F.struct(
+                likeness(own, rest(edited, n)).alias("edited"),
+                likeness(own, F.array_distinct(window_list(following))).alias("next"),
+            ),
+        ),
     )
 
 
@@ -163,7 +182,7 @@ def with_next(docs: DataFrame, groups: int | None = None) -> DataFrame:
 
 
 def with_edited(docs: DataFrame) -> DataFrame:
-    """``with_next`` with ``n_chars`` and ``edited``, whose last quarter is the start of the next text."""
+    """``with_next`` with ``n_chars`` and ``edited``, whose last quarter is the start of the next text, and the length of the rest."""
     n = F.char_length("text")
     quarter = F.floor(n / 4).cast("int")
     return with_next(docs).select(
@@ -171,6 +190,7 @@ def with_edited(docs: DataFrame) -> DataFrame:
         "text",
         "next_text",
         n.cast("bigint").alias("n_chars"),
+        (n - quarter).alias("_same_chars"),
         F.concat(
             F.substring(F.col("text"), F.lit(1), n - quarter), F.substring(F.col("next_text"), F.lit(1), quarter)
         ).alias("edited"),
@@ -192,13 +212,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
         _sha(F.col("edited")).alias("edited_sha256"),
         tree(F.col("text")).alias("_tree"),
         tree(F.col("edited")).alias("_edited_tree"),
-        let(
-            windows(F.col("text")),
-            lambda own: F.struct(
-                likeness(own, windows(F.col("edited"))).alias("edited"),
-                likeness(own, windows(F.col("next_text"))).alias("next"),
-            ),
-        ).alias("_near"),
+        _likenesses(F.col("text"), F.col("edited"), F.col("next_text"), F.col("_same_chars")).alias("_near"),
     )
     return trees.select(
         "doc_id",
