@@ -59,6 +59,23 @@ def test_matched_draws_follow_the_focal_profile(spark):
     assert all(r["value"] == pytest.approx((3 * 1.0 + 5.0) / 4) for r in drawn)
 
 
+def test_draws_are_made_in_pieces_and_never_broadcast(spark, monkeypatch):
+    rows = [("c", "2020-01", f"u{i}", 1 + i % 7, float(i)) for i in range(60)] + [("c", None, "v", 1, 1.0)]
+    users = spark.createDataFrame(rows, "community string, month string, user_id string, activity_count int, m double")
+    focal, reference = users.where("m < 25"), users.where("m >= 25")
+    whole = inference.activity_matched_bootstrap(focal, reference, {"mean": "m"}, iterations=6)
+    # The planner sees the size of the bins, of which draws are very many times as many.
+    plan = whole._jdf.queryExecution().sparkPlan().toString()
+    assert any("SortMergeJoin" in line and "_place" in line for line in plan.splitlines())
+    assert not any("BroadcastHashJoin" in line and "_place" in line for line in plan.splitlines())
+    expected = sorted(whole.collect())
+    assert len(expected) == 6 and all(r["sample_size"] == 25 for r in expected)
+    monkeypatch.setattr(inference, "PIECE_DRAWS", 2)
+    monkeypatch.setattr(inference, "TASK_DRAWS", 8)
+    pieces = sorted(inference.activity_matched_bootstrap(focal, reference, {"mean": "m"}, iterations=6).collect())
+    assert [tuple(r) for r in pieces] == [(*r[:5], pytest.approx(r[5])) for r in expected]
+
+
 def test_nearest_bins_look_left_first():
     near = inference.fallback_bins()
     assert near["3-5"] == ["3-5", "2", "6-10", "1", "11-20", "21+"]
