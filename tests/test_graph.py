@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 
 from tests.conftest import rows
@@ -173,3 +174,34 @@ def test_gini_of_equal_and_empty(spark):
     histogram = spark.createDataFrame([("equal", 2, 5), ("zero", 0, 4), ("two", 0, 1), ("two", 1, 1)], "g string, degree long, n long")
     found = {r["g"]: r["gini"] for r in graph.gini(histogram, ["g"]).collect()}
     assert found["equal"] == pytest.approx(0.0) and found["zero"] is None and found["two"] == pytest.approx(0.5)
+
+
+@pytest.mark.parametrize("shape", ["path", "star", "even ring", "twins", "tree", "random"])
+def test_distances_follow_from_joined_leaves_and_twins(shape):
+    rng = np.random.default_rng(3)
+    for n in (2, 3, 4, 9, 70, 150):
+        i = np.arange(1, n)
+        ends = {
+            "path": (i, i - 1),
+            "star": (i, 0 * i),
+            "even ring": (np.arange(n), (np.arange(n) + 1) % n),
+            "twins": (np.repeat(i, 2), np.tile([0, 1], n - 1)),
+            "tree": (i, rng.integers(0, i)),
+            "random": (np.append(i, rng.integers(0, n, n // 3)), np.append(rng.integers(0, i), rng.integers(0, n, n // 3))),
+        }[shape]
+        pairs = np.unique(np.sort(np.stack(ends, 1), axis=1), axis=0)
+        pairs = pairs[pairs[:, 0] != pairs[:, 1]]
+        u, v = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]])
+        counts = components.distance_counts(u, v, 0, n, 1 << 20)
+        graph_ = components.Reduced(u, v)
+        assert graph_.weight.sum() == n
+        total = graph_.inside + 2 * (graph_.depths * (n - graph_.weight)).sum()
+        far, left = graph_.far, len(graph_.weight)
+        for first in range(0, left if left > 1 else 0, 70):
+            more, reach = components.weighted_distances(
+                graph_.u, graph_.v, graph_.weight, graph_.height, first, min(70, left - first), 1
+            )
+            total, far = total + more, max(far, reach)
+        assert (total, far) == (sum(d * c for d, c in enumerate(counts, 1)), len(counts))
+        if shape in ("path", "star", "tree"):
+            assert left <= 2

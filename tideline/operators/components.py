@@ -6,11 +6,12 @@ most one round.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from tideline.session import Rounds, cut_lineage, drop_folder, fresh_folder
 #: Arcs of a snapshot that a task may hold (16 bytes each), arcs times sources that it searches, and
 #: words that stand in its arrays at once.
 TASK_ARCS, TASK_WORK, HELD_WORDS = 1 << 22, 1 << 33, 1 << 22
+#: Words of a node that stand side by side; more of them leave the processor's cache.
+MOST_WORDS = 16
 
 
 def _both_ways(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -160,42 +163,208 @@ def numbered_graph(
     return snapshots, nodes, cut_lineage(arcs.select("_s", F.col("_u").alias("u"), F.col("_v").alias("v")))
 
 
-def distance_counts(u: np.ndarray, v: np.ndarray, first: int, count: int, held_words: int) -> list[int]:
-    """How many nodes are 1, 2, ... edges away from each of ``count`` sources from ``first`` on, summed.
+def _spread(
+    u: np.ndarray, v: np.ndarray, first: int, count: int, held_words: int
+) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """``low, high, distance, newest``: which nodes are so far from which of the sources ``low .. high - 1``.
 
-    Arcs lead both ways and every node has one. Bits of 64 sources stand in a word; so many words are
-    searched at once that arcs times words stay below ``held_words``.
+    Bits of 64 sources stand in a word; at most ``MOST_WORDS`` are searched at once, and so many that arcs
+    times words stay below ``held_words``. Arcs lead both ways and every node has one.
     """
     order = np.argsort(v, kind="stable")
     u, v = u[order], v[order]
     starts = np.flatnonzero(np.diff(v, prepend=-1))
     n = len(starts)
-    wide = 64 * max(1, held_words // len(u))
-    found: list[int] = []
+    wide = 64 * min(MOST_WORDS, max(1, held_words // len(u)))
     for low in range(first, first + count, wide):
-        sources = np.arange(low, min(low + wide, first + count))
+        high = min(low + wide, first + count)
+        sources = np.arange(low, high)
         newest = np.zeros((n, -(-len(sources) // 64)), np.uint64)
-        bit = np.uint64(1) << ((sources - low) % 64).astype(np.uint64)
-        newest[sources, (sources - low) // 64] = bit
+        newest[sources, (sources - low) // 64] = np.uint64(1) << ((sources - low) % 64).astype(np.uint64)
         seen = newest.copy()
-        for distance in range(n):
+        for distance in range(1, n + 1):
             newest = np.bitwise_or.reduceat(newest[u], starts, axis=0) & ~seen
-            bits = int(np.bitwise_count(newest).sum(dtype=np.int64))
-            if not bits:
+            if not newest.any():
                 break
             seen |= newest
-            if distance == len(found):
-                found.append(0)
-            found[distance] += bits
+            yield low, high, distance, newest
+
+
+def distance_counts(u: np.ndarray, v: np.ndarray, first: int, count: int, held_words: int) -> list[int]:
+    """How many nodes are 1, 2, ... edges away from each of ``count`` sources from ``first`` on, summed."""
+    found: list[int] = []
+    for _, _, distance, newest in _spread(u, v, first, count, held_words):
+        if distance > len(found):
+            found.append(0)
+        found[distance - 1] += int(np.bitwise_count(newest).sum(dtype=np.int64))
     return found
 
 
-def _counts_in_tasks(arcs: DataFrame, sizes: DataFrame, sources: int) -> DataFrame:
-    """Pairs per snapshot and distance: a task holds a snapshot's arcs and searches some of its sources.
+def weighted_distances(
+    u: np.ndarray, v: np.ndarray, weight: np.ndarray, height: np.ndarray, first: int, count: int, held_words: int
+) -> tuple[int, int]:
+    """Distances of all nodes from ``count`` sources, times both weights, summed; and the largest with both heights."""
+    total, far = 0, 0
+    classes = [(h, np.flatnonzero(height == h)) for h in np.unique(height)[::-1]]
+    for low, high, distance, newest in _spread(u, v, first, count, held_words):
+        # Weights of the nodes that each word's bits stand for, by bit; sums stay below 2 ** 53.
+        if int(weight[low:high].max()) == int(weight[low:high].min()):
+            reached = weight @ np.bitwise_count(newest).sum(axis=1, dtype=np.int64)
+            total += distance * int(weight[low]) * int(reached)
+        else:
+            for word in range(newest.shape[1]):
+                own = weight[low + 64 * word : min(low + 64 * word + 64, high)]
+                if (own == own[0]).all():
+                    reached = int(own[0]) * int(weight @ np.bitwise_count(newest[:, word]).astype(np.int64))
+                else:
+                    bits = np.unpackbits(
+                        np.ascontiguousarray(newest[:, word]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"
+                    )
+                    reached = int((weight @ bits[:, : len(own)].astype(np.int64)) @ own)
+                total += distance * reached
+        if distance + 2 * int(classes[0][0]) > far:
+            left = np.bitwise_or.reduce(newest, axis=0)
+            for h, rows in classes:
+                met = np.bitwise_or.reduce(newest[rows], axis=0)
+                bits = np.unpackbits(met.view(np.uint8), bitorder="little")[: high - low].astype(bool)
+                if bits.any():
+                    far = max(far, distance + int(h) + int(height[low:high][bits].max()))
+                left = left & ~met
+                if not left.any():
+                    break
+    return total, far
+
+
+class Reduced:
+    """A connected graph whose nodes stand for groups, so that all distances follow from fewer nodes.
+
+    A node at depth ``p`` of its group is ``p`` farther than the group's node from everything outside.
+    ``weight`` counts a group's nodes, ``depths`` sums their depths, ``height`` is the largest. ``inside``
+    is the sum of distances of ordered pairs within groups, ``far`` the largest of these distances.
+    """
+
+    def __init__(self, u: np.ndarray, v: np.ndarray):
+        n = int(u.max()) + 1
+        self.u, self.v = u, v
+        self.weight, self.depths = np.ones(n, np.int64), np.zeros(n, np.int64)
+        self.height = np.zeros(n, np.int64)
+        self.inside = self.far = 0
+        while len(self.weight) > 2:
+            before = len(self.weight)
+            self._join_leaves()
+            self._join_twins()
+            if len(self.weight) > 0.99 * before:
+                break
+        # Sources of one weight share words.
+        order = np.argsort(self.weight, kind="stable")
+        self._keep(order)
+
+    def _keep(self, kept: np.ndarray) -> None:
+        """Only the nodes ``kept``, in that order, and the arcs between them."""
+        number = np.full(len(self.weight), -1)
+        number[kept] = np.arange(len(kept))
+        u, v = number[self.u], number[self.v]
+        held = (u >= 0) & (v >= 0)
+        self.u, self.v = u[held], v[held]
+        self.weight, self.depths, self.height = self.weight[kept], self.depths[kept], self.height[kept]
+
+    def _merge(self, into: np.ndarray, step: np.ndarray) -> None:
+        """Each node joins the group of ``into``; its nodes come to lie ``step`` deeper, and meet others through there."""
+        n = len(into)
+        depths, height = self.depths + step * self.weight, self.height + step
+        weight = np.bincount(into, self.weight, n).astype(np.int64)
+        self.inside += 2 * int((depths * (weight[into] - self.weight)).sum())
+        # The two largest heights of a group meet.
+        order = np.lexsort((-height, into))
+        place = np.arange(n) - np.searchsorted(into[order], into[order])
+        second = order[place == 1]
+        top = np.zeros(n, np.int64)
+        top[into[order[place == 0]]] = height[order[place == 0]]
+        if len(second):
+            self.far = max(self.far, int((top[into[second]] + height[second]).max()))
+        self.weight, self.height = weight, top
+        self.depths = np.bincount(into, depths, n).astype(np.int64)
+        self._keep(np.unique(into))
+
+    def _join_leaves(self) -> None:
+        """Nodes with one neighbour join it, one deeper."""
+        n = len(self.weight)
+        if n <= 2:
+            return
+        degree = np.bincount(self.v, minlength=n)
+        leaf = degree == 1
+        into = np.arange(n)
+        ends = leaf[self.v]
+        into[self.v[ends]] = self.u[ends]
+        self._merge(into, (into != np.arange(n)).astype(np.int64))
+
+    def _join_twins(self) -> None:
+        """Nodes with the same neighbours become one; they are two apart through any of these."""
+        n = len(self.weight)
+        if n <= 2:
+            return
+        order = np.lexsort((self.u, self.v))
+        u = self.u[order]
+        starts = np.flatnonzero(np.diff(self.v[order], prepend=-1))
+        degree = np.diff(np.append(starts, len(u)))
+        mark = np.random.default_rng(0).integers(0, 1 << 63, n, dtype=np.uint64)
+        held = np.add.reduceat(mark[u], starts)
+        # Of each group of equal marks, the first; then all neighbours are compared.
+        _, one, group = np.unique(held, return_index=True, return_inverse=True)
+        first = one[group]
+        like = np.flatnonzero((first != np.arange(n)) & (degree == degree[first]))
+        if not len(like):
+            return
+        run = np.arange(degree[like].sum()) - np.repeat(np.cumsum(degree[like]) - degree[like], degree[like])
+        same = u[np.repeat(starts[like], degree[like]) + run] == u[np.repeat(starts[first[like]], degree[like]) + run]
+        whole = np.logical_and.reduceat(same, np.cumsum(degree[like]) - degree[like])
+        into = np.arange(n)
+        into[like[whole]] = first[like[whole]]
+        twins = np.bincount(into, minlength=n)[into] > 1
+        depths, top = np.bincount(into, self.depths, n).astype(np.int64), np.zeros(n, np.int64)
+        np.maximum.at(top, into, self.height)
+        # Twins meet one step below both, but do not lie deeper for others.
+        self._merge(into, twins.astype(np.int64))
+        self.depths, self.height = depths[np.unique(into)], top[np.unique(into)]
+
+
+def _reduced_in_tasks(arcs: DataFrame) -> DataFrame:
+    """Graphs of fewer nodes from which the distances of each snapshot follow; a task holds a snapshot.
+
+    Rows are arcs ``_s, u, v``, nodes ``_s, u, weight, height`` without ``v``, and a row without ``u``, whose
+    weight and height are the sum and the largest of the distances that are known already.
+    """
 
-    Each task of a snapshot searches so many sources that arcs times sources stay the same, ``sources``
-    being that product; so a large snapshot becomes many tasks, and a task's work has a bound.
+    def run(table: pa.Table) -> pa.Table:
+        graph = Reduced(table.column("u").to_numpy(), table.column("v").to_numpy())
+        n, m = len(graph.weight), len(graph.u)
+        size = int(graph.weight.sum())
+        # Between groups, depths count on both sides.
+        known = graph.inside + 2 * int((graph.depths * (size - graph.weight)).sum())
+        blank = pa.nulls(m, pa.int64())
+        parts = [
+            [graph.u, graph.v, blank, blank],
+            [np.arange(n), pa.nulls(n, pa.int64()), graph.weight, graph.height],
+            [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), np.array([known]), np.array([graph.far])],
+        ]
+        columns = [pa.concat_arrays([pa.array(p[i], pa.int64()) for p in parts]) for i in range(4)]
+        names = ["_s", "u", "v", "weight", "height"]
+        return pa.table([pa.repeat(table.column("_s")[0], len(columns[0])), *columns], names=names)
+
+    return arcs.groupBy("_s").applyInArrow(run, "_s bigint, u bigint, v bigint, weight bigint, height bigint")
+
+
+def _sums_in_tasks(arcs: DataFrame, sources: int) -> DataFrame:
+    """``_s, _sum, _far``: distances summed over ordered pairs, and the largest, in parts that add up.
+
+    A task holds a snapshot's reduced graph and searches some of its sources, so many that arcs times
+    sources stay the same, ``sources`` being that product; so a large snapshot becomes many tasks, and a
+    task's work has a bound.
     """
+    reduced = cut_lineage(_reduced_in_tasks(arcs))
+    known = reduced.where(F.col("u").isNull()).select("_s", F.col("weight").alias("_sum"), F.col("height").alias("_far"))
+    rows = reduced.where(F.col("u").isNotNull())
+    sizes = rows.groupBy("_s").agg(F.count("v").alias("_arcs"), F.count("weight").alias("_n")).where("_n > 1")
     per_task = F.greatest(F.lit(64).cast("bigint"), F.floor(F.lit(sources) / F.col("_arcs")))
     chunks = sizes.select("_s", "_n", per_task.alias("_per")).withColumn(
         "_part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_n") / F.col("_per")).cast("int") - 1))
@@ -204,12 +373,22 @@ def _counts_in_tasks(arcs: DataFrame, sizes: DataFrame, sources: int) -> DataFra
     def search(table: pa.Table) -> pa.Table:
         first = table.column("_part")[0].as_py() * table.column("_per")[0].as_py()
         count = min(table.column("_per")[0].as_py(), table.column("_n")[0].as_py() - first)
-        counts = distance_counts(table.column("u").to_numpy(), table.column("v").to_numpy(), first, count, HELD_WORDS)
-        columns = [[table.column("_s")[0].as_py()] * len(counts), list(range(1, len(counts) + 1)), counts]
-        kinds = [pa.int64(), pa.int32(), pa.int64()]
-        return pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=["_s", "_d", "_pairs"])
+        is_arc = pc.is_valid(table.column("v"))
+        held, nodes = table.filter(is_arc), table.filter(pc.invert(is_arc)).sort_by("u")
+        total, far = weighted_distances(
+            held.column("u").to_numpy(),
+            held.column("v").to_numpy(),
+            nodes.column("weight").to_numpy(),
+            nodes.column("height").to_numpy(),
+            first,
+            count,
+            HELD_WORDS,
+        )
+        columns = [[table.column("_s")[0].as_py()], [total], [far]]
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["_s", "_sum", "_far"])
 
-    return arcs.join(chunks, "_s").groupBy("_s", "_part").applyInArrow(search, "_s bigint, _d int, _pairs bigint")
+    searched = rows.join(chunks, "_s").groupBy("_s", "_part").applyInArrow(search, "_s bigint, _sum bigint, _far bigint")
+    return known.unionByName(searched)
 
 
 def _counts_by_joins(arcs: DataFrame, nodes: DataFrame, sizes: DataFrame, most_rows: int) -> list[DataFrame]:
@@ -275,7 +454,8 @@ def path_metrics(
     Which sources a node is reached from is a set of numbered sources, in words of 64 bits that spread
     along the edges step by step. Distances are then sums of bit counts, and no pair of nodes becomes a
     row. Of snapshots with up to ``task_arcs`` arcs a task holds all arcs and searches a part of the
-    sources; larger ones are searched by joins. Both count the same pairs.
+    sources, after leaves and nodes with the same neighbours have been joined to groups; larger ones are
+    searched by joins. Both count the same pairs.
     """
     keys = list(keys)
     giant = cut_lineage(giant_component(components, keys))
@@ -286,17 +466,21 @@ def path_metrics(
         )
     )
     small, large = sizes.where(F.col("_arcs") <= task_arcs), sizes.where(F.col("_arcs") > task_arcs)
-    found = [_counts_in_tasks(arcs, small, task_work)]
+    found = [_sums_in_tasks(arcs.join(small.select("_s"), "_s", "semi"), task_work)]
     if not large.isEmpty():
         names = large.select("_s")
-        found += _counts_by_joins(arcs.join(names, "_s", "semi"), nodes.join(names, "_s", "semi"), large, most_rows)
+        counts = _counts_by_joins(arcs.join(names, "_s", "semi"), nodes.join(names, "_s", "semi"), large, most_rows)
+        # A snapshot has a row per pass and distance.
+        found += [
+            c.select("_s", (F.col("_pairs") * F.col("_d")).alias("_sum"), F.col("_d").cast("bigint").alias("_far"))
+            for c in counts
+        ]
     base = giant.select(*keys, "giant_component_size", "giant_component_fraction")
     size = F.col("giant_component_size")
-    # A snapshot has a row per pass and distance.
     lengths = (
         reduce(DataFrame.unionByName, found)
         .groupBy("_s")
-        .agg(F.sum(F.col("_pairs") * F.col("_d")).alias("_sum"), F.max("_d").alias("diameter"))
+        .agg(F.sum("_sum").alias("_sum"), F.max("_far").cast("int").alias("diameter"))
         .join(snapshots.select(*keys, "_s"), "_s")
         .drop("_s")
     )
