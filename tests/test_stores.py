@@ -11,7 +11,7 @@ from tests.conftest import rows
 from tideline.operators import rollups
 from tideline.session import drop_folder, fresh_folder
 from tideline.sources.activity import scan_activity
-from tideline.sources.bucketed import open_bucketed, write_bucketed
+from tideline.sources.bucketed import bucket_count, open_bucketed, write_bucketed
 from tideline.sources.user_month_store import UserMonthStore
 
 SCORES = {"mean_toxicity": "toxicity"}
@@ -120,3 +120,7 @@ def test_a_changed_file_is_refused(spark, tmp_path):
     file.with_name(f".{file.name}.crc").write_bytes(new.with_name(f".{new.name}.crc").read_bytes())
     with pytest.raises(ValueError):
         store.append(place)
+
+
+def test_buckets_grow_with_the_keys():
+    assert [bucket_count(n) for n in (0, 1, 1 << 20, (1 << 20) + 1, 54_000_000)] == [16, 16, 16, 17, 824]

@@ -9,18 +9,18 @@ from tideline.plans import shared, standins
 from tideline.plans.catalog import ORACLES, check, rounded
 from tideline.plans.checks import label_checks, rollup_checks  # noqa: F401  (their SQL)
 from tideline.plans.checks.reputation_checks import order_days
-from tideline.session import fresh_folder
+from tideline.session import cut_lineage, fresh_folder
 from tideline.sources.activity import scan_activity
-from tideline.sources.bucketed import write_bucketed
+from tideline.sources.bucketed import bucket_count, write_bucketed
 from tideline.sources.user_month_store import UserMonthStore
 
-BUCKETS = 16
-
 
 def bucketed_join(spark, folder):
     """User-months and days of reputation in buckets of user and month; days are summed up and joined where they lie."""
-    months = write_bucketed(shared.user_month(spark, folder), fresh_folder(spark, "user-months"), BUCKETS)
-    days = write_bucketed(order_days(spark, folder), fresh_folder(spark, "days"), BUCKETS)
+    users = cut_lineage(shared.user_month(spark, folder))
+    buckets = bucket_count(users.count())
+    months = write_bucketed(users, fresh_folder(spark, "user-months"), buckets)
+    days = write_bucketed(order_days(spark, folder), fresh_folder(spark, "days"), buckets)
     return rollups.join_user_month_reputation(months, rollups.reputation_user_month(days))
 
 

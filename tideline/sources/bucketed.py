@@ -9,6 +9,7 @@ is written down beside the files, so that any session can open the table again.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Sequence
 
@@ -19,6 +20,13 @@ from tideline.operators.rollups import SCOPE
 #: Columns that user-months and days of reputation have in common.
 USER_MONTH = (*SCOPE, "user_id", "month")
 _LAYOUT = "schema string, columns array<string>, buckets int"
+#: Keys of a bucket, and the fewest buckets.
+BUCKET_KEYS, LEAST_BUCKETS = 1 << 16, 16
+
+
+def bucket_count(keys: int) -> int:
+    """So many buckets that one holds ``BUCKET_KEYS`` of ``keys``: a task's share stays the same as tables grow."""
+    return max(LEAST_BUCKETS, math.ceil(keys / BUCKET_KEYS))
 
 
 def write_bucketed(df: DataFrame, path: str, buckets: int, columns: Sequence[str] = USER_MONTH) -> DataFrame:
