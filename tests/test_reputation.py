@@ -107,3 +107,24 @@ def test_first_activity_and_runs(spark):
     assert runs == [(0, 1, 3), (3, 3, 1)]
     first = reputation.reputation_events(frame(spark, [("a", start)]), ReputationModel()).first()
     assert first["reputation"] == pytest.approx(2.0)
+
+
+@pytest.mark.parametrize("compounding", [False, True])
+def test_days_of_several_pieces_go_on_from_piece_to_piece(spark, monkeypatch, compounding):
+    # Activities at one second stand in different pieces, and days are next to each other and far apart.
+    start, model = 1_430_000_000, ReputationModel(compounding=compounding)
+    data = [("a", start + d * DAY + s) for d in (0, 1, 5, 6) for s in (10, 10, 10, 500, 7_000, 80_000, 80_000)] + [("b", start)]
+    whole = sorted(map(tuple, reputation.reputation_events(frame(spark, data), model).collect()))
+    monkeypatch.setattr(reputation, "PIECE_EVENTS", 2)
+    pieces = sorted(map(tuple, reputation.reputation_events(frame(spark, data), model).collect()))
+    assert len(pieces) == 5
+    for mine, theirs in zip(pieces, whole):
+        assert mine[:-1] == theirs[:-1]
+        assert mine[-1] == pytest.approx(theirs[-1], rel=1e-12)
+
+
+def test_events_cross_two_shuffles(spark):
+    events = reputation.reputation_events(frame(spark, histories(3, users=3)), ReputationModel())
+    plan = events._jdf.queryExecution().sparkPlan()
+    prepared = spark._jvm.org.apache.spark.sql.execution.QueryExecution.prepareExecutedPlan(spark._jsparkSession, plan)
+    assert prepared.toString().count("Exchange hashpartitioning") == 2
