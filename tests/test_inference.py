@@ -160,3 +160,17 @@ def test_the_tail_of_large_samples_keeps_its_digits(df):
         total = 2 * float((weights * density).sum()) * (x[1] - x[0]) / 3
         assert student_t_tail(t, df) == pytest.approx(total, rel=2e-8)
         assert student_t_tail(-t, df) == student_t_tail(t, df)
+
+
+def test_points_of_a_permutation_test_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(rows):
+        for r in rows:
+            made.add(1)
+            yield r
+
+    points = [("a", f"2000-{m:02d}", float(m)) for m in range(1, 13)]
+    series = spark.createDataFrame(spark.sparkContext.parallelize(points, 2).mapPartitions(seen), "g string, month string, v double")
+    found = inference.block_permutation_test(series, ["g"], "v", F.col("month") < "2000-07", repetitions=20).collect()
+    assert len(found) == 1 and made.value == len(points)

@@ -45,9 +45,7 @@ def metric_months(spark, folder):
     keys = ["community", "month"]
     users = reputation_checks.user_month_with_reputation(spark, folder)
     focal = rollups.community_month_basic(users).where(F.col("platform") == "focal").drop("platform")
-    # The network metrics read the edges and the labelled nodes.
-    pairs, nodes = (cut_lineage(df) for df in graph_checks.month_graph(spark, folder))
-    labelled = cut_lineage(graph_checks.labelled_months(spark, folder))
+    pairs, nodes, labelled = graph_checks.month_tables(spark, folder)
     parts = [
         hubs.degree_dynamics(pairs, labelled, keys).select(*keys, "existing_gini"),
         graph.ei_index(pairs, labelled, keys).select(*keys, "ei_index"),
@@ -165,9 +163,7 @@ def community_panel(spark, folder):
     """Focal toxicity with newcomer share and E-I of the same community and month."""
     keys = ["community", "month"]
     focal = shared.community_month(spark, folder).where(F.col("platform") == "focal").drop("platform")
-    # Both metrics read the edges and the labelled nodes.
-    pairs = cut_lineage(graph_checks.month_graph(spark, folder)[0])
-    labelled = cut_lineage(graph_checks.labelled_months(spark, folder))
+    pairs, _, labelled = graph_checks.month_tables(spark, folder)
     share = hubs.degree_dynamics(pairs, labelled, keys).select(*keys, "newcomer_pop_share")
     mixing = graph.ei_index(pairs, labelled, keys).select(*keys, "ei_index")
     return rollups.left_join_all(focal, [share, mixing], keys)

@@ -10,6 +10,7 @@ from tideline.plans.catalog import check, rounded
 from tideline.plans.checks import graph_checks  # registers the views of hubs and cohort shares
 from tideline.plans.checks.label_checks import FIXED_SQL
 from tideline.plans.standins import ORDER_CALENDAR, VIEW_SQL, with_views
+from tideline.session import cut_lineage
 
 COHORTS = ORDER_CALENDAR.fixed_cohorts
 
@@ -170,11 +171,12 @@ VIEW_SQL["ascent"] = (("summary", "hub_flags", "cohort_share"), """
 
 def ascent(spark, folder):
     users = summary(spark, folder)
-    _, nodes = graph_checks.month_graph(spark, folder)
+    # Hubs, first months and shares all come from the nodes.
+    nodes = cut_lineage(graph_checks.month_graph(spark, folder)[1])
     flags = hubs.ever_hub(hubs.top_fraction_hubs(nodes, graph_checks.MONTH)).where(F.col("node").startswith("c"))
     named = flags.withColumn("user_id", F.expr("substr(node, 2)")).drop("node")
     flagged = hubs.join_hub_flags(users, named, ["community", "user_id"])
-    return survival.hub_ascent_summary(flagged, graph_checks.cohort_share(spark, folder), ORDER_CALENDAR)
+    return survival.hub_ascent_summary(flagged, graph_checks.cohort_share(spark, folder, nodes), ORDER_CALENDAR)
 
 
 @check("hub_ascent_summary", with_views("ascent", body="""
