@@ -174,3 +174,21 @@ def test_points_of_a_permutation_test_are_made_once(spark):
     series = spark.createDataFrame(spark.sparkContext.parallelize(points, 2).mapPartitions(seen), "g string, month string, v double")
     found = inference.block_permutation_test(series, ["g"], "v", F.col("month") < "2000-07", repetitions=20).collect()
     assert len(found) == 1 and made.value == len(points)
+
+
+def test_pairs_of_a_correlation_are_made_once(spark):
+    made = spark.sparkContext.accumulator(0)
+
+    def seen(rows):
+        for r in rows:
+            made.add(1)
+            yield r
+
+    pairs = [("a", float(i % 5), float(i * i % 7)) for i in range(20)]
+    df = spark.createDataFrame(spark.sparkContext.parallelize(pairs, 2).mapPartitions(seen), "g string, x double, y double")
+    row = inference.pearson_spearman(df, ["g"], "x", "y").first()
+    assert made.value == len(pairs)
+    x, y = (np.array([p[i] for p in pairs]) for i in (1, 2))
+    rank_x, rank_y = ((v[:, None] > v).sum(1) + ((v[:, None] == v).sum(1) + 1) / 2 for v in (x, y))
+    assert row["pearson_r"] == pytest.approx(np.corrcoef(x, y)[0, 1])
+    assert row["spearman_rho"] == pytest.approx(np.corrcoef(rank_x, rank_y)[0, 1])

@@ -398,13 +398,19 @@ def bootstrap_percentiles(
 # Correlations --------------------------------------------------------------------------------
 
 
+def average_ranks(
+    df: DataFrame, keys: Sequence[str], value: str, name: str, weight: str | None = None
+) -> DataFrame:
+    """The average rank of each distinct value, written down, so that readers see its size."""
+    table = running_weights(df, keys, value, {"_n": F.col(weight) if weight else F.lit(1)})
+    return cut_lineage(table.select(*keys, value, (F.col("_n_below") + (F.col("_n") + 1) / 2).alias(name)))
+
+
 def with_average_ranks(
     df: DataFrame, keys: Sequence[str], value: str, name: str, weight: str | None = None
 ) -> DataFrame:
     """Attach average ranks, from the running weights of distinct values."""
-    table = running_weights(df, keys, value, {"_n": F.col(weight) if weight else F.lit(1)})
-    ranks = table.select(*keys, value, (F.col("_n_below") + (F.col("_n") + 1) / 2).alias(name))
-    return df.join(ranks, [*keys, value])
+    return df.join(average_ranks(df, keys, value, name, weight), [*keys, value])
 
 
 def weighted_correlation(x: Column, y: Column, w: Column) -> Column:
@@ -420,16 +426,17 @@ def weighted_correlation(x: Column, y: Column, w: Column) -> Column:
 def pearson_spearman(df: DataFrame, keys: Sequence[str], x: str, y: str, weight: str | None = None) -> DataFrame:
     """Both correlations of two columns with p-values; null below three pairs or without spread.
 
-    Equal pairs are counted before anything is ranked or joined; with ``weight`` a row already stands
-    for that many.
+    Equal pairs are counted before anything is ranked or joined, and written down, as both ranks and the
+    sums read them; with ``weight`` a row already stands for that many.
     """
     keys = list(keys)
-    known = (
+    known = cut_lineage(
         df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
         .groupBy(*keys, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
         .agg(F.sum(weight or F.lit(1)).alias("_w"))
     )
-    ranked = with_average_ranks(with_average_ranks(known, keys, "x", "rank_x", "_w"), keys, "y", "rank_y", "_w")
+    ranks_x, ranks_y = (average_ranks(known, keys, v, f"rank_{v}", "_w") for v in ("x", "y"))
+    ranked = known.join(ranks_x, [*keys, "x"]).join(ranks_y, [*keys, "y"])
     w = F.col("_w")
     grouped = ranked.groupBy(*keys).agg(
         F.sum(w).alias("n"),
