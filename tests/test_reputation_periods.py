@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.test_reputation import DAY, frame, histories
-from tideline.operators import reputation
+from tideline.operators import reputation, reputation_periods
 from tideline.operators.reputation import ReputationModel
 from tideline.operators.reputation_periods import ReputationStore
 from tideline.session import fresh_folder
@@ -102,3 +102,20 @@ def test_long_histories_neither_overflow_nor_lose_their_past(spark):
     expected = reputation.reputation_events(df.drop("period"), model)
     agree(store.events().select(*COLUMNS).collect(), expected.select(*COLUMNS).collect())
     assert all(math.isfinite(r.reputation) for r in store.events().collect())
+
+
+def test_a_run_of_periods_crosses_two_shuffles(spark, monkeypatch):
+    model, data = ReputationModel(), histories(8, users=6)
+    df = with_periods(spark, data, 3 * DAY + 5_000)
+    plans = []
+
+    def cut(table):
+        plans.append(table._jdf.queryExecution().executedPlan().toString())
+        return table
+
+    monkeypatch.setattr(reputation_periods, "cut_lineage", cut)
+    origins = reputation.scope_bounds(df)
+    rows, left = reputation_periods.reputation_of_periods(df, origins, model)
+    assert len(plans) == 1 and plans[0].count("hashpartitioning") == 2
+    agree(rows.join(origins, ["platform", "community"]).select(*COLUMNS).collect(), reputation.reputation_events(df.drop("period"), model).select(*COLUMNS).collect())
+    assert left.count() == df.select("user_id").distinct().count()

@@ -1,11 +1,8 @@
 """Reputation by period: each stretch of time is read once, and a later one starts from the last summary.
 
-What a period does to a user is known without the periods before it, but for two numbers. The value at
-its start enters decayed, so the period is the map ``v -> gain + exp(-decay) * v``; such maps follow
-each other as one such map again. The events of a run that is still open at its start enter the gains
-of the period's first run; how many there are follows from the periods' counts alone, which join the
-same way. Periods are thus worked out side by side: counts first, then gains, then values, each by a
-pass over one row per user and period. What a run leaves behind is one row per user.
+What earlier periods left of a user is one row, whose value enters decayed and whose open run goes on. It
+stands before the user's first piece of a day as if it were one, so that a run takes the steps of
+``reputation_events`` over its own activities and one row per user, in two shuffles.
 """
 
 from __future__ import annotations
@@ -16,22 +13,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.timeparts import SECONDS_PER_DAY, unix_micros_seconds
-from tideline.operators.reputation import SCOPE, ReputationModel, decayed_running_sum, scope_bounds
+from tideline.operators.reputation import SCOPE, ReputationModel, day_pieces, running_reputation, scope_bounds
 from tideline.session import cut_lineage, finished_folders, sized_side
 
-#: What a user carries from one period to the next.
-CARRIED = ("day", "last_place", "run_events", "value")
-
-
-def _step(model: ReputationModel, day, place, before_day, before_place):
-    """The exponent of the decay from one active day to the next, or within one."""
-    exponent = place - before_place
-    if model.compounding:
-        idle = F.greatest(day - before_day - 1, F.lit(0))
-        exponent = exponent + idle * (idle + 1) / 2 + idle * (1 - (before_place - before_day))
-    return exponent * model.rate
-
-
 def reputation_of_periods(
     activity: DataFrame,
     origins: DataFrame,
@@ -48,143 +32,56 @@ def reputation_of_periods(
     keys = [*scope, "user_id"]
     place = (unix_micros_seconds(F.col("ts")) - F.col("t_min")) / SECONDS_PER_DAY
     clocked = (
-        activity.select(*scope, "user_id", "ts", "period")
+        activity.where(F.col("period").isNotNull())
+        .select(*scope, "user_id", "ts", "period")
         .join(sized_side(origins.select(*scope, "t_min")), list(scope))
         .select(*keys, "period", place.alias("_place"), F.floor(place).cast("int").alias("day"))
     )
-    clocked = cut_lineage(clocked)
-
-    # Days of a period, and the runs in it.
-    inside = Window.partitionBy(*keys, "period").orderBy("day")
-    so_far = inside.rowsBetween(Window.unboundedPreceding, 0)
-    fresh = F.when(F.col("day") - F.lag("day").over(inside) == 1, 0).otherwise(1)
-    days = (
-        clocked.groupBy(*keys, "period", "day")
-        .agg(F.count("*").alias("n_events"), F.max("_place").alias("last_place"))
-        .withColumn("_fresh", fresh)
-        .withColumn("run", F.sum("_fresh").over(so_far))
-        .withColumn("previous_day", F.lag("day").over(inside))
-        .withColumn("previous_place", F.lag("last_place").over(inside))
-        .withColumn("next_day", F.lead("day").over(inside))
-    )
-    in_run = Window.partitionBy(*keys, "period", "run").orderBy("day").rowsBetween(Window.unboundedPreceding, -1)
-    days = cut_lineage(days.withColumn("_before", F.coalesce(F.sum("n_events").over(in_run), F.lit(0))).drop("_fresh"))
-
-    # One row per user and period; what was carried stands before the first.
-    by_run = days.groupBy(*keys, "period", "run").agg(
-        F.min("day").alias("_first"), F.max("day").alias("_last"), F.max("last_place").alias("_place"), F.sum("n_events").alias("_n")
-    )
-    periods = by_run.groupBy(*keys, "period").agg(
-        F.min("_first").alias("first_day"),
-        F.max("_last").alias("last_day"),
-        F.max("_place").alias("last_place"),
-        F.max_by("_n", "run").alias("tail"),
-        (F.max("run") == 1).alias("single"),
-        F.lit(0.0).alias("value"),
-    )
+    pieces = day_pieces(clocked, [*keys, "period"]).withColumn("_entered", F.lit(None).cast("double"))
     if carried is not None:
+        # What was carried stands before the first piece.
         held = carried.select(
             *keys,
             F.lit("").alias("period"),
-            F.col("day").alias("first_day"),
-            F.col("day").alias("last_day"),
+            "day",
+            F.lit(0).cast("bigint").alias("_piece"),
+            F.lit(None).cast("array<double>").alias("_places"),
+            F.col("run_events").alias("n_events"),
             "last_place",
-            F.col("run_events").alias("tail"),
-            F.lit(False).alias("single"),
-            "value",
+            F.col("value").alias("_entered"),
+        )
+        pieces = pieces.unionByName(held)
+    order = ("period", "day", "_piece")
+    following = F.lead("period").over(Window.partitionBy(*keys).orderBy(*order))
+    # Both results read it.
+    steps = cut_lineage(
+        running_reputation(pieces, keys, model, order, "_entered")
+        .withColumn("_following", following)
+        .select(
+            *keys,
+            "period",
+            "day",
+            (F.col("_before") + F.col("n_events")).alias("run_events"),
+            "last_place",
+            "next_day",
+            F.col("_value").alias("value"),
+            F.col("_entered").isNotNull().alias("_held"),
+            "_following",
         )
-        periods = periods.unionByName(held)
-
-    # Events of the run that is open when a period starts.
-    by_user = Window.partitionBy(*keys).orderBy("period")
-    up_to = by_user.rowsBetween(Window.unboundedPreceding, 0)
-    before = {c: F.lag(c).over(by_user) for c in ("last_day", "last_place", "tail", "single")}
-    goes_on = F.coalesce(F.col("first_day") - F.col("_last_day") <= 1, F.lit(False))
-    in_chain = Window.partitionBy(*keys, "_chain").orderBy("period").rowsBetween(Window.unboundedPreceding, 0)
-    periods = (
-        periods.withColumns({f"_{c}": column for c, column in before.items()})
-        .withColumn("_open", F.when(goes_on, F.col("_tail")).otherwise(0))
-        .withColumn("_chain", F.sum(F.when(goes_on & F.col("_single"), 0).otherwise(1)).over(up_to))
-        .withColumn("_open", F.sum("_open").over(in_chain))
-        .withColumn("_next_first", F.lead("first_day").over(by_user))
-    )
-    # A value enters at the start of the period's first day.
-    entry = _step(model, F.col("first_day"), F.col("first_day").cast("double"), F.col("_last_day"), F.col("_last_place"))
-    periods = cut_lineage(periods.withColumn("_entry", F.coalesce(entry, F.lit(0.0))))
-
-    # Gains of a period's days, and what they come to within it.
-    known = periods.select(*keys, "period", "_open", "_next_first")
-    opened = F.when(F.col("run") == 1, F.col("_open")).otherwise(0)
-    days = days.join(known, [*keys, "period"]).withColumn("_before", F.col("_before") + opened)
-    in_day = Window.partitionBy(*keys, "period", "day").orderBy("_place")
-    count = F.col("_before") + F.col("_nth")
-    gain = model.base + model.base * model.alpha * (1 - 1 / (count + 1))
-    numbered = clocked.select(*keys, "period", "day", "_place", F.row_number().over(in_day).alias("_nth"))
-    gains = (
-        numbered.join(days.select(*keys, "period", "day", "_before", "last_place"), [*keys, "period", "day"])
-        .groupBy(*keys, "period", "day")
-        .agg(F.sum(gain * F.exp(-model.rate * (F.col("last_place") - F.col("_place")))).alias("_gain"))
-    )
-    step = _step(model, F.col("day"), F.col("last_place"), F.col("previous_day"), F.col("previous_place"))
-    first_step = (F.col("last_place") - F.col("day")) * model.rate
-    placed = (
-        days.withColumn("_step", F.coalesce(step, first_step))
-        .withColumn("_decay", F.sum("_step").over(so_far))
-        .join(gains, [*keys, "period", "day"])
-    )
-    local = cut_lineage(decayed_running_sum(placed, [*keys, "period"]))
-
-    # Values at the start of each period, along the few rows of a user.
-    ends = local.where(F.col("next_day").isNull()).select(*keys, "period", F.col("_value").alias("_out"), F.col("_decay").alias("_inner"))
-    maps = periods.join(ends, [*keys, "period"], "left").withColumn("_out", F.coalesce("_out", "value"))
-    ordered = maps.groupBy(*keys).agg(
-        F.sort_array(F.collect_list(F.struct("period", "_entry", "_inner", "_out"))).alias("_maps")
     )
-
-    def follow(held, one):
-        entered = held["v"] * F.exp(-one["_entry"])
-        out = F.when(one["_inner"].isNull(), one["_out"]).otherwise(one["_out"] + entered * F.exp(-one["_inner"]))
-        row = F.struct(one["period"].alias("period"), entered.alias("entered"), out.alias("value"))
-        return F.struct(out.alias("v"), F.concat(held["rows"], F.array(row)).alias("rows"))
-
-    nothing = F.array().cast("array<struct<period:string,entered:double,value:double>>")
-    followed = F.aggregate("_maps", F.struct(F.lit(0.0).alias("v"), nothing.alias("rows")), follow)["rows"]
-    values = cut_lineage(ordered.select(*keys, F.inline(followed)))
-
-    rows = local.join(values.drop("value"), [*keys, "period"]).select(
+    # A day that goes on in a later period is whole only there; what was carried shows once it has a next day.
+    goes_on = F.col("next_day") == F.col("day")
+    shown = F.when(F.col("next_day").isNull(), ~F.col("_held")).otherwise(~goes_on)
+    rows = steps.where(shown).select(
         *keys,
-        "period",
+        F.when(F.col("_held"), F.col("_following")).otherwise(F.col("period")).alias("period"),
         "day",
-        (F.col("_before") + F.col("n_events")).alias("run_events"),
+        "run_events",
         (F.col("last_place") - F.col("day")).alias("day_fraction"),
-        F.coalesce("next_day", "_next_first").alias("next_day"),
-        (F.col("_value") + F.col("entered") * F.exp(-F.col("_decay"))).alias("reputation"),
+        "next_day",
+        F.col("value").alias("reputation"),
     )
-    # A day that goes on in a later period is whole only there.
-    rows = rows.where(F.col("next_day").isNull() | (F.col("next_day") > F.col("day")))
-    newest = periods.withColumn("_last", F.lead("period").over(by_user).isNull()).where("_last")
-    left = newest.drop("value").join(values, [*keys, "period"]).select(
-        *keys,
-        F.col("last_day").alias("day"),
-        "last_place",
-        (F.col("tail") + F.when(F.col("single"), F.col("_open")).otherwise(0)).alias("run_events"),
-        "value",
-    )
-    if carried is not None:
-        again = periods.where((F.col("period") == "") & (F.col("_next_first") > F.col("last_day"))).join(
-            periods.where("period <> ''").groupBy(*keys).agg(F.min("period").alias("_period")), keys
-        )
-        rows = rows.unionByName(
-            again.select(
-                *keys,
-                F.col("_period").alias("period"),
-                F.col("last_day").alias("day"),
-                F.col("tail").alias("run_events"),
-                (F.col("last_place") - F.col("last_day")).alias("day_fraction"),
-                F.col("_next_first").alias("next_day"),
-                F.col("value").alias("reputation"),
-            )
-        )
+    left = steps.where(F.col("next_day").isNull()).select(*keys, "day", "last_place", "run_events", "value")
     return rows, left
 
 
@@ -240,5 +137,6 @@ class ReputationStore:
         keys = [*self.scope, "user_id", "day"]
         held = self.spark.read.option("basePath", f"{self.folder}/events").parquet(*[self._place("events", r) for r in runs])
         rest = [c for c in held.columns if c not in (*keys, "period", "run")]
-        newest = held.groupBy(*keys).agg(F.max_by(F.struct(*rest), "period").alias("_r")).select(*keys, "_r.*")
+        later = F.lead("period").over(Window.partitionBy(*keys).orderBy("period"))
+        newest = held.withColumn("_later", later).where(F.col("_later").isNull()).select(*keys, *rest)
         return newest.join(sized_side(self.spark.read.parquet(self._place("scopes", runs[-1]))), self.scope)
