@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
+from pyspark.sql import Row
 
 from tests.test_reputation import DAY, frame, histories
 from tideline.operators import reputation
@@ -80,3 +81,54 @@ def test_the_step_of_a_day(spark):
     assert first[3] == pytest.approx(2.0 * 0.96**0.5 + 1 + 2 * (1 - 1 / 3))
     again = live_reputation.after_day(model, first, 2, [2.25])
     assert again[2] == 1 and again[3] == pytest.approx(first[3] * 0.96**1.75 + 2.0)
+
+
+class Held:
+    """State of one shard, outside of a stream, that counts its calls."""
+
+    def __init__(self):
+        self.value, self.timers, self.reads, self.writes = None, set(), 0, 0
+
+    def getValueState(self, name, schema):
+        return self
+
+    def exists(self):
+        return self.value is not None
+
+    def get(self):
+        self.reads += 1
+        return self.value
+
+    def update(self, value):
+        self.writes += 1
+        self.value = value
+
+    def registerTimer(self, time):
+        self.timers.add(time)
+
+    def deleteTimer(self, time):
+        self.timers.remove(time)
+
+    def getCurrentWatermarkInMs(self):
+        return self.now
+
+
+def test_a_batch_reads_and_writes_the_state_of_many_users_once(spark):
+    held, days = Held(), live_reputation.UserDays(ReputationModel(), ["user_id"])
+    days.init(held)
+    one = Row("user_id", "ts", "place", "day", "due")
+    rows = [one(f"u{u}", None, d + 0.5, d, (d + 1) * 1000) for u in range(50) for d in (3, 1)]
+    found = list(days.handleInputRows((0,), iter(rows), held))
+    assert {(r.user_id, r.day, r.next_day) for r in found} == {(f"u{u}", d, n) for u in range(50) for d, n in ((1, 3), (3, None))}
+    assert (held.reads, held.writes, held.timers) == (0, 1, {2000})
+    held.now, held.timers = 2500, set()
+    assert list(days.handleExpiredTimer((0,), held, None)) == []
+    # The first day is closed for every user, and the next timer is that of the third.
+    assert (held.reads, held.writes, held.timers) == (1, 2, {4000})
+    found = list(days.handleInputRows((0,), iter([one("u7", None, 2.25, 2, 3000)]), held))
+    assert [(r.day, r.next_day) for r in found] == [(1, 2), (2, 3), (3, None)]
+    whole = live_reputation.after_day(ReputationModel(), None, 1, [1.5])
+    for day, place in ((2, 2.25), (3, 3.5)):
+        whole = live_reputation.after_day(ReputationModel(), whole, day, [place])
+    assert found[-1].reputation == whole[3] and found[-1].run_events == 3
+    assert (held.reads, held.writes, held.timers) == (2, 3, {3000})

@@ -1,9 +1,12 @@
 """Reputation kept up to date while activities arrive, in any order within an allowed lateness.
 
-Every user is a key with state of its own: the open days with their activities, which late rows may
-still change, and a summary of all days before them. A day closes by an event-time timer once the
-watermark has passed its end; nothing can then arrive for it, and its activities are folded into the
-summary. State therefore holds the activities of the allowed lateness and a constant per user.
+Every user has the open days with their activities, which late rows may still change, and a summary of
+all days before them. A day closes once the watermark has passed its end; nothing can then arrive for it,
+and its activities are folded into the summary. State therefore holds the activities of the allowed
+lateness and a constant per user.
+
+Users are dealt to shards by a hash of their key, and a shard is a key of the stream: a batch reads and
+writes the state of a shard once and sets one event-time timer for it, whatever the number of its users.
 
 Rows come out at once and again when later ones change them; the newest row of a user's day counts.
 Rows of a batch are written below its number, so a repeated batch replaces itself.
@@ -12,6 +15,7 @@ Rows of a batch are written below its number, so a repeated batch replaces itsel
 from __future__ import annotations
 
 import math
+import pickle
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -25,6 +29,9 @@ from tideline.session import sized_side
 #: Day, place of its last activity, events of its run so far, reputation after it.
 Summary = tuple[int, float, int, float]
 
+#: Parts of the users whose state is read and written together.
+SHARDS = 1 << 12
+
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -47,49 +54,71 @@ def after_day(model: ReputationModel, before: Summary | None, day: int, places:
 
 
 class UserDays(StatefulProcessor):
-    """Open days and the summary of closed ones of each user."""
+    """Open days and the summary of closed ones of the users of a shard.
+
+    A user is held as ``[summary, {day: (due, places)}]`` under the values of its key, all users of a shard
+    in one state value beside the time of the shard's timer.
+    """
 
     def __init__(self, model: ReputationModel, keys: Sequence[str]):
         self.model = model
+        self.width = len(keys)
         self.row = Row(*keys, "day", "run_events", "day_fraction", "next_day", "reputation")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.closed = handle.getValueState("closed", "day int, place double, events bigint, value double")
-        self.open = handle.getMapState("open", "day int", "due bigint, places array<double>")
+        self.held = handle.getValueState("held", "users binary, timer bigint")
+
+    def _read(self) -> tuple[dict, int | None]:
+        if not self.held.exists():
+            return {}, None
+        users, timer = self.held.get()
+        return pickle.loads(bytes(users)), timer
+
+    def _write(self, users: dict, timer: int | None) -> None:
+        """Keep the users, and a timer at the first end of an open day; ``timer`` is the one that is set."""
+        first = min((due for _, days in users.values() for due, _ in days.values()), default=None)
+        if first != timer:
+            if timer is not None:
+                self.handle.deleteTimer(timer)
+            if first is not None:
+                self.handle.registerTimer(first)
+        self.held.update((pickle.dumps(users), first))
 
     def handleInputRows(self, key, rows: Iterator[Row], timerValues) -> Iterator[Row]:
-        fresh: dict[int, list[float]] = {}
-        due: dict[int, int] = {}
+        fresh: dict[tuple, dict[int, tuple[int, list[float]]]] = {}
         for r in rows:
-            fresh.setdefault(r["day"], []).append(r["place"])
-            due[r["day"]] = r["due"]
-        summary = tuple(self.closed.get()) if self.closed.exists() else None
-        days = {d[0]: (held[0], list(held[1])) for d, held in self.open.iterator()}
-        for day, places in fresh.items():
-            if day not in days:
-                self.handle.registerTimer(due[day])
-            whole = (due[day], sorted(days.get(day, (0, []))[1] + places))
-            days[day] = whole
-            self.open.updateValue((day,), whole)
+            days = fresh.setdefault(tuple(r[: self.width]), {})
+            days.setdefault(r["day"], (r["due"], []))[1].append(r["place"])
+        users, timer = self._read()
+        for user, changed in fresh.items():
+            yield from self._changed(users, user, changed)
+        self._write(users, timer)
+
+    def _changed(self, users: dict, user: tuple, fresh: dict[int, tuple[int, list[float]]]) -> Iterator[Row]:
+        """Rows of a user from the first changed day on, whose activities are added to the open days."""
+        summary, days = users.setdefault(user, [None, {}])
+        for day, (due, places) in fresh.items():
+            held = days[day][1] if day in days else []
+            days[day] = (due, sorted(held + places))
         first, order = min(fresh), sorted(days)
         for day, following in zip(order, [*order[1:], None]):
             if summary is not None and day == first:
                 # The day before the first change has a new next day.
-                yield self._row(key, summary, day)
+                yield self._row(user, summary, day)
             summary = after_day(self.model, summary, day, days[day][1])
             if day >= first:
-                yield self._row(key, summary, following)
+                yield self._row(user, summary, following)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        summary = tuple(self.closed.get()) if self.closed.exists() else None
-        now = expiredTimerInfo.getExpiryTimeInMs()
-        for day, (due, places) in sorted((d[0], (h[0], list(h[1]))) for d, h in self.open.iterator()):
-            if due <= now:
-                summary = after_day(self.model, summary, day, places)
-                self.open.removeKey((day,))
-        if summary is not None:
-            self.closed.update(summary)
+        users, _ = self._read()
+        now = timerValues.getCurrentWatermarkInMs()
+        for held in users.values():
+            days = held[1]
+            for day in sorted(d for d, (due, _) in days.items() if due <= now):
+                held[0] = after_day(self.model, held[0], day, days.pop(day)[1])
+        # The timer that led here is gone.
+        self._write(users, None)
         return iter(())
 
     def close(self) -> None:
@@ -106,13 +135,19 @@ def _row_schema(activity: DataFrame, scope: Sequence[str]) -> str:
 
 
 def live_reputation_events(
-    activity: DataFrame, origins: DataFrame, model: ReputationModel, lateness: str, scope: Sequence[str] = SCOPE
+    activity: DataFrame,
+    origins: DataFrame,
+    model: ReputationModel,
+    lateness: str,
+    scope: Sequence[str] = SCOPE,
+    shards: int = SHARDS,
 ) -> DataFrame:
     """Reputation after the last activity of each active day, as a stream of new and changed rows.
 
     ``origins`` gives ``t_min`` per scope, from which days are counted. Rows of scopes without one and
     rows later than ``lateness`` behind the newest are left out. In the end the newest row of every
-    user and day is that of ``reputation_events`` over all activities.
+    user and day is that of ``reputation_events`` over all activities. A batch writes whole shards, so
+    ``shards`` should grow with the users; it must not change while a stream goes on.
     """
     spark = activity.sparkSession
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
@@ -126,8 +161,9 @@ def live_reputation_events(
         .withColumn("place", place)
         .withColumn("day", F.floor("place").cast("int"))
         .select(*keys, "ts", "place", "day", F.ceil(end_of_day * 1000).cast("bigint").alias("due"))
+        .withColumn("shard", F.pmod(F.xxhash64(*keys), F.lit(shards)))
     )
-    return clocked.groupBy(*keys).transformWithState(
+    return clocked.groupBy("shard").transformWithState(
         UserDays(model, keys), outputStructType=_row_schema(activity, scope), outputMode="Update", timeMode="EventTime"
     )
 
