@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.stats import student_t_tail
 from tideline.operators import breakpoints, inference, panel
+from tideline.plans.checks import inference_checks, reputation_checks
 
 
 def months(n, first=2015 * 12 + 1):
@@ -192,3 +193,19 @@ def test_pairs_of_a_correlation_are_made_once(spark):
     rank_x, rank_y = ((v[:, None] > v).sum(1) + ((v[:, None] == v).sum(1) + 1) / 2 for v in (x, y))
     assert row["pearson_r"] == pytest.approx(np.corrcoef(x, y)[0, 1])
     assert row["spearman_rho"] == pytest.approx(np.corrcoef(rank_x, rank_y)[0, 1])
+
+
+def test_bands_and_monthly_values_read_one_reputation(spark, monkeypatch):
+    data = [
+        (platform, "c", f"{platform}{u}", month, 0.1 * u, 0.2, 0.3, 0.4, 1 + u % 3, 1.5, 2)
+        for platform in ("focal", "reference") for u in range(25) for month in ("2020-01", "2020-02")
+    ]
+    columns = "platform string, community string, user_id string, month string, mean_toxicity double, mean_vader double, " \
+        "mean_textblob double, mean_subjectivity double, activity_count long, mean_reputation double, active_days long"
+    made = []
+    monkeypatch.setattr(
+        reputation_checks, "user_month_with_reputation", lambda *_: made.append(1) or spark.createDataFrame(data, columns)
+    )
+    found = inference_checks.diffs(spark, "").where("metric = 'toxicity_mean'").collect()
+    assert len(made) == 1 and len(found) == 2
+    assert all(r.focal_value == pytest.approx(1.2) and r.member_count == 25 and r.valid_member_count for r in found)

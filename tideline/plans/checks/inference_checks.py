@@ -264,8 +264,9 @@ VIEW_SQL["diffs"] = (("community_month_full", "bands"), """
 DIFF_METRICS = list(METRICS)
 
 
-def monthly_values(spark, folder, platform):
-    users = reputation_checks.user_month_with_reputation(spark, folder)
+def monthly_values(spark, folder, platform, users=None):
+    if users is None:
+        users = reputation_checks.user_month_with_reputation(spark, folder)
     monthly = rollups.community_month_basic(users).where(F.col("platform") == platform)
     values = [F.round(m, 9).alias(m) for m in DIFF_METRICS]
     return monthly.select("community", "month", F.col("active_users").alias("member_count"), *values).unpivot(
@@ -274,8 +275,9 @@ def monthly_values(spark, folder, platform):
 
 
 def diffs(spark, folder, platform="focal"):
-    summary = inference.bootstrap_percentiles(matched(spark, folder)).withColumn("value", F.round("value", 9))
-    return comparisons.monthly_diffs(monthly_values(spark, folder, platform), summary)
+    users = cut_lineage(reputation_checks.user_month_with_reputation(spark, folder))
+    summary = inference.bootstrap_percentiles(matched(spark, folder, users)).withColumn("value", F.round("value", 9))
+    return comparisons.monthly_diffs(monthly_values(spark, folder, platform, users), summary)
 
 
 @check("monthly_diffs", with_views("diffs", body="""
