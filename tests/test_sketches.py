@@ -34,6 +34,20 @@ def test_neighbourhoods_of_a_large_component(spark):
     assert neighbourhood.sketched_path_metrics(graph.dedup_edges(empty, ["g"]), none, ["g"]).count() == 0
 
 
+def test_many_arcs_are_sent_by_many_tasks(spark):
+    ring = [(0, i, (i + d) % 60) for i in range(60) for d in (1, 59)]
+    arcs, nodes = spark.createDataFrame(ring, "_s long, u long, v long"), spark.range(60).selectExpr("0L AS _s", "id AS _i")
+    few = neighbourhood.neighbourhood_sizes(arcs, nodes, 10)
+    many = neighbourhood.neighbourhood_sizes(arcs, nodes, 10, task_arcs=2, few_arcs=100)
+    said = [{r._d: r._pairs for r in found.collect()} for found in (few, many)]
+    assert set(said[0]) == set(said[1]) and all(said[0][d] == pytest.approx(said[1][d], rel=0.05) for d in said[0])
+    assert said[1][1] == pytest.approx(180, rel=0.02)
+    state = nodes.groupBy("_s", "_i").agg(F.hll_sketch_agg("_i", F.lit(10)).alias("sketch"))
+    # By bytes alone, all of it would fit one task.
+    assert neighbourhood.sent_sketches(arcs, state, 40).rdd.getNumPartitions() >= 40
+    assert neighbourhood.sent_sketches(arcs, state, None).count() == neighbourhood.sent_sketches(arcs, state, 40).count() == 120
+
+
 def test_more_registers_err_less():
     assert neighbourhood.sketch_error(10) == pytest.approx(1.04 / 32)
     assert sketches.user_error(14) < sketches.user_error(12) and sketches.rank_error(800) < sketches.rank_error(200)

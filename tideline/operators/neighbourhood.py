@@ -22,6 +22,9 @@ from tideline.session import Rounds, cut_lineage
 
 #: The estimate of a merged sketch has this standard error times the root of its registers.
 REGISTER_ERROR = 1.04
+#: Arcs whose sketches a task sends on in a step where there are more than ``FEW_ARCS``. Their numbers take few
+#: bytes and their sketches many, so tasks sized by bytes would hold millions.
+TASK_ARCS, FEW_ARCS = 1 << 17, 1 << 21
 
 
 def sketch_error(registers_log2: int) -> float:
@@ -29,7 +32,25 @@ def sketch_error(registers_log2: int) -> float:
     return REGISTER_ERROR / math.sqrt(1 << registers_log2)
 
 
-def neighbourhood_sizes(arcs: DataFrame, nodes: DataFrame, registers_log2: int) -> DataFrame:
+def sent_sketches(arcs: DataFrame, state: DataFrame, tasks: int | None) -> DataFrame:
+    """The sketch of the first end of every arc, at its second end; with ``tasks``, by at least so many tasks."""
+    ends = state.select("_s", F.col("_i").alias("u"), "sketch")
+    if tasks is not None:
+        # With fewer parts than these the planner would deal out anew, and size its tasks by bytes.
+        tasks = max(tasks, int(arcs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        arcs, ends = arcs.repartition(tasks, "_s", "u"), ends.repartition(tasks, "_s", "u").hint("merge")
+    return arcs.join(ends, ["_s", "u"]).select(
+        "_s", F.col("v").alias("_i"), "sketch", F.lit(None).cast("double").alias("size")
+    )
+
+
+def neighbourhood_sizes(
+    arcs: DataFrame,
+    nodes: DataFrame,
+    registers_log2: int,
+    task_arcs: int = TASK_ARCS,
+    few_arcs: int = FEW_ARCS,
+) -> DataFrame:
     """``_s, _d, _pairs``: ordered pairs at most ``_d`` edges apart, both ends alike included, as sketches see them.
 
     Steps go on until no sketch's size changes, in whole nodes. Their number is the largest distance at
@@ -37,15 +58,15 @@ def neighbourhood_sizes(arcs: DataFrame, nodes: DataFrame, registers_log2: int)
     """
     spark = arcs.sparkSession
     rounds = Rounds(spark)
+    n_arcs = arcs.count()
+    tasks = math.ceil(n_arcs / task_arcs) if n_arcs > few_arcs else None
     sketch = F.hll_sketch_agg(F.col("_i"), F.lit(registers_log2)).alias("sketch")
     state = nodes.groupBy("_s", "_i").agg(sketch)
     state = rounds.cut(state.withColumn("size", F.lit(1.0)))
     sizes, distance = [], 0
     while True:
         distance += 1
-        near = arcs.join(state.select("_s", F.col("_i").alias("u"), "sketch"), ["_s", "u"]).select(
-            "_s", F.col("v").alias("_i"), "sketch", F.lit(None).cast("double").alias("size")
-        )
+        near = sent_sketches(arcs, state, tasks)
         merged = (
             state.unionByName(near)
             .groupBy("_s", "_i")
