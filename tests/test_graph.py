@@ -2,9 +2,11 @@ from __future__ import annotations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.conftest import rows
 from tideline.operators import components, graph, hubs
+from tideline.plans.checks import graph_checks
 from tideline.plans.network import network_snapshot
 
 GRAPHS = {
@@ -205,3 +207,24 @@ def test_distances_follow_from_joined_leaves_and_twins(shape):
         assert (total, far) == (sum(d * c for d, c in enumerate(counts, 1)), len(counts))
         if shape in ("path", "star", "tree"):
             assert left <= 2
+
+
+def test_pairs_meet_hashed_nodes_once_for_both_metrics(spark, edges):
+    pairs, nodes = graph.dedup_edges(edges, ["g"]), graph.degrees(edges, ["g"])
+    label = F.when(F.col("node").isin("a", "s", "x"), "newcomer").otherwise("existing")
+    labelled = nodes.withColumn("label", label)
+    plan = graph.with_end_values(pairs, labelled, ["g"], "degree", "label")._jdf.queryExecution().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
+    ends = graph.edge_ends(pairs, labelled, ["g"])
+    assert ends.count() == pairs.count() and ends.where("loop").count() == 1
+    mixed, like = graph.ei_index(pairs, labelled, ["g"], ends=ends), graph.degree_assortativity(pairs, nodes, ["g"], ends=ends)
+    assert rows(mixed) == rows(graph.ei_index(pairs, labelled, ["g"]))
+    assert rows(like) == rows(graph.degree_assortativity(pairs, nodes, ["g"]))
+
+
+def test_first_months_need_no_sort(spark):
+    seen = [("c", "1998-12", "u"), ("c", "1999-01", "u"), ("c", "2001-12", "v"), ("c", None, "v"), ("c", None, "w")]
+    nodes = spark.createDataFrame(seen, "community string, month string, node string")
+    first = graph_checks.node_first_month(spark, "", nodes)
+    assert rows(first) == [("c", "u", "1998-12"), ("c", "v", "2001-12"), ("c", "w", None)]
+    assert "SortAggregate" not in first._jdf.queryExecution().toString()

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.stats import ratio
+from tideline.session import cut_lineage
 
 
 def dedup_edges(edges: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -76,21 +77,34 @@ def density(pairs: DataFrame, nodes: DataFrame, keys: Sequence[str]) -> DataFram
     return joined.withColumn("density", density_of(F.col("n_nodes"), F.col("n_edges")))
 
 
-def with_end_values(pairs: DataFrame, nodes: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
-    """Pairs with a node column attached at both ends, as ``<value>_a`` and ``<value>_b``."""
+def with_end_values(pairs: DataFrame, nodes: DataFrame, keys: Sequence[str], *values: str) -> DataFrame:
+    """Pairs with node columns attached at both ends, as ``<value>_a`` and ``<value>_b``.
+
+    Nodes, a row per snapshot and name, are hashed, so that the pairs are not sorted by their names.
+    """
     for end in ("a", "b"):
-        side = nodes.select(*keys, F.col("node").alias(end), F.col(value).alias(f"{value}_{end}"))
-        pairs = pairs.join(side, [*keys, end])
+        side = nodes.select(*keys, F.col("node").alias(end), *[F.col(v).alias(f"{v}_{end}") for v in values])
+        pairs = pairs.join(side.hint("shuffle_hash"), [*keys, end])
     return pairs
 
 
-def degree_assortativity(pairs: DataFrame, nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
+def edge_ends(pairs: DataFrame, labelled_nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Degrees and labels at both ends of each pair, written down for metrics that read either."""
+    ends = with_end_values(pairs, labelled_nodes, keys, "degree", "label").withColumn("loop", F.col("a") == F.col("b"))
+    return cut_lineage(ends.select(*keys, "degree_a", "degree_b", "label_a", "label_b", "loop"))
+
+
+def degree_assortativity(
+    pairs: DataFrame, nodes: DataFrame, keys: Sequence[str], ends: DataFrame | None = None
+) -> DataFrame:
     """Correlation of degrees across edges taken in both directions; a self-loop has one direction.
 
     Edges are first counted per pair of degrees, so the sums run over a small table of integers.
+    ``ends`` is :func:`edge_ends` of the same graph, where that exists.
     """
-    ends = with_end_values(pairs, nodes, keys, "degree")
-    loop = F.when(F.col("a") == F.col("b"), 1).otherwise(2)
+    if ends is None:
+        ends = with_end_values(pairs, nodes, keys, "degree").withColumn("loop", F.col("a") == F.col("b"))
+    loop = F.when(F.col("loop"), 1).otherwise(2)
     table = ends.groupBy(*keys, "degree_a", "degree_b").agg(F.sum(loop).cast("double").alias("_w"))
     # Either direction carries half the weight of both.
     w, x, y = F.col("_w"), F.col("degree_a").cast("double"), F.col("degree_b").cast("double")
@@ -227,14 +241,20 @@ def partition_metrics(
     )
 
 
-def ei_index(pairs: DataFrame, labelled_nodes: DataFrame, keys: Sequence[str], name: str = "ei_index") -> DataFrame:
-    """External minus internal edges over all edges, and the sizes of the two groups."""
+def ei_index(
+    pairs: DataFrame, labelled_nodes: DataFrame, keys: Sequence[str], name: str = "ei_index", ends: DataFrame | None = None
+) -> DataFrame:
+    """External minus internal edges over all edges, and the sizes of the two groups.
+
+    ``ends`` is :func:`edge_ends` of the same graph, where that exists.
+    """
     sizes = labelled_nodes.groupBy(*keys).agg(
         F.count("*").alias("n_nodes"),
         F.count_if(F.col("label") == "newcomer").alias("n_newcomers"),
         F.count_if(F.col("label") != "newcomer").alias("n_existing"),
     )
-    ends = with_end_values(pairs, labelled_nodes, keys, "label")
+    if ends is None:
+        ends = with_end_values(pairs, labelled_nodes, keys, "label")
     crossing = F.count_if(F.col("label_a") != F.col("label_b"))
     mixed = ends.groupBy(*keys).agg(
         F.count("*").alias("n_edges"), ratio(2 * crossing - F.count("*"), F.count("*")).alias(name)

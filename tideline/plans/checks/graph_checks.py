@@ -42,7 +42,11 @@ def node_first_month(spark, folder, nodes=None):
     if nodes is None:
         edges = standins.edges_month(spark, folder)
         nodes = edges.select("community", "month", F.explode(F.array("source", "target")).alias("node"))
-    return nodes.groupBy("community", "node").agg(F.min("month").alias("first_month"))
+    # Numbers of months are kept in a hash table, strings would be sorted.
+    first = F.min(timeparts.month_index(F.col("month")))
+    return nodes.groupBy("community", "node").agg(
+        F.when(first.isNotNull(), timeparts.month_from_index(first)).alias("first_month")
+    )
 
 
 def labelled_months(spark, folder, nodes=None):
@@ -52,7 +56,11 @@ def labelled_months(spark, folder, nodes=None):
     label = labels.newcomer_label(
         timeparts.month_start(F.col("first_month")), timeparts.month_start(F.col("month")), DAYS
     )
-    return nodes.join(customers, ["community", "node"], "left").withColumn("label", label).drop("first_month")
+    return (
+        nodes.join(customers.hint("shuffle_hash"), ["community", "node"], "left")
+        .withColumn("label", label)
+        .drop("first_month")
+    )
 
 
 VIEW_SQL["node_first"] = (("edges_month",), """

@@ -46,10 +46,11 @@ def metric_months(spark, folder):
     users = reputation_checks.user_month_with_reputation(spark, folder)
     focal = rollups.community_month_basic(users).where(F.col("platform") == "focal").drop("platform")
     pairs, nodes, labelled = graph_checks.month_tables(spark, folder)
+    ends = graph.edge_ends(pairs, labelled, keys)
     parts = [
         hubs.degree_dynamics(pairs, labelled, keys).select(*keys, "existing_gini"),
-        graph.ei_index(pairs, labelled, keys).select(*keys, "ei_index"),
-        graph.degree_assortativity(pairs, nodes, keys),
+        graph.ei_index(pairs, labelled, keys, ends=ends).select(*keys, "ei_index"),
+        graph.degree_assortativity(pairs, nodes, keys, ends=ends),
     ]
     stacked = breakpoints.metric_series(rollups.left_join_all(focal, parts, keys), BREAK_METRICS)
     # Breaks are chosen by comparing sums of squares, so both sides see the values to nine digits.
