@@ -228,3 +228,57 @@ def test_first_months_need_no_sort(spark):
     first = graph_checks.node_first_month(spark, "", nodes)
     assert rows(first) == [("c", "u", "1998-12"), ("c", "v", "2001-12"), ("c", "w", None)]
     assert "SortAggregate" not in first._jdf.queryExecution().toString()
+
+
+def test_weighted_distances_over_hubs_match_a_plain_search():
+    rng = np.random.default_rng(5)
+    n = 400
+    # Two nodes with some hundred arcs, a chain, and draws between the rest.
+    ends = np.stack([np.append(np.arange(1, n), rng.integers(0, n, 60)), np.append(rng.integers(0, 2, n - 1), rng.integers(0, n, 60))], 1)
+    ends = np.concatenate([ends, np.stack([np.arange(n, n + 40), np.append(5, np.arange(n, n + 39))], 1)])
+    pairs = np.unique(np.sort(ends[ends[:, 0] != ends[:, 1]], axis=1), axis=0)
+    u, v = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.concatenate([pairs[:, 1], pairs[:, 0]])
+    n += 40
+    weight, height = np.sort(rng.integers(1, 10, n)), rng.integers(0, 4, n)
+    away = np.full((n, n), -1)
+    for source in range(n):
+        away[source, source], at = 0, [source]
+        while at:
+            at = [b for a in at for b in v[u == a] if away[source, b] < 0 and not away[source].__setitem__(b, away[source, a] + 1)]
+    first, count = 30, 300
+    own = away[first : first + count]
+    total = int((own * weight[first : first + count, None] * weight).sum())
+    far = int((own + height[first : first + count, None] + height)[own > 0].max())
+    assert len(components.Neighbours(u, v).slots) == components.SLOT_ARCS
+    for words in (1, 1 << 11, 1 << 22):
+        assert components.weighted_distances(u, v, weight, height, first, count, words) == (total, far)
+
+
+def test_steps_that_reach_few_nodes_do_not_pass_over_all(monkeypatch):
+    """Along a chain every step finds few nodes, so none of them may cost as much as the whole graph."""
+
+    def refuse(*_):
+        raise AssertionError("a step went over all nodes")
+
+    monkeypatch.setattr(components.Neighbours, "all_ored", refuse)
+    n = 2_000
+    i = np.arange(n - 1)
+    found = components.distance_counts(np.append(i, i + 1), np.append(i + 1, i), 0, 64, 1 << 22)
+    assert len(found) == n - 1 and found[0] == 127 and found[-1] == 1
+
+
+def test_small_snapshots_are_numbered_in_their_tasks(spark, edges, snapshot, monkeypatch):
+    """Names of pairs and nodes are not joined for snapshots that a task can hold."""
+
+    def refuse(*_):
+        raise AssertionError("names were joined")
+
+    pairs, nodes = graph.dedup_edges(edges, ["g"]), graph.degrees(edges, ["g"])
+    found = components.connected_components(pairs, nodes, ["g"])
+    expected = rows(components.path_metrics(pairs, found, ["g"], task_arcs=0))
+    monkeypatch.setattr(components, "numbered_graph", refuse)
+    assert rows(components.path_metrics(pairs, found, ["g"])) == expected
+    # Pairs that leave a component in parts are an error in both.
+    apart = found.withColumn("component", F.lit("a"))
+    with pytest.raises(Exception, match="not connected by the given pairs"):
+        components.path_metrics(pairs.where("g = 'two'"), apart.where("g = 'two'"), ["g"]).collect()

@@ -6,6 +6,7 @@ most one round.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from functools import reduce
 
@@ -20,10 +21,16 @@ from tideline.operators.ranking import numbered_rows
 from tideline.session import Rounds, cut_lineage, drop_folder, fresh_folder
 
 #: Arcs of a snapshot that a task may hold (16 bytes each), arcs times sources that it searches, and
-#: words that stand in its arrays at once.
-TASK_ARCS, TASK_WORK, HELD_WORDS = 1 << 22, 1 << 33, 1 << 22
-#: Words of a node that stand side by side; more of them leave the processor's cache.
+#: words that stand in each of its arrays at once.
+TASK_ARCS, TASK_WORK, HELD_WORDS = 1 << 22, 1 << 36, 1 << 22
+#: Arcs times sources for which there is a task of its own, where snapshots are small.
+PART_WORK = 1 << 30
+#: Words of a node that stand side by side, a power of two; more of them leave the processor's cache.
 MOST_WORDS = 16
+#: Arcs of a node that are followed one after the other; nodes with more are cut into slots of so many.
+SLOT_ARCS = 32
+#: Share of the nodes up to which a step looks at the ones next to its newest alone.
+FEW_ROWS = 0.4
 
 
 def _both_ways(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -46,17 +53,26 @@ def smallest_linked(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
             root = above
 
 
+def _numbered_ends(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The names in columns ``a`` and ``b``, each once, and both columns as numbers of names."""
+    ends = pa.concat_arrays([*table.column("a").chunks, *table.column("b").chunks])
+    held = ends.dictionary_encode(null_encoding="encode")
+    number = held.indices.to_numpy().astype(np.int64)
+    return held.dictionary, number[: len(table)], number[len(table) :]
+
+
 def _components_in_tasks(links: DataFrame, keys: list[str]) -> DataFrame:
     """Components of snapshots that a task can hold."""
 
     def run(table: pa.Table) -> pa.Table:
-        ends = pa.concat_arrays([*table.column("a").chunks, *table.column("b").chunks])
-        names, number = np.unique(ends.to_numpy(zero_copy_only=False), return_inverse=True)
-        half = len(number) // 2
-        smallest = names[smallest_linked(number[:half], number[half:], len(names))]
+        names, a, b = _numbered_ends(table)
+        # Numbers follow the names' order, so the smallest number is that of the smallest name.
+        order = pc.sort_indices(names)
+        number = np.empty(len(names), np.int64)
+        number[order.to_numpy()] = np.arange(len(names))
+        names, smallest = names.take(order), smallest_linked(number[a], number[b], len(names))
         held = [pa.repeat(table.column(k)[0], len(names)) for k in keys]
-        kind = table.schema.field("a").type
-        return pa.table([*held, pa.array(names, kind), pa.array(smallest, kind)], names=[*keys, "node", "component"])
+        return pa.table([*held, names, names.take(pa.array(smallest))], names=[*keys, "node", "component"])
 
     schema = links.select(*keys, F.col("a").alias("node"), F.col("b").alias("component")).schema
     return links.groupBy(*keys).applyInArrow(run, schema)
@@ -125,33 +141,34 @@ def component_sizes(components: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def giant_component(components: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Largest component of each snapshot (of equals, the one with the smallest name)."""
-    sizes = component_sizes(components, keys)
-    top = sizes.groupBy(*keys).agg(F.max("size").alias("giant_component_size"), F.sum("size").alias("_n"))
-    named = (
-        sizes.join(top, list(keys))
-        .where(F.col("size") == F.col("giant_component_size"))
-        .groupBy(*keys)
-        .agg(F.min("component").alias("component"))
+    largest = F.min(F.struct(-F.col("size"), F.col("component").isNull(), F.col("component").alias("component")))
+    top = component_sizes(components.dropna(subset=list(keys)), keys).groupBy(*keys).agg(
+        largest.alias("_top"), F.max("size").alias("giant_component_size"), F.sum("size").alias("_n")
     )
-    return top.join(named, list(keys)).select(
+    return top.select(
         *keys,
-        "component",
+        F.col("_top.component").alias("component"),
         "giant_component_size",
         ratio(F.col("giant_component_size"), F.col("_n")).alias("giant_component_fraction"),
     )
 
 
+def _numbered_snapshots(giant: DataFrame) -> DataFrame:
+    """Snapshots whose giant component has edges, with a number ``_s``."""
+    return cut_lineage(giant.where(F.col("giant_component_size") > 1).withColumn("_s", F.monotonically_increasing_id()))
+
+
 def numbered_graph(
-    pairs: DataFrame, components: DataFrame, keys: Sequence[str]
+    pairs: DataFrame, components: DataFrame, keys: Sequence[str], snapshots: DataFrame | None = None
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Giant components with numbers in place of names, so that searches move few bytes.
 
     Returns the snapshots with their number ``_s``, their nodes as ``_s, node, _i`` and their arcs as
-    ``_s, u, v``. ``_i`` counts the nodes of a snapshot from 0.
+    ``_s, u, v``. ``_i`` counts the nodes of a snapshot from 0. ``snapshots`` are the ones to number, by default all.
     """
     keys = list(keys)
-    giant = giant_component(components, keys).where(F.col("giant_component_size") > 1)
-    snapshots = cut_lineage(giant.withColumn("_s", F.monotonically_increasing_id()))
+    if snapshots is None:
+        snapshots = _numbered_snapshots(giant_component(components, keys))
     named = snapshots.select(*keys, "component", "_s")
     members = components.join(named, [*keys, "component"]).select("_s", "node")
     nodes = numbered_rows(members, ["_s"], [F.col("node")], "_i").withColumn("_i", F.col("_i") - 1)
@@ -163,40 +180,171 @@ def numbered_graph(
     return snapshots, nodes, cut_lineage(arcs.select("_s", F.col("_u").alias("u"), F.col("_v").alias("v")))
 
 
+def _diagonals(arcs: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> list[np.ndarray]:
+    """The first arcs of all rows, the second ones of those that have two, and so on; the longest rows come first."""
+    counts = np.searchsorted(-lengths, -np.arange(int(lengths[0]) if len(lengths) else 0))
+    return [arcs[starts[:c] + k] for k, c in enumerate(counts)]
+
+
+def _ored(diagonals: list[np.ndarray], words: np.ndarray, out: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    """``out``: for each row the OR of the words that its arcs lead to."""
+    for k, ends in enumerate(diagonals):
+        held = np.take(words, ends, axis=0, out=spare[: len(ends)] if k else out, mode="clip")
+        if k:
+            np.bitwise_or(out[: len(ends)], held, out=out[: len(ends)])
+    return out
+
+
+class Neighbours:
+    """Arcs in the order in which words of bits are ORed along them; every node has one, and they lead both ways.
+
+    Nodes become rows, those with most arcs first, so that the ``k``-th arcs of all rows are one gather and one
+    OR of whole rows. Nodes with more than ``SLOT_ARCS`` arcs come last; their arcs are cut into slots, which
+    are ORed like rows, and then the slots of each node.
+    """
+
+    def __init__(self, u: np.ndarray, v: np.ndarray):
+        degree = np.bincount(v)
+        hub = degree > SLOT_ARCS
+        #: The node of each row, and the row of each node.
+        self.node = np.lexsort((-degree, hub))
+        self.row = np.empty_like(self.node)
+        self.row[self.node] = np.arange(len(degree))
+        lengths = degree[self.node]
+        starts = np.cumsum(lengths) - lengths
+        arcs = self.row[u[np.argsort(self.row[v], kind="stable")]]
+        self.n, self.low = len(degree), len(degree) - int(hub.sum())
+        self.single = _diagonals(arcs, starts[: self.low], lengths[: self.low])
+        slots = -(-lengths[self.low :] // SLOT_ARCS)
+        self.hub = np.repeat(np.arange(len(slots)), slots)
+        place = np.arange(len(self.hub)) - np.repeat(np.cumsum(slots) - slots, slots)
+        held = np.minimum(SLOT_ARCS, lengths[self.low :][self.hub] - SLOT_ARCS * place)
+        order = np.argsort(-held, kind="stable")
+        self.slots = _diagonals(arcs, (starts[self.low :][self.hub] + SLOT_ARCS * place)[order], held[order])
+        self.hub_of_slot = self.hub[order]
+        self.slot = np.empty_like(order)
+        self.slot[order] = np.arange(len(order))
+
+    def touched(self, active: np.ndarray, todo: np.ndarray) -> np.ndarray:
+        """Rows of ``todo`` next to one of ``active``, in order."""
+        near = np.zeros(self.n, bool)
+        for ends in self.single:
+            near[: len(ends)] |= active[ends]
+        if len(self.hub):
+            met = np.zeros(len(self.hub), bool)
+            for ends in self.slots:
+                met[: len(ends)] |= active[ends]
+            near[self.low + self.hub_of_slot[met]] = True
+        return np.flatnonzero(near & todo)
+
+    def ored(self, words: np.ndarray, rows: np.ndarray) -> np.ndarray:
+        """For each of ``rows``, which are in order, the OR of its neighbours' words."""
+
+        def some(diagonals: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
+            counts = np.searchsorted(wanted, [len(d) for d in diagonals])
+            out = np.empty((len(wanted), words.shape[1]), np.uint64)
+            return _ored([d[wanted[:c]] for d, c in zip(diagonals, counts) if c], words, out, np.empty_like(out))
+
+        cut = np.searchsorted(rows, self.low)
+        low = some(self.single, rows[:cut])
+        if cut == len(rows):
+            return low
+        wanted = np.zeros(self.n - self.low, bool)
+        wanted[rows[cut:] - self.low] = True
+        which = np.flatnonzero(wanted[self.hub_of_slot])
+        place = np.empty(len(self.hub), np.int64)
+        place[which] = np.arange(len(which))
+        kept = wanted[self.hub]
+        parts = np.take(some(self.slots, which), place[self.slot[kept]], axis=0)
+        starts = np.flatnonzero(np.diff(self.hub[kept], prepend=-1))
+        return np.concatenate([low, np.bitwise_or.reduceat(parts, starts, axis=0)])
+
+    def all_ored(self, words: np.ndarray, out: np.ndarray, spare: np.ndarray) -> np.ndarray:
+        """``out``: for every row the OR of its neighbours' words."""
+        _ored(self.single, words, out[: self.low], spare)
+        if self.low < self.n:
+            out[self.low :] = self.ored(words, np.arange(self.low, self.n))
+        return out
+
+
+def _some(counts: np.ndarray) -> np.ndarray:
+    """Which rows of bytes, 1, 2, 4, 8 or more in number, are not all 0."""
+    wide = counts.view(f"u{min(counts.shape[1], 8)}")
+    found = wide[:, 0] != 0
+    for i in range(1, wide.shape[1]):
+        found |= wide[:, i] != 0
+    return found
+
+
+def _batches(first: int, count: int, n: int, held_words: int) -> Iterator[tuple[int, int, int]]:
+    """``low, high, words``: sources that are searched at once, and the words in which their bits stand."""
+    words = 1
+    while words < MOST_WORDS and 64 * words < count and 2 * words * n <= held_words:
+        words *= 2
+    for low in range(first, first + count, 64 * words):
+        yield low, min(low + 64 * words, first + count), words
+
+
 def _spread(
-    u: np.ndarray, v: np.ndarray, first: int, count: int, held_words: int
-) -> Iterator[tuple[int, int, int, np.ndarray]]:
-    """``low, high, distance, newest``: which nodes are so far from which of the sources ``low .. high - 1``.
+    near: Neighbours, low: int, high: int, words: int
+) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """``distance, rows, newest, left``, from distance 0 on, for the sources ``low .. high - 1``.
 
-    Bits of 64 sources stand in a word; at most ``MOST_WORDS`` are searched at once, and so many that arcs
-    times words stay below ``held_words``. Arcs lead both ways and every node has one.
+    ``newest`` says which rows are so far from which sources, ``rows`` are those that are from any, and ``left``
+    counts the sources from which a row is farther, for each word. All three change with the next step.
     """
-    order = np.argsort(v, kind="stable")
-    u, v = u[order], v[order]
-    starts = np.flatnonzero(np.diff(v, prepend=-1))
-    n = len(starts)
-    wide = 64 * min(MOST_WORDS, max(1, held_words // len(u)))
-    for low in range(first, first + count, wide):
-        high = min(low + wide, first + count)
-        sources = np.arange(low, high)
-        newest = np.zeros((n, -(-len(sources) // 64)), np.uint64)
-        newest[sources, (sources - low) // 64] = np.uint64(1) << ((sources - low) % 64).astype(np.uint64)
-        seen = newest.copy()
-        for distance in range(1, n + 1):
-            newest = np.bitwise_or.reduceat(newest[u], starts, axis=0) & ~seen
-            if not newest.any():
-                break
-            seen |= newest
-            yield low, high, distance, newest
+    at = np.arange(high - low)
+    rows = near.row[low:high]
+    newest = np.zeros((near.n, words), np.uint64)
+    newest[rows, at // 64] = np.uint64(1) << (at % 64).astype(np.uint64)
+    unseen = np.bitwise_or.reduce(newest, axis=0) & ~newest
+    left = np.bitwise_count(unseen)
+    active = np.zeros(near.n, bool)
+    active[rows] = True
+    other, spare = np.empty_like(newest), np.empty_like(newest)
+    few = False
+    yield 0, rows, newest, left
+    for distance in range(1, near.n + 1):
+        touched = near.touched(active, _some(left))
+        if len(touched) < FEW_ROWS * near.n:
+            found = near.ored(newest, touched)
+            rest = np.take(unseen, touched, axis=0)
+            found &= rest
+            rest ^= found
+            counts = np.bitwise_count(rest)
+            new = _some(left[touched] ^ counts)
+            if few:
+                newest[rows] = 0
+                active[rows] = False
+            else:
+                newest.fill(0)
+                active.fill(False)
+            rows = touched[new]
+            newest[rows], unseen[rows], left[rows], active[rows] = found[new], rest[new], counts[new], True
+            few = True
+        else:
+            newest, other = near.all_ored(newest, other, spare), newest
+            newest &= unseen
+            unseen ^= newest
+            before, left = left, np.bitwise_count(unseen)
+            active = _some(before ^ left)
+            rows = np.flatnonzero(active)
+            few = False
+        if not len(rows):
+            break
+        yield distance, rows, newest, left
 
 
 def distance_counts(u: np.ndarray, v: np.ndarray, first: int, count: int, held_words: int) -> list[int]:
     """How many nodes are 1, 2, ... edges away from each of ``count`` sources from ``first`` on, summed."""
+    near = Neighbours(u, v)
     found: list[int] = []
-    for _, _, distance, newest in _spread(u, v, first, count, held_words):
-        if distance > len(found):
-            found.append(0)
-        found[distance - 1] += int(np.bitwise_count(newest).sum(dtype=np.int64))
+    for low, high, words in _batches(first, count, near.n, held_words):
+        for distance, rows, newest, _ in _spread(near, low, high, words):
+            if distance > len(found):
+                found.append(0)
+            if distance:
+                found[distance - 1] += int(np.bitwise_count(newest[rows]).sum(dtype=np.int64))
     return found
 
 
@@ -204,34 +352,51 @@ def weighted_distances(
     u: np.ndarray, v: np.ndarray, weight: np.ndarray, height: np.ndarray, first: int, count: int, held_words: int
 ) -> tuple[int, int]:
     """Distances of all nodes from ``count`` sources, times both weights, summed; and the largest with both heights."""
+    near = Neighbours(u, v)
+    row_weight, row_height = weight[near.node], height[near.node]
+    heights = [int(h) for h in np.unique(height)[::-1]]
     total, far = 0, 0
-    classes = [(h, np.flatnonzero(height == h)) for h in np.unique(height)[::-1]]
-    for low, high, distance, newest in _spread(u, v, first, count, held_words):
-        # Weights of the nodes that each word's bits stand for, by bit; sums stay below 2 ** 53.
-        if int(weight[low:high].max()) == int(weight[low:high].min()):
-            reached = weight @ np.bitwise_count(newest).sum(axis=1, dtype=np.int64)
-            total += distance * int(weight[low]) * int(reached)
-        else:
-            for word in range(newest.shape[1]):
-                own = weight[low + 64 * word : min(low + 64 * word + 64, high)]
-                if (own == own[0]).all():
-                    reached = int(own[0]) * int(weight @ np.bitwise_count(newest[:, word]).astype(np.int64))
-                else:
-                    bits = np.unpackbits(
-                        np.ascontiguousarray(newest[:, word]).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"
-                    )
-                    reached = int((weight @ bits[:, : len(own)].astype(np.int64)) @ own)
-                total += distance * reached
-        if distance + 2 * int(classes[0][0]) > far:
-            left = np.bitwise_or.reduce(newest, axis=0)
-            for h, rows in classes:
-                met = np.bitwise_or.reduce(newest[rows], axis=0)
-                bits = np.unpackbits(met.view(np.uint8), bitorder="little")[: high - low].astype(bool)
-                if bits.any():
-                    far = max(far, distance + int(h) + int(height[low:high][bits].max()))
-                left = left & ~met
-                if not left.any():
+    for low, high, words in _batches(first, count, near.n, held_words):
+        own_weight, own_height = weight[low:high], height[low:high]
+        tallest, level = int(own_height.max()), bool((own_height == own_height[0]).all())
+        # A word counts with its least weight, and what its sources weigh above it bit by bit.
+        least, above = [], []
+        for word in range(-(-(high - low) // 64)):
+            own = own_weight[64 * word : 64 * word + 64]
+            least.append(int(own.min()))
+            more = own - own.min()
+            for bit in range(int(more.max()).bit_length()):
+                mask = np.uint64(sum(1 << int(i) for i in np.flatnonzero(more >> bit & 1)))
+                above.append((word, mask, 1 << bit))
+        # A distance is the number of steps after which a pair is still left; bytes hold three counts of 64.
+        steps, last = np.zeros((near.n, words), np.int64), 0
+        for distance, rows, newest, left in _spread(near, low, high, words):
+            if distance % 3 == 0:
+                if distance:
+                    steps += held
+                held = left.copy()
+            else:
+                held += left
+            last, at_end = distance, left
+            for word, mask, times in above:
+                reached = np.bitwise_count(newest[rows, word] & mask)
+                total += distance * times * int(row_weight[rows] @ reached.astype(np.int64))
+            for h in heights if distance else ():
+                if distance + h + tallest <= far:
                     break
+                some = rows[row_height[rows] == h]
+                if not len(some):
+                    continue
+                if level:
+                    far = distance + h + tallest
+                    continue
+                met = np.bitwise_or.reduce(np.take(newest, some, axis=0), axis=0)
+                bits = np.unpackbits(met.view(np.uint8), bitorder="little")[: high - low].astype(bool)
+                far = max(far, distance + h + int(own_height[bits].max()))
+        # What is never reached has no distance.
+        steps += held
+        steps -= (last + 1) * at_end.astype(np.int64)
+        total += sum(int(x) * y for x, y in zip(row_weight @ steps, least))
     return total, far
 
 
@@ -328,22 +493,35 @@ class Reduced:
         self.depths, self.height = depths[np.unique(into)], top[np.unique(into)]
 
 
-def _reduced_in_tasks(arcs: DataFrame) -> DataFrame:
+def _reduced_in_tasks(links: DataFrame) -> DataFrame:
     """Graphs of fewer nodes from which the distances of each snapshot follow; a task holds a snapshot.
 
-    Rows are arcs ``_s, u, v``, nodes ``_s, u, weight, height`` without ``v``, and a row without ``u``, whose
-    weight and height are the sum and the largest of the distances that are known already.
+    ``links`` are pairs ``_s, a, b`` of names and for each snapshot one loop at a node of the component to be
+    taken, with its size as ``n``. Rows are pairs ``_s, u, v``, nodes ``_s, u, weight, height`` without ``v``, and
+    a row without ``u``, whose weight and height are the sum and the largest of the distances that are known already.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        graph = Reduced(table.column("u").to_numpy(), table.column("v").to_numpy())
-        n, m = len(graph.weight), len(graph.u)
+        names, a, b = _numbered_ends(table)
+        mark = int(np.flatnonzero(pc.is_valid(table.column("n")).to_numpy())[0])
+        linked = smallest_linked(a, b, len(names))
+        taken = linked == linked[a[mark]]
+        if int(taken.sum()) != table.column("n")[mark].as_py():
+            raise RuntimeError("a component is not connected by the given pairs")
+        number = np.cumsum(taken) - 1
+        held = taken[a] & (a != b)
+        a, b = number[a[held]], number[b[held]]
+        n = int(taken.sum())
+        u, v = np.divmod(np.unique(np.minimum(a, b) * n + np.maximum(a, b)), n)
+        graph = Reduced(np.concatenate([u, v]), np.concatenate([v, u]))
+        once = graph.u < graph.v
+        n, m = len(graph.weight), int(once.sum())
         size = int(graph.weight.sum())
         # Between groups, depths count on both sides.
         known = graph.inside + 2 * int((graph.depths * (size - graph.weight)).sum())
         blank = pa.nulls(m, pa.int64())
         parts = [
-            [graph.u, graph.v, blank, blank],
+            [graph.u[once], graph.v[once], blank, blank],
             [np.arange(n), pa.nulls(n, pa.int64()), graph.weight, graph.height],
             [pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), np.array([known]), np.array([graph.far])],
         ]
@@ -351,33 +529,40 @@ def _reduced_in_tasks(arcs: DataFrame) -> DataFrame:
         names = ["_s", "u", "v", "weight", "height"]
         return pa.table([pa.repeat(table.column("_s")[0], len(columns[0])), *columns], names=names)
 
-    return arcs.groupBy("_s").applyInArrow(run, "_s bigint, u bigint, v bigint, weight bigint, height bigint")
+    return links.groupBy("_s").applyInArrow(run, "_s bigint, u bigint, v bigint, weight bigint, height bigint")
 
 
-def _sums_in_tasks(arcs: DataFrame, sources: int) -> DataFrame:
+def _sums_in_tasks(links: DataFrame, sources: int) -> DataFrame:
     """``_s, _sum, _far``: distances summed over ordered pairs, and the largest, in parts that add up.
 
     A task holds a snapshot's reduced graph and searches some of its sources, so many that arcs times
     sources stay the same, ``sources`` being that product; so a large snapshot becomes many tasks, and a
     task's work has a bound.
     """
-    reduced = cut_lineage(_reduced_in_tasks(arcs))
+    spark = links.sparkSession
+    reduced = cut_lineage(_reduced_in_tasks(links))
     known = reduced.where(F.col("u").isNull()).select("_s", F.col("weight").alias("_sum"), F.col("height").alias("_far"))
     rows = reduced.where(F.col("u").isNotNull())
-    sizes = rows.groupBy("_s").agg(F.count("v").alias("_arcs"), F.count("weight").alias("_n")).where("_n > 1")
-    per_task = F.greatest(F.lit(64).cast("bigint"), F.floor(F.lit(sources) / F.col("_arcs")))
-    chunks = sizes.select("_s", "_n", per_task.alias("_per")).withColumn(
-        "_part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_n") / F.col("_per")).cast("int") - 1))
+    sizes = rows.groupBy("_s").agg((2 * F.count("v")).alias("_arcs"), F.count("weight").alias("_n")).where("_n > 1")
+    # Whole batches of sources, where there is room for one.
+    batch = 64 * MOST_WORDS
+    per_task = F.floor(F.lit(sources) / F.col("_arcs"))
+    per_task = F.when(per_task >= batch, per_task - per_task % batch).otherwise(F.greatest(F.lit(64).cast("bigint"), per_task))
+    chunks = cut_lineage(
+        sizes.select("_s", "_arcs", "_n", per_task.alias("_per")).withColumn(
+            "_part", F.explode(F.sequence(F.lit(0), F.ceil(F.col("_n") / F.col("_per")).cast("int") - 1))
+        )
     )
 
     def search(table: pa.Table) -> pa.Table:
         first = table.column("_part")[0].as_py() * table.column("_per")[0].as_py()
         count = min(table.column("_per")[0].as_py(), table.column("_n")[0].as_py() - first)
-        is_arc = pc.is_valid(table.column("v"))
-        held, nodes = table.filter(is_arc), table.filter(pc.invert(is_arc)).sort_by("u")
+        is_pair = pc.is_valid(table.column("v"))
+        held, nodes = table.filter(is_pair), table.filter(pc.invert(is_pair)).sort_by("u")
+        u, v = held.column("u").to_numpy(), held.column("v").to_numpy()
         total, far = weighted_distances(
-            held.column("u").to_numpy(),
-            held.column("v").to_numpy(),
+            np.concatenate([u, v]),
+            np.concatenate([v, u]),
             nodes.column("weight").to_numpy(),
             nodes.column("height").to_numpy(),
             first,
@@ -387,7 +572,12 @@ def _sums_in_tasks(arcs: DataFrame, sources: int) -> DataFrame:
         columns = [[table.column("_s")[0].as_py()], [total], [far]]
         return pa.table([pa.array(c, pa.int64()) for c in columns], names=["_s", "_sum", "_far"])
 
-    searched = rows.join(chunks, "_s").groupBy("_s", "_part").applyInArrow(search, "_s bigint, _sum bigint, _far bigint")
+    # Dealt out by work: the planner, which sees few bytes, would leave it to few tasks.
+    own = F.least(F.col("_per"), F.col("_n")).cast("double") * F.col("_arcs")
+    number, work = chunks.agg(F.count("*"), F.coalesce(F.sum(own), F.lit(0.0))).first()
+    tasks = max(1, min(number, max(2 * spark.sparkContext.defaultParallelism, math.ceil(work / PART_WORK))))
+    dealt = rows.join(chunks.drop("_arcs"), "_s").repartition(tasks, "_s", "_part")
+    searched = dealt.groupBy("_s", "_part").applyInArrow(search, "_s bigint, _sum bigint, _far bigint")
     return known.unionByName(searched)
 
 
@@ -455,21 +645,22 @@ def path_metrics(
     along the edges step by step. Distances are then sums of bit counts, and no pair of nodes becomes a
     row. Of snapshots with up to ``task_arcs`` arcs a task holds all arcs and searches a part of the
     sources, after leaves and nodes with the same neighbours have been joined to groups; larger ones are
-    searched by joins. Both count the same pairs.
+    searched by joins. Both count the same pairs. ``pairs`` and ``components`` are read more than once.
     """
     keys = list(keys)
     giant = cut_lineage(giant_component(components, keys))
-    snapshots, nodes, arcs = numbered_graph(pairs, components, keys)
-    sizes = cut_lineage(
-        arcs.groupBy("_s").agg(F.count("*").alias("_arcs")).join(
-            snapshots.select("_s", F.col("giant_component_size").alias("_n")), "_s"
-        )
-    )
+    snapshots = _numbered_snapshots(giant)
+    linked = pairs.where(F.col("a") != F.col("b")).select(*keys, "a", "b")
+    # All pairs of a snapshot, of which those of its giant component are no more.
+    sizes = cut_lineage(linked.groupBy(*keys).agg((2 * F.count("*")).alias("_arcs")).join(snapshots, keys))
     small, large = sizes.where(F.col("_arcs") <= task_arcs), sizes.where(F.col("_arcs") > task_arcs)
-    found = [_sums_in_tasks(arcs.join(small.select("_s"), "_s", "semi"), task_work)]
+    blank = F.lit(None).cast("bigint").alias("n")
+    marks = small.select("_s", F.col("component").alias("a"), F.col("component").alias("b"), F.col("giant_component_size").alias("n"))
+    links = linked.join(small.select(*keys, "_s"), keys).select("_s", "a", "b", blank).unionByName(marks)
+    found = [_sums_in_tasks(links, task_work)]
     if not large.isEmpty():
-        names = large.select("_s")
-        counts = _counts_by_joins(arcs.join(names, "_s", "semi"), nodes.join(names, "_s", "semi"), large, most_rows)
+        _, nodes, arcs = numbered_graph(pairs, components, keys, large.drop("_arcs"))
+        counts = _counts_by_joins(arcs, nodes, large.select("_s", F.col("giant_component_size").alias("_n")), most_rows)
         # A snapshot has a row per pass and distance.
         found += [
             c.select("_s", (F.col("_pairs") * F.col("_d")).alias("_sum"), F.col("_d").cast("bigint").alias("_far"))
