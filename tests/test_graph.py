@@ -282,3 +282,22 @@ def test_small_snapshots_are_numbered_in_their_tasks(spark, edges, snapshot, mon
     apart = found.withColumn("component", F.lit("a"))
     with pytest.raises(Exception, match="not connected by the given pairs"):
         components.path_metrics(pairs.where("g = 'two'"), apart.where("g = 'two'"), ["g"]).collect()
+
+
+def test_degrees_meet_the_pairs_once_for_a_snapshot(spark, edges, snapshot, monkeypatch):
+    calls = []
+    joined = graph.with_end_values
+    monkeypatch.setattr(graph, "with_end_values", lambda *a: calls.append(a) or joined(*a))
+    again = {r["g"]: r for r in network_snapshot(edges, ["g"]).collect()}
+    assert again == snapshot and len(calls) == 1
+    # From ends that are there: clustering, of loops and of nodes without pairs too, and mixing with unlabelled nodes.
+    pairs = graph.dedup_edges(edges, ["g"])
+    nodes = graph.pair_degrees(pairs, ["g"])
+    label = F.when(F.col("node").isin("a", "x"), "newcomer").when(F.col("node") != "c", "existing")
+    labels = nodes.select("g", "node", label.alias("label")).where("label IS NOT NULL")
+    ends = graph.named_ends(pairs, nodes.join(labels, ["g", "node"], "left"), ["g"], "label")
+    more = nodes.unionByName(spark.createDataFrame([("loop", "z", 0)], "g string, node string, degree long"))
+    assert rows(graph.local_clustering(pairs, more, ["g"], ends)) == rows(graph.local_clustering(pairs, more, ["g"]))
+    plain = graph.partition_metrics(pairs, nodes, labels, ["g"], ["g", "node"])
+    assert rows(graph.partition_metrics(pairs, nodes, labels, ["g"], ["g", "node"], ends)) == rows(plain)
+    assert rows(graph.degree_assortativity(pairs, nodes, ["g"], ends)) == rows(graph.degree_assortativity(pairs, nodes, ["g"]))

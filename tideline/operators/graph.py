@@ -94,13 +94,21 @@ def edge_ends(pairs: DataFrame, labelled_nodes: DataFrame, keys: Sequence[str])
     return cut_lineage(ends.select(*keys, "degree_a", "degree_b", "label_a", "label_b", "loop"))
 
 
+def named_ends(pairs: DataFrame, nodes: DataFrame, keys: Sequence[str], *values: str) -> DataFrame:
+    """Pairs with degrees and other ``values`` of both ends, written down for all metrics that read them.
+
+    ``nodes`` have the degrees of just these pairs.
+    """
+    return cut_lineage(with_end_values(pairs, nodes, keys, "degree", *values).withColumn("loop", F.col("a") == F.col("b")))
+
+
 def degree_assortativity(
     pairs: DataFrame, nodes: DataFrame, keys: Sequence[str], ends: DataFrame | None = None
 ) -> DataFrame:
     """Correlation of degrees across edges taken in both directions; a self-loop has one direction.
 
     Edges are first counted per pair of degrees, so the sums run over a small table of integers.
-    ``ends`` is :func:`edge_ends` of the same graph, where that exists.
+    ``ends`` is :func:`edge_ends` or :func:`named_ends` of the same graph, where that exists.
     """
     if ends is None:
         ends = with_end_values(pairs, nodes, keys, "degree").withColumn("loop", F.col("a") == F.col("b"))
@@ -129,17 +137,30 @@ def gini(histogram: DataFrame, keys: Sequence[str], value: str = "degree", count
     return ranked.groupBy(*keys).agg(ratio(2 * by_rank - (size + 1) * total, size * total).alias("gini"))
 
 
-def local_clustering(pairs: DataFrame, nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
+def local_clustering(
+    pairs: DataFrame, nodes: DataFrame, keys: Sequence[str], ends: DataFrame | None = None
+) -> DataFrame:
     """Clustering coefficient of every node; 0 below two neighbours. Self-loops are ignored.
 
     Edges point from the end with fewer neighbours to the one with more. Any node then has at most
     ``sqrt(2m)`` outgoing edges, hubs included, so these fit an array, and a triangle is a node that
-    both ends of an edge point to. No pair of neighbours becomes a row.
+    both ends of an edge point to. No pair of neighbours becomes a row. ``ends`` is :func:`named_ends`
+    of the same graph, where that exists; ``nodes`` then have their degrees, in which a self-loop counts 2.
     """
     keys = list(keys)
-    simple = pairs.where(F.col("a") != F.col("b"))
-    reach = pair_degrees(simple, keys)
-    ends = with_end_values(simple, reach, keys, "degree")
+    if ends is None:
+        simple = pairs.where(F.col("a") != F.col("b"))
+        reach = pair_degrees(simple, keys)
+        ends = with_end_values(simple, reach, keys, "degree")
+        held = nodes.select(*keys, "node").join(
+            reach.select(*keys, "node", F.col("degree").alias("_k")), [*keys, "node"], "left"
+        )
+    else:
+        loops = pairs.where(F.col("a") == F.col("b")).groupBy(*keys, F.col("a").alias("node")).agg(F.count("*").alias("_loops"))
+        held = nodes.join(loops, [*keys, "node"], "left").select(
+            *keys, "node", (F.col("degree") - 2 * F.coalesce("_loops", F.lit(0))).alias("_k")
+        )
+        ends = ends.where(~F.col("loop"))
     forward = (F.col("degree_a") < F.col("degree_b")) | (
         (F.col("degree_a") == F.col("degree_b")) & (F.col("a") < F.col("b"))
     )
@@ -168,9 +189,7 @@ def local_clustering(pairs: DataFrame, nodes: DataFrame, keys: Sequence[str]) ->
     )
     k = F.col("_k")
     return (
-        nodes.select(*keys, "node")
-        .join(reach.select(*keys, "node", F.col("degree").alias("_k")), [*keys, "node"], "left")
-        .join(triangles, [*keys, "node"], "left")
+        held.join(triangles, [*keys, "node"], "left")
         .select(
             *keys,
             "node",
@@ -180,9 +199,11 @@ def local_clustering(pairs: DataFrame, nodes: DataFrame, keys: Sequence[str]) ->
     )
 
 
-def clustering_stats(pairs: DataFrame, nodes: DataFrame, keys: Sequence[str]) -> DataFrame:
+def clustering_stats(
+    pairs: DataFrame, nodes: DataFrame, keys: Sequence[str], ends: DataFrame | None = None
+) -> DataFrame:
     """Mean clustering, its expectation in a random graph of the same size, and their ratio."""
-    mean = local_clustering(pairs, nodes, keys).groupBy(*keys).agg(F.avg("clustering").alias("mean_clustering"))
+    mean = local_clustering(pairs, nodes, keys, ends).groupBy(*keys).agg(F.avg("clustering").alias("mean_clustering"))
     sizes = density(pairs, nodes, keys)
     joined = sizes.join(mean, list(keys)).withColumn("er_expected_clustering", F.col("density"))
     return joined.select(
@@ -194,12 +215,18 @@ def clustering_stats(pairs: DataFrame, nodes: DataFrame, keys: Sequence[str]) ->
 
 
 def partition_metrics(
-    pairs: DataFrame, nodes: DataFrame, labels: DataFrame, keys: Sequence[str], on: Sequence[str]
+    pairs: DataFrame,
+    nodes: DataFrame,
+    labels: DataFrame,
+    keys: Sequence[str],
+    on: Sequence[str],
+    ends: DataFrame | None = None,
 ) -> DataFrame:
     """How newcomers and existing users mix, over nodes that have a label.
 
     Everything follows from counts of edges within and between the two groups. Without members in
-    one of the groups only the counts are given.
+    one of the groups only the counts are given. ``ends`` is :func:`named_ends` of the same graph with
+    ``label``, null where there is none; such ends count nowhere.
     """
     keys = list(keys)
     labelled = nodes.select(*keys, "node").join(labels.select(*on, "label"), list(on))
@@ -207,7 +234,8 @@ def partition_metrics(
     sizes = labelled.groupBy(*keys).agg(
         F.count_if(is_new).alias("n_newcomers"), F.count_if(~is_new).alias("n_existing")
     )
-    ends = with_end_values(pairs, labelled, keys, "label")
+    if ends is None:
+        ends = with_end_values(pairs, labelled, keys, "label")
     new_a, new_b = F.col("label_a") == "newcomer", F.col("label_b") == "newcomer"
     loop = F.col("a") == F.col("b")
     mixed = ends.groupBy(*keys).agg(
