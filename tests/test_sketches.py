@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,6 +51,41 @@ def test_many_arcs_are_sent_by_many_tasks(spark):
     assert neighbourhood.sent_sketches(arcs, state, None).count() == neighbourhood.sent_sketches(arcs, state, 40).count() == 18
 
 
+def test_small_snapshots_are_sketched_in_their_tasks(spark, monkeypatch):
+    draw = random.Random(4)
+    n = 1_500
+    data = [("g", str(i), str(draw.randrange(i))) for i in range(1, n)] + [("g", "0", str(i)) for i in range(1, n, 9)]
+    data += [("path", chr(97 + i), chr(98 + i)) for i in range(5)]
+    edges = spark.createDataFrame(data, "g string, source string, target string")
+    pairs, nodes = graph.dedup_edges(edges, ["g"]), graph.degrees(edges, ["g"])
+    found = components.connected_components(pairs, nodes, ["g"])
+    exact = {r.g: r for r in components.path_metrics(pairs, found, ["g"]).collect()}
+    by_joins = {r.g: r for r in neighbourhood.sketched_path_metrics(pairs, found, ["g"], task_arcs=0).collect()}
+
+    def refuse(*_):
+        raise AssertionError("sketches were joined to the edges")
+
+    monkeypatch.setattr(neighbourhood, "neighbourhood_sizes", refuse)
+    said = {r.g: r for r in neighbourhood.sketched_path_metrics(pairs, found, ["g"]).collect()}
+    assert set(said) == set(by_joins) == {"g", "path"}
+    for g, row in said.items():
+        assert abs(row.avg_shortest_path - exact[g].avg_shortest_path) <= row.path_error
+        assert row.least_diameter <= exact[g].diameter
+        assert row.path_error == pytest.approx(by_joins[g].path_error, rel=0.1)
+    # Fewer nodes than registers are counted exactly.
+    assert said["path"].avg_shortest_path == pytest.approx(exact["path"].avg_shortest_path, rel=1e-12)
+    assert said["path"].least_diameter == exact["path"].diameter == 5
+
+
+@pytest.mark.parametrize("n", [100, 1_024, 1_025, 3_000])
+def test_sketches_of_a_ring(n):
+    i = np.arange(n)
+    sizes = neighbourhood.summed_sizes(np.append(i, i), np.append((i + 1) % n, (i - 1) % n), 10)
+    assert len(sizes) <= n // 2 and len(sizes) >= 0.9 * (n // 2)
+    for d in (1, 10, n // 4):
+        assert sizes[d - 1] == pytest.approx(n * (2 * d + 1), rel=1e-12 if n <= 1_024 else 3 * neighbourhood.sketch_error(10))
+
+
 def test_more_registers_err_less():
     assert neighbourhood.sketch_error(10) == pytest.approx(1.04 / 32)
     assert sketches.user_error(14) < sketches.user_error(12) and sketches.rank_error(800) < sketches.rank_error(200)

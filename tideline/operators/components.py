@@ -54,11 +54,14 @@ def smallest_linked(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
 
 
 def _numbered_ends(table: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """The names in columns ``a`` and ``b``, each once, and both columns as numbers of names."""
+    """The names in columns ``a`` and ``b``, each once and in order, and both columns as numbers of names."""
     ends = pa.concat_arrays([*table.column("a").chunks, *table.column("b").chunks])
     held = ends.dictionary_encode(null_encoding="encode")
-    number = held.indices.to_numpy().astype(np.int64)
-    return held.dictionary, number[: len(table)], number[len(table) :]
+    order = pc.sort_indices(held.dictionary)
+    number = np.empty(len(order), np.int64)
+    number[order.to_numpy()] = np.arange(len(order))
+    number = number[held.indices.to_numpy()]
+    return held.dictionary.take(order), number[: len(table)], number[len(table) :]
 
 
 def _components_in_tasks(links: DataFrame, keys: list[str]) -> DataFrame:
@@ -66,11 +69,7 @@ def _components_in_tasks(links: DataFrame, keys: list[str]) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         names, a, b = _numbered_ends(table)
-        # Numbers follow the names' order, so the smallest number is that of the smallest name.
-        order = pc.sort_indices(names)
-        number = np.empty(len(names), np.int64)
-        number[order.to_numpy()] = np.arange(len(names))
-        names, smallest = names.take(order), smallest_linked(number[a], number[b], len(names))
+        smallest = smallest_linked(a, b, len(names))
         held = [pa.repeat(table.column(k)[0], len(names)) for k in keys]
         return pa.table([*held, names, names.take(pa.array(smallest))], names=[*keys, "node", "component"])
 
@@ -153,7 +152,7 @@ def giant_component(components: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def _numbered_snapshots(giant: DataFrame) -> DataFrame:
+def numbered_snapshots(giant: DataFrame) -> DataFrame:
     """Snapshots whose giant component has edges, with a number ``_s``."""
     return cut_lineage(giant.where(F.col("giant_component_size") > 1).withColumn("_s", F.monotonically_increasing_id()))
 
@@ -168,7 +167,7 @@ def numbered_graph(
     """
     keys = list(keys)
     if snapshots is None:
-        snapshots = _numbered_snapshots(giant_component(components, keys))
+        snapshots = numbered_snapshots(giant_component(components, keys))
     named = snapshots.select(*keys, "component", "_s")
     members = components.join(named, [*keys, "component"]).select("_s", "node")
     nodes = numbered_rows(members, ["_s"], [F.col("node")], "_i").withColumn("_i", F.col("_i") - 1)
@@ -186,12 +185,14 @@ def _diagonals(arcs: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> lis
     return [arcs[starts[:c] + k] for k, c in enumerate(counts)]
 
 
-def _ored(diagonals: list[np.ndarray], words: np.ndarray, out: np.ndarray, spare: np.ndarray) -> np.ndarray:
+def _ored(
+    diagonals: list[np.ndarray], words: np.ndarray, out: np.ndarray, spare: np.ndarray, merge: np.ufunc = np.bitwise_or
+) -> np.ndarray:
     """``out``: for each row the OR of the words that its arcs lead to."""
     for k, ends in enumerate(diagonals):
         held = np.take(words, ends, axis=0, out=spare[: len(ends)] if k else out, mode="clip")
         if k:
-            np.bitwise_or(out[: len(ends)], held, out=out[: len(ends)])
+            merge(out[: len(ends)], held, out=out[: len(ends)])
     return out
 
 
@@ -200,7 +201,7 @@ class Neighbours:
 
     Nodes become rows, those with most arcs first, so that the ``k``-th arcs of all rows are one gather and one
     OR of whole rows. Nodes with more than ``SLOT_ARCS`` arcs come last; their arcs are cut into slots, which
-    are ORed like rows, and then the slots of each node.
+    are ORed like rows, and then the slots of each node. Other words may be merged in another way.
     """
 
     def __init__(self, u: np.ndarray, v: np.ndarray):
@@ -237,13 +238,13 @@ class Neighbours:
             near[self.low + self.hub_of_slot[met]] = True
         return np.flatnonzero(near & todo)
 
-    def ored(self, words: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    def ored(self, words: np.ndarray, rows: np.ndarray, merge: np.ufunc = np.bitwise_or) -> np.ndarray:
         """For each of ``rows``, which are in order, the OR of its neighbours' words."""
 
         def some(diagonals: list[np.ndarray], wanted: np.ndarray) -> np.ndarray:
             counts = np.searchsorted(wanted, [len(d) for d in diagonals])
-            out = np.empty((len(wanted), words.shape[1]), np.uint64)
-            return _ored([d[wanted[:c]] for d, c in zip(diagonals, counts) if c], words, out, np.empty_like(out))
+            out = np.empty((len(wanted), words.shape[1]), words.dtype)
+            return _ored([d[wanted[:c]] for d, c in zip(diagonals, counts) if c], words, out, np.empty_like(out), merge)
 
         cut = np.searchsorted(rows, self.low)
         low = some(self.single, rows[:cut])
@@ -257,13 +258,15 @@ class Neighbours:
         kept = wanted[self.hub]
         parts = np.take(some(self.slots, which), place[self.slot[kept]], axis=0)
         starts = np.flatnonzero(np.diff(self.hub[kept], prepend=-1))
-        return np.concatenate([low, np.bitwise_or.reduceat(parts, starts, axis=0)])
+        return np.concatenate([low, merge.reduceat(parts, starts, axis=0)])
 
-    def all_ored(self, words: np.ndarray, out: np.ndarray, spare: np.ndarray) -> np.ndarray:
+    def all_ored(
+        self, words: np.ndarray, out: np.ndarray, spare: np.ndarray, merge: np.ufunc = np.bitwise_or
+    ) -> np.ndarray:
         """``out``: for every row the OR of its neighbours' words."""
-        _ored(self.single, words, out[: self.low], spare)
+        _ored(self.single, words, out[: self.low], spare, merge)
         if self.low < self.n:
-            out[self.low :] = self.ored(words, np.arange(self.low, self.n))
+            out[self.low :] = self.ored(words, np.arange(self.low, self.n), merge)
         return out
 
 
@@ -302,10 +305,15 @@ def _spread(
     active = np.zeros(near.n, bool)
     active[rows] = True
     other, spare = np.empty_like(newest), np.empty_like(newest)
-    few = False
+    few, todo = False, np.ones(near.n, bool)
     yield 0, rows, newest, left
     for distance in range(1, near.n + 1):
-        touched = near.touched(active, _some(left))
+        # Next to a row that was reached from all sources in the last step, what is left is one step farther.
+        before, todo = todo, _some(left)
+        reached = before & ~todo
+        ended = near.touched(reached, todo) if reached.any() else np.zeros(0, np.int64)
+        todo[ended] = False
+        touched = near.touched(active, todo)
         if len(touched) < FEW_ROWS * near.n:
             found = near.ored(newest, touched)
             rest = np.take(unseen, touched, axis=0)
@@ -320,16 +328,22 @@ def _spread(
                 newest.fill(0)
                 active.fill(False)
             rows = touched[new]
-            newest[rows], unseen[rows], left[rows], active[rows] = found[new], rest[new], counts[new], True
+            newest[rows], unseen[rows], left[rows] = found[new], rest[new], counts[new]
+            if len(ended):
+                newest[ended] = np.take(unseen, ended, axis=0)
+                unseen[ended], left[ended] = 0, 0
+                rows = np.concatenate([rows, ended])
+            active[rows] = True
             few = True
         else:
             newest, other = near.all_ored(newest, other, spare), newest
             newest &= unseen
             unseen ^= newest
-            before, left = left, np.bitwise_count(unseen)
-            active = _some(before ^ left)
+            former, left = left, np.bitwise_count(unseen)
+            active = _some(former ^ left)
             rows = np.flatnonzero(active)
             few = False
+        todo[ended] = True
         if not len(rows):
             break
         yield distance, rows, newest, left
@@ -493,27 +507,51 @@ class Reduced:
         self.depths, self.height = depths[np.unique(into)], top[np.unique(into)]
 
 
+def links_of_small(
+    pairs: DataFrame, snapshots: DataFrame, keys: Sequence[str], task_arcs: int
+) -> tuple[DataFrame, DataFrame]:
+    """Links of the snapshots that a task can hold, for :func:`giant_arcs`, and the other snapshots.
+
+    Links are pairs ``_s, a, b`` of names, and for each snapshot a loop at a node of its giant component, with the
+    component's size as ``n``.
+    """
+    keys = list(keys)
+    linked = pairs.where(F.col("a") != F.col("b")).select(*keys, "a", "b")
+    # All pairs of a snapshot, of which those of its giant component are no more.
+    sizes = cut_lineage(linked.groupBy(*keys).agg((2 * F.count("*")).alias("_arcs")).join(snapshots, keys))
+    small, large = sizes.where(F.col("_arcs") <= task_arcs), sizes.where(F.col("_arcs") > task_arcs)
+    blank = F.lit(None).cast("bigint").alias("n")
+    at = F.col("component")
+    marks = small.select("_s", at.alias("a"), at.alias("b"), F.col("giant_component_size").alias("n"))
+    links = linked.join(small.select(*keys, "_s"), keys).select("_s", "a", "b", blank).unionByName(marks)
+    return links, large.drop("_arcs")
+
+
+def giant_arcs(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Arcs of the giant component of a snapshot's links, both ways; nodes are numbered in the order of their names."""
+    names, a, b = _numbered_ends(table)
+    mark = int(np.flatnonzero(pc.is_valid(table.column("n")).to_numpy())[0])
+    linked = smallest_linked(a, b, len(names))
+    taken = linked == linked[a[mark]]
+    n = int(taken.sum())
+    if n != table.column("n")[mark].as_py():
+        raise RuntimeError("a component is not connected by the given pairs")
+    number = np.cumsum(taken) - 1
+    held = taken[a] & (a != b)
+    a, b = number[a[held]], number[b[held]]
+    u, v = np.divmod(np.unique(np.minimum(a, b) * n + np.maximum(a, b)), n)
+    return np.concatenate([u, v]), np.concatenate([v, u])
+
+
 def _reduced_in_tasks(links: DataFrame) -> DataFrame:
     """Graphs of fewer nodes from which the distances of each snapshot follow; a task holds a snapshot.
 
-    ``links`` are pairs ``_s, a, b`` of names and for each snapshot one loop at a node of the component to be
-    taken, with its size as ``n``. Rows are pairs ``_s, u, v``, nodes ``_s, u, weight, height`` without ``v``, and
+    ``links`` are those of :func:`links_of_small`. Rows are pairs ``_s, u, v``, nodes ``_s, u, weight, height`` without ``v``, and
     a row without ``u``, whose weight and height are the sum and the largest of the distances that are known already.
     """
 
     def run(table: pa.Table) -> pa.Table:
-        names, a, b = _numbered_ends(table)
-        mark = int(np.flatnonzero(pc.is_valid(table.column("n")).to_numpy())[0])
-        linked = smallest_linked(a, b, len(names))
-        taken = linked == linked[a[mark]]
-        if int(taken.sum()) != table.column("n")[mark].as_py():
-            raise RuntimeError("a component is not connected by the given pairs")
-        number = np.cumsum(taken) - 1
-        held = taken[a] & (a != b)
-        a, b = number[a[held]], number[b[held]]
-        n = int(taken.sum())
-        u, v = np.divmod(np.unique(np.minimum(a, b) * n + np.maximum(a, b)), n)
-        graph = Reduced(np.concatenate([u, v]), np.concatenate([v, u]))
+        graph = Reduced(*giant_arcs(table))
         once = graph.u < graph.v
         n, m = len(graph.weight), int(once.sum())
         size = int(graph.weight.sum())
@@ -649,17 +687,11 @@ def path_metrics(
     """
     keys = list(keys)
     giant = cut_lineage(giant_component(components, keys))
-    snapshots = _numbered_snapshots(giant)
-    linked = pairs.where(F.col("a") != F.col("b")).select(*keys, "a", "b")
-    # All pairs of a snapshot, of which those of its giant component are no more.
-    sizes = cut_lineage(linked.groupBy(*keys).agg((2 * F.count("*")).alias("_arcs")).join(snapshots, keys))
-    small, large = sizes.where(F.col("_arcs") <= task_arcs), sizes.where(F.col("_arcs") > task_arcs)
-    blank = F.lit(None).cast("bigint").alias("n")
-    marks = small.select("_s", F.col("component").alias("a"), F.col("component").alias("b"), F.col("giant_component_size").alias("n"))
-    links = linked.join(small.select(*keys, "_s"), keys).select("_s", "a", "b", blank).unionByName(marks)
+    snapshots = numbered_snapshots(giant)
+    links, large = links_of_small(pairs, snapshots, keys, task_arcs)
     found = [_sums_in_tasks(links, task_work)]
     if not large.isEmpty():
-        _, nodes, arcs = numbered_graph(pairs, components, keys, large.drop("_arcs"))
+        _, nodes, arcs = numbered_graph(pairs, components, keys, large)
         counts = _counts_by_joins(arcs, nodes, large.select("_s", F.col("giant_component_size").alias("_n")), most_rows)
         # A snapshot has a row per pass and distance.
         found += [

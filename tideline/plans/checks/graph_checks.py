@@ -25,6 +25,12 @@ def week_graph(spark, folder):
     return graph.dedup_edges(edges, WEEK), graph.degrees(edges, WEEK)
 
 
+def week_tables(spark, folder):
+    """Pairs and nodes of weekly snapshots, each written down; the edges are read once."""
+    pairs = cut_lineage(graph.dedup_edges(standins.edges_week(spark, folder), WEEK))
+    return pairs, cut_lineage(graph.pair_degrees(pairs, WEEK))
+
+
 def month_graph(spark, folder):
     edges = standins.edges_month(spark, folder)
     return graph.dedup_edges(edges, MONTH), graph.degrees(edges, MONTH)
@@ -201,7 +207,7 @@ PATH_COLUMNS_SQL = """g.size AS giant_component_size, round(g.size/g.n,6) AS gia
 @check("path_metrics", _recursive(with_views("pairs_week", "deg_week", body=PATHS_SQL + f"""
     SELECT community, week, {PATH_COLUMNS_SQL} FROM g JOIN p USING (community, week)""")))
 def path_metrics(spark, folder):
-    pairs, nodes = week_graph(spark, folder)
+    pairs, nodes = week_tables(spark, folder)
     found = components.connected_components(pairs, nodes, WEEK)
     return rounded(components.path_metrics(pairs, found, WEEK))
 
@@ -554,15 +560,17 @@ VIEW_SQL["lab_pm"] = (("edges_pm", "deg_pm"), f"""
 def platform_month_labels(edges, nodes):
     """Labels per month of the nodes that ever act; others have none."""
     keys = ["platform", "community"]
-    first = edges.groupBy(*keys, F.col("source").alias("node")).agg(F.min("month").alias("first_month"))
+    # Numbers of months are kept in a hash table, strings would be sorted.
+    first = F.min(timeparts.month_index(F.col("month")))
+    first = edges.groupBy(*keys, F.col("source").alias("node")).agg(
+        F.when(first.isNotNull(), timeparts.month_from_index(first)).alias("first_month")
+    )
     label = labels.newcomer_label(
         timeparts.month_start(F.col("first_month")), timeparts.month_start(F.col("month")), DAYS
     )
-    return nodes.join(first, [*keys, "node"]).select(*PLATFORM_MONTH, "node", label.alias("label"))
+    return nodes.join(first.hint("shuffle_hash"), [*keys, "node"]).select(*PLATFORM_MONTH, "node", label.alias("label"))
 
 
-def platform_partition(edges, pairs, nodes):
-    """Mixing of newcomers and existing nodes, from edges, pairs and degrees that are made once."""
-    return graph.partition_metrics(
-        pairs, nodes, platform_month_labels(edges, nodes), PLATFORM_MONTH, [*PLATFORM_MONTH, "node"]
-    )
+def platform_partition(pairs, nodes, labels, ends):
+    """Mixing of newcomers and existing nodes, from pairs, degrees, labels and ends that are made once."""
+    return graph.partition_metrics(pairs, nodes, labels, PLATFORM_MONTH, [*PLATFORM_MONTH, "node"], ends)
